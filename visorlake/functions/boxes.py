@@ -9,6 +9,11 @@ CROP_PAD = 1.3
 COORDS = ["x1", "y1", "x2", "y2"]
 
 
+def values_of(rows, field: str) -> Column:
+    """One field of an array of structs, as an array."""
+    return F.transform(rows, lambda r: r[field])
+
+
 def clip01(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 

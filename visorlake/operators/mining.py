@@ -9,6 +9,7 @@ from visorlake.operators.sampling import best_per_cell, cap_per_group, thin_by_g
 from visorlake.operators.signals import interpolate_boxes
 from visorlake.operators.tracks import build_tracks
 from visorlake.scale import span_of
+from visorlake.session import settle
 
 XY = ["x1", "y1", "x2", "y2"]
 # Order of the tiers at equal confidence (the earlier label stays).
@@ -41,14 +42,14 @@ def mine_hard_examples(dets: DataFrame, second: DataFrame, fps: float = 30.0, st
     """
     frame = ["video_id", "frame_idx"]
     seen = dets.select(*frame).distinct()
-    tracks = build_tracks(dets)
+    tracks = settle(build_tracks(dets))
     long_tracks = tracks.groupBy("video_id", "cls", "track_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").select("video_id", "cls", "track_id")
     expected = interpolate_boxes(tracks, max_gap).join(seen, frame, "left_semi").select(*frame, "cls", *XY)
     recovered = verify(expected, second, verify_conf).withColumn("tier", F.lit("recovered"))
     weak = tracks.where(F.col("conf") < conf_keep).join(long_tracks, ["video_id", "cls", "track_id"], "left_semi").select(*frame, "cls", *XY)
     promoted = verify(weak, second, verify_conf).withColumn("tier", F.lit("promoted"))
-    extra = recovered.unionByName(promoted)
-    sound = temporal_support(dets, win=support_win).where((F.col("conf") >= conf_keep) & (F.col("support") >= min_support))
+    extra = settle(recovered.unionByName(promoted))
+    sound = settle(temporal_support(dets, win=support_win).where((F.col("conf") >= conf_keep) & (F.col("support") >= min_support)))
     gap = max(1, int(round(sample_every * fps / stride)))
     sampled = thin_by_gap(sound.select(*frame).distinct(), gap)
     frames = extra.select(*frame).unionByName(sampled).distinct()

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from visorlake.scale import (FRAME_SPAN, hash_slice, ordered_scan, positions, running_sum, seeded, span_of,
                              top_per_group)
@@ -79,25 +79,29 @@ def spread_sample(df: DataFrame, n: int, order: str, slice_by: Column) -> DataFr
     return ranked.where((off % step == 0) & (off < step * n)).drop("_pos")
 
 
-def _keep(schema: T.StructType, rows: pd.DataFrame, marks: list[bool]) -> pd.DataFrame:
-    return rows[np.array(marks, dtype=bool)][schema.fieldNames()]
+def _keep(names: list[str], rows: pd.DataFrame, marks: list[bool]) -> pd.DataFrame:
+    return rows[np.array(marks, dtype=bool)][names]
 
 
 def dedup_consecutive(df: DataFrame, threshold: int = 5, hash="hash", span: int = FRAME_SPAN, **scan) -> DataFrame:
     """Keep a frame when its hash differs from the last kept frame of the video by more than `threshold`."""
+    names = df.columns
+
     def fold(key, state, rows):
         last, marks = state, []
         for h in rows[hash]:
-            far = last is None or (int(h) ^ last) & (2**64 - 1) and bin((int(h) ^ last) & (2**64 - 1)).count("1") > threshold
-            marks.append(bool(far))
+            far = last is None or ((int(h) ^ last) & (2**64 - 1)).bit_count() > threshold
+            marks.append(far)
             last = int(h) if far else last
-        return _keep(df.schema, rows, marks), last
+        return _keep(names, rows, marks), last
 
     return ordered_scan(df, ["video_id"], "frame_idx", ["frame_idx"], fold, df.schema, span=span, warmup=200, **scan)
 
 
 def dedup_consecutive_pixels(df: DataFrame, threshold: float, thumb="thumb", span: int = 2_000, **scan) -> DataFrame:
     """The same rule on the mean absolute difference of 64x64 thumbnails (keep at >= `threshold`)."""
+    names = df.columns
+
     def fold(key, state, rows):
         last = None if state is None else np.array(state)
         marks = []
@@ -106,7 +110,7 @@ def dedup_consecutive_pixels(df: DataFrame, threshold: float, thumb="thumb", spa
             far = last is None or np.abs(px - last).mean() >= threshold
             marks.append(bool(far))
             last = px if far else last
-        return _keep(df.schema, rows, marks), None if last is None else last.tolist()
+        return _keep(names, rows, marks), None if last is None else last.tolist()
 
     scan.setdefault("group_rows", span)
     return ordered_scan(df, ["video_id"], "frame_idx", ["frame_idx"], fold, df.schema, span=span, warmup=100, **scan)
@@ -114,13 +118,15 @@ def dedup_consecutive_pixels(df: DataFrame, threshold: float, thumb="thumb", spa
 
 def thin_by_gap(df: DataFrame, gap: int, keys: tuple[str, ...] = ("video_id",), span: int = FRAME_SPAN, **scan) -> DataFrame:
     """Keep a frame that lies at least `gap` after the last kept one."""
+    names = df.columns
+
     def fold(key, state, rows):
         last, marks = state, []
         for k in rows["frame_idx"]:
             far = last is None or k - last >= gap
             marks.append(bool(far))
             last = int(k) if far else last
-        return _keep(df.schema, rows, marks), last
+        return _keep(names, rows, marks), last
 
     return ordered_scan(df, list(keys), "frame_idx", ["frame_idx"], fold, df.schema, span=span, warmup=50 * gap, **scan)
 

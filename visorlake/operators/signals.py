@@ -1,11 +1,12 @@
 """Per-frame signals over bounded look-back or look-ahead, cut into spans so long videos stay parallel."""
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+import math
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from visorlake.functions.boxes import affine_apply, hypot
-from visorlake.scale import FRAME_SPAN, running_sum, span_of, with_halo
+from visorlake.scale import FRAME_SPAN, positions, running_sum, span_of, with_halo
 
 BALL_MM = 42.7
 MAX_MPS = 8.0
@@ -52,35 +53,22 @@ def ema(df: DataFrame, keys: list[str], order: str, value: str, alpha: float, sl
         start_at_first: bool = False) -> DataFrame:
     """Exponential smoothing y = (1 - alpha) y + alpha x, from 0 or from the first value.
 
-    The recurrence is linear, so each slice is smoothed from 0 in parallel and the value carried in from
-    earlier slices is added with its decay; carries compose over one row per slice.
+    Each group is cut into runs of `n` rows, smoothed from 0 by a weighted prefix sum. `n` is the longest
+    run whose weights still fit a double; by then the value two runs back has faded below its precision, so
+    the end of the run before is all that is carried in.
     """
-    keep, cut = 1.0 - alpha, df.withColumn("_slice", slice_by)
-    shape = T.StructType([*cut.schema.fields, T.StructField("_y", T.DoubleType()), T.StructField("_r", T.LongType())])
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, y, out = pdf.sort_values(order, kind="stable"), 0.0, []
-        for x in pdf[value]:
-            y = keep * y + alpha * float(x)
-            out.append(y)
-        return pdf.assign(_y=out, _r=range(1, len(pdf) + 1))[shape.fieldNames()]
-
-    ks = [*keys, "_slice"]
-    parts = cut.groupBy(*ks).applyInPandas(local, shape)
-    ends = parts.groupBy(*ks).agg(F.max("_r").alias("_n"), F.max_by("_y", "_r").alias("_end"), F.min_by(value, "_r").alias("_first"))
-    rows = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slice", "_n", "_end", "_first"))).alias("_s"))
-    first = F.get("_s", F.lit(0))["_first"].cast("double") if start_at_first else F.lit(0.0)
-    zero = F.struct(first.alias("carry"), F.array().cast("array<struct<s:bigint,carry:double>>").alias("seen"))
-
-    def step(acc, s):
-        entry = F.struct(s["_slice"].alias("s"), acc["carry"].alias("carry"))
-        end = F.pow(F.lit(keep), s["_n"]) * acc["carry"] + s["_end"]
-        return F.struct(end.alias("carry"), F.concat(acc["seen"], F.array(entry)).alias("seen"))
-
-    carries = (rows.select(*keys, F.explode(F.aggregate("_s", zero, step, lambda a: a["seen"])).alias("_c"))
-               .select(*keys, F.col("_c.s").alias("_slice"), F.col("_c.carry").alias("_carry")))
-    return (parts.join(carries, ks).withColumn(name, F.col("_y") + F.pow(F.lit(keep), F.col("_r")) * F.col("_carry"))
-            .drop("_slice", "_y", "_r", "_carry"))
+    keep = 1.0 - alpha
+    n = max(1, int(250 / -math.log10(keep)))
+    cut = (positions(df, keys, [F.col(order)], slice_by, "_pos")
+           .withColumns({"_run": F.floor((F.col("_pos") - 1) / n), "_r": (F.col("_pos") - 1) % n + 1}))
+    ks = [*keys, "_run"]
+    term = F.col(value) * F.when((F.col("_pos") == 1) & F.lit(start_at_first), 1.0).otherwise(alpha)
+    w = W.partitionBy(*ks).orderBy("_r").rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumn("_y", F.pow(F.lit(keep), F.col("_r")) * F.sum(term * F.pow(F.lit(keep), -F.col("_r"))).over(w))
+    ends = local.where(F.col("_r") == n).select(*keys, (F.col("_run") + 1).alias("_run"), F.col("_y").alias("_carry"))
+    return (local.join(ends, ks, "left")
+            .withColumn(name, F.col("_y") + F.pow(F.lit(keep), F.col("_r")) * F.coalesce("_carry", F.lit(0.0)))
+            .drop("_run", "_pos", "_r", "_y", "_carry"))
 
 
 def peak_in_window(hits: DataFrame, speed: DataFrame, fps: float = 30.0, secs: float = 0.6, value="mps") -> DataFrame:
@@ -105,10 +93,11 @@ def lookback_dwell(df: DataFrame, near: Column, lookback: float, at="frame_idx",
         gap = F.least(F.coalesce(F.col(at) - F.lag(at).over(w), alone), F.lit(max_dt))
         rows = rows.join(starts, list(keys)).withColumn("_dt", gap)
         amount = F.col("_dt")
-    back = w.rangeBetween(-lookback, 0)
-    return (rows.withColumns({"dwell": F.sum(F.when(F.col("_near"), amount).otherwise(F.lit(0))).over(back),
-                              "touched": F.max("_touch").over(back)})
-            .where("_own").drop("_span", "_own", "_near", "_touch", "_dt", "_t0"))
+    reach = f"{lookback}D" if isinstance(lookback, float) else f"{lookback}"
+    back = f"OVER (PARTITION BY {', '.join(keys)}, _span ORDER BY {at} RANGE BETWEEN {reach} PRECEDING AND CURRENT ROW)"
+    return (rows.withColumn("_amount", F.when(F.col("_near"), amount).otherwise(F.lit(0)))
+            .withColumns({"dwell": F.expr(f"sum(_amount) {back}"), "touched": F.expr(f"max(_touch) {back}")})
+            .where("_own").drop("_span", "_own", "_near", "_touch", "_dt", "_t0", "_amount"))
 
 
 def ego_speed(track: DataFrame, fps: float = 30.0, span: int = FRAME_SPAN) -> DataFrame:

@@ -1,15 +1,17 @@
 """Greedy non-maximum suppression and two-predictor ensembles."""
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from visorlake.functions.boxes import iou, of
-from visorlake.scale import hot_groups
 from visorlake.session import settle
 
 XY = ["x1", "y1", "x2", "y2"]
+FEW_BOXES = 128
 IMAGE_BOXES = 20_000
 
 
@@ -24,11 +26,40 @@ def nms(boxes: DataFrame, iou_thr: float = 0.6, image: tuple[str, ...] = ("sampl
         max_group: int = IMAGE_BOXES, cell: float | None = None) -> DataFrame:
     """Class-wise suppression: the highest score first, overlaps above `iou_thr` with a kept box removed.
 
-    Images of ordinary size are handled per (image, class). A class of an image with more than
-    `max_group` boxes goes through `nms_rounds`, which never gathers it.
+    Images of ordinary size are folded as one sorted array per (image, class), inside the JVM. Crowded ones
+    use numpy per group, and a class of an image with more than `max_group` boxes goes through
+    `nms_rounds`, which never gathers it. Group sizes are counted before any group is built.
     """
     keys = [*image, "cls"]
-
+    sizes = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_BOXES)
+    if sizes.isEmpty():
+        return _nms_fold(boxes, iou_thr, keys, score, tie)
+    sizes = settle(sizes)
+    parts = [_nms_fold(boxes.join(sizes, keys, "left_anti").select(*boxes.columns), iou_thr, keys, score, tie),
+             _nms_numpy(boxes.join(sizes.where(F.col("_n") <= max_group), keys, "left_semi").select(*boxes.columns),
+                        iou_thr, keys, score, tie)]
+    huge = sizes.where(F.col("_n") > max_group)
+    if not huge.isEmpty():
+        parts.append(nms_rounds(boxes.join(huge, keys, "left_semi").select(*boxes.columns), iou_thr, image, score, tie, cell))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nms_fold(boxes: DataFrame, iou_thr: float, keys: list[str], score: str, tie: str) -> DataFrame:
+    """Walk the score-ordered boxes of a group, keeping those that overlap no kept one."""
+    rest = [c for c in boxes.columns if c not in keys]
+    row = F.struct((-F.col(score)).alias("_s"), F.col(tie).alias("_t"), F.struct(*rest).alias("b"))
+    groups = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    kind = groups.schema["_rows"].dataType.elementType["b"].dataType
+
+    def add(kept, r):
+        clash = F.exists(kept, lambda k: iou(lambda n: k[n], lambda n: r["b"][n]) > iou_thr)
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(r["b"])))
+
+    kept = F.aggregate("_rows", F.array().cast(T.ArrayType(kind)), add)
+    return groups.select(*keys, F.explode(kept).alias("_b")).select(*[f"_b.{c}" if c in rest else c for c in boxes.columns])
+
+
+def _nms_numpy(boxes: DataFrame, iou_thr: float, keys: list[str], score: str, tie: str) -> DataFrame:
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, tie], ascending=[False, True], kind="stable")
         xy, alive, kept = pdf[XY].to_numpy(float), np.ones(len(pdf), bool), []
@@ -38,13 +69,7 @@ def nms(boxes: DataFrame, iou_thr: float = 0.6, image: tuple[str, ...] = ("sampl
                 alive[i + 1:] &= _overlaps(xy[i], xy[i + 1:]) <= iou_thr
         return pdf.iloc[kept]
 
-    hot = hot_groups(boxes, keys, max_group)
-    if hot.isEmpty():
-        return boxes.groupBy(*keys).applyInPandas(group, boxes.schema)
-    hot = settle(hot)
-    calm = boxes.join(hot, keys, "left_anti").select(*boxes.columns).groupBy(*keys).applyInPandas(group, boxes.schema)
-    crowded = boxes.join(hot, keys, "left_semi").select(*boxes.columns)
-    return calm.unionByName(nms_rounds(crowded, iou_thr, image, score, tie, cell))
+    return boxes.groupBy(*keys).applyInPandas(group, boxes.schema)
 
 
 def nms_rounds(boxes: DataFrame, iou_thr: float, image: tuple[str, ...] = ("sample_id",), score="conf", tie="box_no",

@@ -6,6 +6,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from visorlake.functions.boxes import values_of
 from visorlake.operators.filters import filter_candidates
 from visorlake.operators.motion import PrimaryBall
 from visorlake.scale import FRAME_SPAN, ordered_scan
@@ -114,7 +115,7 @@ class FaceTracks:
 def face_arrays(frames: DataFrame, faces="faces") -> DataFrame:
     """Corner arrays, which cross to Python as plain numbers."""
     return frames.select(F.col("video_id").cast("string").alias("video_id"), F.col("frame_idx").cast("int").alias("frame_idx"),
-                         *[F.transform(faces, lambda b, c=c: b[c]).alias(c) for c in XY])
+                         *[values_of(faces, c).alias(c) for c in XY])
 
 
 def iou_tracker(frames: DataFrame, faces="faces", span: int = FRAME_SPAN, **scan) -> DataFrame:
@@ -149,7 +150,7 @@ def motion_rows(frames: DataFrame, rmax, rmin: float = 5.0, dedup_d: float = 1.0
     """Ball candidates and club centres of each frame as plain arrays."""
     sized = filter_candidates(frames, "balls", rmin=rmin, rmax=rmax, floor=6.0, dedup_d=dedup_d)
     return sized.select(*[c for c in frames.columns if c not in ("balls", "clubs", "holes")],
-                        *[F.transform("cands", lambda b, c=c: b[c]).alias(f"b{c}") for c in ("x", "y", "r")],
+                        *[values_of("cands", c).alias(f"b{c}") for c in ("x", "y", "r")],
                         F.transform("clubs", lambda b: (b["x1"] + b["x2"]) / 2).alias("kx"),
                         F.transform("clubs", lambda b: (b["y1"] + b["y2"]) / 2).alias("ky"))
 

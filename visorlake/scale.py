@@ -13,13 +13,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from visorlake.session import settle
 
 BROADCAST_ROWS = 200_000
-GROUP_ROWS = 200_000
+GROUP_ROWS = 1_000_000
 FRAME_SPAN = 50_000
 
 
@@ -99,11 +100,36 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
     return kept.drop(name) if name == "_rn" else kept
 
 
-def _fold_once(fold, order, cols):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = fold(key, None, pdf.sort_values(order, kind="stable"))
-        return out[cols]
-    return run
+def _in_order(df: DataFrame, keys: list[str], order: list[str], fold: Callable, schema: T.StructType) -> DataFrame:
+    """Fold every group as its sorted rows stream through a task.
+
+    Rows are hashed by key and sorted by (key, order) inside each partition, so the Arrow batches arrive in
+    order and only a batch and one state are in memory, whatever the size of a group.
+    """
+    cols = schema.fieldNames()
+
+    def run(parts):
+        now, state = None, None
+        for pdf in parts:
+            if pdf.empty:
+                continue
+            marks = [pdf[k].to_numpy() for k in keys]
+            change = np.zeros(len(pdf), bool)
+            for m in marks:
+                change[1:] |= m[1:] != m[:-1]
+            starts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
+            out = []
+            for lo, hi in zip(starts, starts[1:]):
+                key = tuple(m[lo] for m in marks)
+                if key != now:
+                    now, state = key, None
+                rows, state = fold(key, state, pdf.iloc[lo:hi])
+                if len(rows):
+                    out.append(rows)
+            if out:
+                yield pd.concat(out, ignore_index=True)[cols]
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def hot_groups(df: DataFrame, keys: list[str], rows: int = GROUP_ROWS) -> DataFrame:
@@ -117,19 +143,17 @@ def ordered_scan(df: DataFrame, keys: list[str], at: str, order: list[str], fold
     """Fold each group in order, where the result for a row depends on everything before it.
 
     `fold(key, state, rows)` returns `(output rows, new state)`; `state` is a JSON-able value and
-    None at the start. Groups up to `group_rows` are folded in one call. Larger ones are cut into
-    spans of `at`: every span is first folded from a blank state over `warmup` rows of its
+    None at the start; a group may reach it in several pieces. Groups up to `group_rows` are folded as they
+    stream through a task. Larger ones are cut into spans of `at`: every span is first folded from a blank state over `warmup` rows of its
     predecessor, and a span whose entry state differs from the state its predecessor really ended
     with is folded again from that state, until no span differs. The result is the sequential one;
     no task holds more than a span.
     """
-    cols = schema.fieldNames()
-    once = _fold_once(fold, order, cols)
     hot = hot_groups(df, keys, group_rows)
     if hot.isEmpty():
-        return df.groupBy(*keys).applyInPandas(once, schema)
+        return _in_order(df, keys, order, fold, schema)
     hot = settle(hot)
-    calm = df.join(hot, keys, "left_anti").groupBy(*keys).applyInPandas(once, schema)
+    calm = _in_order(df.join(hot, keys, "left_anti").select(*df.columns), keys, order, fold, schema)
     big = df.join(hot, keys, "left_semi")
     return calm.unionByName(_scan_spans(big, keys, at, order, fold, schema, span, warmup))
 

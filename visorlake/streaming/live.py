@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from visorlake.operators.tracks import FaceTracks, face_arrays
+from visorlake.functions.boxes import values_of
+from visorlake.operators.tracks import FaceTracks
 from visorlake.scale import ordered_scan
 from visorlake.streaming.rules import AddressWatch, Gallery, OnlineHits
 
@@ -99,7 +100,7 @@ def stream_hit_counter(frames: DataFrame, delay: str = "2 seconds") -> DataFrame
     """Hit count, state and fire time per camera frame. Columns: camera_id, ts, balls, clubs, dx, dy."""
     flat = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "ts", F.coalesce("dx", F.lit(0.0)).alias("dx"),
                          F.coalesce("dy", F.lit(0.0)).alias("dy"),
-                         *[F.transform(a, lambda b, c=c: b[c]).alias(f"{a[0]}_{c}") for a in ("balls", "clubs") for c in XY])
+                         *[values_of(a, c).alias(f"{a[0]}_{c}") for a in ("balls", "clubs") for c in XY])
 
     def fold(key, state, rows):
         rules, out = OnlineHits(state), []
@@ -141,7 +142,7 @@ FACES = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField(
 def stream_face_tracker(frames: DataFrame, delay: str = "2 seconds", ttl_ms: int | None = 3_600_000) -> DataFrame:
     """Face tracks per camera on a stream. Columns: camera_id, ts, frame_idx, faces. Idle cameras are forgotten."""
     flat = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "ts", F.col("frame_idx").cast("int").alias("frame_idx"),
-                         *[F.transform("faces", lambda b, c=c: b[c]).alias(c) for c in XY])
+                         *[values_of("faces", c).alias(c) for c in XY])
 
     def fold(key, state, rows):
         tracker, out = FaceTracks(state), []
