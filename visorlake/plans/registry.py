@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visorlake.plans.fixtures import Fixtures, check_sql
+from visorlake.session import ship
 
 QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -26,7 +27,14 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from visorlake.plans import columns, curation, flows, relations, summaries  # noqa: F401
-    return {name: (lambda spark, folder, fn=fn: fn(Fixtures(spark, folder))) for name, fn in QUERIES.items()}
+
+    def bound(fn):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(Fixtures(spark, folder))
+        return run
+
+    return {name: bound(fn) for name, fn in QUERIES.items()}
 
 
 def all_checks() -> dict[str, str]:

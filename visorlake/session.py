@@ -1,7 +1,9 @@
 """Session settings and the shared checkpoint folder."""
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,17 @@ def settle(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and continue from the files."""
     _checkpoint_ready(df.sparkSession)
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="visorlake-py-")) / package.name
+    sc.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
+    _shipped.add(sc.applicationId)

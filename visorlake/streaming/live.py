@@ -35,16 +35,17 @@ class InOrder(StatefulProcessor):
     """Feeds each key's rows to `fold` in time order.
 
     Rows wait in state until the watermark passes them, are sorted, and folded once; a row older than what
-    was folded is dropped. `fold(key, state, rows)` returns output rows and the new JSON-able state.
+    was folded is dropped. `fold(key, state, rows)` returns output rows and the new JSON-able state, which
+    is forgotten when event time has moved `forget_ms` past the key's last row.
     """
 
-    def __init__(self, fold: Callable, columns: list[str], ts: str = "ts", tie: str | None = None, ttl_ms: int | None = None):
-        self.fold, self.columns, self.ts, self.tie, self.ttl_ms = fold, columns, ts, tie, ttl_ms
+    def __init__(self, fold: Callable, columns: list[str], ts: str = "ts", tie: str | None = None, forget_ms: int | None = None):
+        self.fold, self.columns, self.ts, self.tie, self.forget_ms = fold, columns, ts, tie, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.memory = handle.getValueState("memory", "s string", ttlDurationMs=self.ttl_ms)
-        self.waiting = handle.getListState("waiting", "s string", ttlDurationMs=self.ttl_ms)
+        self.memory = handle.getValueState("memory", "s string")
+        self.waiting = handle.getListState("waiting", "s string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [json.dumps({c: _plain(v) for c, v in zip(self.columns, r)})
@@ -64,20 +65,31 @@ class InOrder(StatefulProcessor):
         fresh = [r for r in due if saved["at"] is None or r[self.ts] > saved["at"]]
         if fresh:
             out, state = self.fold(key, saved["state"], pd.DataFrame(fresh))
-            self.memory.update((json.dumps({"at": fresh[-1][self.ts], "state": state}),))
+            saved = {"at": fresh[-1][self.ts], "state": state}
+            self.memory.update((json.dumps(saved),))
             if len(out):
                 yield out
+        wake = None
         if rest:
             self.waiting.put([(json.dumps(r),) for r in rest])
-            self.handle.registerTimer(min(r[self.ts] for r in rest) // 1_000_000)
+            wake = min(r[self.ts] for r in rest) // 1_000_000
         else:
             self.waiting.clear()
+            if self.forget_ms is not None and saved["at"] is not None:
+                wake = saved["at"] // 1_000_000 + self.forget_ms
+                if wake <= mark:
+                    self.memory.clear()
+                    wake = None
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if wake is not None:
+            self.handle.registerTimer(max(wake, mark + 1))
 
     def close(self) -> None:
         pass
 
 
-def _apply(df: DataFrame, key: str, fold, schema: T.StructType, delay: str, tie=None, ttl_ms=None) -> DataFrame:
+def _apply(df: DataFrame, key: str, fold, schema: T.StructType, delay: str, tie=None, forget_ms=None) -> DataFrame:
     """Keyed ordered fold: stateful on a stream, `ordered_scan` on a table, same rows out."""
     cols = [c for c in df.columns if c != key]
     if not df.isStreaming:
@@ -88,7 +100,7 @@ def _apply(df: DataFrame, key: str, fold, schema: T.StructType, delay: str, tie=
 
         return ordered_scan(df.withColumn("_at", at), [key], "_at", ["_at"] + ([tie] if tie else []), batch, schema, span=1800, warmup=60)
     return (df.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(
-        InOrder(fold, cols, tie=tie, ttl_ms=ttl_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime"))
+        InOrder(fold, cols, tie=tie, forget_ms=forget_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime"))
 
 
 HITS = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("ts", T.TimestampType()),
@@ -139,7 +151,7 @@ FACES = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField(
                       T.StructField("embed_due", T.BooleanType())])
 
 
-def stream_face_tracker(frames: DataFrame, delay: str = "2 seconds", ttl_ms: int | None = 3_600_000) -> DataFrame:
+def stream_face_tracker(frames: DataFrame, delay: str = "2 seconds", forget_ms: int | None = 3_600_000) -> DataFrame:
     """Face tracks per camera on a stream. Columns: camera_id, ts, frame_idx, faces. Idle cameras are forgotten."""
     flat = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "ts", F.col("frame_idx").cast("int").alias("frame_idx"),
                          *[values_of("faces", c).alias(c) for c in XY])
@@ -151,7 +163,7 @@ def stream_face_tracker(frames: DataFrame, delay: str = "2 seconds", ttl_ms: int
             out += [(str(key[0]), pd.Timestamp(r.ts), d, t, due) for d, t, _, due in found]
         return pd.DataFrame(out, columns=FACES.fieldNames()), tracker.live
 
-    return _apply(flat, "camera_id", fold, FACES, delay, ttl_ms=None if not frames.isStreaming else ttl_ms)
+    return _apply(flat, "camera_id", fold, FACES, delay, forget_ms=forget_ms)
 
 
 IDENTITIES = T.StructType([T.StructField("gallery_id", T.StringType()), T.StructField("face_id", T.LongType()),
