@@ -1,0 +1,206 @@
+"""Duplicates, splits, selection, suppression and matching against brute force, hot groups included."""
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from visorlake.operators import duplicates as D, gallery, joins, selection, splits, suppress, tracks
+
+MASK = 2**64 - 1
+
+
+def bits(a, b):
+    return bin((a ^ b) & MASK).count("1")
+
+
+def signed(v):
+    v &= MASK
+    return v - 2**64 if v >= 2**63 else v
+
+
+@pytest.fixture(scope="module")
+def hashes():
+    """Clusters of near hashes; a third of all rows are exact copies of one hash."""
+    rng = random.Random(3)
+    out, n = [], 0
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 5)):
+            h = base
+            for b in rng.sample(range(64), rng.randint(0, 7)):
+                h ^= 1 << b
+            out.append((n, signed(h)))
+            n += 1
+    out += [(n + i, out[0][1]) for i in range(len(out) // 2)]
+    return out
+
+
+@pytest.mark.parametrize("t", [5, 10])
+@pytest.mark.parametrize("limit", [5000, 2])
+def test_band_join_equals_brute_force(spark, hashes, t, limit):
+    unique = sorted({h for _, h in hashes})
+    df = spark.createDataFrame([(h,) for h in unique], "hash long")
+    got = {(r.ha, r.hb) for r in D.hash_pairs(df, None, t, len(unique), bucket_limit=limit).collect()}
+    assert got == {(a, b) for a in unique for b in unique if a < b and bits(a, b) <= t}
+
+
+@pytest.mark.parametrize("n", [10**7, 10**9])
+def test_wider_keys_lose_no_pair(spark, hashes, n):
+    unique = sorted({h for _, h in hashes})
+    df = spark.createDataFrame([(h,) for h in unique], "hash long")
+    got = {(r.ha, r.hb) for r in D.hash_pairs(df, None, 5, n).collect()}
+    assert got == {(a, b) for a in unique for b in unique if a < b and bits(a, b) <= 5}
+
+
+def components(nodes, edges):
+    parent = {v: v for v in nodes}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+    for a, b in edges:
+        ra, rb = sorted((find(a), find(b)))
+        parent[rb] = ra
+    return {v: find(v) for v in nodes}
+
+
+def test_clusters_with_a_hot_copy_group(spark, hashes):
+    df = spark.createDataFrame(hashes, "sample_id int, hash long")
+    got = {r.sample_id: (r.cluster, r.cluster_size) for r in D.cluster_duplicates(df, 5).collect()}
+    root = components([i for i, _ in hashes], [(i, j) for i, a in hashes for j, b in hashes if i < j and bits(a, b) <= 5])
+    size = {c: list(root.values()).count(c) for c in root.values()}
+    assert got == {i: (c, size[c]) for i, c in root.items()}
+    links = D.near_duplicate_links(df, 5)
+    linked = {r.id: r.cluster for r in D.connected_components(links).collect()}
+    assert linked == {i: c for i, c in root.items() if size[c] > 1}
+
+
+def test_components_of_chain_star_and_cycle(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 80)] + [(200 + i, 200 + (i + 1) % 15) for i in range(15)]
+    got = {r.id: r.cluster for r in D.connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == components({v for e in edges for v in e}, edges)
+
+
+def test_no_cluster_or_person_in_two_splits(spark, hashes):
+    df = spark.createDataFrame(hashes, "sample_id int, hash long")
+    placed = D.split_by_cluster(D.cluster_duplicates(df, 5), train=50, valid=25)
+    per = placed.groupBy("cluster").agg(F.countDistinct("split").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("split").alias("s")).collect()
+    assert all(r.n == 1 and r.rows <= (6 if r.s == "train" else 1) for r in per)
+    assert all(r.leaked == 0 for r in D.leakage_audit(placed, 5).collect())
+
+
+def test_split_by_entity_caps_and_pins(spark):
+    people = [(f"p{i}", "A" if i % 3 else "B", 1 + i * 7 % 13) for i in range(60)]
+    df = spark.createDataFrame(people, "entity string, domains string, weight int")
+    got = {r.entity: r.split for r in splits.split_by_entity(df, pins={"p1": "test"}, val_people=5, test_people=4, seed=2).collect()}
+    assert len(got) == 60 and got["p1"] == "test"
+    assert list(got.values()).count("val") <= 5 and list(got.values()).count("test") <= 4
+
+
+def greedy(rows, total, cap, novelty):
+    lo, hi = min(r[2] for r in rows), max(r[2] for r in rows)
+    u = {r[0]: (r[2] - lo) / (hi - lo + 1e-6) + 0.05 for r in rows}
+    near = {r[0]: None for r in rows}
+    left, used, out = {r[0]: r for r in rows}, {}, []
+    while left and len(out) < total:
+        best = max(sorted(left), key=lambda i: u[i] * (1.0 if not out else near[i] ** novelty))
+        out.append(best)
+        _, video, _, vec = left.pop(best)
+        used[video] = used.get(video, 0) + 1
+        if used[video] >= cap:
+            left = {i: r for i, r in left.items() if r[1] != video}
+        for i, r in left.items():
+            d = float(np.sqrt(((np.array(r[3]) - np.array(vec)) ** 2).sum()))
+            near[i] = d if near[i] is None else min(near[i], d)
+    return out
+
+
+@pytest.mark.parametrize("pool", [5, 1000])
+def test_selection_is_the_greedy_one(spark, pool):
+    rng = random.Random(11)
+    rows = [(i, "hot" if i % 3 == 0 else f"v{i % 7}", rng.random(), [rng.random() for _ in range(4)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, video_id string, score double, descriptor array<double>")
+    got = [r.id for r in selection.select_for_review(df, 25, per_video_cap=6, pool=pool).orderBy("pick").collect()]
+    assert got == greedy(rows, 25, 6, 1.0)
+
+
+def plain_nms(rows, thr):
+    out = []
+    for r in sorted(rows, key=lambda r: (-r[2], r[1])):
+        if all(overlap(r[3:], k[3:]) <= thr for k in out):
+            out.append(r)
+    return {r[1] for r in out}
+
+
+def overlap(a, b):
+    inter = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+    return inter / union if union > 0 else 0.0
+
+
+def test_nms_paths_agree(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in range(400):
+        x, y = rng.randint(0, 120), rng.randint(0, 120)
+        rows.append((0 if n < 300 else n % 5, n, rng.randint(0, 20) / 20, x, y, x + rng.randint(10, 40), y + rng.randint(10, 40)))
+    df = spark.createDataFrame([(s, n, 0, c, float(a), float(b), float(d), float(e)) for s, n, c, a, b, d, e in rows],
+                               "sample_id int, box_no int, cls int, conf double, x1 double, y1 double, x2 double, y2 double")
+    want = {n for s in range(5) for n in plain_nms([r for r in rows if r[0] == s], 0.4)}
+    for max_group in (20_000, 150):
+        assert {r.box_no for r in suppress.nms(df, 0.4, max_group=max_group).collect()} == want
+
+
+def test_best_match_blocks_equal_broadcast(spark):
+    rng = np.random.default_rng(0)
+    q = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(90)], "id int, embedding array<double>")
+    g = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(70)], "id int, template array<double>")
+    one = {r.id: (r.match_id, round(r.similarity, 9)) for r in gallery.best_match(q, g).collect()}
+    many = {r.id: (r.match_id, round(r.similarity, 9)) for r in gallery.best_match(q, g, block=16).collect()}
+    assert one == many and len(one) == 90
+
+
+def test_match_events_follows_fire_order(spark):
+    rng = random.Random(8)
+    fires = [(c, round(rng.uniform(0, 60), 2)) for c in "ab" for _ in range(25)]
+    truth = [(c, round(rng.uniform(0, 60), 2), rng.random() < 0.6, c == "a") for c in "ab" for _ in range(20)]
+    f = spark.createDataFrame(fires, "clip_id string, t double")
+    t = spark.createDataFrame(truth, "clip_id string, t double, real boolean, closed boolean")
+    got = sorted((r.clip_id, r.fire if r.fire is not None else -1, r.truth if r.truth is not None else -1, r.verdict) for r in joins.match_events(f, t, 1.0).collect())
+    want = []
+    for c in "ab":
+        real = sorted(x for k, x, r, _ in truth if k == c and r)
+        false = [x for k, x, r, _ in truth if k == c and not r]
+        caught = set()
+        for tm in sorted(x for k, x in fires if k == c):
+            r = next((x for x in real if abs(tm - x) <= 1.0 and x not in caught), None)
+            if r is not None:
+                caught.add(r)
+                want.append((c, tm, r, "ok"))
+            else:
+                near = any(abs(tm - x) <= 1.0 for x in false)
+                want.append((c, tm, -1, "FALSE" if near else "EXTRA" if c == "a" else "uncertain"))
+        want += [(c, -1, x, "missed") for x in real if x not in caught]
+    assert got == sorted(want)
+
+
+def test_tracks_link_and_break(spark):
+    rows = [("v", k, 0, 0, 10.0 + 3 * k, 10.0, 30.0 + 3 * k, 30.0, 0.9) for k in range(0, 40) if not 20 <= k < 25]
+    rows += [("v", k, 0, 1, 500.0, 400.0, 520.0, 420.0, 0.8) for k in (0, 1, 30)]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, cls int, det_no int, x1 double, y1 double, x2 double, y2 double, conf double")
+    for spans in ({}, {"span": 16, "group_rows": 10}):
+        got = tracks.build_tracks(df, **spans).groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).collect()
+        assert sorted(r.n for r in got) == [1, 2, 35]
+
+
+def test_face_tracks_and_reembedding(spark):
+    rows = []
+    for k in range(120):
+        faces = [] if 40 <= k < 45 or 60 <= k < 75 else [(0.1 + k * 0.001, 0.1, 0.3 + k * 0.001, 0.4, 0.9)]
+        rows.append(("v", k, faces))
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, faces array<struct<x1:double,y1:double,x2:double,y2:double,conf:double>>")
+    t = tracks.iou_tracker(df).orderBy("frame_idx").toPandas()
+    assert t["track_id"].nunique() == 2                      # bridged 5 frames, lost over 15
+    assert t[t["embed_due"]]["frame_idx"].tolist() == [0, 75]

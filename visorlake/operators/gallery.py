@@ -47,7 +47,7 @@ def best_match(queries: DataFrame, gallery: DataFrame, id="id", vec="embedding",
     gb = (g.withColumn("_b", F.pmod(F.xxhash64("_gid"), F.lit(n_blocks)))
           .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)))))
     qb = (q.withColumn("_s", F.pmod(F.xxhash64(id), F.lit(n_slices)).cast("int"))
-          .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long")))
+          .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
 
     def meet(qs: pd.DataFrame, gs: pd.DataFrame) -> pd.DataFrame:
         gs = gs.sort_values("_gid", kind="stable")

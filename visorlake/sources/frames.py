@@ -26,16 +26,14 @@ def parse_detection_cache(df: DataFrame, text="value") -> DataFrame:
 
 
 def read_detection_cache(spark: SparkSession, path) -> DataFrame:
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
-             .option("recursiveFileLookup", True).text(path)
+    files = (spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path, wholetext=True)
              .select(stem("_metadata.file_path").alias("video_id"), "value"))
     return parse_detection_cache(files)
 
 
 def read_affines(spark: SparkSession, path) -> DataFrame:
     """Camera matrices per frame; entry i - 1 of the file moves frame i - 1 to frame i."""
-    files = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
-             .option("recursiveFileLookup", True).text(path)
+    files = (spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path, wholetext=True)
              .select(stem("_metadata.file_path").alias("video_id"), "value"))
     return (files.select("video_id", F.posexplode(F.from_json("value", "array<array<double>>")).alias("_i", "cam"))
             .select("video_id", (F.col("_i") + 1).alias("frame_idx"), "cam"))

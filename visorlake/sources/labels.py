@@ -18,8 +18,8 @@ from visorlake.schemas import ANNOTATION_MAP
 
 def _whole(spark: SparkSession, path, glob: str) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", glob).text(paths)
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+            .text(paths, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value")))
 
 
@@ -173,7 +173,7 @@ def read_polygon_txt(spark: SparkSession, path) -> DataFrame:
 def read_calibration(spark: SparkSession, k_path: str, xyz_path: str) -> DataFrame:
     """Camera matrices and joints from two JSON arrays, matched by position."""
     def entries(path, kind, name):
-        doc = spark.read.option("wholetext", True).text(path)
+        doc = spark.read.text(path, wholetext=True)
         return doc.select(F.posexplode(F.from_json("value", kind)).alias("idx", name))
 
     return entries(k_path, "array<array<array<double>>>", "k").join(
