@@ -42,9 +42,16 @@ def parse_yolo_text(df: DataFrame, text="value", kpts: int = 0) -> DataFrame:
     return out.drop("_t")
 
 
+def _empty(spark: SparkSession, path, glob: str) -> DataFrame:
+    """Files of length zero, which the text reader leaves out; found from the listing alone."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+            .load(path).where(F.col("length") == 0).select("path", F.lit("").alias("value")))
+
+
 def read_yolo_labels(spark: SparkSession, path, kpts: int = 0) -> DataFrame:
-    files = _whole(spark, path, "*.txt").withColumn("sample_id", stem("path"))
-    return parse_yolo_text(files, kpts=kpts)
+    """Label files under `path`; an empty file is a background sample."""
+    files = _whole(spark, path, "*.txt").unionByName(_empty(spark, path, "*.txt"))
+    return parse_yolo_text(files.withColumn("sample_id", stem("path")), kpts=kpts)
 
 
 def read_block_gt(spark: SparkSession, path) -> DataFrame:
