@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from visorlake.operators.motion import BoxOnlyRules, HitRules
 from visorlake.operators.tracks import motion_rows, video_size
-from visorlake.scale import FRAME_SPAN, maybe_broadcast, ordered_scan
+from visorlake.scale import FRAME_SPAN, ordered_scan
 
 # kind: `armed` marks a frame with an armed address, `hit` an event at `frame_idx`.
 EVENTS = T.StructType([T.StructField("video_id", T.StringType()), T.StructField("frame_idx", T.IntegerType()),
@@ -26,7 +26,7 @@ def hit_events(frames: DataFrame, fps: float = 30.0, mode: str = "ego", size: tu
     frames = _text_id(frames)
     if mode == "boxonly":
         return _box_only(frames, fps, size, span, scan)
-    sized = frames.join(maybe_broadcast(video_size(frames, size)), "video_id")
+    sized = frames.join(video_size(frames, size), "video_id")
     rows = motion_rows(sized, F.lit(58 / 2048.0) * F.col("_w"))
     cam = F.col("cam") if mode == "ego" else F.lit(None).cast("array<double>")
     feed = rows.select("video_id", "frame_idx", cam.alias("cam"), "bx", "by", "br", "kx", "ky", "_w", "_h")
@@ -51,7 +51,6 @@ def _box_only(frames: DataFrame, fps, size, span, scan) -> DataFrame:
         F.greatest(F.lit(float(size[0])), F.max(F.greatest(reach("balls", "x2"), reach("clubs", "x2")))).alias("_w"),
         F.greatest(F.lit(float(size[1])), F.max(F.greatest(reach("balls", "y2"), reach("clubs", "y2")))).alias("_h"),
         F.max("frame_idx").alias("_last"))
-    bounds = maybe_broadcast(bounds)
     rows = motion_rows(frames.join(bounds, "video_id"), F.lit(58.0), rmin=0.0, dedup_d=0.0)
     feed = rows.select("video_id", "frame_idx", "bx", "by", "br", "kx", "ky", "_w", "_h", "_last")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from visorlake.functions.boxes import iou, of
 from visorlake.functions.vectors import cosine, l2_normalize
 from visorlake.scale import ordered_scan
+from visorlake.session import settle
 
 CONF_SLICES = 4096
 RECALL_STEPS = 100
@@ -45,33 +46,35 @@ def keypoint_metrics(df: DataFrame, pred="pred", truth="truth", radius: float =
 
 
 def match_detections(preds: DataFrame, truth: DataFrame, thresholds: list[float], image="sample_id") -> DataFrame:
-    """True or false for each prediction and IoU threshold.
+    """The predictions that count as true, per IoU threshold: `threshold`, `det_id`, `gt_id`, `cls`, `conf`.
 
     A prediction claims the truth it overlaps most; of the claims on one truth the most confident wins.
     Both steps are map-side combined maxima, so no image is gathered in one place. `preds` has `det_id`
-    and `conf`, `truth` has `gt_id`.
+    and `conf`, `truth` has `gt_id`. Only claims are repeated per threshold, and each only up to its IoU.
     """
     ts = truth.select(image, "cls", "gt_id", *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = (preds.join(ts, [image, "cls"]).withColumn("_iou", iou(of(), of("t_")))
-             .where(F.col("_iou") >= min(thresholds)))
-    claims = (pairs.groupBy("det_id").agg(F.max_by(F.struct("gt_id", "_iou", "conf"), F.struct("_iou", -F.col("gt_id"))).alias("c"))
-              .select("det_id", "c.gt_id", "c._iou", "c.conf")
-              .withColumn("threshold", F.explode(F.array(*[F.lit(float(v)) for v in thresholds])))
-              .where(F.col("_iou") >= F.col("threshold")))
-    winners = (claims.groupBy("threshold", "gt_id").agg(F.max_by("det_id", F.struct(F.col("conf"), -F.col("det_id"))).alias("det_id"))
-               .select("threshold", "det_id", F.lit(1).alias("tp")))
-    every = preds.select("det_id", "cls", "conf").withColumn("threshold", F.explode(F.array(*[F.lit(float(v)) for v in thresholds])))
-    return every.join(winners, ["threshold", "det_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-
-
-def precision_recall(matched: DataFrame, truth: DataFrame) -> DataFrame:
+    pairs = (preds.select(image, "cls", "det_id", "conf", "x1", "y1", "x2", "y2").join(ts, [image, "cls"])
+             .withColumn("_iou", iou(of(), of("t_"))).where(F.col("_iou") >= min(thresholds)))
+    levels = F.array(*[F.lit(float(v)) for v in thresholds])
+    claims = (pairs.groupBy("det_id").agg(F.max_by(F.struct("gt_id", "_iou", "conf", "cls"), F.struct("_iou", -F.col("gt_id"))).alias("c"))
+              .select("det_id", "c.*")
+              .withColumn("threshold", F.explode(F.filter(levels, lambda v: v <= F.col("_iou")))))
+    return (claims.groupBy("threshold", "gt_id").agg(F.max_by(F.struct("det_id", "cls", "conf"), F.struct(F.col("conf"), -F.col("det_id"))).alias("w"))
+            .select("threshold", "gt_id", "w.*"))
+
+
+def precision_recall(preds: DataFrame, truth: DataFrame, thresholds: list[float], image="sample_id") -> DataFrame:
     """Cumulative precision and recall at each confidence value of a class and threshold.
 
-    Detections of equal confidence form one step, so the counts combine before the shuffle. A class may
-    hold most detections: running counts are taken inside confidence slices and joined with slice totals.
+    Detections of equal confidence form one step, so the counts combine before the shuffle; the number of
+    detections per step is counted once for all thresholds. A class may hold most detections: running counts
+    are taken inside confidence slices and joined with slice totals.
     """
     ks, group = ["threshold", "cls", "_slice"], ["threshold", "cls"]
-    steps = (matched.groupBy(*group, "conf").agg(F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n"))
+    true = match_detections(preds, truth, thresholds, image).groupBy(*group, "conf").agg(F.count(F.lit(1)).alias("tp"))
+    seen = preds.groupBy("cls", "conf").agg(F.count(F.lit(1)).alias("n"))
+    steps = (seen.withColumn("threshold", F.explode(F.array(*[F.lit(float(v)) for v in thresholds])))
+             .join(true, [*group, "conf"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
              .withColumn("_slice", F.floor((1 - F.col("conf")) * CONF_SLICES)))
     inside = W.partitionBy(*ks).orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, 0)
     totals = steps.groupBy(*ks).agg(F.sum("tp").alias("_t"), F.sum("n").alias("_c"))
@@ -120,7 +123,7 @@ def detection_metrics(preds: DataFrame, truth: DataFrame, thresholds: list[float
     Classes without truth are absent from the result.
     """
     thresholds = thresholds or [round(0.5 + 0.05 * i, 2) for i in range(10)]
-    curve = precision_recall(match_detections(preds, truth, thresholds, image), truth)
+    curve = settle(precision_recall(preds, truth, thresholds, image))
     ap = average_precision(curve).groupBy("cls").agg(
         F.max(F.when(F.col("threshold") == thresholds[0], F.col("ap"))).alias("ap50"), (F.sum("ap") / len(thresholds)).alias("ap50_95"))
     f1 = 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-16))
@@ -156,7 +159,7 @@ def vector_parity(df: DataFrame, a="a", b="b") -> DataFrame:
                            "mad_normalized": mad(l2_normalize(a), l2_normalize(b))})
 
 
-def identity_templates(df: DataFrame, key="key", order="order", vec="embedding", eps: float = 1e-9, **scan) -> DataFrame:
+def identity_templates(df: DataFrame, key="key", order="order", vec="embedding", eps: float = 1e-9) -> DataFrame:
     """Running mean template per identity, brought back to unit length after each vector, and the count."""
     out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("template", T.ArrayType(T.DoubleType())),
                         T.StructField("count", T.LongType())])
@@ -171,5 +174,5 @@ def identity_templates(df: DataFrame, key="key", order="order", vec="embedding",
         state = [mean.tolist(), n] if mean is not None else None
         return pd.DataFrame({key: [k[0]], "template": [state[0]], "count": [n]}) if n else pd.DataFrame(columns=out.fieldNames()), state
 
-    steps = ordered_scan(df.select(key, F.col(order).alias("_at"), vec), [key], "_at", ["_at"], fold, out, **scan)
+    steps = ordered_scan(df.select(key, F.col(order).alias("_at"), vec), [key], "_at", ["_at"], fold, out, forgets=False)
     return steps.groupBy(key).agg(F.max_by("template", "count").alias("template"), F.max("count").alias("count"))

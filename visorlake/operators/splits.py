@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from visorlake.scale import ordered_scan, positions, seeded
 
@@ -57,5 +57,5 @@ def split_by_entity(people: DataFrame, val_frac: float = 0.15, test_frac: float
         return pd.DataFrame({entity: rows[entity].to_numpy(), "split": sides}), got
 
     walk = ranked.join(totals, stratum).select(entity, F.col(stratum).alias("_stratum"), weight, "_w", "_cap_val", "_cap_test", "_pos")
-    placed = ordered_scan(walk, ["_stratum"], "_pos", ["_pos"], fold, out)
+    placed = ordered_scan(walk, ["_stratum"], "_pos", ["_pos"], fold, out, forgets=False)
     return placed.unionByName(marked.where("_pin IS NOT NULL").select(entity, F.col("_pin").alias("split")))

@@ -22,6 +22,7 @@ from visorlake.session import settle
 BROADCAST_ROWS = 200_000
 GROUP_ROWS = 1_000_000
 FRAME_SPAN = 50_000
+MAX_ROUNDS = 6
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -129,7 +130,14 @@ def _in_order(df: DataFrame, keys: list[str], order: list[str], fold: Callable,
             if out:
                 yield pd.concat(out, ignore_index=True)[cols]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(python_tasks(df), *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def python_tasks(df: DataFrame) -> int:
+    """Partitions of a Python stage. A given number keeps adaptive execution from merging them by bytes,
+    which say little about the cost of Python rows; `spark.sql.shuffle.partitions` sets it."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def hot_groups(df: DataFrame, keys: list[str], rows: int = GROUP_ROWS) -> DataFrame:
@@ -139,16 +147,19 @@ def hot_groups(df: DataFrame, keys: list[str], rows: int = GROUP_ROWS) -> DataFr
 
 def ordered_scan(df: DataFrame, keys: list[str], at: str, order: list[str], fold: Callable,
                  schema: T.StructType, span: int = FRAME_SPAN, warmup: int = 0,
-                 group_rows: int = GROUP_ROWS) -> DataFrame:
+                 group_rows: int = GROUP_ROWS, forgets: bool = True) -> DataFrame:
     """Fold each group in order, where the result for a row depends on everything before it.
 
-    `fold(key, state, rows)` returns `(output rows, new state)`; `state` is a JSON-able value and
-    None at the start; a group may reach it in several pieces. Groups up to `group_rows` are folded as they
-    stream through a task. Larger ones are cut into spans of `at`: every span is first folded from a blank state over `warmup` rows of its
-    predecessor, and a span whose entry state differs from the state its predecessor really ended
-    with is folded again from that state, until no span differs. The result is the sequential one;
-    no task holds more than a span.
+    `fold(key, state, rows)` returns `(output rows, new state)`; `state` is a JSON-able value and None at the
+    start; a group may reach it in several pieces. Groups up to `group_rows` are folded as they stream
+    through a task. Larger ones are cut into spans of `at`: every span is first folded from a blank state over
+    the last `warmup` units of its predecessor, and a span whose entry state differs from the state its
+    predecessor really ended with is folded again from that state, until no span differs. The result is the
+    sequential one. Groups that still differ after a few rounds, and folds that never forget
+    (`forgets=False`), stream through one task per group with a batch and a state in memory.
     """
+    if not forgets:
+        return _in_order(df, keys, order, fold, schema)
     hot = hot_groups(df, keys, group_rows)
     if hot.isEmpty():
         return _in_order(df, keys, order, fold, schema)
@@ -202,7 +213,7 @@ def _scan_spans(df, keys, at, order, fold, schema, span, warmup):
                   .groupBy(*keys, "_span").applyInPandas(guess, wide))
     rows = df.withColumn("_span", span_of(at, span))
     named = {c: k for c, k in zip(kcols, keys)}
-    while True:
+    for _ in range(MAX_ROUNDS):
         states = done.where("_is_state").select(*kcols, "_span", "_in", "_out")
         before = F.lag("_out").over(W.partitionBy(*kcols).orderBy("_span"))
         stale = (states.withColumn("_entry", F.coalesce(before, F.lit("null")))
@@ -210,11 +221,15 @@ def _scan_spans(df, keys, at, order, fold, schema, span, warmup):
                  .select(*kcols, "_span", "_entry"))
         stale = settle(stale)
         if stale.isEmpty():
-            break
+            return done.where(~F.col("_is_state")).select(*cols)
         entry = stale.withColumnsRenamed(named)
         again = (rows.join(entry.drop("_entry"), [*keys, "_span"], "left_semi")
                  .groupBy(*keys, "_span").cogroup(entry.groupBy(*keys, "_span"))
                  .applyInPandas(redo, wide))
         done = settle(done.join(stale.drop("_entry"), [*kcols, "_span"], "left_anti")
                       .unionByName(again))
-    return done.where(~F.col("_is_state")).select(*cols)
+    # These groups carry their state too far for spans to help; walk them from the start instead.
+    stubborn = stale.select(*kcols).distinct()
+    slow = df.join(stubborn.withColumnsRenamed(named), keys, "left_semi").select(*df.columns)
+    settled = done.join(stubborn, kcols, "left_anti").where(~F.col("_is_state")).select(*cols)
+    return settled.unionByName(_in_order(slow, keys, order, fold, schema))
