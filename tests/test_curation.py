@@ -45,6 +45,15 @@ def test_band_join_equals_brute_force(spark, hashes, t, limit):
     assert got == {(a, b) for a in unique for b in unique if a < b and bits(a, b) <= t}
 
 
+def test_crowded_keys_are_split_again(spark):
+    """Hashes that share 40 of 64 bits crowd every key of the first levels."""
+    rng = random.Random(6)
+    unique = sorted({signed(0xABCDEF0123000000 | rng.getrandbits(12) << 6) for _ in range(300)})
+    df = spark.createDataFrame([(h,) for h in unique], "hash long")
+    got = {(r.ha, r.hb) for r in D.hash_pairs(df, None, 3, len(unique), bucket_limit=20).collect()}
+    assert got == {(a, b) for a in unique for b in unique if a < b and bits(a, b) <= 3}
+
+
 @pytest.mark.parametrize("n", [10**7, 10**9])
 def test_wider_keys_lose_no_pair(spark, hashes, n):
     unique = sorted({h for _, h in hashes})

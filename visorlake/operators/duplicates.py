@@ -1,6 +1,7 @@
 """Near-duplicate pairs by Hamming distance, their clusters, and leakage-free splits."""
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,6 +13,7 @@ from visorlake.session import settle
 BITS = 64
 # Below this many distinct hashes t + 1 bands are enough; beyond it wider keys pay for their copies.
 WIDE_KEYS_FROM = 2_000_000
+MAX_LEVELS = 3
 
 
 def band_plan(n: int, t: int) -> tuple[int, int]:
@@ -25,20 +27,31 @@ def band_plan(n: int, t: int) -> tuple[int, int]:
     return (t + 2, 2) if n < 50 * WIDE_KEYS_FROM else (t + 3, 3)
 
 
-def _cuts(bands: int) -> list[tuple[int, int]]:
-    edges = [round(i * BITS / bands) for i in range(bands + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
 
 
-def band_keys(h: Column, bands: int, per_key: int) -> Column:
-    """Every choice of `per_key` bands as a {choice number, masked hash} key."""
-    cuts = _cuts(bands)
-    keys = []
-    for no, pick in enumerate(combinations(range(bands), per_key)):
-        mask = sum(((1 << cuts[i][1]) - 1) << cuts[i][0] for i in pick)
-        signed = mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
-        keys.append(F.struct(F.lit(no).alias("no"), h.bitwiseAND(F.lit(signed).cast("long")).alias("bits")))
-    return F.array(*keys)
+def _groups(positions: list[int], n: int) -> list[int]:
+    """Masks that cut bit positions into `n` groups of nearly equal size."""
+    edges = [round(i * len(positions) / n) for i in range(n + 1)]
+    return [sum(1 << p for p in positions[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+
+
+def key_masks(bands: int, per_key: int) -> list[int]:
+    """The bits of every choice of `per_key` bands."""
+    return [sum(pick) for pick in combinations(_groups(list(range(BITS)), bands), per_key)]
+
+
+def finer_masks(masks: list[int], t: int) -> list[int]:
+    """Each mask joined with one of t + 1 groups of the bits outside it, in order."""
+    return [m | sub for m in masks for sub in _groups([p for p in range(BITS) if not m >> p & 1], t + 1)]
+
+
+def _keys(h: Column, masks: list[int], first: Column, n: int) -> Column:
+    """Keys {number, masked hash} number `first` to `first + n - 1` of a hash."""
+    table = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
+    return F.transform(F.sequence(first, first + n - 1), lambda no: F.struct(
+        no.alias("no"), h.bitwiseAND(F.get(table, no)).alias("bits")))
 
 
 def distinct_hashes(df: DataFrame, hash="hash", id="sample_id") -> DataFrame:
@@ -49,51 +62,36 @@ def distinct_hashes(df: DataFrame, hash="hash", id="sample_id") -> DataFrame:
 def hash_pairs(left: DataFrame, right: DataFrame | None, t: int, n: int, bucket_limit: int = 5_000) -> DataFrame:
     """Pairs (ha, hb, distance <= t) between two sets of distinct hashes, or within one when `right` is None.
 
-    A key shared by many hashes would compare them all. Such keys are split again on the bands outside the
-    key: two members within `t` bits also agree on one of t + 1 bands of the remaining bits, so only rows
-    that share this longer key meet.
+    A key shared by more than `bucket_limit` hashes would compare them all. Such keys are split again on the
+    bits outside them: two members within `t` bits also agree on one of t + 1 groups of those bits, so only
+    rows that share the longer key meet. This repeats while keys stay crowded and bits remain.
     """
     bands, per_key = band_plan(n, t)
+    masks = key_masks(bands, per_key)
+    ok = (F.col("ha") < F.col("hb")) if right is None else F.lit(True)
 
     def keyed(df, name):
-        return df.select(F.col("hash").alias(name), F.explode(band_keys(F.col("hash"), bands, per_key)).alias("key"))
+        return df.select(F.col("hash").alias(name), F.explode(_keys(F.col("hash"), masks, F.lit(0), len(masks))).alias("key"))
 
-    a, b = keyed(left, "ha"), keyed(left if right is None else right, "hb")
-    counts = b.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
-    full = counts.where(F.col("_n") > bucket_limit).select("key")
-    ok = (F.col("ha") < F.col("hb")) if right is None else F.lit(True)
+    def verified(x, y):
+        return x.join(y, "key").where(ok & (hamming("ha", "hb") <= t)).select("ha", "hb")
 
-    def verified(x, y, on):
-        return x.join(y, on).where(ok & (hamming("ha", "hb") <= t)).select("ha", "hb")
-
-    if full.isEmpty():
-        found = verified(a, b, ["key"])
-    else:
+    a, b, parts = keyed(left, "ha"), keyed(left if right is None else right, "hb"), []
+    for _ in range(MAX_LEVELS):
+        full = b.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_limit).select("key")
+        if full.isEmpty():
+            break
         full = settle(full)
-        found = verified(a.join(full, "key", "left_anti"), b.join(full, "key", "left_anti"), ["key"])
-        inner = t + 1
+        parts.append(verified(a.join(full, "key", "left_anti"), b.join(full, "key", "left_anti")))
+        masks = finer_masks(masks, t)
 
         def finer(df, name):
-            big = df.join(full, "key", "left_semi")
-            return big.withColumn("sub", F.explode(_rest_keys(F.col(name), F.col("key.no"), bands, per_key, inner)))
-
-        found = found.unionByName(verified(finer(a, "ha"), finer(b, "hb"), ["key", "sub"]))
-    return found.distinct().withColumn("distance", hamming("ha", "hb"))
-
-
-def _rest_keys(h: Column, no: Column, bands: int, per_key: int, inner: int) -> Column:
-    """Sub-keys of the bits outside key choice `no`, in `inner` groups."""
-    cuts, options = _cuts(bands), []
-    for pick in combinations(range(bands), per_key):
-        bits = [p for i, (lo, n) in enumerate(cuts) if i not in pick for p in range(lo, lo + n)]
-        edges = [round(i * len(bits) / inner) for i in range(inner + 1)]
-        subs = []
-        for g in range(inner):
-            mask = sum(1 << p for p in bits[edges[g]:edges[g + 1]])
-            signed = mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
-            subs.append(F.struct(F.lit(g).alias("g"), h.bitwiseAND(F.lit(signed).cast("long")).alias("bits")))
-        options.append(F.array(*subs))
-    return F.get(F.array(*options), no)
+            crowded = df.join(full, "key", "left_semi")
+            return settle(crowded.select(name, F.explode(_keys(F.col(name), masks, F.col("key.no") * (t + 1), t + 1)).alias("key")))
+
+        a, b = finer(a, "ha"), finer(b, "hb")
+    parts.append(verified(a, b))
+    return reduce(DataFrame.unionByName, parts).distinct().withColumn("distance", hamming("ha", "hb"))
 
 
 def near_duplicate_pairs(df: DataFrame, t: int = 5, hash="hash", id="sample_id") -> DataFrame:

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from visorlake.functions.boxes import keypoints_reshape, polygon_to_box
@@ -42,15 +44,34 @@ def parse_yolo_text(df: DataFrame, text="value", kpts: int = 0) -> DataFrame:
     return out.drop("_t")
 
 
-def _empty(spark: SparkSession, path, glob: str) -> DataFrame:
-    """Files of length zero, which the text reader leaves out; found from the listing alone."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-            .load(path).where(F.col("length") == 0).select("path", F.lit("").alias("value")))
+def _store(path: str):
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def _empty(spark: SparkSession, path, ext: str) -> DataFrame:
+    """Files of length zero, which Spark's readers leave out. Folders below the roots are listed by the tasks."""
+    folders = []
+    for root in [path] if isinstance(path, str) else path:
+        store, base = _store(root)
+        below = [i.base_name for i in store.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
+        folders += [(root.rstrip("/"), False)] + [(f"{root.rstrip('/')}/{name}", True) for name in below]
+
+    def scan(parts):
+        for pdf in parts:
+            for root, deep in zip(pdf["root"], pdf["deep"]):
+                store, base = _store(root)
+                found = store.get_file_info(fs.FileSelector(base, recursive=bool(deep)))
+                empty = [str(i.path) for i in found if i.type == fs.FileType.File and i.size == 0 and i.path.endswith(ext)]
+                if empty:
+                    yield pd.DataFrame({"path": np.array(empty, dtype=object)})
+
+    rows = spark.createDataFrame(folders, "root string, deep boolean")
+    return rows.repartition(min(len(folders), 1000)).mapInPandas(scan, "path string").withColumn("value", F.lit(""))
 
 
 def read_yolo_labels(spark: SparkSession, path, kpts: int = 0) -> DataFrame:
     """Label files under `path`; an empty file is a background sample."""
-    files = _whole(spark, path, "*.txt").unionByName(_empty(spark, path, "*.txt"))
+    files = _whole(spark, path, "*.txt").unionByName(_empty(spark, path, ".txt"))
     return parse_yolo_text(files.withColumn("sample_id", stem("path")), kpts=kpts)
 
 
