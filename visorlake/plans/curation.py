@@ -80,6 +80,17 @@ def _(fx):
     return S.dedup_consecutive(_hash_frames(fx), threshold=2, span=20, group_rows=50).select("sample_id")
 
 
+@query("w07_dedup_pixels", """
+    WITH RECURSIVE f AS MATERIALIZED (SELECT label AS video_id, vec_id AS frame_idx, list_transform(embedding, lambda v: CAST(trunc(CAST(v AS DOUBLE) * 100) AS INT)) AS px, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+    s(video_id, n, frame_idx, last, kept) AS (SELECT video_id, n, frame_idx, px, TRUE FROM f WHERE n = 1
+      UNION ALL SELECT video_id, n, frame_idx, CASE WHEN far THEN px ELSE last END, far FROM (SELECT f.*, s.last, list_sum(list_transform(range(1, 65), lambda i: abs(f.px[i] - s.last[i]))) / 64.0 >= 13.0 AS far FROM s JOIN f ON f.video_id = s.video_id AND f.n = s.n + 1))
+    SELECT frame_idx FROM s WHERE kept""")
+def _(fx):
+    px = F.transform("embedding", lambda v: (v.cast("double") * 100).cast("int"))
+    f = fx.table("embeddings").select(F.col("label").alias("video_id"), F.col("vec_id").alias("frame_idx"), px.alias("thumb"))
+    return S.dedup_consecutive_pixels(f, 13.0).select("frame_idx")
+
+
 @query("w08_thin_by_gap", """
     WITH RECURSIVE f AS MATERIALIZED (SELECT video_id, frame_idx FROM $frames q WHERE cls_name <> 'view'),
     s(video_id, frame_idx) AS (SELECT video_id, min(frame_idx) FROM f GROUP BY 1
@@ -292,7 +303,12 @@ def _(fx):
     return P.allocate_largest_remainder(g, 1003, "g", "size").select("g", "size", "share")
 
 
-@query("c05_select_for_review")
+@query("c05_select_for_review", """
+    WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id AS id, label AS video_id, CAST(embedding AS DOUBLE[]) AS v, (sc - min(sc) OVER ()) / (max(sc) OVER () - min(sc) OVER () + 1e-6) + 0.05 AS u FROM (SELECT *, (vec_id * 37 % 101) / CAST(10 AS DOUBLE) AS sc FROM embeddings)),
+    s(n, picked) AS (SELECT 0, CAST([] AS STRUCT(id BIGINT, video_id INT, v DOUBLE[], g DOUBLE)[])
+      UNION ALL SELECT s.n + 1, list_append(s.picked, (SELECT {'id': b.id, 'video_id': b.video_id, 'v': b.v, 'g': b.g} FROM (SELECT e.*, e.u * CASE WHEN s.n = 0 THEN 1.0 ELSE list_min(list_transform(s.picked, lambda p: list_distance(p.v, e.v))) END AS g FROM e
+        WHERE len(list_filter(s.picked, lambda p: p.id = e.id)) = 0 AND len(list_filter(s.picked, lambda p: p.video_id = e.video_id)) < 9) b ORDER BY b.g DESC, b.id LIMIT 1)) FROM s WHERE s.n < 60)
+    SELECT p.id AS id, p.video_id AS video_id, round(p.g, 6) AS gain, CAST(i - 1 AS INT) AS pick FROM (SELECT unnest(picked) AS p, unnest(range(1, 61)) AS i FROM s WHERE n = 60)""")
 def _(fx):
     e = fx.table("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("video_id"), ((F.col("vec_id") * 37 % 101) / 10.0).alias("score"), F.col("embedding").alias("descriptor"))
     return rounded(selection.select_for_review(e, 60, per_video_cap=9, pool=40), "gain")

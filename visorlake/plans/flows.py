@@ -28,7 +28,15 @@ def scratch(fx) -> str:
 # ---- tracks and events -------------------------------------------------------------------------
 
 
-@query("c08_build_tracks")
+@query("c08_build_tracks", """
+    WITH RECURSIVE d AS MATERIALIZED (SELECT video_id, cls, frame_idx, event_id, x, y, greatest(r, 4.0) AS r, row_number() OVER (PARTITION BY video_id, cls ORDER BY frame_idx) AS n FROM $frames q),
+    s(video_id, cls, n, frame_idx, event_id, track_id, live) AS (SELECT DISTINCT video_id, cls, CAST(0 AS BIGINT), CAST(0 AS INT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, k INT, x DOUBLE, y DOUBLE, r DOUBLE)[]) FROM d
+      UNION ALL SELECT video_id, cls, n, frame_idx, event_id, coalesce(own.id, CAST(frame_idx AS BIGINT) * 100000),
+        CASE WHEN own IS NULL THEN list_append(kept, {'id': CAST(frame_idx AS BIGINT) * 100000, 'k': frame_idx, 'x': x, 'y': y, 'r': r})
+          ELSE list_transform(kept, lambda t: CASE WHEN t.id = own.id THEN {'id': t.id, 'k': frame_idx, 'x': x, 'y': y, 'r': r} ELSE t END) END FROM (
+        SELECT *, list_filter(kept, lambda t: sqrt((t.x - x) * (t.x - x) + (t.y - y) * (t.y - y)) < 12.0 * t.r * (frame_idx - t.k))[1] AS own FROM (
+          SELECT d.video_id, d.cls, d.n, d.frame_idx, d.event_id, d.x, d.y, d.r, list_filter(s.live, lambda t: d.frame_idx - t.k <= 8) AS kept FROM s JOIN d ON d.video_id = s.video_id AND d.cls = s.cls AND d.n = s.n + 1)))
+    SELECT video_id, cls, frame_idx, event_id AS det_id, track_id FROM s WHERE n > 0""")
 def _(fx):
     return tracks.build_tracks(event_boxes(fx), gate=12.0).select("video_id", "cls", "frame_idx", "det_id", "track_id")
 
@@ -41,7 +49,18 @@ def _(fx):
     return mining.mined_manifest(mining.mine_hard_examples(d, second, sample_every=0.4, cap_per_video=30))
 
 
-@query("c11_iou_tracker")
+@query("c11_iou_tracker", """
+    WITH RECURSIVE f AS MATERIALIZED (SELECT video_id, frame_idx, event_id % 5 <> 0 AS c, x / 640 * 0.2 AS x, y / 480 * 0.2 AS y FROM $frames q),
+    s(video_id, frame_idx, c, own, live) AS (SELECT video_id, CAST(-1 AS INT), FALSE, {'id': CAST(0 AS BIGINT), 'x': CAST(0 AS DOUBLE), 'y': CAST(0 AS DOUBLE), 'miss': 0, 'seen': 0, 'emb': 0, 'due': FALSE},
+        CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, miss INT, seen INT, emb INT, due BOOLEAN)[]) FROM f GROUP BY 1
+      UNION ALL SELECT video_id, frame_idx, c, own, CASE WHEN c AND NOT matched THEN list_append(rest, own) WHEN c THEN list_transform(rest, lambda t: CASE WHEN t.id = own.id THEN own ELSE t END) ELSE rest END FROM (
+        SELECT video_id, frame_idx, c, best IS NOT NULL AS matched, CASE WHEN best IS NOT NULL THEN {'id': best.id, 'x': x, 'y': y, 'miss': 0, 'seen': best.seen + 1, 'emb': CASE WHEN frame_idx - best.emb >= 90 THEN frame_idx ELSE best.emb END, 'due': frame_idx - best.emb >= 90}
+            ELSE {'id': CAST(frame_idx AS BIGINT) * 100000, 'x': x, 'y': y, 'miss': 0, 'seen': 1, 'emb': frame_idx, 'due': TRUE} END AS own,
+          list_filter(list_transform(live, lambda t: CASE WHEN best IS NOT NULL AND t.id = best.id THEN t ELSE {'id': t.id, 'x': t.x, 'y': t.y, 'miss': t.miss + 1, 'seen': t.seen, 'emb': t.emb, 'due': t.due} END), lambda t: t.miss <= 8) AS rest FROM (
+          SELECT *, CASE WHEN c THEN list_filter(live, lambda t: greatest(0.3 - abs(t.x - x), 0) * greatest(0.3 - abs(t.y - y), 0) / (0.18 - greatest(0.3 - abs(t.x - x), 0) * greatest(0.3 - abs(t.y - y), 0)) > 0.3
+              AND greatest(0.3 - abs(t.x - x), 0) * greatest(0.3 - abs(t.y - y), 0) >= top - 1e-12)[1] END AS best FROM (
+            SELECT f.*, s.live, list_max(list_transform(s.live, lambda t: greatest(0.3 - abs(t.x - f.x), 0) * greatest(0.3 - abs(t.y - f.y), 0))) AS top FROM s JOIN f ON f.video_id = s.video_id AND f.frame_idx = s.frame_idx + 1))))
+    SELECT CAST(video_id AS VARCHAR) AS video_id, frame_idx, CAST(0 AS INT) AS det_no, own.id AS track_id, own.seen AS seen, own.due AS embed_due FROM s WHERE c""")
 def _(fx):
     x, y = F.col("x") / 640 * 0.2, F.col("y") / 480 * 0.2
     face = F.struct(x.alias("x1"), y.alias("y1"), (x + 0.3).alias("x2"), (y + 0.3).alias("y2"), F.col("conf"))
@@ -50,7 +69,15 @@ def _(fx):
     return tracks.iou_tracker(f)
 
 
-@query("c12_primary_track")
+@query("c12_primary_track", """
+    WITH RECURSIVE f AS MATERIALIZED (SELECT video_id, frame_idx, event_id % 7 <> 0 AS c, x, y, greatest(r, 6.0) AS r, CASE WHEN event_id % 13 <> 0 THEN event_id % 5 ELSE 0 END AS tx, CASE WHEN event_id % 13 <> 0 THEN event_id % 3 ELSE 0 END AS ty FROM $frames q),
+    s(video_id, frame_idx, has, bx, bv, br, px, py, lost) AS (SELECT video_id, CAST(-1 AS INT), FALSE, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), 0 FROM f GROUP BY 1
+      UNION ALL SELECT video_id, frame_idx, CASE WHEN NOT has THEN c ELSE hit OR lost + 1 <= 20 END, CASE WHEN hit OR NOT has THEN x ELSE bx END, CASE WHEN hit OR NOT has THEN y ELSE bv END, CASE WHEN hit OR NOT has THEN r ELSE br END,
+        hx, hy, CASE WHEN hit OR NOT has OR lost + 1 > 20 THEN 0 ELSE lost + 1 END FROM (
+        SELECT *, has AND c AND sqrt((x - hx) * (x - hx) + (y - hy) * (y - hy)) < (CASE WHEN lost = 0 THEN 5.0 ELSE 2.5 END) * 2 * br AS hit FROM (
+          SELECT f.video_id, f.frame_idx, f.c, f.x, f.y, f.r, s.has, s.bx, s.bv, s.br, s.lost, CASE WHEN s.lost = 0 THEN s.bx ELSE s.px END + f.tx AS hx, CASE WHEN s.lost = 0 THEN s.bv ELSE s.py END + f.ty AS hy
+          FROM s JOIN f ON f.video_id = s.video_id AND f.frame_idx = s.frame_idx + 1)))
+    SELECT CAST(video_id AS VARCHAR) AS video_id, frame_idx, CASE WHEN has AND lost = 0 THEN bx END AS x, CASE WHEN has AND lost = 0 THEN bv END AS y, CASE WHEN has AND lost = 0 THEN br END AS r FROM s WHERE frame_idx >= 0""")
 def _(fx):
     return rounded(tracks.primary_track(fx.live, fps=10.0), "x", "y", "r")
 
@@ -204,7 +231,10 @@ def _(fx):
     return drained(fx, L.emit_changes(_live_events(fx).drop("value").withColumnRenamed("event_type", "value")))
 
 
-@query("t06_throttle")
+@query("t06_throttle", f"""
+    WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS camera_id, ts, event_type AS value FROM events WHERE {PASSED}),
+    s(camera_id, ts) AS (SELECT camera_id, min(ts) FROM e GROUP BY 1 UNION ALL SELECT camera_id, nx FROM (SELECT s.camera_id, (SELECT min(e.ts) FROM e WHERE e.camera_id = s.camera_id AND e.ts >= s.ts + INTERVAL 1 DAY) AS nx FROM s) WHERE nx IS NOT NULL)
+    SELECT s.camera_id, s.ts, min(e.value) AS value FROM s JOIN e ON e.camera_id = s.camera_id AND e.ts = s.ts GROUP BY 1, 2""")
 def _(fx):
     return drained(fx, L.throttle(_live_events(fx).drop("value").withColumnRenamed("event_type", "value"), every_s=86_400.0))
 
@@ -403,3 +433,55 @@ def _(fx):
     K.write_image_lists(s, out, {0: "ball", 1: "club_head"})
     parts = [ST.read_frame_list(fx.spark, f"{out}/{n}.txt").agg(F.lit(n).alias("split"), F.count(F.lit(1)).alias("images")) for n in ("train", "val")]
     return parts[0].unionByName(parts[1])
+
+
+@query("s07_read_calibration", """
+    SELECT vec_id // 100 AS doc, CAST(vec_id % 100 AS INT) AS idx, CAST(500 + vec_id % 10 AS DOUBLE) AS fx, round(CAST(embedding[61] AS DOUBLE), 6) AS last_x FROM embeddings""")
+def _(fx):
+    e = fx.table("embeddings").withColumn("doc", F.floor(F.col("vec_id") / 100))
+    k = F.array(F.array((500 + F.col("vec_id") % 10).cast("double"), F.lit(0.0), F.lit(320.0)), F.array(*map(F.lit, (0.0, 480.0, 240.0))), F.array(*map(F.lit, (0.0, 0.0, 1.0))))
+    xyz = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.array(*[F.get("embedding", i * 3 + j).cast("double") for j in range(3)]))
+
+    def docs(col):
+        rows = F.array_sort(F.collect_list(F.struct("vec_id", col.alias("v"))))
+        return e.groupBy("doc").agg(F.to_json(F.transform(rows, lambda r: r["v"])).alias("value"))
+
+    c = SL.parse_calibration(docs(k), docs(xyz))
+    return rounded(c.select("doc", "idx", F.col("k")[0][0].alias("fx"), F.col("xyz")[20][0].alias("last_x")), "last_x")
+
+
+@query("s09_bind_annotation_tables", """
+    SELECT t.project_id, count(*) AS annotations, count(DISTINCT a.completed_by_id) AS users, max(a.updated_at) AS last_at FROM $annotations a JOIN $tasks t ON t.id = a.task_id GROUP BY 1""")
+def _(fx):
+    t = ST.bind_annotation_tables({"notes": fx.annotations, "people": fx.users, "jobs": fx.tasks, "groups": fx.projects})
+    return t.annotations.groupBy("project_id").agg(F.count(F.lit(1)).alias("annotations"), F.countDistinct("completed_by_id").alias("users"), F.max("_at").cast("timestamp_ntz").alias("last_at"))
+
+
+# A 54-byte header for 8 x 8 pixels of three bytes.
+BMP = "424DF60000000000000036000000280000000800000008000000010018000000000000000000130B0000130B00000000000000000000"
+
+
+@query("s10_read_images", """
+    SELECT concat('v', CAST(vec_id AS VARCHAR)) AS sample_id, CAST(8 AS INT) AS width, CAST(8 AS INT) AS height, CAST(list_sum(list_transform(embedding, lambda v: CAST(floor(greatest(least(128 + 100 * CAST(v AS DOUBLE), 255), 0)) AS INT))) AS BIGINT) AS blue FROM embeddings""")
+def _(fx):
+    level = F.transform("embedding", lambda v: F.floor(F.greatest(F.least(128 + 100 * v.cast("double"), F.lit(255)), F.lit(0))).cast("int"))
+    px = F.transform(level, lambda n: F.repeat(F.lpad(F.hex(n), 2, "0"), 3))
+    out = f"{scratch(fx)}/images"
+    K.write_each(fx.table("embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("sample_id"), F.unhex(F.concat(F.lit(BMP), F.array_join(px, ""))).alias("text")), out, ext=".bmp")
+    i = SF.read_images(fx.spark, out, "*.bmp")
+    blues = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda n: F.conv(F.substring(F.hex("image.data"), n * 6 + 1, F.lit(2)), 16, 10).cast("long"))
+    return i.select("sample_id", "width", "height", F.aggregate(blues, F.lit(0).cast("long"), lambda a, v: a + v).alias("blue"))
+
+
+@query("s13_dataset_config", "SELECT CASE WHEN vec_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, label AS cls, count(*) AS boxes FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY 1, 2 UNION ALL SELECT CASE WHEN vec_id % 4 = 0 THEN 'val' ELSE 'train' END, NULL, count(*) FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1")
+def _(fx):
+    out = scratch(fx)
+    v = fx.table("embeddings").select("vec_id", F.col("vec_id").cast("string").alias("sample_id"), F.lit(0).alias("box_no"), F.col("label").alias("cls"), *[F.lit(0.5).alias(c) for c in ("cx", "cy", "w", "h")])
+    for split, cond in (("train", F.col("vec_id") % 4 != 0), ("val", F.col("vec_id") % 4 == 0)):
+        part = v.where(cond)
+        K.write_yolo_labels(part.where("vec_id % 3 <> 0"), part.select("sample_id"), f"{out}/{split}/labels")
+    conf = K.fs.FileSystem.from_uri(out if "://" in out else f"file://{out}")
+    with conf[0].open_output_stream(f"{conf[1]}/data.yaml") as f:
+        f.write(f"path: {out}\ntrain: train/images\nval: val/images\nnames: [a, b]\n".encode())
+    rows = ST.read_dataset_config(fx.spark, f"{out}/data.yaml")[1]
+    return rows.groupBy("split", "cls").agg(F.count(F.lit(1)).alias("boxes"))

@@ -132,7 +132,16 @@ def _(fx):
     return J.latest_event_asof(fx.frames.select("video_id", "frame_idx"), hits_of(fx), 9, span=32)
 
 
-@query("j16_match_events")
+@query("j16_match_events", """
+    WITH RECURSIVE f AS MATERIALIZED (SELECT video_id, CAST(frame_idx AS DOUBLE) AS t, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS n FROM $frames q WHERE cls_name = 'purchase'),
+    r AS MATERIALIZED (SELECT video_id, list(CAST(frame_idx AS DOUBLE) ORDER BY frame_idx) AS xs FROM $frames q WHERE cls_name = 'signup' GROUP BY 1),
+    b AS MATERIALIZED (SELECT video_id, list(CAST(frame_idx AS DOUBLE)) AS xs FROM $frames q WHERE cls_name = 'error' GROUP BY 1),
+    s(video_id, n, t, truth, caught) AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST([] AS DOUBLE[]) FROM f
+      UNION ALL SELECT video_id, n, t, x, CASE WHEN x IS NULL THEN caught ELSE list_append(caught, x) END FROM (SELECT f.video_id, f.n, f.t, s.caught, list_filter(coalesce(r.xs, []), lambda x: abs(x - f.t) <= 1.0 AND NOT list_contains(s.caught, x))[1] AS x
+        FROM s JOIN f ON f.video_id = s.video_id AND f.n = s.n + 1 LEFT JOIN r ON r.video_id = f.video_id))
+    SELECT CAST(s.video_id AS VARCHAR) AS clip_id, t AS fire, truth, CASE WHEN truth IS NOT NULL THEN 'ok' WHEN len(list_filter(coalesce(b.xs, []), lambda x: abs(x - t) <= 1.0)) > 0 THEN 'FALSE' WHEN s.video_id % 2 = 0 AND (b.xs IS NOT NULL OR r.xs IS NOT NULL) THEN 'EXTRA' ELSE 'uncertain' END AS verdict
+    FROM s LEFT JOIN b ON b.video_id = s.video_id LEFT JOIN r ON r.video_id = s.video_id WHERE n > 0
+    UNION ALL SELECT CAST(video_id AS VARCHAR), NULL, x, 'missed' FROM (SELECT r.video_id, unnest(r.xs) AS x FROM r) m WHERE (video_id, x) NOT IN (SELECT video_id, truth FROM s WHERE truth IS NOT NULL)""")
 def _(fx):
     t = fx.frames.select(F.col("video_id").alias("clip_id"), F.col("frame_idx").cast("double").alias("t"), "cls_name")
     truth = t.where("cls_name IN ('signup', 'error')").select("clip_id", "t", (F.col("cls_name") == "signup").alias("real"), (F.col("clip_id") % 2 == 0).alias("closed"))

@@ -39,24 +39,24 @@ def polygon_lines(polys: DataFrame, key="sample_id", order="poly_no") -> DataFra
                                      F.lit("\n")).alias("text"))
 
 
-def write_text_files(df: DataFrame, root: str, name="sample_id", text="text", ext=".txt") -> None:
-    """One file per row, from the executors. A retried task rewrites the same files."""
+def write_each(df: DataFrame, root: str, name="sample_id", text="text", ext=".txt") -> None:
+    """One text or binary file per row, from the executors. A retried task rewrites the same files."""
     def put(rows: Iterator) -> None:
         store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
         store.create_dir(base, recursive=True)
         for row in rows:
             with store.open_output_stream(f"{base}/{row[name]}{ext}") as f:
-                f.write(row[text].encode())
+                f.write(row[text].encode() if isinstance(row[text], str) else bytes(row[text]))
 
     df.select(name, text).foreachPartition(put)
 
 
 def write_yolo_labels(boxes: DataFrame, samples: DataFrame, path: str) -> None:
-    write_text_files(yolo_lines(boxes, samples), path)
+    write_each(yolo_lines(boxes, samples), path)
 
 
 def write_polygons(polys: DataFrame, path: str) -> None:
-    write_text_files(polygon_lines(polys), path)
+    write_each(polygon_lines(polys), path)
 
 
 def annotation_tasks(boxes: DataFrame, samples: DataFrame, names: list[str], model_version: str,

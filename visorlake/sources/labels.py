@@ -198,14 +198,17 @@ def read_polygon_txt(spark: SparkSession, path) -> DataFrame:
     return parse_polygon_text(files.where(~F.lower(F.element_at(F.split("path", "/"), -1)).contains("note")))
 
 
-def read_calibration(spark: SparkSession, k_path: str, xyz_path: str) -> DataFrame:
-    """Camera matrices and joints from two JSON arrays, matched by position."""
-    def entries(path, kind, name):
-        doc = spark.read.text(path, wholetext=True)
-        return doc.select(F.posexplode(F.from_json("value", kind)).alias("idx", name))
+def parse_calibration(k_docs: DataFrame, xyz_docs: DataFrame, doc="doc") -> DataFrame:
+    """Camera matrices and joints of documents that each hold one JSON array, matched by position."""
+    def entries(docs, name):
+        return docs.select(doc, F.posexplode(F.from_json("value", "array<array<array<double>>>")).alias("idx", name))
+
+    return entries(k_docs, "k").join(entries(xyz_docs, "xyz"), [doc, "idx"])
 
-    return entries(k_path, "array<array<array<double>>>", "k").join(
-        entries(xyz_path, "array<array<array<double>>>", "xyz"), "idx")
+
+def read_calibration(spark: SparkSession, k_path: str, xyz_path: str) -> DataFrame:
+    k, xyz = (spark.read.text(p, wholetext=True).withColumn("doc", F.lit(0)) for p in (k_path, xyz_path))
+    return parse_calibration(k, xyz).drop("doc")
 
 
 EXPORT = ("id bigint, data struct<image: string>, annotations array<struct<was_cancelled: boolean, "
