@@ -1,6 +1,8 @@
 """Caps, seeded samples, strides and order-dependent thinning."""
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,24 +25,37 @@ def cap_per_group(df: DataFrame, keys: list[str], order: list[str | Column], n:
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     if slice_by is None or n <= LIMITED_TOP:
         return top_per_group(df, keys, order, n)
-    return positions(df, keys, order, slice_by, "_pos").where(F.col("_pos") <= n).drop("_pos")
+    return positions(df, keys, order, slice_by, "_pos", upto=n).drop("_pos")
+
+
+def _among_first(df: DataFrame, n: int, seed: int, id: str) -> Column:
+    """Condition for the `n` first rows in seeded order, from the hash and id of the n-th one.
+
+    Only the id column is read to find it, and only the slice that holds it is ranked to the end.
+    """
+    h = seeded(id, seed=seed)
+    ranked = positions(df.select(F.col(id), h.alias("_h")), [], [F.col("_h"), F.col(id)], hash_slice(F.col("_h")), "_pos", upto=n)
+    last = ranked.agg(F.max(F.struct("_pos", "_h", id)).alias("m")).first()["m"]
+    if last is None:
+        return F.lit(False)
+    return (h < last["_h"]) | ((h == last["_h"]) & (F.col(id) <= F.lit(last[id])))
 
 
 def sample_seeded(df: DataFrame, n: int, seed: int = 0, id="sample_id", keys: list[str] | None = None) -> DataFrame:
-    """Deterministic sample of `n` rows, overall or per group; 0 keeps all."""
+    """Deterministic sample of `n` rows, overall or per group; 0 keeps all. `id` names each row."""
     if n == 0:
         return df
+    if not keys:
+        return df.where(_among_first(df, n, seed, id))
     h = df.withColumn("_h", seeded(id, seed=seed))
-    out = cap_per_group(h, keys or [], ["_h", id], n, hash_slice(F.col("_h")))
-    return out.drop("_h")
+    return cap_per_group(h, keys, ["_h", id], n, hash_slice(F.col("_h"))).drop("_h")
 
 
 def split_seeded(df: DataFrame, frac: float, seed: int = 0, id="sample_id") -> DataFrame:
     """Exactly int(frac * rows) rows to `val`, the rest to `train`."""
     n_val = int(df.count() * frac)
-    h = df.withColumn("_h", seeded(id, seed=seed))
-    ranked = positions(h, [], [F.col("_h"), F.col(id)], hash_slice(F.col("_h")), "_pos")
-    return ranked.withColumn("split", F.when(F.col("_pos") <= n_val, "val").otherwise("train")).drop("_h", "_pos")
+    first = _among_first(df, n_val, seed, id) if n_val else F.lit(False)
+    return df.withColumn("split", F.when(first, "val").otherwise("train"))
 
 
 def stride_sample(df: DataFrame, stride: int, phases: list[int], splits: tuple[str, ...] = ("val", "test"),
@@ -154,7 +169,7 @@ def cumulative_split(df: DataFrame, frac: float, group="video_id", seed: int = 0
     walked = running_sum(sizes.withColumn("_h", h), [], [F.col("_h"), F.col(group)],
                          hash_slice(F.col("_h")) if slice_by is None else slice_by, F.col("_n"), "_before", before=True)
     side = walked.select(group, F.when(F.col("_before") < frac * total, "val").otherwise("train").alias("split"))
-    return df.join(side, group)
+    return df.drop("split").join(side, group)
 
 
 def chunk_clips(df: DataFrame, secs: float, fps: float, span: int = FRAME_SPAN) -> DataFrame:
@@ -170,7 +185,7 @@ def oversample(samples: DataFrame, prefixes: list[str], k: int, labelled="labell
     Names that already carry the tag are neither copied again nor produced twice.
     """
     chosen = (F.col(labelled) & (F.col(split) == "train") & ~F.col("sample_id").contains("_ov")
-              & F.col("sample_id").rlike("^(" + "|".join(prefixes) + ")"))
+              & F.col("sample_id").rlike("^(" + "|".join(map(re.escape, prefixes)) + ")"))
     copies = (samples.where(chosen).withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(k - 1))))
               .withColumn("sample_id", F.concat("sample_id", F.lit("_ov"), F.col("_c").cast("string"))).drop("_c")
               ) if k > 1 else samples.limit(0)

@@ -10,6 +10,7 @@ from visorlake.functions.register import register_functions
 from visorlake.operators import gallery, gestures, hits, joins, mining, predict as U, signals, tracks
 from visorlake.plans.registry import query, rounded
 from visorlake.plans.relations import event_boxes
+from visorlake.session import settle
 from visorlake.sinks import files as K
 from visorlake.sources import frames as SF, labels as SL, tables as ST
 from visorlake.streaming import live as L
@@ -118,9 +119,9 @@ def _(fx):
 def _(fx):
     """Hits, tracks, speeds and the status per frame of every clip, end to end."""
     c = clips(fx)
-    events = hits.hit_events(c, 16.0)
+    events = settle(hits.hit_events(c, 16.0))
     armed = hits.armed_frames(events).withColumn("armed", F.lit(True))
-    track = tracks.primary_track(c, 16.0)
+    track = settle(tracks.primary_track(c, 16.0))
     found = events.where("kind = 'hit'").select("video_id", F.col("frame_idx").alias("hit"))
     base = c.select(F.col("video_id").cast("string").alias("video_id"), "frame_idx", "cam")
     speed = signals.ego_speed(track.join(base, ["video_id", "frame_idx"]).withColumn("diameter", 2 * F.col("r")), 16.0)

@@ -36,8 +36,8 @@ def seeded(*cols: Column | str, seed: int = 0) -> Column:
 
 
 def hash_slice(h: Column) -> Column:
-    """4,096 ordered slices of a 64-bit hash."""
-    return F.shiftright(h, 52)
+    """65,536 ordered slices of a 64-bit hash."""
+    return F.shiftright(h, 48)
 
 
 def span_of(at: Column | str, span: int = FRAME_SPAN) -> Column:
@@ -68,17 +68,20 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], slice_by: C
 
 
 def positions(df: DataFrame, keys: list[str], order: list[Column], slice_by: Column,
-              name: str = "pos") -> DataFrame:
-    """1-based position of each row in its group, in `order`, at any group size."""
+              name: str = "pos", upto: int | None = None) -> DataFrame:
+    """1-based position of each row in its group, in `order`, at any group size.
+
+    With `upto`, slices that start beyond that position are dropped before any row is ranked.
+    """
     ks = [*keys, "_slice"]
     cut = df.withColumn("_slice", slice_by)
     totals = cut.groupBy(*ks).agg(F.count(F.lit(1)).alias("_tot"))
     head = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(*ks, F.coalesce(F.sum("_tot").over(head), F.lit(0)).alias("_start"))
-    local = cut.withColumn("_rn", F.row_number().over(W.partitionBy(*ks).orderBy(*order)))
-    return (_same(local, starts, ks)
-            .withColumn(name, (F.col("_rn") + F.col("_start")).cast("long"))
-            .drop("_slice", "_rn", "_start"))
+    rows = _same(cut, starts if upto is None else starts.where(F.col("_start") < upto), ks)
+    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*ks).orderBy(*order)))
+    out = ranked.withColumn(name, (F.col("_rn") + F.col("_start")).cast("long")).drop("_slice", "_rn", "_start")
+    return out if upto is None else out.where(F.col(name) <= upto)
 
 
 def with_halo(df: DataFrame, at: str, back: float = 0, ahead: float = 0,

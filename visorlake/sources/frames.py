@@ -1,6 +1,8 @@
 """Per-frame detection caches, camera motion, image and media listings."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visorlake.functions.names import safe_id, stem
@@ -56,7 +58,7 @@ def read_media_catalog(spark: SparkSession, root: str, min_bytes: int = 1_000_00
     """Video files under `root/<domain>/<person>/...`; file contents are never read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .load(root).select("path", "length"))
-    rel = F.regexp_extract("path", r"(?:^|/)" + root.strip("/").split("/")[-1] + r"/(.*)$", 1)
+    rel = F.regexp_extract("path", re.escape(root.rstrip("/")) + r"/+(.*)$", 1)
     parts = F.split("rel", "/")
     named = (files.where(F.lower("path").rlike(r"\.(" + "|".join(exts) + r")$") & (F.col("length") >= min_bytes))
              .withColumn("rel", rel))
