@@ -2,18 +2,26 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from visorlake.functions.boxes import values_of
+from visorlake.operators import motion, tracks
 from visorlake.operators.tracks import FaceTracks
 from visorlake.scale import ordered_scan
+from visorlake.streaming import rules
 from visorlake.streaming.rules import AddressWatch, Gallery, OnlineHits
 
+# The process in which a stream sets up its state sees no files added to the session, so the state classes travel by value.
+for _module in (sys.modules[__name__], rules, motion, tracks):
+    cloudpickle.register_pickle_by_value(_module)
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 XY = ("x1", "y1", "x2", "y2")
 
