@@ -28,7 +28,7 @@ def frequent_digests(digests: DataFrame) -> DataFrame:
     """
     salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
     parts = digests.groupBy(salt.alias("_salt")).agg(F.expr(f"approx_top_k_accumulate(text_sha256, {COUNTERS})").alias("_s"))
-    top = parts.agg(F.expr(f"approx_top_k_combine(_s, {COUNTERS})").alias("_s"))
+    top = parts.groupBy(F.lit(0).alias("_one")).agg(F.expr(f"approx_top_k_combine(_s, {COUNTERS})").alias("_s"))   # no sketch of no rows
     return (top.select(F.explode(F.expr(f"approx_top_k_estimate(_s, {HEAVY})")).alias("_e"))
             .select(F.col("_e.item").alias("text_sha256")).where(F.col("_e.count") > 1))
 

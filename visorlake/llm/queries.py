@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visorlake.llm import exact_dedup, packing, simhash
+from visorlake.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from visorlake.llm.common import table
 from visorlake.session import ship
 
@@ -16,10 +16,19 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("copy_key")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary())
 
@@ -36,7 +45,7 @@ def _shipped(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op6_exact_dedup, op9_packing, op10_simhash)}
+    return {f.__name__: _shipped(f) for f in (op5_toxicity, op6_exact_dedup, op8_decontaminate, op9_packing, op10_simhash)}
 
 
 def checks() -> dict[str, str]:
