@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from visorlake.llm.common import whole
-from visorlake.llm.tokens import WordTokenizer
+from visorlake.llm.tokens import FastTokenizer
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 #: Windows a task keeps open. Beyond that their pieces are cut to fill windows, as at the end of a task.
@@ -85,7 +85,7 @@ def _power(n: int) -> int:
     return 1 << (n.bit_length() - 1) if n else 0
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str, size: int = 2048, end: int = 1, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of documents and their places in sequences of at most `size` ids.
 
     A document is its ids followed by `end`. Whole windows are cut off the front of long documents, the rest is placed
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1, id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, tail = WordTokenizer(tokenizer), np.array([end], "<u4").tobytes()
+        encoder, tail = FastTokenizer(tokenizer, ranks), np.array([end], "<u4").tobytes()
         base, rows, serial = TaskContext.get().partitionId() << 40, [], 0
 
         def close(window) -> None:

@@ -30,7 +30,7 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), vocabulary())
+    return packing.pack(table(spark, folder, "documents"), vocabulary(), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
