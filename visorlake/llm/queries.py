@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visorlake.llm import decontaminate, exact_dedup, packing, simhash, substring, toxicity
+from visorlake.llm import decontaminate, exact_dedup, packing, simhash, substring, suffix, toxicity
 from visorlake.llm.common import table
 from visorlake.session import ship
 
@@ -20,6 +20,10 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeated_windows(table(spark, folder, "documents")).drop("kept")
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeated_bytes(table(spark, folder, "documents")).drop("spans", "kept")
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -49,7 +53,7 @@ def _shipped(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op2_substring_dedup, op5_toxicity, op6_exact_dedup, op8_decontaminate, op9_packing, op10_simhash)}
+    return {f.__name__: _shipped(f) for f in (op2_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_exact_dedup, op8_decontaminate, op9_packing, op10_simhash)}
 
 
 def checks() -> dict[str, str]:

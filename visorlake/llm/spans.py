@@ -21,7 +21,7 @@ CHUNK_BYTES = 2_000_000
 #: Buckets of packed entries: at least LEAST_BUCKETS, and one for each BUCKET_BYTES of text.
 LEAST_BUCKETS, BUCKET_BYTES = 1_024, 64_000_000
 #: A mark: which of the documents that share the id (in the order of their keys), where in it, and what is known.
-MARK = np.dtype([("part", "<u4"), ("at", "<u4"), ("code", "u1")])
+MARK = np.dtype([("part", "<u4"), ("at", "<u4"), ("code", "<u2")])
 NULL_ID = -(1 << 63)
 ENTRIES = "bucket int, key binary, more binary, doc binary, part binary, at binary, code binary"
 MARKS = "k long, marks binary"
@@ -97,7 +97,7 @@ def _numbers(planes: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-KINDS = {"key": "<u8", "more": "<u8", "doc": "<i8", "part": "<u4", "at": "<u4", "code": "u1"}
+KINDS = {"key": "<u8", "more": "<u8", "doc": "<i8", "part": "<u4", "at": "<u4", "code": "<u2"}
 
 
 @dataclass
@@ -172,7 +172,7 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- which pieces occur more than once
-REPEATED = np.uint8(1)
+REPEATED = np.uint16(1)
 
 
 def ask_repeated(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def ask_repeated(e: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(np.diff(run, prepend=-1))
     many = count[run] > 1
     sent = e.take(first)
-    sent.code = np.where(count > 1, REPEATED, 0).astype(np.uint8)
+    sent.code = np.where(count > 1, REPEATED, 0).astype(np.uint16)
     known = e.take(many)
     known.code = np.full(len(known.key), REPEATED)
     return packed(sent, known, buckets)

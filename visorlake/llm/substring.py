@@ -80,7 +80,7 @@ def _chunk_words(chunk: spans.Chunk):
 
 def _entries(chunk: spans.Chunk, key, more, doc, at) -> Entries:
     k, part = np.array(chunk.k, np.int64), np.array(chunk.part, np.uint32)
-    return Entries(key, more, k[doc], part[doc], at.astype(np.uint32), np.zeros(len(key), np.uint8))
+    return Entries(key, more, k[doc], part[doc], at.astype(np.uint32), np.zeros(len(key), np.uint16))
 
 
 def ask_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
