@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visorlake.llm import decontaminate, exact_dedup, packing, simhash, substring, suffix, toxicity
+from visorlake.llm import decontaminate, exact_dedup, html, packing, simhash, substring, suffix, toxicity
 from visorlake.llm.common import table
 from visorlake.session import ship
 
@@ -16,6 +16,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeated_windows(table(spark, folder, "documents")).drop("kept")
 
@@ -53,7 +57,7 @@ def _shipped(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op2_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_exact_dedup, op8_decontaminate, op9_packing, op10_simhash)}
+    return {f.__name__: _shipped(f) for f in (op1_html_extraction, op2_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_exact_dedup, op8_decontaminate, op9_packing, op10_simhash)}
 
 
 def checks() -> dict[str, str]:
