@@ -92,9 +92,15 @@ def _planes(x: np.ndarray, kind: str) -> bytes:
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _numbers(planes: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _steps(name: str, x: np.ndarray) -> np.ndarray:
+    """Ids as differences, small ones where entries come in the order of their documents; differences wrap around."""
+    return np.diff(x.view(np.uint64), prepend=np.uint64(0)) if name == "doc" else x
+
+
+def _numbers(name: str, planes: bytes) -> np.ndarray:
+    kind = KINDS[name]
+    x = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x.view(np.uint64), dtype=np.uint64).view(np.int64) if name == "doc" else x
 
 
 KINDS = {"key": "<u8", "more": "<u8", "doc": "<i8", "part": "<u4", "at": "<u4", "code": "<u2"}
@@ -119,14 +125,14 @@ def packed(sent: Entries, known: Entries, buckets: int) -> Iterator[pa.RecordBat
     rows = []
     if len(sent.key):
         bucket = (mix(sent.key) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((sent.at, sent.part, sent.doc, bucket))
         sent, bucket = sent.take(order), bucket[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            rows.append((int(bucket[a]), *(_planes(getattr(sent, f)[a:z], kind) for f, kind in KINDS.items())))
+            rows.append((int(bucket[a]), *(_planes(_steps(f, getattr(sent, f)[a:z]), kind) for f, kind in KINDS.items())))
     if len(known.key):
         rows.append((int(mix(np.array([int(known.doc[0]) & (2 ** 64 - 1)], np.uint64))[0] % np.uint64(buckets)), b"", b"",
-                     *(_planes(getattr(known, f), kind) for f, kind in list(KINDS.items())[2:])))
+                     *(_planes(_steps(f, getattr(known, f)), kind) for f, kind in list(KINDS.items())[2:])))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))],
                                          [c.split()[0] for c in ENTRIES.split(", ")])
@@ -139,12 +145,12 @@ def answered(entries: DataFrame, settle_bucket: Callable[[Entries], tuple[np.nda
         asked = [i for i, key in enumerate(columns["key"]) if key]
         out = []
         if asked:
-            e = Entries(*(np.concatenate([_numbers(columns[f][i], kind) for i in asked]) for f, kind in KINDS.items()))
+            e = Entries(*(np.concatenate([_numbers(f, columns[f][i]) for i in asked]) for f in KINDS))
             rows, code = settle_bucket(e)
             out.append((e.doc[rows], e.part[rows], e.at[rows], code))
         for i, key in enumerate(columns["key"]):
             if not key:
-                out.append(tuple(_numbers(columns[f][i], KINDS[f]) for f in ("doc", "part", "at", "code")))
+                out.append(tuple(_numbers(f, columns[f][i]) for f in ("doc", "part", "at", "code")))
         doc, part, at, code = (np.concatenate([o[j] for o in out]) for j in range(4))
         order = np.argsort(doc, kind="stable")
         marks = np.empty(len(doc), MARK)
