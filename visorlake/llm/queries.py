@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visorlake.llm import decontaminate, exact_dedup, html, packing, simhash, substring, suffix, toxicity
+from visorlake.llm import decontaminate, exact_dedup, html, packing, simhash, substring, suffix, token_counts, toxicity, warc
 from visorlake.llm.common import table
 from visorlake.session import ship
 
@@ -24,6 +24,12 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeated_windows(table(spark, folder, "documents")).drop("kept")
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs, files = table(spark, folder, "documents"), (vocabulary(), vocabulary("byte_bpe_50k.tiktoken"))
+    edited = token_counts.apply_edits(token_counts.count_tokens(docs, *files), token_counts.sample_edits(docs), *files)
+    return edited.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "chars_encoded", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.remove_repeated_bytes(table(spark, folder, "documents")).drop("spans", "kept")
 
@@ -37,6 +43,10 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op7_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.revisit_table(table(spark, folder, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("copy_key")
 
@@ -56,9 +66,13 @@ def _shipped(fn):
     return run
 
 
+OPERATORS = (op1_html_extraction, op2_substring_dedup, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_exact_dedup, op7_warc_revisits,
+             op8_decontaminate, op9_packing, op10_simhash)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_html_extraction, op2_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_exact_dedup, op8_decontaminate, op9_packing, op10_simhash)}
+    return {f.__name__: _shipped(f) for f in OPERATORS}
 
 
 def checks() -> dict[str, str]:
-    return {"op2_substring_dedup": substring.WINDOW_SQL, "op6_exact_dedup": exact_dedup.EXACT_SQL}
+    return {"op2_substring_dedup": substring.WINDOW_SQL, "op6_exact_dedup": exact_dedup.EXACT_SQL, "op7_warc_revisits": warc.REVISIT_SQL}
