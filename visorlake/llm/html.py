@@ -23,6 +23,8 @@ OUTSIDE = frozenset("nav navbar navigation menu submenu sidebar aside footer mas
                     "sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification disclaimer popup modal overlay "
                     "newsletter subscribe subscription signup login search share sharing social related recommended recommendations breadcrumb "
                     "breadcrumbs pagination pager comment comments disqus reply replies respond toolbar widget skip".split())
+#: Words of what readers add, which may hold elements like the article's own.
+READERS = frozenset("comment comments disqus reply replies respond".split())
 #: Elements and words that mark the article itself, in order of trust.
 LANDMARKS = (frozenset({"article"}), frozenset({"main"}))
 CONTENT = frozenset("article articlebody content post entry story main".split())
@@ -51,13 +53,13 @@ SALTS = 16
 # ---------------------------------------------------------------- pages as trees
 class Node:
     """A block element; siblings with equal labels are one node. `pages` are up to LEAST_PAGES page hashes that have the node, `n` counts
-    pages, `common` the texts that stand here in all of them."""
-    __slots__ = ("label", "tag", "words", "kids", "n", "pages", "common")
+    pages, `common` the texts that stand here in all of them, `told` whether any page has text here."""
+    __slots__ = ("label", "tag", "words", "kids", "n", "pages", "common", "told")
 
     def __init__(self, label: str, tag: str, words: frozenset):
         self.label, self.tag, self.words = label, tag, words
         self.kids: list[Node] = []
-        self.n, self.pages, self.common = 1, frozenset(), set()
+        self.n, self.pages, self.common, self.told = 1, frozenset(), set(), False
 
     def kid(self, label: str, tag: str, words: frozenset) -> Node:
         for k in self.kids:
@@ -81,7 +83,8 @@ def _marks(tag: str, attributes: str) -> tuple[str, frozenset]:
         words.add("\0outside")
     if role in ("main", "article") or "articlebody" in found.get("itemprop", "").lower():
         words.add("main")
-    return f"{tag} {' '.join(sorted(set(re.sub(r'[0-9]+', '', names).lower().split())))}", frozenset(words)
+    special = "!" * ("\0outside" in words) + "*" * ("main" in words)
+    return f"{tag}{special} {' '.join(sorted(set(re.sub(r'[0-9]+', '', names).lower().split())))}", frozenset(words)
 
 
 class Page:
@@ -191,6 +194,7 @@ class Page:
         page = frozenset({crc32("\n".join(t for _, t, _ in self.blocks).encode())})
         for nodes, text, _ in self.blocks:
             nodes[-1].common.add(text_hash(text))
+            nodes[-1].told = True
         todo = [self.root]
         while todo:
             node = todo.pop()
@@ -207,20 +211,18 @@ def text_hash(text: str) -> int:
 # ---------------------------------------------------------------- simple tree matching
 def match_size(a: Node, b: Node) -> int:
     """Nodes in the largest order-preserving match of two trees with equal roots."""
-    return 1 + sum(w for _, _, w in align(a.kids, b.kids))
+    return 1 + sum(match_size(a.kids[i], b.kids[j]) for i, j in align(a.kids, b.kids))
 
 
-def align(left: list[Node], right: list[Node]) -> list[tuple[int, int, int]]:
-    """Simple tree matching of two lists of siblings: pairs (i, j, matched nodes) in order, of the largest total."""
+def align(left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
+    """Simple tree matching of two lists of siblings: pairs (i, j) in order that match the most nodes."""
     if [k.label for k in left] == [k.label for k in right]:
-        return [(i, i, 1) for i in range(len(left))]
+        return [(i, i) for i in range(len(left))]
     table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    own = {}
     for i, a in enumerate(left):
         for j, b in enumerate(right):
-            if a.label == b.label:
-                own[i, j] = match_size(a, b)
-            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + own.get((i, j), 0))
+            own = match_size(a, b) if a.label == b.label else 0
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + own)
     i, j, out = len(left), len(right), []
     while i and j:
         if table[i][j] == table[i - 1][j]:
@@ -229,7 +231,7 @@ def align(left: list[Node], right: list[Node]) -> list[tuple[int, int, int]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out.append((i, j, own[i, j]))
+            out.append((i, j))
     return out[::-1]
 
 
@@ -238,12 +240,13 @@ def merge(into: Node, other: Node) -> None:
     into.n += other.n
     into.pages = frozenset(sorted(into.pages | other.pages)[:LEAST_PAGES])
     into.common &= other.common
+    into.told |= other.told
     pairs = align(into.kids, other.kids)
-    for i, j, _ in pairs:
+    for i, j in pairs:
         merge(into.kids[i], other.kids[j])
     if len(pairs) == len(other.kids):
         return
-    place, kids, done = {j: i for i, j, _ in pairs}, [], 0
+    place, kids, done = {j: i for i, j in pairs}, [], 0
     for j, k in enumerate(other.kids):
         if j in place:
             kids += into.kids[done:place[j] + 1]
@@ -258,7 +261,7 @@ def _size(node: Node) -> int:
 
 
 def _varies(node: Node) -> bool:
-    return (not node.common and len(node.pages) >= LEAST_PAGES) or any(map(_varies, node.kids))
+    return (node.told and not node.common and len(node.pages) >= LEAST_PAGES) or any(map(_varies, node.kids))
 
 
 # ---------------------------------------------------------------- what is content
@@ -276,14 +279,18 @@ def main_text(html: str, template: Node | None = None) -> str:
     """The article of a page. `template`, if given, is what the page's host has in common."""
     page = Page(html)
     wrap = _constants(page.root, template) if template is not None else {}
+    marks = LANDMARKS[0] | LANDMARKS[1]
     dropped: dict[int, bool] = {}
 
-    def gone(node: Node) -> bool:
-        if id(node) not in dropped:
-            dropped[id(node)] = _outside(node) and (node.tag in NEVER or not _holds(node, LANDMARKS[0] | LANDMARKS[1]))
-        return dropped[id(node)]
+    def gone(nodes: tuple[Node, ...]) -> bool:
+        """Whether a node above the block is outside. One around the article as a whole is not."""
+        if id(nodes[-1]) not in dropped:
+            within = any(n.tag in marks for n in nodes[:-1])
+            around = nodes[-1].tag not in NEVER and not nodes[-1].words & READERS and not within and _holds(nodes[-1], marks)
+            dropped[id(nodes[-1])] = (len(nodes) > 1 and gone(nodes[:-1])) or (_outside(nodes[-1]) and not around)
+        return dropped[id(nodes[-1])]
 
-    live = [b for b in page.blocks if not any(map(gone, b[0]))]
+    live = [b for b in page.blocks if not gone(b[0])]
     region = []
     for tags in LANDMARKS:
         region = [b for b in live if any(n.tag in tags or (tags is LANDMARKS[1] and "main" in n.words) for n in b[0])]
@@ -319,7 +326,7 @@ def _constants(root: Node, template: Node) -> dict[int, set[int]]:
             free = _varies(known)
         if free and known.common and len(known.pages) >= LEAST_PAGES and known.n >= least:
             out[id(node)] = known.common
-        todo += [(node.kids[i], known.kids[j], free) for i, j, _ in align(node.kids, known.kids)]
+        todo += [(node.kids[i], known.kids[j], free) for i, j in align(node.kids, known.kids)]
     return out
 
 
