@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from visorlake.llm.common import WHITE, whole
+from visorlake.llm.common import WHITE, beside, whole
 from visorlake.session import settle
 
 #: Digests that may be broadcast, and counters of the Misra-Gries sketch. Both bound what a task or the driver
@@ -63,14 +63,14 @@ def exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 def without_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that `exact_duplicates` keeps, with their columns."""
     found = settle(exact_duplicates(docs, id, text))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_n"))
-    stays = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_n"))
-    t = whole(text)
-    marked = docs.withColumns({"_sha_of": F.sha2(F.regexp_replace(t, WHITE, ""), 256), "_n_of": F.char_length(t).cast("long")})
-    out = marked.join(stays, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_sha_of") == F.col("_sha")) & (F.col("_n_of") == F.col("_n")), "left_semi")
-    if not gone.join(stays, gone["_id"].eqNullSafe(stays["_id"]) & (gone["_sha"] == stays["_sha"]) & (gone["_n"] == stays["_n"]), "left_semi").isEmpty():
-        out = out.dropDuplicates([id, "_sha_of", "_n_of"])                     # rows that repeat an id and a text
-    return out.select(*docs.columns)
+    name = lambda kept: found.where(F.col("kept") == kept).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"),
+                                                                   F.col("n_points").alias("_n")).distinct()
+    stays, t = name(True), whole(text)
+    rows = beside(docs, id_=F.col(id), sha_=F.sha2(F.regexp_replace(t, WHITE, ""), 256), n_=F.char_length(t).cast("long"))
+    out = rows.join(stays, F.col("id_").eqNullSafe(F.col("_id")) & (F.col("sha_") == F.col("_sha")) & (F.col("n_") == F.col("_n")), "left_semi")
+    if not name(False).intersect(stays).isEmpty():                             # rows that repeat an id and a text
+        out = out.groupBy("id_", "sha_", "n_").agg(F.first("row").alias("row"))
+    return out.select("row.*")
 
 
 EXACT_SQL = """

@@ -60,15 +60,16 @@ class LevelPacker:
         self.windows.setdefault(h + n, []).append(window)
         self.count[h + n] += 1
         if self.n_open >= OPEN_WINDOWS:
-            self.settle()
+            self.settle(last=False)
 
-    def settle(self) -> None:
-        """Cut the pieces of all open windows into full ones; the rest goes into lengths that need no padding."""
+    def settle(self, last: bool = True) -> None:
+        """Cut the pieces of all open windows into full ones. The rest goes on in one window or, at the last, into lengths that need no padding."""
         pieces = [p for h in sorted(self.windows, reverse=True) for w in self.windows[h] for p in w]
         self.windows, self.n_open = {}, 0
         self.count[:] = 0
         left = sum(len(ids) // 4 for _, _, ids in pieces)
-        target, have, window = min(self.size, _power(left)), 0, []
+        aim = lambda: self.size if left >= self.size or not last else _power(left)
+        target, have, window = aim(), 0, []
         for doc, start, ids in pieces:
             while ids:
                 take = min(target - have, len(ids) // 4)
@@ -77,7 +78,10 @@ class LevelPacker:
                 if have == target:
                     self.close(window)
                     have, window = 0, []
-                    target = self.size if left >= self.size else _power(left)
+                    target = aim()
+        if window:
+            self.windows[have], self.n_open = [window], 1
+            self.count[have] = 1
 
 
 def _power(n: int) -> int:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from visorlake.llm.common import keyed, whole
+from visorlake.llm.common import keyed, without
 from visorlake.operators.duplicates import connected_components
 from visorlake.session import settle
 
@@ -183,7 +183,4 @@ def simhash_groups(docs: DataFrame, most: int = MOST_BITS, n: int = 4, id: str =
 
 def without_near_copies(docs: DataFrame, most: int = MOST_BITS, n: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` whose document stays: one of each group. Rows that repeat an id and a text stay or go together."""
-    gone = (settle(simhash_groups(docs, most, n, id, text)).where("NOT first")
-            .select(F.col("doc_id").alias("_gone_id"), F.col("copy_key").alias("_gone_key")).distinct())
-    same = F.col(id).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(whole(text)) == F.col("_gone_key"))
-    return docs.join(gone, same, "left_anti")
+    return without(docs, settle(simhash_groups(docs, most, n, id, text)).where("NOT first"), id, text)

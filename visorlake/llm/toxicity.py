@@ -189,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     known = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
              .groupBy(F.col("doc_id").alias("_fit_id")).agg(F.max(F.col(label).cast("int")).alias("_toxic")))
     chosen = settle(known.orderBy(F.xxhash64("_fit_id"), "_fit_id").limit(rows))
-    used = settle(docs.join(F.broadcast(chosen), F.col(id) == F.col("_fit_id"))
-                  .select("_fit_id", "_toxic", F.pmod(F.xxhash64("_fit_id", F.lit(7)), F.lit(2)).cast("int").alias("_half"), whole(text).alias("text")))
+    used = settle(docs.select(F.col(id).alias("_id"), whole(text).alias("text")).join(F.broadcast(chosen), F.col("_id") == F.col("_fit_id"))
+                  .select("_toxic", F.pmod(F.xxhash64("_fit_id", F.lit(7)), F.lit(2)).cast("int").alias("_half"), "text"))
 
     def spell(batches):
         table = lm.tolist()
