@@ -190,3 +190,8 @@ def test_media_catalog(spark, tmp_path):
         f.write_bytes(b"x" * n)
     got = [(r.person, r.domain, r.video_id, r.length) for r in SF.read_media_catalog(spark, str(tmp_path / "root"), min_bytes=10).collect()]
     assert got == [("Joy", "Indoor", "Indoor_Joy_a_b", 30)]
+
+
+def test_class_ids_of_any_length(spark):
+    df = spark.createDataFrame([("a", "12345 0.1 0.2 0.3 0.4\n1e1 0 0 1 1\n2.0 0 0 1 1\nx 0 0 1 1")], "sample_id string, value string")
+    assert [r.cls for r in SL.parse_yolo_text(df).orderBy("box_no").collect()] == [12345, 10, 2, None]

@@ -166,8 +166,11 @@ def cluster_duplicates(df: DataFrame, t: int = 5, hash="hash", id="sample_id") -
 
 
 def split_by_cluster(clustered: DataFrame, hash="hash", id="sample_id", train: int = 85, valid: int = 10,
-                     cap_train: int = 6, cap_eval: int = 1) -> DataFrame:
-    """Whole clusters to train, valid or test by the bytes of the cluster representative's hash, with caps."""
+                     cap_train: int = 0, cap_eval: int = 0) -> DataFrame:
+    """Whole clusters to train, valid or test by the bytes of the cluster representative's hash.
+
+    `cap_train` and `cap_eval` keep so many rows per cluster; 0, the default, keeps all.
+    """
     bucket = byte_sum(F.min_by(hash, id)) % 100
     side = (clustered.groupBy("cluster").agg(bucket.alias("_b"))
             .select("cluster", F.when(F.col("_b") < train, "train").when(F.col("_b") < train + valid, "valid")

@@ -5,7 +5,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-SMALL_GALLERY = 20_000
+#: Rows of a gallery block at most, and its bytes at most.
+SMALL_GALLERY, BLOCK_BYTES = 20_000, 64_000_000
 
 
 def _unit(x: np.ndarray, eps: float = 1e-12) -> np.ndarray:
@@ -20,7 +21,7 @@ def best_match(queries: DataFrame, gallery: DataFrame, id="id", vec="embedding",
                block: int = SMALL_GALLERY) -> DataFrame:
     """Most similar template of each query by cosine (`match_id`, `similarity`); the smaller id wins ties.
 
-    A gallery of up to `block` rows is sent to the executors once and scored by matrix product per Arrow
+    A gallery of up to `block` rows and BLOCK_BYTES is sent to the executors once and scored by matrix product per Arrow
     batch. A larger one is cut into blocks; each query slice meets each block in its own task, and the
     best per query is a map-side combined maximum. Rows of query x template never exist.
     """
@@ -35,6 +36,8 @@ def best_match(queries: DataFrame, gallery: DataFrame, id="id", vec="embedding",
         return pd.DataFrame({id: q[id].to_numpy(), "match_id": names[at], "similarity": sims[np.arange(len(q)), at]})
 
     g = gallery.select(F.col(gallery_id).alias("_gid"), F.col(template).alias("_t"))
+    width = g.agg(F.max(F.size("_t"))).first()[0] or 1
+    block = max(1, min(block, BLOCK_BYTES // (8 * max(width, 1))))
     head = g.limit(block + 1).toPandas()
     q = queries.select(id, vec)
     if len(head) <= block:
@@ -54,8 +57,8 @@ def best_match(queries: DataFrame, gallery: DataFrame, id="id", vec="embedding",
         return score(qs, gs["_gid"].to_numpy(), _unit(_stack(gs["_t"])) if len(gs) else np.zeros((0, 1)))
 
     found = qb.groupBy("_b", "_s").cogroup(gb.groupBy("_b", "_s")).applyInPandas(meet, shape)
-    key = F.struct(F.col("similarity"), -F.col("match_id"))
-    return found.groupBy(id).agg(F.max_by("match_id", key).alias("match_id"), F.max("similarity").alias("similarity"))
+    best = F.min(F.struct((-F.col("similarity")).alias("d"), "match_id")).alias("_b")       # the smaller id of equal ones, whatever its type
+    return found.groupBy(id).agg(best).select(id, F.col("_b.match_id").alias("match_id"), (-F.col("_b.d")).alias("similarity"))
 
 
 def identify_faces(queries: DataFrame, gallery: DataFrame, recognise: float = 0.30, enrol: float = 0.25, id="id",

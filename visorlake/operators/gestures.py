@@ -17,9 +17,9 @@ from visorlake.scale import hash_slice
 POSITIVE = ("thumb_index", "thumb_index2")
 
 
-def gesture_rows(df: DataFrame, pos_cap: int = 8000, neg_per_gesture: int = 500, gesture="gesture", id="sample_id",
+def gesture_rows(df: DataFrame, pos_cap: int = 0, neg_per_gesture: int = 0, gesture="gesture", id="sample_id",
                  points="points", positive: tuple[str, ...] = POSITIVE) -> DataFrame:
-    """Features and labels: positives up to `pos_cap` per gesture, the others up to `neg_per_gesture`."""
+    """Features and labels. `pos_cap` and `neg_per_gesture` bound the rows per gesture that fit a classifier; 0 keeps all."""
     is_pos = F.col(gesture).isin(*positive)
     ranked = df.withColumn("_h", F.xxhash64(id))
     parts = [cap_per_group(ranked.where(c), [gesture], ["_h", id], n, hash_slice(F.col("_h")))

@@ -52,8 +52,8 @@ def keep_known(df: DataFrame, keys: DataFrame, key="sample_id") -> DataFrame:
     return df.join(keys.select(key), key, "left_semi")
 
 
-def pair_similarity(embeddings: DataFrame, key="key", id="id", vec="embedding", per_key: int = 2,
-                    n_keys: int = 8) -> DataFrame:
+def pair_similarity(embeddings: DataFrame, key="key", id="id", vec="embedding", *, per_key: int,
+                    n_keys: int) -> DataFrame:
     """Cosine of sampled same-key and different-key pairs.
 
     Keys with the most rows come first; `per_key` rows of each give the same-key pairs and the first row
@@ -240,4 +240,4 @@ def assign_detection_to_track(dets: DataFrame, tracks: DataFrame, min_iou: float
     ts = tracks.select(*keys, "track_id", *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
     scored = dets.join(ts, list(keys)).withColumn("iou", iou(of(), of("t_"))).where(F.col("iou") > min_iou)
     return scored.groupBy(*keys, det_id).agg(
-        F.max_by("track_id", F.struct(F.col("iou"), -F.col("track_id"))).alias("track_id"), F.max("iou").alias("iou"))
+        F.min_by("track_id", F.struct(-F.col("iou"), "track_id")).alias("track_id"), F.max("iou").alias("iou"))

@@ -56,10 +56,10 @@ def match_detections(preds: DataFrame, truth: DataFrame, thresholds: list[float]
     pairs = (preds.select(image, "cls", "det_id", "conf", "x1", "y1", "x2", "y2").join(ts, [image, "cls"])
              .withColumn("_iou", iou(of(), of("t_"))).where(F.col("_iou") >= min(thresholds)))
     levels = F.array(*[F.lit(float(v)) for v in thresholds])
-    claims = (pairs.groupBy("det_id").agg(F.max_by(F.struct("gt_id", "_iou", "conf", "cls"), F.struct("_iou", -F.col("gt_id"))).alias("c"))
+    claims = (pairs.groupBy("det_id").agg(F.min_by(F.struct("gt_id", "_iou", "conf", "cls"), F.struct(-F.col("_iou"), "gt_id")).alias("c"))
               .select("det_id", "c.*")
               .withColumn("threshold", F.explode(F.filter(levels, lambda v: v <= F.col("_iou")))))
-    return (claims.groupBy("threshold", "gt_id").agg(F.max_by(F.struct("det_id", "cls", "conf"), F.struct(F.col("conf"), -F.col("det_id"))).alias("w"))
+    return (claims.groupBy("threshold", "gt_id").agg(F.min_by(F.struct("det_id", "cls", "conf"), F.struct(-F.col("conf"), "det_id")).alias("w"))
             .select("threshold", "gt_id", "w.*"))
 
 

@@ -31,13 +31,13 @@ def verify(expected: DataFrame, second: DataFrame, min_conf: float = 0.30, reach
 
 def mine_hard_examples(dets: DataFrame, second: DataFrame, fps: float = 30.0, stride: int = 2, conf_keep: float = 0.40,
                        verify_conf: float = 0.30, max_gap: int = 6, min_support: int = 1, support_win: int = 2,
-                       sample_every: float = 1.5, cap_per_video: int = 80) -> DataFrame:
+                       sample_every: float = 1.5, cap_per_video: int = 0) -> DataFrame:
     """Labels worth reviewing, one row per box with its tier.
 
     `dets` and `second` (the verifying detections) hold video_id, frame_idx (processed frame number), cls,
     corners and conf; `dets` also det_no (within the frame) and a unique det_id. Steps: gaps in slow tracks
     filled where the second look agrees; low-confidence track boxes promoted where it agrees; confident
-    supported frames sampled in time; at most `cap_per_video` earliest frames; on those, every confident
+    supported frames sampled in time; with `cap_per_video`, so many earliest frames of a video; on those, every confident
     supported box as well.
     """
     frame = ["video_id", "frame_idx"]

@@ -156,7 +156,7 @@ def largest_per_image(boxes: DataFrame, key="sample_id", w="w", h="h", tie="box_
     return top_per_group(boxes, [key], [F.desc(F.col(w) * F.col(h)), F.col(tie)], 1)
 
 
-def topk_per_image(boxes: DataFrame, k: int = 4, key="sample_id", score="conf", tie="box_no") -> DataFrame:
+def topk_per_image(boxes: DataFrame, k: int, key="sample_id", score="conf", tie="box_no") -> DataFrame:
     return top_per_group(boxes, [key], [F.desc(score), F.col(tie)], k)
 
 
@@ -174,7 +174,9 @@ def cumulative_split(df: DataFrame, frac: float, group="video_id", seed: int = 0
 
 def chunk_clips(df: DataFrame, secs: float, fps: float, span: int = FRAME_SPAN) -> DataFrame:
     """Number the fixed-length chunks of each video's sampled frames."""
-    n = int(secs * fps) if secs > 0 else 10**9
+    if secs <= 0:                                                              # no limit: one chunk
+        return df.withColumn("chunk", F.lit(0).cast("long"))
+    n = int(secs * fps)
     ranked = positions(df, ["video_id"], [F.col("frame_idx")], span_of("frame_idx", span), "_pos")
     return ranked.withColumn("chunk", F.floor((F.col("_pos") - 1) / n)).drop("_pos")
 

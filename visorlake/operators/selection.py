@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 FLOOR = 0.05
 
 
-def select_for_review(frames: DataFrame, total: int, per_video_cap: int = 40, novelty: float = 1.0, id="id",
+def select_for_review(frames: DataFrame, total: int, per_video_cap: int | None = None, novelty: float = 1.0, id="id",
                       video="video_id", score="score", vec="descriptor", pool: int = 2_000) -> DataFrame:
     """The `total` frames a one-by-one greedy choice would take, with their `pick` number.
 
@@ -42,7 +42,7 @@ def select_for_review(frames: DataFrame, total: int, per_video_cap: int = 40, no
 
     while len(picks) < total:
         known = np.array([p[3] for p in picks], dtype=float)
-        full = {v for v, n in per_video.items() if n >= per_video_cap}
+        full = {v for v, n in per_video.items() if per_video_cap is not None and n >= per_video_cap}
         scored = base.mapInPandas(gains(known, {p[0] for p in picks}, full), shape)
         top = scored.orderBy(F.desc("_g"), id).limit(pool + 1).collect()
         if not top:
@@ -73,7 +73,7 @@ def _greedy(top, beyond, want, per_video, cap, novelty, id, video, started):
         out.append((ids[best], vids[best], float(gain[best]), x[best].tolist()))
         free[best] = False
         per_video[vids[best]] = per_video.get(vids[best], 0) + 1
-        if per_video[vids[best]] >= cap:
+        if cap is not None and per_video[vids[best]] >= cap:
             free &= np.array([v != vids[best] for v in vids])
         d = np.minimum(d, np.sqrt(((x - x[best]) ** 2).sum(axis=1)))
         if not started and len(out) == 1:

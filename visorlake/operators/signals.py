@@ -57,6 +57,8 @@ def ema(df: DataFrame, keys: list[str], order: str, value: str, alpha: float, sl
     run whose weights still fit a double; by then the value two runs back has faded below its precision, so
     the end of the run before is all that is carried in.
     """
+    if alpha >= 1.0:                                                           # nothing of the past is kept
+        return df.withColumn(name, F.col(value).cast("double"))
     keep = 1.0 - alpha
     n = max(1, int(250 / -math.log10(keep)))
     cut = (positions(df, keys, [F.col(order)], slice_by, "_pos")

@@ -15,10 +15,14 @@ FEW_BOXES = 128
 IMAGE_BOXES = 20_000
 
 
+def _area(xy: np.ndarray) -> np.ndarray:
+    return np.clip(xy[:, 2] - xy[:, 0], 0, None) * np.clip(xy[:, 3] - xy[:, 1], 0, None)
+
+
 def _overlaps(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     low, high = np.maximum(one[:2], many[:, :2]), np.minimum(one[2:], many[:, 2:])
     inter = np.prod(np.clip(high - low, 0, None), axis=1)
-    union = np.prod(one[2:] - one[:2]) + np.prod(many[:, 2:] - many[:, :2], axis=1) - inter
+    union = _area(one[None])[0] + _area(many) - inter
     return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
 
 
@@ -26,6 +30,9 @@ def nms(boxes: DataFrame, iou_thr: float = 0.6, image: tuple[str, ...] = ("sampl
         max_group: int = IMAGE_BOXES, cell: float | None = None) -> DataFrame:
     """Class-wise suppression: the highest score first, overlaps above `iou_thr` with a kept box removed.
 
+    Equal scores go by `tie`, then by the corners; the order is the same in all three ways, and boxes that agree in all of
+    these are the same box to it.
+
     Images of ordinary size are folded as one sorted array per (image, class), inside the JVM. Crowded ones
     use numpy per group, and a class of an image with more than `max_group` boxes goes through
     `nms_rounds`, which never gathers it. Group sizes are counted before any group is built.
@@ -47,7 +54,7 @@ def nms(boxes: DataFrame, iou_thr: float = 0.6, image: tuple[str, ...] = ("sampl
 def _nms_fold(boxes: DataFrame, iou_thr: float, keys: list[str], score: str, tie: str) -> DataFrame:
     """Walk the score-ordered boxes of a group, keeping those that overlap no kept one."""
     rest = [c for c in boxes.columns if c not in keys]
-    row = F.struct((-F.col(score)).alias("_s"), F.col(tie).alias("_t"), F.struct(*rest).alias("b"))
+    row = F.struct((-F.col(score)).alias("_s"), F.col(tie).alias("_t"), *XY, F.struct(*rest).alias("b"))
     groups = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     kind = groups.schema["_rows"].dataType.elementType["b"].dataType
 
@@ -61,7 +68,7 @@ def _nms_fold(boxes: DataFrame, iou_thr: float, keys: list[str], score: str, tie
 
 def _nms_numpy(boxes: DataFrame, iou_thr: float, keys: list[str], score: str, tie: str) -> DataFrame:
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, tie], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values([score, tie, *XY], ascending=[False, True, True, True, True, True], kind="stable")
         xy, alive, kept = pdf[XY].to_numpy(float), np.ones(len(pdf), bool), []
         for i in range(len(pdf)):
             if alive[i]:
@@ -79,8 +86,8 @@ def nms_rounds(boxes: DataFrame, iou_thr: float, image: tuple[str, ...] = ("samp
     Overlapping boxes share a grid cell, so pairs come from an equi-join on (image, class, cell). In each
     round a box with no undecided stronger overlap is kept and the boxes it overlaps are removed.
     """
-    keys, ident = [*image, "cls"], [*image, "cls", tie]
-    boxes = settle(boxes)
+    keys, own, ident, columns = [*image, "cls"], "_row", [*image, "cls", "_row"], boxes.columns
+    boxes = settle(boxes.withColumn(own, F.monotonically_increasing_id()))     # two boxes may share `tie`
     size = cell or (boxes.agg(F.percentile_approx(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.lit(0.9)))
                     .first()[0] or 1.0)
 
@@ -90,23 +97,26 @@ def nms_rounds(boxes: DataFrame, iou_thr: float, image: tuple[str, ...] = ("samp
         return df.withColumn("_gx", F.explode(axis("x1", "x2"))).withColumn("_gy", F.explode(axis("y1", "y2")))
 
     def side(p):
-        return boxes.select(*keys, F.col(tie).alias(p + "id"), F.col(score).alias(p + "s"), *[F.col(c).alias(p + c) for c in XY])
+        return boxes.select(*keys, F.col(own).alias(p + "id"), F.col(tie).alias(p + "t"), F.col(score).alias(p + "s"), *[F.col(c).alias(p + c) for c in XY])
+
+    def rank(p):
+        return F.struct((-F.col(p + "s")).alias("s"), F.col(p + "t").alias("t"), *[F.col(p + c).alias(c) for c in XY], F.col(p + "id").alias("i"))
 
-    stronger = (F.col("a_s") > F.col("b_s")) | ((F.col("a_s") == F.col("b_s")) & (F.col("a_id") < F.col("b_id")))
+    stronger = rank("a_") < rank("b_")
     edges = settle(cells(side("a_"), "a_").join(cells(side("b_"), "b_"), [*keys, "_gx", "_gy"]).where(stronger)
                    .where(iou(of("a_"), of("b_")) > iou_thr).select(*keys, "a_id", "b_id").distinct())
     open_ = settle(boxes.select(*ident))
     kept = open_.limit(0)
     while not open_.isEmpty():
-        blocked = edges.select(*keys, F.col("b_id").alias(tie)).distinct()
+        blocked = edges.select(*keys, F.col("b_id").alias(own)).distinct()
         winners = settle(open_.join(blocked, ident, "left_anti"))
         kept = settle(kept.unionByName(winners))
-        losers = settle(edges.join(winners.withColumnRenamed(tie, "a_id"), [*keys, "a_id"], "left_semi")
-                        .select(*keys, F.col("b_id").alias(tie)).distinct())
+        losers = settle(edges.join(winners.withColumnRenamed(own, "a_id"), [*keys, "a_id"], "left_semi")
+                        .select(*keys, F.col("b_id").alias(own)).distinct())
         open_ = settle(open_.join(winners, ident, "left_anti").join(losers, ident, "left_anti"))
-        edges = settle(edges.join(open_.withColumnRenamed(tie, "a_id"), [*keys, "a_id"], "left_semi")
-                       .join(open_.withColumnRenamed(tie, "b_id"), [*keys, "b_id"], "left_semi").select(*keys, "a_id", "b_id"))
-    return boxes.join(kept, ident, "left_semi").select(*boxes.columns)
+        edges = settle(edges.join(open_.withColumnRenamed(own, "a_id"), [*keys, "a_id"], "left_semi")
+                       .join(open_.withColumnRenamed(own, "b_id"), [*keys, "b_id"], "left_semi").select(*keys, "a_id", "b_id"))
+    return boxes.join(kept, ident, "left_semi").select(*columns)
 
 
 def ensemble_labels(a: DataFrame, b: DataFrame, iou_thr: float = 0.6, image: tuple[str, ...] = ("sample_id",),

@@ -130,15 +130,13 @@ def iou_tracker(frames: DataFrame, faces="faces", span: int = FRAME_SPAN, **scan
                         warmup=300, **scan)
 
 
-def video_size(frames: DataFrame, size: tuple[int, int], first: int | None = 400) -> DataFrame:
-    """Frame size per video, turned when the boxes of the first frames do not fit: `_w`, `_h`."""
-    early = frames.where(F.col("frame_idx") < first) if first else frames
-
+def video_size(frames: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """Frame size per video, turned when any box of the video does not fit: `_w`, `_h`."""
     def reach(col, f):
         return F.coalesce(F.array_max(F.transform(col, lambda b: b[f])), F.lit(0.0))
 
     mx, my = (F.max(F.greatest(reach("balls", f), reach("clubs", f))) for f in ("x2", "y2"))
-    box = frames.select("video_id").distinct().join(early.groupBy("video_id").agg(mx.alias("_mx"), my.alias("_my")), "video_id", "left")
+    box = frames.groupBy("video_id").agg(mx.alias("_mx"), my.alias("_my"))
     W, H = map(float, size)
     turned = (F.col("_mx") > W) | (F.col("_my") > H)
     wide = F.col("_mx") >= F.col("_my")

@@ -271,14 +271,14 @@ PLACED = CLUSTERS + """,
 
 @query("c02_split_by_cluster", PLACED + " SELECT sample_id, cluster, split FROM k")
 def _(fx):
-    return D.split_by_cluster(D.cluster_duplicates(fx.hashes, 5), cap_train=3).select("sample_id", "cluster", "split")
+    return D.split_by_cluster(D.cluster_duplicates(fx.hashes, 5), cap_train=3, cap_eval=1).select("sample_id", "cluster", "split")
 
 
 @query("e1_leakage_free_dataset", PLACED + """
     SELECT split, count(*) AS images, count(DISTINCT cluster) AS scenes, CAST(0 AS BIGINT) AS leaked FROM k GROUP BY 1""")
 def e1(fx):
     """Hash, cluster, split and audit: images and scenes per split, and evaluation rows with a near training row."""
-    kept = D.split_by_cluster(D.cluster_duplicates(fx.hashes, 5), cap_train=3)
+    kept = D.split_by_cluster(D.cluster_duplicates(fx.hashes, 5), cap_train=3, cap_eval=1)
     kept = D.settle(kept)
     leaks = D.leakage_audit(kept, 5).select("split", "leaked")
     per = kept.groupBy("split").agg(F.count(F.lit(1)).alias("images"), F.countDistinct("cluster").alias("scenes"))
@@ -337,6 +337,14 @@ def _(fx):
     return suppress.nms(both, 0.45).select("det_id")
 
 
+@query("c06_nms_crowded", NMS.format(src=TWICE, thr="0.45"))
+def _(fx):
+    """The same suppression with every image taken for a crowded one."""
+    a, b = _twice(fx)
+    both = a.withColumn("box_no", F.col("box_no") * 2).unionByName(b.withColumn("box_no", F.col("box_no") * 2 + 1))
+    return suppress.nms_rounds(both, 0.45).select("det_id")
+
+
 @query("c07_ensemble_labels", "SELECT det_id, CASE WHEN det_id % 2 = 0 THEN 'D' ELSE 'Y' END AS origin FROM (" + NMS.format(src=TWICE, thr="0.6") + ")")
 def _(fx):
     return suppress.ensemble_labels(*_twice(fx), 0.6).select("det_id", "origin")

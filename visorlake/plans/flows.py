@@ -145,9 +145,10 @@ def _(fx):
 @query("c16_gesture_classifier")
 def _(fx):
     p = fx.points.select("vec_id", F.concat(F.lit("g"), F.col("label").cast("string")).alias("gesture"), "points")
-    rows = gestures.gesture_rows(p, 400, 60, id="vec_id", positive=("g0", "g1"))
-    model = gestures.train_gesture_classifier(rows.where("vec_id % 5 <> 0"), max_iter=20)
-    return rounded(gestures.evaluate_gestures(model, rows.where("vec_id % 5 = 0")), "accuracy", "precision", "recall", "f1", digits=3)
+    sides = [p.where("vec_id % 5 <> 0"), p.where("vec_id % 5 = 0")]
+    rows, held = (gestures.gesture_rows(s, *caps, id="vec_id", positive=("g0", "g1")) for s, caps in zip(sides, ((400, 60), (0, 0)), strict=True))
+    model = gestures.train_gesture_classifier(rows, max_iter=20)
+    return rounded(gestures.evaluate_gestures(model, held), "accuracy", "precision", "recall", "f1", digits=3)
 
 
 # ---- streams -----------------------------------------------------------------------------------

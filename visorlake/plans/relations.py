@@ -71,13 +71,24 @@ def _(fx):
     return rounded(gallery.best_match(e.where("id % 10 <> 0"), e.where("id % 10 = 0"), template="embedding"), "similarity", digits=5)
 
 
+@query("j09_best_match_blocks", """
+    SELECT id, match_id, round(similarity, 5) AS similarity FROM (SELECT a.vec_id AS id, concat('t', CAST(b.vec_id AS VARCHAR)) AS match_id, list_cosine_similarity(a.e, b.e) AS similarity,
+      row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, concat('t', CAST(b.vec_id AS VARCHAR))) AS rn
+      FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 <> 0) a, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 0) b) WHERE rn = 1""")
+def _(fx):
+    """The same search with text names and a gallery of several blocks."""
+    e = fx.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    names = e.where("id % 10 = 0").withColumn("id", F.concat(F.lit("t"), F.col("id").cast("string")))
+    return rounded(gallery.best_match(e.where("id % 10 <> 0"), names, template="embedding", block=64), "similarity", digits=5)
+
+
 @query("j10_pair_similarity", """
     WITH k AS (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 2 ORDER BY count(*) DESC, label LIMIT 8),
     f AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE label IN (SELECT label FROM k)),
     g AS (SELECT * FROM f WHERE rn <= 2)
     SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.label = b.label AS same, round(list_cosine_similarity(a.e, b.e), 5) AS cosine FROM g a JOIN g b ON a.vec_id < b.vec_id WHERE a.label = b.label OR (a.rn = 1 AND b.rn = 1)""")
 def _(fx):
-    return rounded(J.pair_similarity(fx.table("embeddings"), key="label", id="vec_id"), "cosine", digits=5)
+    return rounded(J.pair_similarity(fx.table("embeddings"), key="label", id="vec_id", per_key=2, n_keys=8), "cosine", digits=5)
 
 
 @query("j11_merge_detection_streams", """

@@ -35,7 +35,7 @@ def parse_yolo_text(df: DataFrame, text="value", kpts: int = 0) -> DataFrame:
     parsed = F.filter(F.transform(F.split(text, r"\r?\n"), _tokens), lambda t: F.size(t) >= least)
     rows = df.select(*[c for c in df.columns if c != text], F.posexplode_outer(parsed).alias("box_no", "_t"))
     t = F.col("_t")
-    out = rows.withColumns({"cls": F.try_to_number(F.split(t[0], r"\.")[0], F.lit("S9999")).cast("int"),
+    out = rows.withColumns({"cls": t[0].try_cast("double").try_cast("int"),
                             "cx": t[1].cast("double"), "cy": t[2].cast("double"),
                             "w": t[3].cast("double"), "h": t[4].cast("double")})
     if kpts:
