@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from visorlake.functions.boxes import values_of
 from visorlake.operators.filters import filter_candidates
-from visorlake.operators.motion import PrimaryBall
+from visorlake.operators.ball import ball_lives
 from visorlake.scale import FRAME_SPAN, ordered_scan
 
 XY = ("x1", "y1", "x2", "y2")
@@ -153,22 +153,9 @@ def motion_rows(frames: DataFrame, rmax, rmin: float = 5.0, dedup_d: float = 1.0
                         F.transform("clubs", lambda b: (b["y1"] + b["y2"]) / 2).alias("ky"))
 
 
-PRIMARY = T.StructType([T.StructField("video_id", T.StringType()), T.StructField("frame_idx", T.IntegerType()),
-                        T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("r", T.DoubleType())])
-
-
 def primary_track(frames: DataFrame, fps: float = 30.0, size: tuple[int, int] = (2048, 1536), span: int = FRAME_SPAN, **scan) -> DataFrame:
     """The followed ball per frame, null while it is not seen. `frames`: balls, clubs and `cam` per frame."""
     rows = motion_rows(frames.withColumn("video_id", F.col("video_id").cast("string")), F.lit(58 / 2048.0 * size[0]))
-    lost_max = int(2.0 * fps)
-
-    def fold(key, state, rows: pd.DataFrame):
-        ball, out = PrimaryBall.load(state), []
-        for k, cam, bx, by, br in rows[["frame_idx", "cam", "bx", "by", "br"]].itertuples(index=False):
-            ball.step(list(zip(bx, by, br)), cam, lost_max)
-            at = ball.visible or (None, None, None)
-            out.append((key[0], int(k), *at))
-        return pd.DataFrame(out, columns=PRIMARY.fieldNames()), ball.dump()
-
     keep = rows.select("video_id", F.col("frame_idx").cast("int").alias("frame_idx"), "cam", "bx", "by", "br")
-    return ordered_scan(keep, ["video_id"], "frame_idx", ["frame_idx"], fold, PRIMARY, span=span, warmup=int(20 * fps), **scan)
+    lives = ball_lives(keep, fps, 5.0, 2.5, span=span, **scan)
+    return lives.select("video_id", "frame_idx", *[F.when(F.col("missing") == 0, F.col(c)).alias(c) for c in ("x", "y", "r")])

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from visorlake.functions.boxes import values_of
-from visorlake.operators import motion, tracks
+from visorlake.operators import ball, tracks
 from visorlake.operators.tracks import FaceTracks
 from visorlake.scale import ordered_scan
 from visorlake.streaming import rules
-from visorlake.streaming.rules import AddressWatch, Gallery, OnlineHits
+from visorlake.streaming.rules import Gallery, address_step, hit_step
 
 # The process in which a stream sets up its state sees no files added to the session, so the state classes travel by value.
-for _module in (sys.modules[__name__], rules, motion, tracks):
+for _module in (sys.modules[__name__], rules, ball, tracks):
     cloudpickle.register_pickle_by_value(_module)
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -123,12 +123,11 @@ def stream_hit_counter(frames: DataFrame, delay: str = "2 seconds") -> DataFrame
                          *[values_of(a, c).alias(f"{a[0]}_{c}") for a in ("balls", "clubs") for c in XY])
 
     def fold(key, state, rows):
-        rules, out = OnlineHits(state), []
-        for r in rows.itertuples(index=False):
-            boxes = [list(zip(*(getattr(r, f"{a}_{c}") for c in XY))) for a in "bc"]
-            now = rules.step(r.ts / 1e9, *boxes, (r.dx, r.dy))
-            out.append((str(key[0]), pd.Timestamp(r.ts), now["count"], now["state"], now["fired"], now["fire_t"]))
-        return pd.DataFrame(out, columns=HITS.fieldNames()), rules.state()
+        out, corners = [], [[f"{a}_{c}" for c in XY] for a in "bc"]
+        for t, dx, dy, *xy in zip(rows["ts"], rows["dx"], rows["dy"], *(rows[c] for names in corners for c in names), strict=True):
+            state, now = hit_step(state, t / 1e9, list(zip(*xy[:4], strict=True)), list(zip(*xy[4:], strict=True)), (dx, dy))
+            out.append((str(key[0]), pd.Timestamp(t), now["count"], now["state"], now["fired"], now["fire_t"]))
+        return pd.DataFrame(out, columns=HITS.fieldNames()), state
 
     return _apply(flat, "camera_id", fold, HITS, delay)
 
@@ -145,11 +144,11 @@ def stream_address_detector(frames: DataFrame, delay: str = "2 seconds") -> Data
         return None if x is None or pd.isna(x) or pd.isna(y) else (x, y)
 
     def fold(key, state, rows):
-        watch, out = AddressWatch(state), []
-        for r in rows.itertuples(index=False):
-            ok = watch.step(r.ts / 1e9, point(r.shoulder_x, r.shoulder_y), point(r.hip_x, r.hip_y), bool(r.club_low))
-            out.append((str(key[0]), pd.Timestamp(r.ts), watch.name, ok))
-        return pd.DataFrame(out, columns=ADDRESS.fieldNames()), watch.state()
+        out = []
+        for t, sx, sy, hx, hy, low in zip(*(rows[c] for c in ("ts", "shoulder_x", "shoulder_y", "hip_x", "hip_y", "club_low")), strict=True):
+            state, name, new = address_step(state, t / 1e9, point(sx, sy), point(hx, hy), bool(low))
+            out.append((str(key[0]), pd.Timestamp(t), name, bool(new)))
+        return pd.DataFrame(out, columns=ADDRESS.fieldNames()), state
 
     return _apply(flat, "camera_id", fold, ADDRESS, delay)
 

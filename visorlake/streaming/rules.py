@@ -1,210 +1,161 @@
-"""Online per-key rules with thresholds in seconds, as small JSON-able state machines."""
+"""What one camera needs to remember between frames: plain dictionaries, one small step at a time."""
 from __future__ import annotations
 
 import math
 
 import numpy as np
 
-from visorlake.operators.motion import exit_border, far, nearest_within
+from visorlake.operators.ball import STILL, after, back, next_place, through
 
-# Fixed values of the online hit rules (640-pixel square; D ball diameters, S seconds).
+# Fixed values of the online rules, on a 640-pixel square. Keys end in _s for seconds, _d for ball diameters, _dps for diameters a second.
 ONLINE = dict(
-    width=640.0, rest_speed=7.5, rest_run_s=0.17, addr_hold_s=1.5, club_near_d=3.5, club_mem_s=3.0, launch_d=5.0, launch_win_s=1.0,
-    grow_max=1.3, gone_s=0.27, vanish_near_d=3.0, depart_speed=9.0, vanish_hold_s=1.0, ret_frac=0.25, ret_d=3.0, ret_look_s=2.0,
-    edge_d=1.5, exit_frac=0.22, drift_min_d=1.0, cooldown_s=2.5, gate_speed=150.0, gate_cap_d=8.0, reacq_d=2.5, gap_max_s=0.15,
-    lost_max_s=2.0, dwell_min_s=0.4, dwell_win_s=3.0, touch_d=0.8, rmax=58 / 2048 * 640, rmin_cand=5 / 2048 * 640, dedup_d=1.0)
-NEVER = -1e9
-
-
-class OnlineHits:
-    """Counts hits one to two seconds after contact, from normalised boxes and a camera shift per frame."""
-
-    FIELDS = dict(ball=None, carried=None, seen_t=NEVER, lost_at=None, speed=0.0, decided=False, rest=0.0, rest_t=NEVER,
-                  anchor=None, club_t=NEVER, clubs=[], pending=None, fire_t=NEVER, count=0)
-
-    def __init__(self, state: dict | None = None):
-        self.c = ONLINE
-        for k, v in (self.FIELDS | (state or {})).items():
-            setattr(self, k, list(v) if isinstance(v, list) else v)
-
-    def state(self) -> dict:
-        return {k: getattr(self, k) for k in self.FIELDS}
-
-    def _candidates(self, balls):
-        c, out = self.c, []
-        for x1, y1, x2, y2 in balls:
-            x, y, r = (x1 + x2) / 2 * c["width"], (y1 + y2) / 2 * c["width"], (x2 - x1 + y2 - y1) / 4 * c["width"]
-            if c["rmin_cand"] <= r <= c["rmax"] and all(far((x, y), k) >= c["dedup_d"] * 2 * max(k[2], r) for k in out):
-                out.append([x, y, r])
-        return out
-
-    def step(self, t: float, balls, clubs, shift) -> dict:
-        c, (dx, dy) = self.c, shift
-        cands = self._candidates(balls)
-        heads = [((x1 + x2) / 2 * c["width"], (y1 + y2) / 2 * c["width"]) for x1, y1, x2, y2 in clubs]
-        for name in ("anchor", "carried"):
-            p = getattr(self, name)
-            if p is not None:
-                setattr(self, name, [p[0] + dx, p[1] + dy, p[2]])
-        if self.pending:
-            s = self.pending["spot"]
-            self.pending["spot"] = [s[0] + dx, s[1] + dy, s[2]]
-        self._follow(t, cands, dx, dy)
-        seen = self.ball if self.ball is not None and self.carried is None else None
-        if seen is not None:
-            self._watch_club(t, seen, heads)
-        armed = self.anchor is not None and t - self.rest_t <= c["addr_hold_s"]
-        ready = armed and t - self.club_t <= c["club_mem_s"] and t - self.fire_t >= c["cooldown_s"]
-        if ready and self.pending is None:
-            self._launch(t, seen) if seen is not None else self._vanish(t)
-        fired = self._resolve(t, cands, seen)
-        name = "PEND" if self.pending else "ADDRESS" if armed else "TRACK" if seen is not None else "SEARCH"
-        return dict(count=self.count, state=name, fired=fired is not None, fire_t=fired)
-
-    def _break(self):
-        if self.pending:
-            self.pending["broken"] = True
-
-    def _disarm(self):
-        self.anchor, self.rest_t, self.rest = None, NEVER, 0.0
-
-    def _follow(self, t, cands, dx, dy):
-        c, gap = self.c, t - self.seen_t
-        tracked = self.ball is not None and self.carried is None
-        if not tracked and self.carried is None:
-            if cands:
-                self.ball, self.seen_t, self.rest, self.decided = list(max(cands, key=lambda b: b[2])), t, 0.0, False
-                self._break()
-            return
-        here = [self.ball[0] + dx, self.ball[1] + dy, self.ball[2]] if tracked else self.carried
-        reach = min(c["gate_speed"] * gap, c["gate_cap_d"]) if tracked else c["reacq_d"]
-        found = nearest_within(cands, here, reach * 2 * here[2])
-        if found is None:
-            if tracked:
-                self.carried, self.lost_at = here, self.ball[:2]
-            if gap > c["lost_max_s"]:
-                self.ball = self.carried = None
-                self.rest = 0.0
-                self._break()
-            return
-        if not tracked and gap > c["gap_max_s"]:
-            self._break()
-        if gap > c["gap_max_s"]:
-            self.rest = 0.0
-        if gap > 0:
-            old = (self.ball[0] + dx, self.ball[1] + dy)
-            self.speed = far(found, old) / (2 * found[2]) / gap
-            if tracked:
-                if far(found, here) / (2 * found[2]) / gap < c["rest_speed"]:
-                    self.rest += gap
-                    if self.rest >= c["rest_run_s"]:
-                        self.rest_t, self.anchor = t, list(found)
-                else:
-                    self.rest = 0.0
-        self.ball, self.carried, self.seen_t, self.decided = list(found), None, t, False
-
-    def _watch_club(self, t, seen, heads):
-        c = self.c
-        gap = min((far(h, seen) / (2 * seen[2]) for h in heads), default=None)
-        near = gap is not None and gap < c["club_near_d"]
-        if near:
-            self.club_t = t
-        dt = min(t - self.clubs[-1][0], 0.2) if self.clubs else 0.0
-        self.clubs = [o for o in [*self.clubs, [t, dt, near, gap]] if t - o[0] <= c["dwell_win_s"]]
-
-    def _launch(self, t, seen):
-        c, a = self.c, self.anchor
-        if t - self.rest_t <= c["launch_win_s"] and far(seen, a) / (2 * a[2]) >= c["launch_d"] and seen[2] <= c["grow_max"] * a[2]:
-            self.pending = dict(kind="launch", fire=self.rest_t, spot=list(a), broken=False)
-
-    def _vanish(self, t):
-        c, a = self.c, self.anchor
-        if self.decided or self.carried is None or self.lost_at is None or t - self.seen_t < c["gone_s"]:
-            return
-        self.decided = True
-        away = far(self.carried, a) / (2 * a[2])
-        held = dict(kind="vanish", spot=list(a), start=t, prev=t, near=0.0)
-        if away > c["vanish_near_d"]:
-            if self.speed >= c["depart_speed"]:
-                self.pending = held | dict(fire=self.rest_t)
-            return
-        dwell = sum(dt for _, dt, near, _ in self.clubs if near)
-        touch = any(g is not None and g <= c["touch_d"] for *_, g in self.clubs)
-        if dwell < c["dwell_min_s"] and not touch:
-            return
-        if self._left_view(2 * a[2]):
-            self._disarm()
-        else:
-            self.pending = held | dict(fire=max(self.rest_t, self.seen_t))
-
-    def _left_view(self, D) -> bool:
-        c, W, (x, y) = self.c, self.c["width"], self.lost_at
-        drift = (self.carried[0] - x, self.carried[1] - y)
-        if math.hypot(*drift) < c["drift_min_d"] * D:
-            return False
-        ray, edge = exit_border((x, y), drift, W, W)
-        leaving = ray < c["exit_frac"] * W or min(x, W - x, y, W - y) < c["edge_d"] * D
-        return leaving and not (edge == "b" and drift[1] > abs(drift[0]))
-
-    def _resolve(self, t, cands, seen):
-        p, c = self.pending, self.c
-        if p is None:
-            return None
-        reach = c["ret_d"] * 2 * p["spot"][2]
-        if p["kind"] == "launch":
-            veto = seen is not None and not p["broken"] and far(seen, p["spot"]) < reach
-            done, good = veto or t - p["fire"] >= c["ret_look_s"], not veto
-        else:
-            dt, p["prev"] = t - p["prev"], t
-            if any(far(k, p["spot"]) < reach for k in cands):
-                p["near"] += dt
-            whole = t - p["start"]
-            done, good = whole >= c["vanish_hold_s"], p["near"] < c["ret_frac"] * whole
-        if not done:
-            return None
-        self.pending = None
-        self._disarm()
-        if not good or p["fire"] - self.fire_t < c["cooldown_s"]:
-            return None
-        self.fire_t = p["fire"]
-        self.count += 1
-        return p["fire"]
-
-
-class AddressWatch:
-    """SEARCHING, HUMAN, POSTURE, PROMPT: a bent, still person with the club low, reported once."""
-
-    def __init__(self, state: dict | None = None, hold=0.4, still=0.04, tilt=0.30, club_mem=1.0, rearm=0.6):
-        self.p = (hold, still, tilt, club_mem, rearm)
-        s = state or {}
-        self.name, self.club_t = s.get("name", "SEARCHING"), s.get("club_t", NEVER)
-        self.since, self.lost = s.get("since"), s.get("lost")
-        self.fired, self.hips = s.get("fired", False), [list(h) for h in s.get("hips", [])]
-
-    def state(self) -> dict:
-        return dict(name=self.name, club_t=self.club_t, since=self.since, lost=self.lost, fired=self.fired, hips=self.hips)
-
-    def step(self, t: float, shoulder, hip, club_low: bool) -> bool:
-        hold, still, tilt, mem, rearm = self.p
-        self.club_t = t if club_low else self.club_t
-        person = shoulder is not None and hip is not None
-        bent = person and abs(shoulder[0] - hip[0]) / max(abs(shoulder[1] - hip[1]), 1e-4) > tilt
-        if not (bent and t - self.club_t <= mem):
-            self.hips, self.since = [], None
-            self.lost = t if self.lost is None else self.lost
-            back = t - self.lost >= rearm
-            self.fired = self.fired and not back
-            if back or self.name not in ("POSTURE", "PROMPT"):
-                self.name = "HUMAN" if person else "SEARCHING"
-            return False
-        self.hips = [h for h in [*self.hips, [t, *hip]] if t - h[0] <= hold]
-        self.lost, self.since = None, t if self.since is None else self.since
-        xy = np.array(self.hips)[:, 1:]
-        quiet = len(self.hips) >= 3 and float((xy.max(0) - xy.min(0)).max()) <= still
-        confirmed = not self.fired and quiet and t - self.since >= hold
-        self.fired = self.fired or confirmed
-        self.name = "PROMPT" if self.fired else "POSTURE"
-        return bool(confirmed)
+    width=640.0, rest_dps=7.5, rest_s=0.17, hold_s=1.5, club_d=3.5, club_s=3.0, launch_d=5.0, launch_s=1.0, grow=1.3, gone_s=0.27, near_d=3.0,
+    depart_dps=9.0, watch_s=1.0, watch_frac=0.25, return_d=3.0, look_s=2.0, edge_d=1.5, exit_frac=0.22, drift_d=1.0, cooldown_s=2.5, gate_dps=150.0,
+    gate_most_d=8.0, reacquire_d=2.5, gap_s=0.15, lost_s=2.0, dwell_s=0.4, dwell_window_s=3.0, touch_d=0.8, r_most=58 / 2048 * 640, r_least=5 / 2048 * 640,
+    apart_d=1.0)
+
+
+def apart(balls: list[tuple], c: dict) -> list[tuple]:
+    """Centres and radii of boxes of a ball's size, each at least a diameter from those before it."""
+    out: list[tuple] = []
+    for x1, y1, x2, y2 in balls:
+        x, y, r = (v * c["width"] for v in ((x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1 + y2 - y1) / 4))
+        if c["r_least"] <= r <= c["r_most"] and all(math.hypot(x - a, y - b) >= c["apart_d"] * 2 * max(r, q) for a, b, q in out):
+            out.append((x, y, r))
+    return out
+
+
+def hit_step(s: dict | None, t: float, balls: list[tuple], clubs: list[tuple], shift: tuple[float, float], c: dict = ONLINE) -> tuple[dict, dict]:
+    """One frame of the online hit counter: (what to remember, what to report).
+
+    The ball is followed as in the offline rules; a resting place and a claim are kept in the coordinates of the frame in which the ball's life began, so the
+    camera moves neither. A claim is a hit that waits for what happens at its spot.
+    """
+    s = dict(s) if s else dict(life=None, seen=None, slow=None, rate=0.0, spot=None, club=None, clubs=[], claim=None, passed=False, fired=None, count=0)
+    cam = [1.0, 0.0, shift[0], 0.0, 1.0, shift[1]]
+    found, heads = apart(balls, c), [((x1 + x2) / 2 * c["width"], (y1 + y2) / 2 * c["width"]) for x1, y1, x2, y2 in clubs]
+    old, gap = s["life"], 0.0 if s["seen"] is None else t - s["seen"]
+    life = next_place(old, int(t * 1000), found, cam, min(c["gate_dps"] * gap, c["gate_most_d"]), c["reacquire_d"], 1 << 30)
+    if life and life["missing"] and gap > c["lost_s"]:
+        life = None
+    if life is None or old is None or life["born"] != old["born"]:
+        s.update(spot=None, slow=None)
+    if s["claim"]:
+        s["claim"] = s["claim"] | dict(map=after(cam, s["claim"]["map"]))
+    s["life"] = life
+    here = back(life["map"], life["x"], life["y"]) if life else None
+    if life and not life["missing"]:
+        _sighted(s, t, gap, life, old, here, heads, c)
+    armed = s["spot"] is not None and t - s["spot"][0] <= c["hold_s"]
+    if armed and not s["claim"] and s["club"] is not None and t - s["club"] <= c["club_s"] and (s["fired"] is None or t - s["fired"] >= c["cooldown_s"]):
+        s["claim"] = _claim(s, t, here, c)
+    fired = _settle(s, t, found, here, c) if s["claim"] else None
+    name = "PEND" if s["claim"] else "ADDRESS" if armed else "TRACK" if life and not life["missing"] else "SEARCH"
+    return s, dict(count=s["count"], state=name, fired=fired is not None, fire_t=fired)
+
+
+def _sighted(s: dict, t: float, gap: float, life: dict, old: dict | None, here, heads, c: dict) -> None:
+    """The ball is in view: its pace, whether it rests, whether a club is at it."""
+    D = 2 * life["r"]
+    paced = old is not None and not old["missing"] and gap > 0
+    if paced:
+        before = back(old["map"], old["x"], old["y"])
+        s["rate"] = math.hypot(here[0] - before[0], here[1] - before[1]) / D / gap
+    if gap > c["gap_s"] or (paced and s["rate"] >= c["rest_dps"]):
+        s["slow"] = None
+        if s["claim"] and gap > c["gap_s"]:
+            s["claim"]["cut"] = True
+    elif paced:
+        s["slow"] = t - gap if s["slow"] is None else s["slow"]
+        if t - s["slow"] >= c["rest_s"]:
+            s["spot"] = [t, *here, life["r"]]
+    s.update(seen=t, passed=False)
+    away = min((math.hypot(x - life["x"], y - life["y"]) / D for x, y in heads), default=math.inf)
+    s["clubs"] = [k for k in [*s["clubs"], [t, min(gap, c["gap_s"]), away]] if t - k[0] <= c["dwell_window_s"]] if away < c["club_d"] else \
+        [k for k in s["clubs"] if t - k[0] <= c["dwell_window_s"]]
+    s["club"] = t if away < c["club_d"] else s["club"]
+
+
+def _claim(s: dict, t: float, here, c: dict) -> dict | None:
+    """A claim, if the addressed ball has just left its spot or has been out of view for long enough."""
+    since, x, y, r = s["spot"]
+    life, D, away = s["life"], 2 * r, math.hypot(here[0] - x, here[1] - y) / (2 * r)
+    claim = dict(spot=[x, y, r], map=life["map"], start=t, last=t, near=0.0, cut=False)
+    if not life["missing"]:
+        off = t - since <= c["launch_s"] and away >= c["launch_d"] and life["r"] <= c["grow"] * r
+        return claim | dict(fire=since, rolled=True) if off else None
+    if s["passed"] or t - s["seen"] < c["gone_s"]:
+        return None
+    s["passed"] = True                                                         # judged once for each disappearance
+    if away > c["near_d"]:
+        return claim | dict(fire=since, rolled=False) if s["rate"] >= c["depart_dps"] else None
+    dwelt = sum(dt for _, dt, _ in s["clubs"]) >= c["dwell_s"] or any(d <= c["touch_d"] for *_, d in s["clubs"])
+    if not dwelt:
+        return None
+    if _carried_out(life, here, D, c):
+        s.update(spot=None, slow=None)
+        return None
+    return claim | dict(fire=s["seen"], rolled=False)
+
+
+def _carried_out(life: dict, here, D: float, c: dict) -> bool:
+    """Whether the camera took the missing ball over a border other than the lower one, since it was last in the picture."""
+    W, x, y = c["width"], life["x"], life["y"]
+    start = through(STILL, *here)
+    dx, dy = x - start[0], y - start[1]
+    drift = math.hypot(dx, dy)
+    if drift < c["drift_d"] * D or (dy > abs(dx) and y > 0):
+        return False
+    inside = min(x, W - x, y, W - y)
+    return inside < max(c["edge_d"] * D, c["exit_frac"] * W * drift / max(drift, W))
+
+
+def _settle(s: dict, t: float, found, here, c: dict) -> float | None:
+    """Follow a claim up; the time of the hit once it stands."""
+    k, life = dict(s["claim"]), s["life"]
+    reach, spot = c["return_d"] * 2 * k["spot"][2], through(k["map"], *k["spot"][:2])
+    if k["rolled"]:
+        back_again = life is not None and not life["missing"] and not k["cut"] and math.hypot(life["x"] - spot[0], life["y"] - spot[1]) < reach
+        over, good = back_again or t - k["fire"] >= c["look_s"], not back_again
+    else:
+        k["near"] += (t - k["last"]) * any(math.hypot(x - spot[0], y - spot[1]) < reach for x, y, _ in found)
+        k["last"] = t
+        over, good = t - k["start"] >= c["watch_s"], k["near"] < c["watch_frac"] * (t - k["start"])
+    s["claim"] = None if over else k
+    if not over:
+        return None
+    s.update(spot=None, slow=None)
+    if not good or (s["fired"] is not None and k["fire"] - s["fired"] < c["cooldown_s"]):
+        return None
+    s.update(fired=k["fire"], count=s["count"] + 1)
+    return k["fire"]
+
+
+# Seconds a posture is held, how far the hip may move, lean of the back, seconds a low club counts, seconds away before the next prompt.
+POSTURE = dict(hold_s=0.4, still=0.04, lean=0.30, club_s=1.0, away_s=0.6)
+
+
+def address_step(s: dict | None, t: float, shoulder, hip, club_low: bool, c: dict = POSTURE) -> tuple[dict, str, bool]:
+    """One frame of the address detector: (what to remember, SEARCHING, HUMAN, POSTURE or PROMPT, whether the prompt is new)."""
+    s = dict(s) if s else dict(name="SEARCHING", club=None, begun=None, left=None, told=False, hips=[])
+    if club_low:
+        s["club"] = t
+    person = shoulder is not None and hip is not None
+    leaning = person and abs(shoulder[0] - hip[0]) > c["lean"] * max(abs(shoulder[1] - hip[1]), 1e-4)
+    if leaning and s["club"] is not None and t - s["club"] <= c["club_s"]:
+        hips = [h for h in [*s["hips"], [t, *hip]] if t - h[0] <= c["hold_s"]]
+        s.update(hips=hips, left=None, begun=t if s["begun"] is None else s["begun"])
+        moved = max(max(h[i] for h in hips) - min(h[i] for h in hips) for i in (1, 2))
+        new = not s["told"] and len(hips) > 2 and moved <= c["still"] and t - s["begun"] >= c["hold_s"]
+        s["told"] = s["told"] or new
+        s["name"] = "PROMPT" if s["told"] else "POSTURE"
+        return s, s["name"], new
+    s.update(hips=[], begun=None, left=t if s["left"] is None else s["left"])
+    away = t - s["left"] >= c["away_s"]
+    s["told"] = s["told"] and not away
+    if away or s["name"] in ("SEARCHING", "HUMAN"):
+        s["name"] = "HUMAN" if person else "SEARCHING"
+    return s, s["name"], False
 
 
 class Gallery:
