@@ -128,7 +128,8 @@ def hit_events(frames: DataFrame, fps: float = 30.0, mode: str = "ego", size: tu
     c = RULES[mode]
     rows = with_rest(followed(frames, fps, mode, size, span, scan), fps, c, span)
     ends = frames.groupBy(F.col("video_id").cast("string").alias("video_id")).agg(F.max("frame_idx").alias("_end"))
-    cands = judged(departures(rows, fps, c), rows, fps, c).join(ends, "video_id").where("resolved <= _end").drop("_end")
+    cands = (judged(departures(rows, fps, c), rows, fps, c).join(ends, "video_id")
+             .withColumn("good", F.col("good") & (F.col("resolved") <= F.col("_end"))).drop("_end"))   # one still open at the end is no hit and lets no other in
     rest_n, cool = _frames(c["rest_s"], fps, 2), int(c["cooldown_s"] * fps)
 
     def choose(key, state, part: pd.DataFrame):

@@ -103,17 +103,25 @@ def clips(fx):
                           "cam": F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))})
 
 
-@query("c13_detect_hits_ego")
+# Each period of 64 frames of a clip holds one strike: the ball rests up to frame 31, then rolls off (even videos) or is gone from frame 32 on. It is counted once
+# what follows has been watched: {look} frames from the rest, or 16 frames after it has been missing for four.
+STRIKES = """
+    SELECT CAST(video_id AS VARCHAR) AS video_id, CAST(64 * k + CASE WHEN video_id % 2 = 0 THEN 31 ELSE 32 END AS INT) AS hit
+    FROM (SELECT video_id, max(frame_idx) AS n FROM $frames q GROUP BY 1) v, (SELECT unnest(range(0, 20000)) AS k) z
+    WHERE 64 * k + CASE WHEN video_id % 2 = 0 THEN 31 + {look} ELSE 50 END <= n"""
+
+
+@query("c13_detect_hits_ego", STRIKES.format(look=32))
 def _(fx):
     return hits.detect_hits(clips(fx), 16.0, "ego")
 
 
-@query("c13_detect_hits_raw")
+@query("c13_detect_hits_raw", STRIKES.format(look=32))
 def _(fx):
     return hits.detect_hits(clips(fx), 16.0, "raw")
 
 
-@query("c14_detect_hits_boxonly")
+@query("c14_detect_hits_boxonly", STRIKES.format(look=48))
 def _(fx):
     return hits.detect_hits(clips(fx), 16.0, "boxonly")
 
