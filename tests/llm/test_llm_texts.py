@@ -331,6 +331,4 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in before} - {r["doc_id"] for r in after} == leaked
     before, after, _ = kept["packing"]
     packed_whole([(r["doc_id"], r["text"]) for r in before], after)
-    whole = corpus_pipeline.run(spark, folder)
-    assert sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in whole.where("start = 0 AND length = doc_tokens").collect()) \
-        == sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in after if r["start"] == 0 and r["length"] == r["doc_tokens"]) or whole.count() >= len(before)
+    packed_whole([(r["doc_id"], r["text"]) for r in before], corpus_pipeline.run(spark, folder).collect())
