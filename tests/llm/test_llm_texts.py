@@ -2,6 +2,7 @@
 import collections
 import random
 import string
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -270,6 +271,31 @@ def test_paraphrases_and_odd_rows(spark):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), benchmark).count() == 0
 
 
+def index_of(items, weight):
+    """An index with a latent space of a few random directions, without Spark."""
+    random_basis = lambda docs, items, row, w, text: np.random.default_rng(1).standard_normal((len(w), 8))
+    with mock.patch.object(decontaminate, "fit_basis", random_basis):
+        return decontaminate.build_index(None, items, weight)
+
+
+def test_leaks_between_rare_words_under_idf_of_a_large_corpus():
+    """An item of common words among words of one document each, weighted as in six million documents."""
+    r = random.Random(5)
+    common = [f"c{k}" for k in range(300)]
+    weight = np.full(decontaminate.TERMS, np.log(6e6 / 2) + 0.1)
+    weight[decontaminate._term_ids(" ".join(common), decontaminate._Terms())] = np.log(20) + 0.1
+    items = [(k, r.sample(common, 19)) for k in range(20)]
+    index = index_of([(k, " ".join(w)) for k, w in items], weight)
+    rare = lambda n: [f"rare{r.random()}" for _ in range(n)]
+    for k, w in items:
+        copy = [x if j >= 7 else rare(1)[0] for j, x in enumerate(w)]          # 12 of 19 words are left, more than SHARE
+        for body in (w, copy):
+            for after in (0, 300):
+                found = decontaminate.leaks_of(" ".join(rare(200) + body + rare(after)), index, decontaminate._Terms())
+                assert [x[0] for x in found] == [k]
+    assert not decontaminate.leaks_of(" ".join(rare(400)), index, decontaminate._Terms())
+
+
 # ---------------------------------------------------------------- revisits
 def test_canonical_urls(spark):
     urls = {"HTTP://Ex.org:80/a/?utm_source=x&b=2&a=1#top": "ex.org/a?a=1&b=2", "https://ex.org": "ex.org", "https://ex.org/?ref=z": "ex.org", "mailto:x": "mailto:x"}
