@@ -296,6 +296,53 @@ def test_leaks_between_rare_words_under_idf_of_a_large_corpus():
     assert not decontaminate.leaks_of(" ".join(rare(400)), index, decontaminate._Terms())
 
 
+def all_leaks(docs, items):
+    """Every pair with a stretch that is a leak, by a longest common subsequence for every start; one way from SHARE and ANSWER on."""
+    out = set()
+    for i, d in docs:
+        own = set(d)
+        for item, w in items:
+            if sum(map(own.__contains__, w)) < decontaminate.SHARE * len(w):
+                continue
+            for s in range(len(d)):
+                hit = decontaminate.common_subsequence(w, d[s:s + 2 * len(w) + 1])
+                tail = hit[-max(1, len(hit) // 3):]
+                if sum(hit) >= decontaminate.SHARE * len(hit) and sum(tail) >= decontaminate.ANSWER * len(tail):
+                    out.add((i, item))
+                    break
+    return out
+
+
+def changed_copies(n_items=3000, per_band=40):
+    """Items, documents with one item each of which 0 to 40 % of the words are changed, and the band of each document."""
+    r = random.Random(12)
+    vocab, odds = [f"w{k}" for k in range(8000)], [1 / (k + 3) for k in range(8000)]
+    say = lambda n: r.choices(vocab, odds, k=n)
+    items, docs, band = [(k, say(r.randint(6, 50))) for k in range(n_items)], [], {}
+    for share in (0, 10, 20, 30, 40):
+        for _ in range(per_band):
+            w = list(r.choice(items)[1])
+            for p in r.sample(range(len(w)), len(w) * share // 100):
+                w[p] = say(1)[0]
+            band[len(docs)] = share
+            docs.append((len(docs), say(r.randint(0, 80)) + w + say(r.randint(0, 80))))
+    return items, docs, band
+
+
+def test_recall_against_every_stretch_with_thousands_of_items():
+    items, docs, band = changed_copies()
+    weight = np.full(decontaminate.TERMS, 9.0)
+    terms = decontaminate._Terms()
+    for word, n in collections.Counter(x for _, d in docs for x in set(d)).items():
+        weight[terms[word]] = np.log((1 + len(docs)) / (1 + n)) + 0.1
+    index = index_of([(k, " ".join(w)) for k, w in items], weight)
+    want, got = all_leaks(docs, items), {(i, x[0]) for i, d in docs for x in decontaminate.leaks_of(" ".join(d), index, terms)}
+    for share in (0, 10, 20, 30, 40):
+        there = {p for p in want if band[p[0]] == share}
+        assert len(there) > 20 and len(there & got) >= 0.9 * len(there)
+    assert not got - want
+
+
 # ---------------------------------------------------------------- revisits
 def test_canonical_urls(spark):
     urls = {"HTTP://Ex.org:80/a/?utm_source=x&b=2&a=1#top": "ex.org/a?a=1&b=2", "https://ex.org": "ex.org", "https://ex.org/?ref=z": "ex.org", "mailto:x": "mailto:x"}
