@@ -180,6 +180,29 @@ def test_restoring_words():
     assert "snotling" in toxicity.tokens("you S n o t l i n g yes é y a b")
 
 
+def letter_model(words):
+    counts = np.zeros((28, 28, 28))
+    s = [0, 0, *(c for w in words for c in [*(ord(x) - 96 for x in w), 0]), 0]
+    for x in zip(s, s[1:], s[2:]):
+        counts[x] += 1
+    return toxicity.language_model(counts).tolist()
+
+
+@pytest.mark.parametrize("text,word", [
+    ("der i d i o t. und", "idiot"), ("x i  d  i  o  t y", "idiot"), ("the i\td\ti\to\tt", "idiot"), ("i\nd\ni\no\nt", "idiot"),
+    ("you 1 d ! o t", "idiot"), ("an a $ $ here", "ass"), ("an a s s!", "ass"), ("a i d i o t", "idiot"), ("iiddiioott", "idiot"),
+    ("i i d d i i o o t t", "idiot"), ("i - d - i - o - t", "idiot"), ('"i d i o t"', "idiot"), ("i, d, i, o, t,", "idiot"),
+    ("i d i o t " + "a b c d e f " * 40, "idiot"), ("a b c d e f " * 40 + "i d i o t", "idiot")])
+def test_spaced_and_doubled_words(text, word):
+    lm = letter_model(["idiot", "ass", "the", "little", "house", "a", "and"] * 40)
+    read = [w for t in toxicity.tokens(text) for w in toxicity.plain_words(t, lm)]
+    assert any(w == word or w[:5] == word for w in read)
+
+
+def test_numbers_and_symbols_are_no_spaced_words():
+    assert toxicity.tokens("1 2 3 4 | | |") == set("1234|")
+
+
 def test_toxicity_held_out(spark):
     rows, labels = toxic_corpus()
     hidden = [(10_000 + k, f"aa bcd {d} fgh" + (" e f g h" if " " in d else "")) for k, d in enumerate(DISGUISES)]

@@ -71,16 +71,27 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- noisy channel
 DISGUISED = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][0-9@$!|+€£(µ._\-*~]|.*[0-9@$!|+€£(µ][^\W\d_]|.*(.)\1\1)")
-SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
+PAIR = re.compile(r"([^\W\d_])(?<!\1\1)\1(?!\1)")
+#: Up to so many pairs of a token of letters are shortened in every combination, more by the letter model.
+FEW_PAIRS = 2
+#: A letter or look-alike on its own, with or without punctuation beside it; a spaced word is a run of them, splitters between them or not.
+SINGLE = r"[^\w\s@$!|+€£(µ]*[\w@$!|+€£(µ](?:[^\w\s@$|+€£(µ])*"
+SPACED = re.compile(rf"(?<!\S){SINGLE}(?:(?:\s+[._*~\-]+)*\s+{SINGLE}){{2,}}(?!\S)")
+BESIDE = re.compile(r"[^\w\s@$!|+€£(µ._*~\-]|(?<=\w)!+(?= |\Z)")
+#: A run of more single characters is cut into pieces of so many, each half over the one before.
+PIECE = 64
 
 
 def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
-def restore(token: str, lm: list) -> str:
+def restore(token: str, lm: list, pairs: bool = False) -> str:
     """The likeliest plain word behind a lower-case token: Viterbi over the lattice of look-alikes, splitters and repeats.
 
+    A blank is a splitter or the end of a word, so a run of single characters may give several words. With `pairs`, runs of two may
+    be shortened as well.
+
     The state is the last two symbols. A letter passes for free; reading a look-alike as a letter, dropping a splitter and shortening a
     run cost a little each; a character that is none of these must be dropped at a price.
     """
@@ -91,7 +102,9 @@ def restore(token: str, lm: list) -> str:
         price = 0.0 if c.isalpha() else -0.7 * n
         options = [("", -0.3 * n if c in SPLITTERS else -4.0 * n)] if not c.isalpha() else []
         for a in letters:
-            options += [(a * k, price - 0.5 * (n != k)) for k in ({1, 2} if n > 2 else {n})]
+            options += [(a * k, price - 0.5 * (n != k)) for k in ({1, 2} if n > 2 - pairs else {n})]
+        if c == " ":
+            options.append((" ", 0.0))
         then: dict = {}
         for (a, b), (score, word) in states.items():
             for more, cost in options:
@@ -108,12 +121,23 @@ def restore(token: str, lm: list) -> str:
 
 
 def plain_words(token: str, lm: list) -> tuple[str, ...]:
-    """A lower-case token without outer punctuation and, if it looks disguised, the word restored from it."""
+    """A lower-case token without outer punctuation and, if it looks disguised, the words restored from it.
+
+    Of a run of single characters, the words that are only found if some of its blanks are ends of words.
+    """
+    if " " in token:
+        joined = plain_words(token.replace(" ", ""), lm)
+        return tuple(dict.fromkeys(w for w in restore(token, lm).split() if len(w) > 2 and w not in joined))
     bare = token.strip(string.punctuation)
     words = [bare] if bare else []
-    if DISGUISED.match(token):
-        found = restore(token, lm)
-        if len(found) > 2 and found != bare:
+    disguised, at = DISGUISED.match(token), [m.start() for m in PAIR.finditer(bare)]
+    if not disguised and len(at) <= FEW_PAIRS:
+        for k in at[::-1]:
+            words += [w[:k] + w[k + 1:] for w in words]                        # from the end, so the places before stay
+        return tuple(words[:1] + [w for w in words[1:] if len(w) > 2])
+    for pairs in [False] * bool(disguised) + [True] * bool(at):
+        found = restore(token, lm, pairs)
+        if len(found) > 2 and found not in words:
             words.append(found)
     return tuple(words)
 
@@ -123,11 +147,15 @@ def features(word: str) -> list[str]:
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens, and runs of single characters set apart by spaces as one token each."""
+    """Distinct lower-case tokens, and runs of single characters set apart by white space as one token each, without and with blanks."""
     low = text.lower()
     found = set(low.split())
-    if sum(len(t) == 1 for t in found) > 3:
-        found.update(m.replace(" ", "") for m in SPACED.findall(low))
+    for m in SPACED.finditer(low):
+        run = m[0].split()
+        for k in range(0, max(1, len(run) - PIECE // 2), PIECE // 2):
+            piece = BESIDE.sub("", " ".join(run[k:k + PIECE]))
+            if any(map(str.isalpha, piece)):
+                found.update((piece, piece.replace(" ", "")))
     return found
 
 
