@@ -49,6 +49,17 @@ def test_articles_are_never_template(spark):
     assert {r["text"] for r in got} == {"Same\nCopied text"}
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<body><form action=x><nav>n</nav><article><p>a<p>b<button>c</button><select><option>d</select></article><p>tail</form>", "a\nb"),
+    ("<form id=aspnetForm><main>a</main></form>", "a"), ("<main>a<form>mail</form></main>", "a"),
+    ("<article>a<form><article>reply</article></form></article>", "a"), ("<form>only a form</form><p>text", "text"),
+    ("<div>" * 150 + "<nav>n</nav><article><p>a</p><aside>z</aside></article><p>tail</p>", "a"),
+    ("<form>" + "<div>" * 150 + "<article>a</article>out", "a"), ("<div>" * 150 + "<nav>menu</nav><p>text</p>", "text"),
+    ("<div>" * 3000 + "<form>" + "<div class=content>" * 3000 + "<main>a<div role=search>q</div></main>out", "a")])
+def test_forms_around_the_article_and_deep_elements(page, text):
+    assert html.main_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", [
     ("<main><div class='article-body'>a<div>b</div>c</div></main><p>out</p>", "a\nb\nc"),
     ("<article><p>x<p>y<table><tr><td>1<td>2</table></article>", "x\ny\n1\n2"),

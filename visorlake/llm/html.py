@@ -41,8 +41,10 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: Levels that take part in the alignment; what is nested deeper counts to the last one.
+#: Levels that take part in the alignment. Text nested deeper counts to the last one; elements there that tell what is content are kept beside the tree.
 DEEPEST = 100
+TELLING = NEVER | LANDMARKS[0] | LANDMARKS[1] | HEADINGS | {"header"}
+TELLING_WORDS = OUTSIDE | READERS | CONTENT | {"header", "\0outside"}
 #: A text is template if it stands at its node in every page that has the node, at least LEAST_PAGES different ones and this share of the host's.
 LEAST_PAGES, SHARE = 3, 0.5
 #: Nodes of partial templates a task holds before it sends them on.
@@ -93,6 +95,7 @@ class Page:
     def __init__(self, html: str):
         self.root = Node("#", "#", frozenset())
         self.blocks: list[tuple[tuple[Node, ...], str, int]] = []
+        self.deep: dict[int, list[Node]] = {}
         self._text: list[str] = []
         self._linked = 0
         self._stack: list[tuple[str, tuple[Node, ...]]] = [("#", (self.root,))]
@@ -143,7 +146,13 @@ class Page:
         if tag in VOID:
             return
         label, words = _marks(tag, attributes)
-        nodes = (*above, above[-1].kid(label, tag, words)) if len(above) < DEEPEST else above
+        if len(above) < DEEPEST:
+            nodes = (*above, above[-1].kid(label, tag, words))
+        elif (tag in TELLING or words & TELLING_WORDS) and not any(n.label == label for n in above[DEEPEST:]):
+            nodes = (*above, Node(label, tag, words))
+            self.deep.setdefault(id(above[-1]), []).append(nodes[-1])
+        else:
+            nodes = above
         self._stack.append((tag, nodes))
 
     def _end(self, tag: str) -> None:
@@ -193,8 +202,9 @@ class Page:
         """The tree as a template of one page."""
         page = frozenset({crc32("\n".join(t for _, t, _ in self.blocks).encode())})
         for nodes, text, _ in self.blocks:
-            nodes[-1].common.add(text_hash(text))
-            nodes[-1].told = True
+            node = nodes[:DEEPEST][-1]
+            node.common.add(text_hash(text))
+            node.told = True
         todo = [self.root]
         while todo:
             node = todo.pop()
@@ -271,8 +281,15 @@ def _outside(node: Node) -> bool:
     return node.tag in NEVER or bool(node.words & OUTSIDE) or "\0outside" in node.words
 
 
-def _holds(node: Node, tags: frozenset) -> bool:
-    return any((k.tag in tags and not _outside(k)) or _holds(k, tags) for k in node.kids)
+def _holds(node: Node, tags: frozenset, deep: dict[int, list[Node]]) -> bool:
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        for k in (*node.kids, *deep.get(id(node), ())):
+            if k.tag in tags and not _outside(k):
+                return True
+            todo.append(k)
+    return False
 
 
 def main_text(html: str, template: Node | None = None) -> str:
@@ -283,11 +300,15 @@ def main_text(html: str, template: Node | None = None) -> str:
     dropped: dict[int, bool] = {}
 
     def gone(nodes: tuple[Node, ...]) -> bool:
-        """Whether a node above the block is outside. One around the article as a whole is not."""
+        """Whether a node above the block is outside. One around the article as a whole is not, and of the elements that never hold content only a form may be."""
         if id(nodes[-1]) not in dropped:
-            within = any(n.tag in marks for n in nodes[:-1])
-            around = nodes[-1].tag not in NEVER and not nodes[-1].words & READERS and not within and _holds(nodes[-1], marks)
-            dropped[id(nodes[-1])] = (len(nodes) > 1 and gone(nodes[:-1])) or (_outside(nodes[-1]) and not around)
+            out = within = False
+            for n in nodes:
+                if id(n) not in dropped:
+                    around = ((n.tag not in NEVER or n.tag == "form") and not n.words & READERS and not within and _outside(n)
+                              and _holds(n, marks, page.deep))
+                    dropped[id(n)] = out or (_outside(n) and not around)
+                out, within = dropped[id(n)], within or n.tag in marks
         return dropped[id(nodes[-1])]
 
     live = [b for b in page.blocks if not gone(b[0])]
@@ -301,7 +322,7 @@ def main_text(html: str, template: Node | None = None) -> str:
     loose = not region
     out = []
     for nodes, text, linked in region or live:
-        if text_hash(text) in wrap.get(id(nodes[-1]), ()):
+        if text_hash(text) in wrap.get(id(nodes[:DEEPEST][-1]), ()):
             continue
         if loose and 2 * linked > len(text):
             continue
