@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visorlake.llm import decontaminate, exact_dedup, html, packing, simhash, substring, suffix, token_counts, toxicity, warc
+from visorlake.llm import decontaminate, exact_dedup, html, packing, prefix_trie, simhash, substring, suffix, token_counts, top_k, toxicity, warc, whitening
 from visorlake.llm.common import table
 from visorlake.session import ship
 
@@ -59,6 +59,18 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+def op13_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def _shipped(fn):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship(spark)
@@ -67,7 +79,7 @@ def _shipped(fn):
 
 
 OPERATORS = (op1_html_extraction, op2_substring_dedup, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_exact_dedup, op7_warc_revisits,
-             op8_decontaminate, op9_packing, op10_simhash)
+             op8_decontaminate, op9_packing, op10_simhash, op11_whitening, op12_prefix_trie, op13_top_k)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -75,4 +87,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def checks() -> dict[str, str]:
-    return {"op2_substring_dedup": substring.WINDOW_SQL, "op6_exact_dedup": exact_dedup.EXACT_SQL, "op7_warc_revisits": warc.REVISIT_SQL}
+    return {"op2_substring_dedup": substring.WINDOW_SQL, "op6_exact_dedup": exact_dedup.EXACT_SQL, "op7_warc_revisits": warc.REVISIT_SQL,
+            "op12_prefix_trie": prefix_trie.TRIE_SQL, "op13_top_k": top_k.TOP_SQL}
