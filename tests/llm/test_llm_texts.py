@@ -307,7 +307,7 @@ def test_paraphrases_and_odd_rows(spark):
 
 def index_of(items, weight):
     """An index with a latent space of a few random directions, without Spark."""
-    random_basis = lambda docs, items, row, w, text: np.random.default_rng(1).standard_normal((len(w), 8))
+    random_basis = lambda docs, items, words, row, w, text: np.random.default_rng(1).standard_normal((len(w), 8))
     with mock.patch.object(decontaminate, "fit_basis", random_basis):
         return decontaminate.build_index(None, items, weight)
 
@@ -317,7 +317,7 @@ def test_leaks_between_rare_words_under_idf_of_a_large_corpus():
     r = random.Random(5)
     common = [f"c{k}" for k in range(300)]
     weight = np.full(decontaminate.TERMS, np.log(6e6 / 2) + 0.1)
-    weight[decontaminate._term_ids(" ".join(common), decontaminate._Terms())] = np.log(20) + 0.1
+    weight[[decontaminate.term_of(w) for w in common]] = np.log(20) + 0.1
     items = [(k, r.sample(common, 19)) for k in range(20)]
     index = index_of([(k, " ".join(w)) for k, w in items], weight)
     rare = lambda n: [f"rare{r.random()}" for _ in range(n)]
@@ -325,9 +325,9 @@ def test_leaks_between_rare_words_under_idf_of_a_large_corpus():
         copy = [x if j >= 7 else rare(1)[0] for j, x in enumerate(w)]          # 12 of 19 words are left, more than SHARE
         for body in (w, copy):
             for after in (0, 300):
-                found = decontaminate.leaks_of(" ".join(rare(200) + body + rare(after)), index, decontaminate._Terms())
+                found = decontaminate.leaks_of(" ".join(rare(200) + body + rare(after)), index)
                 assert [x[0] for x in found] == [k]
-    assert not decontaminate.leaks_of(" ".join(rare(400)), index, decontaminate._Terms())
+    assert not decontaminate.leaks_of(" ".join(rare(400)), index)
 
 
 def all_leaks(docs, items):
@@ -366,17 +366,27 @@ def changed_copies(n_items=3000, per_band=40):
 def test_recall_against_every_stretch_with_thousands_of_items():
     items, docs, band = changed_copies()
     weight = np.full(decontaminate.TERMS, 9.0)
-    terms = decontaminate._Terms()
     for word, n in collections.Counter(x for _, d in docs for x in set(d)).items():
-        weight[terms[word]] = np.log((1 + len(docs)) / (1 + n)) + 0.1
+        weight[decontaminate.term_of(word)] = np.log((1 + len(docs)) / (1 + n)) + 0.1
     index = index_of([(k, " ".join(w)) for k, w in items], weight)
-    want, got = all_leaks(docs, items), {(i, x[0]) for i, d in docs for x in decontaminate.leaks_of(" ".join(d), index, terms)}
+    want, got = all_leaks(docs, items), {(i, x[0]) for i, d in docs for x in decontaminate.leaks_of(" ".join(d), index)}
     for share in (0, 10, 20, 30, 40):
         there = {p for p in want if band[p[0]] == share}
         assert len(there) > 20 and len(there & got) >= 0.9 * len(there)
     assert not got - want
 
 
+def test_short_items_long_items_and_scripts_without_blanks(spark):
+    r = random.Random(3)
+    vocab = [f"v{k}" for k in range(500)]
+    long, story = r.choices(vocab, k=6_000), "彼は毎朝早く起きて公園を散歩し、それから店を開ける。客はまだ少ない。"
+    items = [(1, "blue moon"), (2, " ".join(long)), (3, story), (3, story)]
+    docs = [(10, "Blue  moon!"), (11, "a blue moon rose"), (12, "x " * 300 + " ".join(w for k, w in enumerate(long) if k % 9) + " y" * 300),
+            (13, "前書き。" + story.replace("毎朝", "毎晩") + "後書き"), (14, "全く関係のない別の文章がここに長く続いている。" * 2)]
+    found = decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert collections.Counter((x["doc_id"], x["item_id"]) for x in found) == {(10, 1): 1, (12, 2): 1, (13, 3): 2}
+
+
 # ---------------------------------------------------------------- revisits
 def test_canonical_urls(spark):
     urls = {"HTTP://Ex.org:80/a/?utm_source=x&b=2&a=1#top": "ex.org/a?a=1&b=2", "https://ex.org": "ex.org", "https://ex.org/?ref=z": "ex.org", "mailto:x": "mailto:x"}
