@@ -45,9 +45,10 @@ def test_band_join_equals_brute_force(spark, hashes, t, limit):
     assert got == {(a, b) for a in unique for b in unique if a < b and bits(a, b) <= t}
 
 
-def test_crowded_keys_are_split_again(spark):
+def test_crowded_keys_are_split_again(spark, monkeypatch):
     """Hashes that share 40 of 64 bits crowd every key of the first levels."""
     rng = random.Random(6)
+    monkeypatch.setattr(D, "ROW_COST", 0.1)
     unique = sorted({signed(0xABCDEF0123000000 | rng.getrandbits(12) << 6) for _ in range(300)})
     df = spark.createDataFrame([(h,) for h in unique], "hash long")
     got = {(r.ha, r.hb) for r in D.hash_pairs(df, None, 3, len(unique), bucket_limit=20).collect()}
@@ -62,6 +63,66 @@ def test_wider_keys_lose_no_pair(spark, hashes, n):
     assert got == {(a, b) for a in unique for b in unique if a < b and bits(a, b) <= 5}
 
 
+@pytest.mark.parametrize("m, limit", [(3, 5000), (4, 5000), (4, 40), (5, 5000), (6, 20)])
+def test_segments_with_turned_bits_lose_no_pair(spark, hashes, monkeypatch, m, limit):
+    monkeypatch.setattr(D, "segment_count", lambda n, t: m)
+    monkeypatch.setattr(D, "ROW_COST", 0.05)
+    unique = sorted({h for _, h in hashes})
+    df = spark.createDataFrame([(h,) for h in unique], "hash long")
+    got = [(r.ha, r.hb) for r in D.hash_pairs(df, None, 10, 1, bucket_limit=limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in unique for b in unique if a < b and bits(a, b) <= 10}
+
+
+def test_a_pair_meets_once_and_few_others(spark):
+    """Under segments a pair comes up once before the final distinct, and the candidates are as many as the formula says."""
+    rng = random.Random(9)
+    n, t, m = 3000, 10, 5
+    unique = [signed(rng.getrandbits(64)) for _ in range(n)]
+    unique += [signed(u ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 10)))) for u in unique[:200]]
+    df = spark.createDataFrame([(h,) for h in unique], "hash long")
+    plan = [D.Key(mask, r, D._turned(mask, r // 2), D._turned(mask, r - r // 2)) for mask, r in D.segments(t, m)]
+    met = D._keyed(df, "ha", plan, False).join(D._keyed(df, "hb", plan, True).withColumnRenamed("turn", "_turn_b"), "key")
+    ok = (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= t) & D._once(plan, F.col("key.no"))
+    near = [(r.ha, r.hb) for r in met.where(ok & (F.col("ha") < F.col("hb"))).collect()]
+    assert len(near) == len(set(near)) >= 200
+    each = met.where("ha <> hb").select("ha", "hb", "key.no").distinct().count() / len(unique)
+    assert 0.8 < each / (D.candidates(t, m) * len(unique)) < 1.2
+    for t, m in ((10, 3), (10, 4), (12, 5), (20, 6)):
+        assert sum(r + 1 for _, r in D.segments(t, m)) == t + 1 and sum(mask for mask, _ in D.segments(t, m)) == 2 ** 64 - 1
+
+
+@pytest.mark.parametrize("t, limit", [(3, 20), (5, 30), (10, 5000), (10, 60)])
+def test_components_without_pairs(spark, hashes, monkeypatch, t, limit):
+    monkeypatch.setattr(D, "ROW_COST", 1)
+    rng = random.Random(t)
+    scene = [signed(0xABCDEF0123000000 | rng.getrandbits(12) << 6) for _ in range(150)]
+    unique = sorted({h for _, h in hashes} | set(scene) | {signed(h ^ 0xFFFF << 40) for h in scene[:60]})
+    df = spark.createDataFrame([(h,) for h in unique], "hash long")
+    root = components(unique, [(a, b) for a in unique for b in unique if a < b and bits(a, b) <= t])
+    got = {r.hash: r.root for r in D.near_components(df, t, len(unique), bucket_limit=limit).collect()}
+    size = {c: list(root.values()).count(c) for c in root.values()}
+    assert got == {h: c for h, c in root.items() if size[c] > 1}
+
+
+def test_edges_of_a_scene_are_linear(spark):
+    scene = sorted({signed(0xABCDEF0123000000 | v << 6) for v in range(3000)})
+    df = spark.createDataFrame([(h,) for h in scene], "hash long").withColumn("label", F.col("hash"))
+    rows = df.withColumn("key", F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("bits")))
+    assert D._forest(rows, 5).count() == len(scene) - 1
+    assert D._stars(rows.select("key", "hash"), 5).count() <= D.STARS * len(scene)
+
+
+@pytest.mark.parametrize("t, limit", [(5, 5000), (5, 10), (10, 5000), (10, 40)])
+def test_near_any_is_a_semi_join(spark, hashes, monkeypatch, t, limit):
+    monkeypatch.setattr(D, "ROW_COST", 0.1)
+    unique = sorted({h for _, h in hashes})
+    left, right = unique[::2] + unique[1:20:2], unique[1::2]
+    frames = [spark.createDataFrame([(h,) for h in side], "hash long") for side in (left, right)]
+    got = [r.hash for r in D.near_any(*frames, t, len(right), limit).collect()]
+    assert len(got) == len(set(got)) and set(got) == {a for a in left if any(bits(a, b) <= t for b in right)}
+    assert D.near_any(frames[0], frames[1].limit(0), t, 0).count() == 0
+
+
 def components(nodes, edges):
     parent = {v: v for v in nodes}
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from visorlake.operators import sampling, signals
+from visorlake import scale
 from visorlake.scale import ordered_scan, positions, running_sum, span_of, with_halo
 
 
@@ -122,3 +123,12 @@ def test_ema_matches_recurrence(spark, alpha, first):
     for k, i, x in data:
         y[k] = x if first and k not in y else (1 - alpha) * y.get(k, 0.0) + alpha * x
         assert got[k, i] == pytest.approx(y[k], rel=1e-9)
+
+
+def test_look_up_with_a_hot_key(spark):
+    rows = spark.createDataFrame([(1 if i % 3 == 0 else i, i) for i in range(3000)] + [(None, 7)], "k int, v int")
+    table = spark.createDataFrame([(k, str(k)) for k in range(0, 3000, 2)] + [(1, "hot")], "k int, name string")
+    want = sorted(map(tuple, rows.join(table, "k", "left").collect()), key=repr)
+    for share in (1000, 10):
+        got = scale.look_up(rows, table, ["k"], share)
+        assert got.columns == ["k", "v", "name"] and sorted(map(tuple, got.collect()), key=repr) == want

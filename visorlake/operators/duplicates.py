@@ -1,19 +1,44 @@
-"""Near-duplicate pairs by Hamming distance, their clusters, and leakage-free splits."""
+"""Near-duplicate pairs by Hamming distance, their clusters, and leakage-free splits.
+
+Two hashes within `t` bits meet under at least one key. A key is some of the bits, as they are or with a bit or two turned over:
+
+* every choice of bands (`key_masks`): of b bands at most t differ, so the others agree;
+* for large `t`, segments with a radius (`segment_plan`): if every segment differed in more bits than its radius, the whole would
+  differ in more than t. Each side writes the segment with up to half the radius of bits turned over, so the two meet half-way.
+"""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
+from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visorlake.functions.vectors import byte_sum, hamming
 from visorlake.operators.sampling import cap_per_group
-from visorlake.session import settle
+from visorlake.scale import look_up, python_tasks
+from visorlake.session import settle, settle_table
 
 BITS = 64
 # Below this many distinct hashes t + 1 bands are enough; beyond it wider keys pay for their copies.
 WIDE_KEYS_FROM = 2_000_000
-MAX_LEVELS = 3
+#: Comparisons that cost as much as one more key row through the shuffle.
+ROW_COST = 50
+#: A crowded key is compared with so many of its rows as stars before it is split.
+STARS = 8
+
+
+@dataclass(frozen=True)
+class Key:
+    """The bits of `mask`; the left side turns over each of `left` (masks of single bits, or none), the right side each of `right`."""
+    mask: int
+    radius: int = 0
+    left: tuple[int, ...] = (0,)
+    right: tuple[int, ...] = (0,)
 
 
 def band_plan(n: int, t: int) -> tuple[int, int]:
@@ -42,16 +67,65 @@ def key_masks(bands: int, per_key: int) -> list[int]:
     return [sum(pick) for pick in combinations(_groups(list(range(BITS)), bands), per_key)]
 
 
+def _ball(width: int, radius: int) -> int:
+    """Patterns of at most `radius` of `width` bits."""
+    return sum(comb(width, k) for k in range(radius + 1))
+
+
+def segments(t: int, m: int) -> list[tuple[int, int]]:
+    """(mask, radius) of m segments; the radii and m add up to t + 1, so hashes within t bits are within the radius in one segment."""
+    base, more = divmod(t + 1, m)
+    return [(mask, base - 1 + (i < more)) for i, mask in enumerate(_groups(list(range(BITS)), m))]
+
+
+def candidates(t: int, m: int) -> float:
+    """Part of all (random) hashes that a hash is compared with under m segments."""
+    return sum(_ball(mask.bit_count(), r) / 2 ** mask.bit_count() for mask, r in segments(t, m))
+
+
+def key_rows(t: int, m: int) -> int:
+    """Key rows per hash, both sides together."""
+    return sum(_ball(mask.bit_count(), r // 2) + _ball(mask.bit_count(), r - r // 2) for mask, r in segments(t, m))
+
+
+def segment_count(n: int, t: int) -> int:
+    """The number of segments with the least key rows and comparisons for n hashes. The left side turns over one bit at most."""
+    few = -(-(t + 1) // 4)
+    return min(range(few, t + 2), key=lambda m: key_rows(t, m) * ROW_COST + n * candidates(t, m))
+
+
+def _turned(mask: int, most: int) -> tuple[int, ...]:
+    bits = [1 << p for p in range(BITS) if mask >> p & 1]
+    return tuple(sum(c) for k in range(most + 1) for c in combinations(bits, k))
+
+
+def key_plan(n: int, t: int) -> list[Key]:
+    if t <= 7:
+        return [Key(m) for m in key_masks(*band_plan(n, t))]
+    return [Key(mask, r, _turned(mask, r // 2), _turned(mask, r - r // 2)) for mask, r in segments(t, segment_count(n, t))]
+
+
 def finer_masks(masks: list[int], t: int) -> list[int]:
     """Each mask joined with one of t + 1 groups of the bits outside it, in order."""
     return [m | sub for m in masks for sub in _groups([p for p in range(BITS) if not m >> p & 1], t + 1)]
 
 
-def _keys(h: Column, masks: list[int], first: Column, n: int) -> Column:
-    """Keys {number, masked hash} number `first` to `first + n - 1` of a hash."""
+def _keyed(df: DataFrame, name: str, plan: list[Key], right: bool) -> DataFrame:
+    """Rows {name, turn, key}: a hash, the bits it turned over, and {number of the key, masked and turned hash}."""
+    pairs = [(no, turn, k.mask) for no, k in enumerate(plan) for turn in (k.right if right else k.left)]
+    table = F.array(*[F.struct(F.lit(no).alias("no"), F.lit(_signed(turn)).cast("long").alias("turn"), F.lit(_signed(mask)).cast("long").alias("mask"))
+                      for no, turn, mask in pairs])
+    rows = df.select(F.col("hash").alias(name), F.explode(table).alias("k"))
+    return rows.select(name, F.col("k.turn").alias("turn"), F.struct(F.col("k.no").alias("no"), F.col(name).bitwiseXOR(F.col("k.turn")).bitwiseAND(F.col("k.mask")).alias("bits")).alias("key"))
+
+
+def _finer(df: DataFrame, name: str, masks: list[int], t: int) -> DataFrame:
+    """Rows under the t + 1 longer keys of each of theirs."""
     table = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
-    return F.transform(F.sequence(first, first + n - 1), lambda no: F.struct(
-        no.alias("no"), h.bitwiseAND(F.get(table, no)).alias("bits")))
+    first = F.col("key.no") * (t + 1)
+    keys = F.transform(F.sequence(first, first + t), lambda no: F.struct(
+        no.alias("no"), F.col(name).bitwiseXOR(F.col("turn")).bitwiseAND(F.get(table, no)).alias("bits")))
+    return df.select(name, "turn", F.explode(keys).alias("key"))
 
 
 def distinct_hashes(df: DataFrame, hash="hash", id="sample_id") -> DataFrame:
@@ -59,48 +133,235 @@ def distinct_hashes(df: DataFrame, hash="hash", id="sample_id") -> DataFrame:
     return df.groupBy(hash).agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def hash_pairs(left: DataFrame, right: DataFrame | None, t: int, n: int, bucket_limit: int = 5_000) -> DataFrame:
-    """Pairs (ha, hb, distance <= t) between two sets of distinct hashes, or within one when `right` is None.
+def _once(plan: list[Key], parent: Column) -> Column:
+    """True for one of the keys that a pair shares: its first segment within the radius, met where the left side turned over the lowest bits it must."""
+    if all(len(k.left) == len(k.right) == 1 for k in plan):
+        return F.lit(True)
+    diff = F.col("ha").bitwiseXOR(F.col("hb"))
+    part = [diff.bitwiseAND(F.lit(_signed(k.mask)).cast("long")) for k in plan]
+    near = [F.bit_count(p) <= k.radius for p, k in zip(part, plan, strict=True)]
+    first = reduce(lambda rest, i: F.when(near[i], i).otherwise(rest), range(len(plan) - 1, -1, -1), F.lit(-1))
+    own = F.get(F.array(*part), parent)
+    right = F.get(F.array(*[F.lit(k.radius - k.radius // 2) for k in plan]), parent)
+    turn = F.when(F.bit_count(own) <= right, F.lit(0).cast("long")).otherwise(own.bitwiseXOR(own.bitwiseAND(F.coalesce(F.try_subtract(own, F.lit(1).cast("long")), F.lit(0).cast("long")))))  # the lowest bit
+    return (first == parent) & (F.col("turn") == turn)
 
-    A key shared by more than `bucket_limit` hashes would compare them all. Such keys are split again on the
-    bits outside them: two members within `t` bits also agree on one of t + 1 groups of those bits, so only
-    rows that share the longer key meet. This repeats while keys stay crowded and bits remain.
-    """
-    bands, per_key = band_plan(n, t)
-    masks = key_masks(bands, per_key)
-    ok = (F.col("ha") < F.col("hb")) if right is None else F.lit(True)
 
-    def keyed(df, name):
-        return df.select(F.col("hash").alias(name), F.explode(_keys(F.col("hash"), masks, F.lit(0), len(masks))).alias("key"))
+def _met(a: DataFrame, b: DataFrame, ok: Column, limit: int, spread: bool) -> DataFrame:
+    """Pairs under a shared key. With `spread`, the rows of a key are dealt to squares of at most about `limit` x `limit` rows."""
+    b = b.withColumnRenamed("turn", "_turn_b")
+    if not spread:
+        return a.join(b, "key").where(ok).select("ha", "hb")
+    sizes = [df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias(n)) for df, n in ((a, "_na"), (b, "_nb"))]
+    cut = sizes[0].join(sizes[1], "key")
+    dealt = lambda df, name, own, other: (look_up(df, cut, ["key"]).where(F.col("_na").isNotNull()).withColumn(own, F.pmod(F.xxhash64(name), F.col("_n" + own[-1])).cast("int"))
+                                          .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_n" + other[-1]) - 1))).drop("_na", "_nb"))
+    return dealt(a, "ha", "_a", "_b").join(dealt(b, "hb", "_b", "_a"), ["key", "_a", "_b"]).where(ok).select("ha", "hb")
+
+
+def _crowded(counts: DataFrame, limit: int, t: int) -> DataFrame:
+    """Keys of `counts` (key, _x, _y rows a side) worth splitting: more than `limit` rows on the right, and comparisons that outweigh t + 1 copies of the rows."""
+    x, y = F.col("_x"), F.col("_y")
+    return counts.where((y > limit) & (x * y > ROW_COST * (t + 1) * (x + y)))
+
 
-    def verified(x, y):
-        return x.join(y, "key").where(ok & (hamming("ha", "hb") <= t)).select("ha", "hb")
+def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.groupBy("key").agg(F.count(F.lit(1)).alias("_x")).join(b.groupBy("key").agg(F.count(F.lit(1)).alias("_y")), "key")
 
-    a, b, parts = keyed(left, "ha"), keyed(left if right is None else right, "hb"), []
-    for _ in range(MAX_LEVELS):
-        full = b.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_limit).select("key")
+
+def _not_split(now: DataFrame, finer: DataFrame, masks: list[int], t: int) -> DataFrame:
+    """Keys of `now` (key, _x, _y) whose longer keys (the same for `finer`) have more than half of their comparisons left: real crowds."""
+    then = finer.groupBy(_parent(masks, t).alias("key")).agg(F.sum(F.col("_x") * F.col("_y")).alias("_then"))
+    return now.join(then, "key", "left").where(F.coalesce("_then", F.lit(0)) * 2 > F.col("_x") * F.col("_y")).select("key")
+
+
+def _meetings(left: DataFrame, right: DataFrame, t: int, n: int, limit: int) -> Iterator[tuple[DataFrame, DataFrame, Column, bool]]:
+    """(a, b, condition, spread): keyed rows whose joins together compare every pair within `t` bits.
+
+    A key with more than `limit` rows on the right is split on the bits outside it: two of its members within `t` bits agree on
+    one of t + 1 groups of them. It is split as long as that pays for the copies and at least halves its comparisons; what does not
+    shrink is a real crowd (nearly all of it near), and is compared in squares over many tasks.
+    """
+    plan = key_plan(n, t)
+    masks, depth = [k.mask for k in plan], 0
+    a, b = _keyed(left, "ha", plan, False), _keyed(right, "hb", plan, True)
+    while True:
+        ok = (hamming("ha", "hb") <= t) & _once(plan, F.floor(F.col("key.no") / (t + 1) ** depth).cast("int"))
+        full = settle(_crowded(_sides(a, b), limit, t))
         if full.isEmpty():
-            break
-        full = settle(full)
-        parts.append(verified(a.join(full, "key", "left_anti"), b.join(full, "key", "left_anti")))
-        masks = finer_masks(masks, t)
+            yield a, b, ok, False
+            return
+        key = full.select("key")
+        yield a.join(key, "key", "left_anti"), b.join(key, "key", "left_anti"), ok, False
+        a, b = settle(a.join(key, "key", "left_semi")), settle(b.join(key, "key", "left_semi"))
+        if min(BITS - m.bit_count() for m in masks) <= t:
+            yield a, b, ok, True                                               # all but t bits agree: at most 2 ** t hashes
+            return
+        masks, depth = finer_masks(masks, t), depth + 1
+        fa, fb = settle(_finer(a, "ha", masks, t)), settle(_finer(b, "hb", masks, t))
+        real = settle(_not_split(full, _sides(fa, fb), masks, t))
+        if not real.isEmpty():
+            yield a.join(real, "key", "left_semi"), b.join(real, "key", "left_semi"), ok, True
+            done = real.withColumnRenamed("key", "_p")
+            fa, fb = (f.withColumn("_p", _parent(masks, t)).join(done, "_p", "left_anti").drop("_p") for f in (fa, fb))
+        a, b = fa, fb
+
+
+def _mask_of(masks: list[int], t: int) -> Column:
+    """The bits of the key that a longer key (column `key`) was made from: those its t + 1 sisters share."""
+    shared = [reduce(int.__and__, masks[i:i + t + 1]) for i in range(0, len(masks), t + 1)]
+    return F.get(F.array(*[F.lit(_signed(m)).cast("long") for m in shared]), F.floor(F.col("key.no") / (t + 1)).cast("int"))
+
+
+def _parent(masks: list[int], t: int) -> Column:
+    """The key that a longer key (column `key`) was made from."""
+    return F.struct(F.floor(F.col("key.no") / (t + 1)).cast("int").alias("no"), F.col("key.bits").bitwiseAND(_mask_of(masks, t)).alias("bits"))
 
-        def finer(df, name):
-            crowded = df.join(full, "key", "left_semi")
-            return settle(crowded.select(name, F.explode(_keys(F.col(name), masks, F.col("key.no") * (t + 1), t + 1)).alias("key")))
 
-        a, b = finer(a, "ha"), finer(b, "hb")
-    parts.append(verified(a, b))
+def hash_pairs(left: DataFrame, right: DataFrame | None, t: int, n: int, bucket_limit: int = 5_000) -> DataFrame:
+    """Pairs (ha, hb, distance <= t) between two sets of distinct hashes, or within one when `right` is None."""
+    order = (F.col("ha") < F.col("hb")) if right is None else F.lit(True)
+    parts = [_met(a, b, ok & order, bucket_limit, spread) for a, b, ok, spread in _meetings(left, left if right is None else right, t, n, bucket_limit)]
     return reduce(DataFrame.unionByName, parts).distinct().withColumn("distance", hamming("ha", "hb"))
 
 
-def near_duplicate_pairs(df: DataFrame, t: int = 5, hash="hash", id="sample_id") -> DataFrame:
+def near_any(left: DataFrame, right: DataFrame, t: int, n: int, bucket_limit: int = 5_000) -> DataFrame:
+    """The hashes of `left` with some hash of `right` within `t` bits.
+
+    Equal hashes are found first and done with. The rest meets the other side key by key in semi-joins, which look no further after a
+    row's first hit; what was found under some keys does not come to the finer ones.
+    """
+    found = settle(left.select("hash").distinct().join(right.select("hash").distinct(), "hash", "left_semi"))
+    open_ = settle(left.select("hash").distinct().join(found, "hash", "left_anti"))
+    for a, b, ok, spread in _meetings(open_, right.select("hash").distinct(), t, n, bucket_limit):
+        done = found.select(F.col("hash").alias("ha"))
+        a = a.join(done, "ha", "left_anti")
+        if spread:
+            hits = _met(a, b, ok, bucket_limit, True).select("ha")
+        else:
+            hits = a.join(b.select("hb", F.col("key").alias("_key")), (F.col("key") == F.col("_key")) & (hamming("ha", "hb") <= t), "left_semi").select("ha")
+        found = settle(found.unionByName(hits.distinct().select(F.col("ha").alias("hash"))))
+    return found
+
+
+# ---------------------------------------------------------------- components without all pairs
+def _forest(rows: DataFrame, t: int) -> DataFrame:
+    """Edges (a, b) between labels that connect all rows {key, hash, label} of equal key within `t` bits; at most one for each label and task.
+
+    Rows come sorted by key. A union-find over the labels of a batch sees every pair of a key whose labels are not connected yet.
+    """
+    def connect(h: np.ndarray, node: np.ndarray, group: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = int(root[x])
+            return x
+
+        out, end = [], np.searchsorted(group, group, side="right")
+        at = np.arange(len(h))
+        for step in range(1, int((end - at).max(initial=1))):
+            at = at[end[at] - at > step]
+            top = root[node]
+            far = top[at] != top[at + step]
+            near = at[far]
+            near = near[np.bitwise_count(h[near] ^ h[near + step]) <= t]
+            for i in near.tolist():
+                x, y = find(int(node[i])), find(int(node[i + step]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(node[i]), int(node[i + step])))
+            if len(near):
+                while (root[root] != root).any():
+                    root[:] = root[root]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def edges(block: np.ndarray) -> pa.RecordBatch:
+            change = (block[1:, 0] != block[:-1, 0]) | (block[1:, 1] != block[:-1, 1])
+            names, node = np.unique(block[:, 3], return_inverse=True)
+            found = np.array(connect(np.ascontiguousarray(block[:, 2]).view(np.uint64), node, np.append(0, np.cumsum(change)), np.arange(len(names))), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(names[found[:, 0]]), pa.array(names[found[:, 1]])], names=["a", "b"])
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1))
+            block = np.ascontiguousarray(np.concatenate(held))
+            if not len(block):
+                continue
+            last = np.flatnonzero((block[:, 0] != block[-1, 0]) | (block[:, 1] != block[-1, 1]))
+            cut = int(last[-1]) + 1 if len(last) else 0                        # the last key may go on in the next batch
+            if cut:
+                yield edges(np.ascontiguousarray(block[:cut]))
+            held = [block[cut:]]
+        if held and len(held[0]):
+            yield edges(np.ascontiguousarray(held[0]))
+
+    flat = rows.select(F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"), "hash", "label")
+    return flat.repartition(python_tasks(rows), "k1", "k2").sortWithinPartitions("k1", "k2", "hash").mapInArrow(run, "a long, b long")
+
+
+def _squares(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """Rows of large keys as those of smaller ones: each key is dealt to parts of about `limit` rows, each two of which meet under a key of their own."""
+    parts = sizes.select("key", F.ceil(F.col("_n") / limit).cast("int").alias("_k"))
+    dealt = look_up(rows.select("key", "hash", "label"), parts, ["key"]).where(F.col("_k").isNotNull()).withColumn("_i", F.pmod(F.xxhash64("hash"), F.col("_k")).cast("int"))
+    met = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    return met.select(F.struct("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j")).alias("key"), "hash", "label")
+
+
+def _stars(crowd: DataFrame, t: int) -> DataFrame:
+    """Edges (a, b) from each row {key, hash} of a crowded key to those of `STARS` of its rows that are within `t` bits."""
+    tips = crowd.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("hash", F.lit(i)).alias("h"), "hash")).alias(f"_s{i}") for i in range(STARS)])
+    tips = tips.select("key", F.array_distinct(F.array(*[F.col(f"_s{i}.hash") for i in range(STARS)])).alias("tips"))
+    return (look_up(crowd.select("key", "hash"), tips, ["key"]).select("hash", F.explode("tips").alias("tip"))
+            .where((F.col("hash") != F.col("tip")) & (hamming("hash", "tip") <= t)).select(F.col("hash").alias("a"), F.col("tip").alias("b")))
+
+
+def near_components(hashes: DataFrame, t: int, n: int, bucket_limit: int = 5_000) -> DataFrame:
+    """Component (`root`, its smallest hash) of each hash that has another within `t` bits, without listing the pairs.
+
+    Keys of up to `bucket_limit` rows give a spanning forest each. A crowded key first gives stars around a few of its rows, one edge
+    a row; the components so far are contracted, and keys whose rows all belong to one are done. What is still mixed is
+    split on more bits, or compared in squares over many tasks if that does not thin it out. A scene of m near hashes costs edges in proportion to m.
+    """
+    plan = key_plan(n, t)
+    masks = [k.mask for k in plan]
+    rows = _keyed(hashes, "hash", plan, False)
+    if any(len(k.right) > 1 for k in plan):
+        rows = rows.unionByName(_keyed(hashes, "hash", plan, True))
+    rows = rows.distinct().withColumn("label", F.col("hash")) if t > 7 else rows.withColumn("label", F.col("hash"))
+    edges = None
+    limit = max(bucket_limit, ROW_COST * (t + 1))                              # below, copies cost more than they save
+    add = lambda more: more if edges is None else edges.unionByName(more)
+    while True:
+        full = settle_table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit))
+        last = full.isEmpty() or min(BITS - m.bit_count() for m in masks) <= t
+        edges = add(settle_table(_forest(rows if last else rows.join(full.select("key"), "key", "left_anti"), t)))
+        if last:
+            return connected_components(edges).select(F.col("id").alias("hash"), F.col("cluster").alias("root"))
+        crowd = settle_table(rows.join(full.select("key"), "key", "left_semi").drop("label"))
+        edges = add(settle_table(_stars(crowd, t)))
+        known = connected_components(edges).select(F.col("id").alias("hash"), F.col("cluster").alias("label"))
+        named = lambda df, known=known: settle_table(df.join(known, "hash", "left").withColumn("label", F.coalesce("label", "hash")))
+        crowd = named(crowd)
+        mixed = settle_table(crowd.groupBy("key").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.count(F.lit(1)).alias("_n")).where("_l < _m").select("key", "_n"))
+        masks = finer_masks(masks, t)
+        live = crowd.join(mixed.select("key"), "key", "left_semi")
+        rows = named(_finer(live.select("hash", "turn", "key"), "hash", masks, t))
+        square = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("_x")).withColumn("_y", F.col("_x"))
+        real = settle_table(_not_split(mixed.select("key", F.col("_n").alias("_x"), F.col("_n").alias("_y")), square(rows), masks, t))
+        if not real.isEmpty():
+            edges = add(settle_table(_forest(_squares(live.join(real, "key", "left_semi"), mixed.join(real, "key"), limit), t)))
+            rows = rows.withColumn("_p", _parent(masks, t)).join(real.withColumnRenamed("key", "_p"), "_p", "left_anti").drop("_p")
+
+
+def near_duplicate_pairs(df: DataFrame, t: int = 5, hash="hash", id="sample_id", bucket_limit: int = 5_000) -> DataFrame:
     """Pairs of distinct hashes within `t` bits, each named by its smallest id, with copy counts.
 
     Identical hashes are collapsed first; `near_duplicate_links` ties the copies back with one edge each.
     """
     reps = settle(distinct_hashes(df, hash, id).withColumnRenamed(hash, "hash"))
-    pairs = hash_pairs(reps.select("hash"), None, t, reps.count())
+    pairs = hash_pairs(reps.select("hash"), None, t, reps.count(), bucket_limit)
     a = reps.select(F.col("hash").alias("ha"), F.col("rep").alias("rep_a"), F.col("copies").alias("copies_a"))
     b = reps.select(F.col("hash").alias("hb"), F.col("rep").alias("rep_b"), F.col("copies").alias("copies_b"))
     out = pairs.join(a, "ha").join(b, "hb")
@@ -129,17 +390,17 @@ def connected_components(edges: DataFrame, a="a", b="b", seed: int = 0) -> DataF
     by a constant factor per round, whatever the shape of the graph; every step is a join or a
     map-side combined minimum, so a node with very many edges costs no more than its edges.
     """
-    live = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    live = settle_table(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
                   .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     moves, rnd = [], 0
     while not live.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(seed * 1000 + rnd)).alias("h"), F.col(c).alias("n"))
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        move = settle(both.groupBy("u").agg(F.min(rank("v")).alias("_m"))
+        move = settle_table(both.groupBy("u").agg(F.min(rank("v")).alias("_m"))
                       .select("u", F.least("_m", rank("u"))["n"].alias("to")))
         moves.append(move)
         us, vs = move.withColumnRenamed("to", "nu"), move.select(F.col("u").alias("v"), F.col("to").alias("nv"))
-        live = settle(live.join(us, "u").join(vs, "v").where("nu <> nv")
+        live = settle_table(live.join(us, "u").join(vs, "v").where("nu <> nv")
                       .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct())
         rnd += 1
     if not moves:
@@ -147,22 +408,22 @@ def connected_components(edges: DataFrame, a="a", b="b", seed: int = 0) -> DataF
     final = moves[-1].select("u", F.col("to").alias("root"))
     for move in reversed(moves[:-1]):
         later = final.select(F.col("u").alias("to"), "root")
-        final = settle(move.join(later, "to", "left").select("u", F.coalesce("root", "to").alias("root")))
+        final = settle_table(move.join(later, "to", "left").select("u", F.coalesce("root", "to").alias("root")))
     names = final.groupBy("root").agg(F.min("u").alias("cluster"))
-    return final.join(names, "root").select(F.col("u").alias("id"), "cluster")
+    return look_up(final, names, ["root"]).select(F.col("u").alias("id"), "cluster")
 
 
 def cluster_duplicates(df: DataFrame, t: int = 5, hash="hash", id="sample_id") -> DataFrame:
     """Every sample with its cluster (smallest id in it) and the cluster's size.
 
-    Components are found over representatives only; copies inherit the cluster of theirs.
+    Components are found over distinct hashes and without their pairs; copies inherit the cluster of theirs.
     """
-    pairs = near_duplicate_pairs(df, t, hash, id)
-    comp = connected_components(pairs, "id_a", "id_b").select(F.col("id").alias("rep"), "cluster")
-    reps = distinct_hashes(df, hash, id)
-    named = (reps.join(comp, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep")))
-    sizes = named.groupBy("cluster").agg(F.sum("copies").alias("cluster_size"))
-    return df.join(named.join(sizes, "cluster").select(hash, "cluster", "cluster_size"), hash)
+    reps = settle(distinct_hashes(df.withColumnRenamed(hash, "hash"), "hash", id))
+    comp = near_components(reps.select("hash"), t, reps.count())
+    named = settle(reps.join(comp, "hash", "left").withColumn("root", F.coalesce("root", "hash")))
+    sizes = named.groupBy("root").agg(F.min("rep").alias("cluster"), F.sum("copies").alias("cluster_size"))
+    found = settle(look_up(named, sizes, ["root"]).select(F.col("hash").alias(hash), "cluster", "cluster_size"))
+    return look_up(df, found, [hash])
 
 
 def split_by_cluster(clustered: DataFrame, hash="hash", id="sample_id", train: int = 85, valid: int = 10,
@@ -184,9 +445,8 @@ def split_by_cluster(clustered: DataFrame, hash="hash", id="sample_id", train: i
 def leakage_audit(df: DataFrame, t: int = 5, hash="hash", split="split", train: str = "train") -> DataFrame:
     """Per evaluation split: rows, rows within `t` bits of some training row, and the percentage."""
     evals = settle(df.where(F.col(split) != train).groupBy(split, F.col(hash).alias("hash")).agg(F.count(F.lit(1)).alias("_c")))
-    left = evals.select("hash").distinct()
-    right = df.where(F.col(split) == train).select(F.col(hash).alias("hash")).distinct()
-    near = hash_pairs(left, right, t, df.count()).select(F.col("ha").alias("hash")).distinct().withColumn("_hit", F.lit(True))
+    right = settle(df.where(F.col(split) == train).select(F.col(hash).alias("hash")).distinct())
+    near = near_any(evals.select("hash"), right, t, right.count()).withColumn("_hit", F.lit(True))
     return (evals.join(near, "hash", "left").groupBy(split)
             .agg(F.coalesce(F.sum(F.when(F.col("_hit"), F.col("_c"))), F.lit(0)).alias("leaked"), F.sum("_c").alias("total"))
             .withColumn("percent", F.lit(100.0) * F.col("leaked") / F.greatest("total", F.lit(1))))

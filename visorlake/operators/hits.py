@@ -8,6 +8,7 @@ from visorlake.functions.boxes import hypot
 from visorlake.operators.ball import ball_lives
 from visorlake.operators.tracks import motion_rows, video_size
 from visorlake.scale import FRAME_SPAN, ordered_scan, with_halo
+from visorlake.session import settle
 
 # kind: `armed` marks a frame soon after a rest, `hit` an event at `frame_idx`.
 EVENTS = T.StructType([T.StructField("video_id", T.StringType()), T.StructField("frame_idx", T.IntegerType()),
@@ -36,7 +37,7 @@ def followed(frames: DataFrame, fps: float, mode: str, size: tuple[int, int], sp
     cam = F.col("cam") if c["camera"] else F.lit(None).cast("array<double>")
     rows = (motion_rows(frames.join(video_size(frames, size), "video_id"), F.lit(58 / 2048.0) * F.col("_w")).withColumn("cam", cam)
             .select("video_id", "frame_idx", "cam", "bx", "by", "br", "kx", "ky", "_w", "_h"))
-    lives = ball_lives(rows.select("video_id", "frame_idx", "cam", "bx", "by", "br"), fps, c["gate_d"], c["reacquire_d"], span=span, **scan)
+    lives = ball_lives(rows.select("video_id", "frame_idx", "cam", "bx", "by", "br"), fps, c["gate_d"], c["reacquire_d"], span=span, counted=frames, **scan)
     return lives.join(rows.select("video_id", "frame_idx", "kx", "ky", "_w", "_h"), ["video_id", "frame_idx"])
 
 
@@ -126,10 +127,10 @@ def hit_events(frames: DataFrame, fps: float = 30.0, mode: str = "ego", size: tu
     hits, and a new rest after each verdict.
     """
     c = RULES[mode]
-    rows = with_rest(followed(frames, fps, mode, size, span, scan), fps, c, span)
+    rows = settle(with_rest(followed(frames, fps, mode, size, span, scan), fps, c, span))
     ends = frames.groupBy(F.col("video_id").cast("string").alias("video_id")).agg(F.max("frame_idx").alias("_end"))
-    cands = (judged(departures(rows, fps, c), rows, fps, c).join(ends, "video_id")
-             .withColumn("good", F.col("good") & (F.col("resolved") <= F.col("_end"))).drop("_end"))   # one still open at the end is no hit and lets no other in
+    cands = settle(judged(departures(rows, fps, c), rows, fps, c).join(ends, "video_id")
+                   .withColumn("good", F.col("good") & (F.col("resolved") <= F.col("_end"))).drop("_end"))   # one still open at the end is no hit and lets no other in
     rest_n, cool = _frames(c["rest_s"], fps, 2), int(c["cooldown_s"] * fps)
 
     def choose(key, state, part: pd.DataFrame):

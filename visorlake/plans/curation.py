@@ -244,6 +244,14 @@ def _(fx):
     return D.near_duplicate_pairs(both, 5).select("id_a", "id_b", "copies_a", "copies_b")
 
 
+@query("j07_strict_crowded", """
+    WITH h AS MATERIALIZED (SELECT min(sample_id) AS sample_id, hash & 1099511627775 AS hash FROM $hash q GROUP BY 2) """ + NEAR.format(t=10))
+def _(fx):
+    """24 bits are the same in all hashes, so every key of the first plan is crowded."""
+    free = fx.hashes.select("sample_id", F.col("hash").bitwiseAND(F.lit(1099511627775)).alias("hash"))
+    return D.near_duplicate_pairs(free, 10, bucket_limit=300).select("id_a", "id_b", "distance")
+
+
 @query("j08_leakage_audit", """
     WITH h AS MATERIALIZED (SELECT *, CASE WHEN sample_id % 7 = 0 THEN 'valid' WHEN sample_id % 7 = 1 THEN 'test' ELSE 'train' END AS split FROM $hash q)
     SELECT split, CAST(sum(hit) AS BIGINT) AS leaked, count(*) AS total, round(100.0 * sum(hit) / count(*), 6) AS percent FROM (SELECT split, sample_id, CASE WHEN EXISTS (SELECT 1 FROM h t WHERE t.split = 'train' AND bit_count(xor(t.hash, e.hash)) <= 5) THEN 1 ELSE 0 END AS hit FROM h e WHERE split <> 'train') GROUP BY 1""")
@@ -263,6 +271,25 @@ def _(fx):
     return D.cluster_duplicates(fx.hashes, 5).select("sample_id", "cluster", "cluster_size")
 
 
+@query("c01_one_scene", """
+    WITH RECURSIVE h AS MATERIALIZED (SELECT DISTINCT scene, hash FROM $scenes q),
+    r(root, hash) AS (SELECT min(hash), min(hash) FROM h GROUP BY scene UNION SELECT r.root, h.hash FROM r JOIN h ON bit_count(xor(r.hash, h.hash)) <= 5)
+    SELECT sample_id, min(sample_id) OVER (PARTITION BY root) AS cluster, count(*) OVER (PARTITION BY root) AS cluster_size FROM $scenes s JOIN r ON r.hash = s.hash""")
+def _(fx):
+    return D.cluster_duplicates(fx.scenes.select("sample_id", "hash"), 5).select("sample_id", "cluster", "cluster_size")
+
+
+@query("j08_scene_audit", """
+    WITH h AS MATERIALIZED (SELECT DISTINCT hash, CASE WHEN sample_id % 50 = 0 THEN 'test' ELSE 'train' END AS split, xor(hash, CASE WHEN sample_id % 100 = 50 THEN 4503599627370496 * 127 ELSE 0 END) AS k FROM $scenes q)
+    SELECT split, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM h t WHERE t.split = 'train' AND bit_count(xor(t.hash, e.k)) <= 5) THEN 1 ELSE 0 END) AS BIGINT) AS leaked, count(*) AS total FROM h e WHERE split = 'test' GROUP BY 1""")
+def _(fx):
+    """Held-out pictures of still scenes; half of them have seven more bits turned over, so they are near no other."""
+    s, far = fx.scenes, F.when(F.col("sample_id") % 100 == 50, F.lit(4503599627370496 * 127)).otherwise(F.lit(0).cast("long"))
+    rows = s.select("hash", F.when(F.col("sample_id") % 50 == 0, "test").otherwise("train").alias("split"), F.col("hash").bitwiseXOR(far).alias("k")).distinct()
+    marked = rows.select("split", F.when(F.col("split") == "test", F.col("k")).otherwise(F.col("hash")).alias("hash"))
+    return D.leakage_audit(marked).select("split", "leaked", "total")
+
+
 PLACED = CLUSTERS + """,
     b AS (SELECT sample_id AS cluster, (hash & 255) + ((hash >> 8) & 255) + ((hash >> 16) & 255) + ((hash >> 24) & 255) + ((hash >> 32) & 255) + ((hash >> 40) & 255) + ((hash >> 48) & 255) + ((hash >> 56) & 255) AS s FROM h),
     p AS (SELECT c.sample_id, c.cluster, CASE WHEN s % 100 < 85 THEN 'train' WHEN s % 100 < 95 THEN 'valid' ELSE 'test' END AS split, row_number() OVER (PARTITION BY c.cluster ORDER BY c.sample_id) AS rn FROM c JOIN b USING (cluster)),

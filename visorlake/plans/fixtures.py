@@ -43,6 +43,12 @@ VIEWS = {
           concat('u', CAST(s_suppkey AS VARCHAR(20)), '@example.com') AS email FROM supplier""",
 }
 
+# Two still scenes: the 13 low bits of an order number, each some places apart, over two patterns 18 bits apart.
+_SPREAD = " + ".join(f"CAST(floor(v / {2 ** i}) AS BIGINT) % 2 * {2 ** (4 * i)}" for i in range(13))
+VIEWS["scenes"] = f"""
+    SELECT sample_id, scene, scene * 67253750426763264 + {_SPREAD} AS hash FROM (
+      SELECT o_orderkey AS sample_id, o_custkey % 2 AS scene, o_orderkey * 7919 % 5003 AS v FROM orders) o"""
+
 # Bit i of a hash is component i above the median of components 2 to 64; copies 1 to 3 of a vector differ from it
 # in one to three bits. `lo` holds bits 0 to 31 and `hi` bits 32 to 63 of the BIGINT.
 HASH_CHECK = """
@@ -91,6 +97,7 @@ class Fixtures:
     tasks = cached_property(lambda self: self._view("tasks"))
     projects = cached_property(lambda self: self._view("projects"))
     users = cached_property(lambda self: self._view("users"))
+    scenes = cached_property(lambda self: self._view("scenes"))
 
     @cached_property
     def hashes(self) -> DataFrame:

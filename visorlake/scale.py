@@ -96,6 +96,21 @@ def with_halo(df: DataFrame, at: str, back: float = 0, ahead: float = 0,
     return df.withColumn("_span", F.explode(spans)).withColumn("_own", F.col("_span") == home)
 
 
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], share: int = 1_000) -> DataFrame:
+    """Left join of `rows` with `table` (one row per key), where some keys may hold a large part of the rows.
+
+    Keys with more than 1 / `share` of all rows are at most `share`, so their lines of the table are broadcast; no task
+    gathers the rows of one. All other keys are joined by shuffling. Settle `rows` first if they are costly: they are read twice.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most = max(share, rows.count() // share)
+    hot = counts.where(F.col("_n") > most).select(*keys, F.lit(True).alias("_hot"))
+    few = F.broadcast(table.join(F.broadcast(hot), keys))
+    met = rows.join(few, keys, "left")
+    rest = met.where(F.col("_hot").isNull()).select(*rows.columns).join(table, keys, "left")
+    return met.where(F.col("_hot").isNotNull()).drop("_hot").select(*rest.columns).unionByName(rest)
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
                   name: str = "_rn") -> DataFrame:
     """First `n` rows per group. Spark cuts each map task to `n` rows per key before the shuffle."""
@@ -150,7 +165,7 @@ def hot_groups(df: DataFrame, keys: list[str], rows: int = GROUP_ROWS) -> DataFr
 
 def ordered_scan(df: DataFrame, keys: list[str], at: str, order: list[str], fold: Callable,
                  schema: T.StructType, span: int = FRAME_SPAN, warmup: int = 0,
-                 group_rows: int = GROUP_ROWS, forgets: bool = True) -> DataFrame:
+                 group_rows: int = GROUP_ROWS, forgets: bool = True, counted: DataFrame | None = None) -> DataFrame:
     """Fold each group in order, where the result for a row depends on everything before it.
 
     `fold(key, state, rows)` returns `(output rows, new state)`; `state` is a JSON-able value and None at the
@@ -159,11 +174,12 @@ def ordered_scan(df: DataFrame, keys: list[str], at: str, order: list[str], fold
     the last `warmup` units of its predecessor, and a span whose entry state differs from the state its
     predecessor really ended with is folded again from that state, until no span differs. The result is the
     sequential one. Groups that still differ after a few rounds, and folds that never forget
-    (`forgets=False`), stream through one task per group with a batch and a state in memory.
+    (`forgets=False`), stream through one task per group with a batch and a state in memory. `counted` has the keys
+    of `df` and as many rows of each, if that is cheaper to count.
     """
     if not forgets:
         return _in_order(df, keys, order, fold, schema)
-    hot = hot_groups(df, keys, group_rows)
+    hot = hot_groups(df if counted is None else counted, keys, group_rows)
     if hot.isEmpty():
         return _in_order(df, keys, order, fold, schema)
     hot = settle(hot)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle_table(df: DataFrame) -> DataFrame:
+    """As `settle`, for loops: a table in the shared folder, whose real size is all that the optimizer knows of it.
+
+    A checkpoint keeps the estimated size of the plan behind it. Estimates of joins multiply, so in a loop of joins the digits of that number double
+    from round to round. The files go with the application.
+    """
+    spark = df.sparkSession
+    _checkpoint_ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
