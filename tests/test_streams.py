@@ -5,6 +5,7 @@ from pyspark.sql import functions as F, types as T
 
 from visorlake.schemas import LIVE
 from visorlake.streaming import live as L
+from visorlake.streaming.posture import posture_states
 
 
 def live_rows():
@@ -71,6 +72,73 @@ def test_address_detector_batch(spark):
     assert set(out["state"][21:25]) == {"PROMPT"} and out["state"][30] == "SEARCHING"
 
 
+def slow_posture(frames):
+    """The states frame by frame, from all frames before: `frames` of (ns, person, leaning, low, x, y)."""
+    out, runs, prompts = [], [], []
+    for i, (t, person, leaning, low, x, y) in enumerate(frames):
+        clubs = [f[0] for f in frames[:i + 1] if f[3]]
+        posture = leaning and bool(clubs) and t - clubs[-1] <= 1_000_000_000
+        if not runs or runs[-1][0] != posture:
+            runs.append((posture, []))
+        runs[-1][1].append((t, x, y))
+        run = runs[-1][1]
+        if posture:
+            near = [r for r in run if t - r[0] <= 400_000_000]
+            still = max(max(r[k] for r in near) - min(r[k] for r in near) for k in (1, 2)) <= 0.04
+            new = not prompts and len(near) > 2 and still and t - run[0][0] >= 400_000_000
+            prompts += [t] * new
+            out.append(("PROMPT" if prompts else "POSTURE", new))
+            continue
+        away = t - run[0][0] >= 600_000_000
+        prompts = [] if away else prompts
+        out.append((("HUMAN" if person else "SEARCHING") if away or len(runs) == 1 else [o[0] for o in out][-len(run)], False))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_posture_in_any_pieces(seed):
+    import random
+
+    r = random.Random(seed)
+    frames, t, person, low, x = [], 0, True, True, 0.5
+    for _ in range(400):
+        t += r.choice([33, 66, 100, 100, 250, 700]) * 1_000_000
+        person, low = (not person if r.random() < 0.08 else person), (not low if r.random() < 0.1 else low)
+        x += r.choice([0, 0, 0.01, -0.01, 0.05]) * (r.random() < 0.2)
+        frames.append((t, person, person and r.random() < 0.97, low and r.random() < 0.5, round(x, 3), 0.6))
+    want = slow_posture(frames)
+    assert {s for s, _ in want} == {"SEARCHING", "HUMAN", "POSTURE", "PROMPT"} and any(new for _, new in want)
+    columns = ["ts", "person", "leaning", "club_low", "hip_x", "hip_y"]
+    for size in (1, 7, 400):
+        memory, got = None, []
+        for at in range(0, len(frames), size):
+            part, memory = posture_states(memory, pd.DataFrame(frames[at:at + size], columns=columns))
+            got += list(zip(part["state"], part["confirmed"].tolist(), strict=True))
+        assert got == want
+
+
+def test_address_detector_streams_as_its_batch_form(spark, tmp_path):
+    t0, rows = pd.Timestamp("2024-01-01"), []
+    for cam in ("a", "b"):
+        for i in range(120):
+            seen = i % 50 < 35
+            rows.append((cam, (t0 + pd.Timedelta(milliseconds=100 * i)).to_pydatetime(), 0.6 if seen else None, 0.3, 0.4 if seen else None, 0.6, i % 3 == 0))
+    schema = T.StructType.fromDDL("camera_id string, ts timestamp, shoulder_x double, shoulder_y double, hip_x double, hip_y double, club_low boolean")
+    end = [("z", (t0 + pd.Timedelta(seconds=60)).to_pydatetime(), None, None, None, None, False)]
+    rows.sort(key=lambda r: r[1])
+    want = sorted(map(tuple, L.stream_address_detector(spark.createDataFrame(rows, schema)).collect()))
+    L.use_state_store(spark)
+    for n in (1, 3, 10):
+        source, out = str(tmp_path / f"in{n}"), str(tmp_path / f"out{n}")
+        for k in range(n):
+            part = rows[k * len(rows) // n:(k + 1) * len(rows) // n] + (end if k == n - 1 else [])
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        q = (L.stream_address_detector(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)).writeStream.format("parquet")
+             .option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert sorted(map(tuple, spark.read.parquet(f"{out}/rows").where("camera_id <> 'z'").collect())) == want
+
+
 def test_changes_and_throttle(spark):
     t0 = pd.Timestamp("2024-01-01")
     rows = [("k", (t0 + pd.Timedelta(milliseconds=200 * i)).to_pydatetime(), v) for i, v in enumerate("aabbbaacca")]

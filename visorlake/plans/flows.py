@@ -225,15 +225,31 @@ def _live_events(fx):
 
 @query("t01_stream_hit_counter")
 def _(fx):
-    return live(fx, L.stream_hit_counter(_live_events(fx)))
-
-
-@query("t02_stream_address_detector")
-def _(fx):
-    e = F.col("event_id")
-    seen = e % 9 != 0
-    f = _live_events(fx).select("camera_id", "ts", F.when(seen, 0.5 + (e % 4) / 10.0).alias("shoulder_x"), F.when(seen, F.lit(0.3)).alias("shoulder_y"),
-                                F.when(seen, F.lit(0.4)).alias("hip_x"), F.when(seen, F.lit(0.6)).alias("hip_y"), (e % 3 == 0).alias("club_low"))
+    return live(fx, L.stream_hit_counter(_live_events(fx), forget_ms=None))
+
+
+@query("t02_stream_address_detector", """
+    WITH e AS (SELECT user_id % 8 AS cam, (event_id + 1) * 25 AS ms, event_id % 9 <> 0 AND event_id // 60 % 4 <> 0 AS person, event_id % 3 = 0 AND event_id // 150 % 3 <> 0 AS low, event_id // 40 % 3 * 0.03 AS hip FROM events),
+    p AS (SELECT *, person AND bool_or(low) OVER (PARTITION BY cam ORDER BY ms RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS posture FROM e),
+    c AS (SELECT *, CASE WHEN posture IS DISTINCT FROM lag(posture) OVER (PARTITION BY cam ORDER BY ms) THEN 1 ELSE 0 END AS change FROM p),
+    r AS (SELECT *, sum(change) OVER (PARTITION BY cam ORDER BY ms) AS run FROM c),
+    w AS (SELECT *, min(ms) OVER (PARTITION BY cam, run) AS begun, count(*) OVER z AS n, max(hip) OVER z - min(hip) OVER z AS moved FROM r WINDOW z AS (PARTITION BY cam, run ORDER BY ms RANGE BETWEEN 400 PRECEDING AND CURRENT ROW)),
+    k AS (SELECT *, posture AND n > 2 AND moved <= 0.04 AND ms - begun >= 400 AS ok, NOT posture AND ms - begun >= 600 AS away FROM w),
+    l AS (SELECT *, max(CASE WHEN ok THEN ms END) OVER (PARTITION BY cam ORDER BY ms) AS ok_at, max(CASE WHEN away THEN ms END) OVER (PARTITION BY cam ORDER BY ms) AS away_at,
+      max(CASE WHEN ok THEN ms END) OVER (PARTITION BY cam ORDER BY ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ok_before FROM k),
+    n AS (SELECT *, CASE WHEN posture AND coalesce(ok_at, -1) > coalesce(away_at, -1) THEN 'PROMPT' WHEN posture THEN 'POSTURE' END AS said FROM l),
+    o AS (SELECT *, last_value(said IGNORE NULLS) OVER (PARTITION BY cam ORDER BY ms) AS kept FROM n)
+    SELECT CAST(cam AS VARCHAR) AS camera_id, make_timestamp(ms * 1000) AS ts, CASE WHEN away OR kept IS NULL THEN CASE WHEN person THEN 'HUMAN' ELSE 'SEARCHING' END ELSE kept END AS state,
+      ok AND coalesce(ok_before, -1) <= coalesce(away_at, -1) AS confirmed FROM o""")
+def _(fx):
+    """Eight cameras of some 5 frames a second: people come and go, clubs are low at times, hips move now and then."""
+    e, last = F.col("event_id"), F.col("camera_id") == END
+    part = lambda n: F.floor(e / n).cast("long")
+    seen = (e % 9 != 0) & (part(60) % 4 != 0)
+    f = _live_events(fx).select(F.when(last, F.lit(END).cast("long")).otherwise(F.col("camera_id") % 8).alias("camera_id"),
+                                (F.timestamp_millis((e + 1) * 25) + F.when(last, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))).alias("ts"),
+                                F.when(seen, 0.6 + (e % 4) / 10.0).alias("shoulder_x"), F.when(seen, F.lit(0.3)).alias("shoulder_y"),
+                                F.when(seen, F.lit(0.4)).alias("hip_x"), F.when(seen, F.lit(0.6) + part(40) % 3 * 0.03).alias("hip_y"), ((e % 3 == 0) & (part(150) % 3 != 0)).alias("club_low"))
     return live(fx, L.stream_address_detector(f))
 
 
@@ -256,7 +272,10 @@ def _(fx):
     return drained(fx, L.stream_leaderboard(o), "complete")
 
 
-@query("t05_stream_active_annotators")
+@query("t05_stream_active_annotators", """
+    SELECT start, start + INTERVAL 7 DAY AS "end", count(DISTINCT u) AS active FROM (
+      SELECT u, date_trunc('day', stamp) - to_days(CAST(k AS INTEGER)) AS start FROM (SELECT completed_by_id AS u, CAST(updated_at AS TIMESTAMP) AS stamp FROM $annotations q WHERE was_cancelled = 0) a, (SELECT unnest(range(0, 7)) AS k) z) w
+    WHERE start + INTERVAL 7 DAY <= (SELECT max(CAST(updated_at AS TIMESTAMP)) FROM $annotations q WHERE was_cancelled = 0) - INTERVAL 1 DAY GROUP BY start""")
 def _(fx):
     o = stream_of(fx, "orders").select((F.col("o_orderkey") % 60).alias("completed_by_id"), (F.col("o_orderstatus") == "P").cast("int").alias("was_cancelled"), F.col("o_orderdate").alias("updated_at"))
     return drained(fx, L.stream_active_annotators(o, "7 days", "1 day", "1 day"))
@@ -265,7 +284,7 @@ def _(fx):
 @query("t06_emit_changes", """
     SELECT camera_id, ts, value FROM (SELECT CAST(user_id AS VARCHAR) AS camera_id, ts, event_type AS value, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events) e WHERE value IS DISTINCT FROM before""")
 def _(fx):
-    return live(fx, L.emit_changes(_live_events(fx).drop("value").withColumnRenamed("event_type", "value")))
+    return live(fx, L.emit_changes(_live_events(fx).drop("value").withColumnRenamed("event_type", "value"), forget_ms=None))
 
 
 @query("t06_throttle", """

@@ -15,11 +15,12 @@ from visorlake.functions.boxes import values_of
 from visorlake.operators import ball, tracks
 from visorlake.operators.tracks import FaceTracks
 from visorlake.scale import ordered_scan
-from visorlake.streaming import rules
-from visorlake.streaming.rules import Gallery, address_step, hit_step
+from visorlake.streaming import posture, rules
+from visorlake.streaming.posture import MEMORY, POSTURE, posture_states
+from visorlake.streaming.rules import Gallery, hit_step
 
 # The process in which a stream sets up its state sees no files added to the session, so the state classes travel by value.
-for _module in (sys.modules[__name__], rules, ball, tracks):
+for _module in (sys.modules[__name__], posture, rules, ball, tracks):
     cloudpickle.register_pickle_by_value(_module)
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,55 +40,78 @@ def _plain(v):
     return v.value if isinstance(v, pd.Timestamp) else v
 
 
+#: Rows handed to a fold at a time.
+CHUNK = 10_000
+
+
 class InOrder(StatefulProcessor):
     """Feeds each key's rows to `fold` in time order.
 
-    Rows wait in state until the watermark passes them, are sorted, and folded once; a row older than what
-    was folded is dropped. `fold(key, state, rows)` returns output rows and the new JSON-able state, which
-    is forgotten when event time has moved `forget_ms` past the key's last row.
+    Rows wait in a typed list until the watermark passes them; new ones are appended, and the list is read only when some are due. Due rows
+    are sorted and folded once, in pieces; a row older than what was folded is dropped. `fold(key, state, rows)` returns output rows and
+    the new state: fields of `memory`, or a JSON-able value without. It is forgotten when event time has moved `forget_ms` past
+    the key's last row.
     """
 
-    def __init__(self, fold: Callable, columns: list[str], ts: str = "ts", tie: str | None = None, forget_ms: int | None = None):
-        self.fold, self.columns, self.ts, self.tie, self.forget_ms = fold, columns, ts, tie, forget_ms
+    def __init__(self, fold: Callable, columns: T.StructType, ts: str = "ts", tie: str | None = None, forget_ms: int | None = None, memory: str | None = None):
+        self.fold, self.names, self.ts, self.tie, self.forget_ms = fold, columns.fieldNames(), columns.fieldNames().index(ts), tie, forget_ms
+        self.row = T.StructType([T.StructField(f.name, T.LongType() if f.name == ts else f.dataType) for f in columns.fields])
+        self.kind = T.StructType.fromDDL(memory) if memory else T.StructType([T.StructField("s", T.StringType())])
+        self.typed = memory is not None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.memory = handle.getValueState("memory", "s string")
-        self.waiting = handle.getListState("waiting", "s string")
+        self.memory = handle.getValueState("memory", self.kind)
+        self.times = handle.getValueState("times", "folded long, due long")
+        self.waiting = handle.getListState("waiting", self.row)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [json.dumps({c: _plain(v) for c, v in zip(self.columns, r)})
-               for pdf in rows for r in pdf[self.columns].itertuples(index=False)]
+        new = [tuple(_plain(v) for v in r) for pdf in rows for r in pdf[self.names].itertuples(index=False, name=None)]
         yield from self._advance(key, new, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, [], timerValues)
 
+    def _state(self):
+        if not self.memory.exists():
+            return None
+        v = self.memory.get()
+        return dict(zip(self.kind.fieldNames(), v, strict=True)) if self.typed else json.loads(v[0])
+
     def _advance(self, key, new, timerValues):
         mark = timerValues.getCurrentWatermarkInMs()
-        held = [json.loads(s[0]) for s in self.waiting.get()] if self.waiting.exists() else []
-        held += [json.loads(s) for s in new]
-        saved = json.loads(self.memory.get()[0]) if self.memory.exists() else {"at": None, "state": None}
-        due = sorted((r for r in held if r[self.ts] // 1_000_000 <= mark), key=lambda r: (r[self.ts], r[self.tie] if self.tie else 0))
-        rest = [r for r in held if r[self.ts] // 1_000_000 > mark]
-        fresh = [r for r in due if saved["at"] is None or r[self.ts] > saved["at"]]
-        if fresh:
-            out, state = self.fold(key, saved["state"], pd.DataFrame(fresh))
-            saved = {"at": fresh[-1][self.ts], "state": state}
-            self.memory.update((json.dumps(saved),))
-            if len(out):
-                yield out
-        wake = None
-        if rest:
-            self.waiting.put([(json.dumps(r),) for r in rest])
-            wake = min(r[self.ts] for r in rest) // 1_000_000
+        folded, due_at = self.times.get() if self.times.exists() else (None, None)
+        if new:
+            self.waiting.appendList(new)
+            due_at = min([r[self.ts] for r in new] + ([due_at] if due_at is not None else []))
+        if due_at is not None and due_at // 1_000_000 <= mark:
+            held = list(self.waiting.get())
+            tie = self.names.index(self.tie) if self.tie else self.ts
+            due = sorted((r for r in held if r[self.ts] // 1_000_000 <= mark and (folded is None or r[self.ts] > folded)), key=lambda r: (r[self.ts], r[tie]))
+            rest = [r for r in held if r[self.ts] // 1_000_000 > mark]
+            if due:
+                state = self._state()
+                for at in range(0, len(due), CHUNK):
+                    out, state = self.fold(key, state, pd.DataFrame(due[at:at + CHUNK], columns=self.names))
+                    if len(out):
+                        yield out
+                folded = due[-1][self.ts]
+                self.memory.update(tuple(state[n] for n in self.kind.fieldNames()) if self.typed else (json.dumps(state),))
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            due_at = min((r[self.ts] for r in rest), default=None)
+        wake = None if due_at is None else due_at // 1_000_000
+        if wake is None and self.forget_ms is not None and folded is not None:
+            wake = folded // 1_000_000 + self.forget_ms
+            if wake <= mark:
+                self.memory.clear()
+                folded = wake = None
+        if folded is None and due_at is None:
+            self.times.clear()
         else:
-            self.waiting.clear()
-            if self.forget_ms is not None and saved["at"] is not None:
-                wake = saved["at"] // 1_000_000 + self.forget_ms
-                if wake <= mark:
-                    self.memory.clear()
-                    wake = None
+            self.times.update((folded, due_at))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         if wake is not None:
@@ -97,7 +121,7 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def _apply(df: DataFrame, key: str, fold, schema: T.StructType, delay: str, tie=None, forget_ms=None) -> DataFrame:
+def _apply(df: DataFrame, key: str, fold, schema: T.StructType, delay: str, tie=None, forget_ms=None, memory=None) -> DataFrame:
     """Keyed ordered fold: stateful on a stream, `ordered_scan` on a table, same rows out."""
     cols = [c for c in df.columns if c != key]
     if not df.isStreaming:
@@ -108,7 +132,7 @@ def _apply(df: DataFrame, key: str, fold, schema: T.StructType, delay: str, tie=
 
         return ordered_scan(df.withColumn("_at", at), [key], "_at", ["_at"] + ([tie] if tie else []), batch, schema, span=1800, warmup=60)
     return (df.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(
-        InOrder(fold, cols, tie=tie, forget_ms=forget_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime"))
+        InOrder(fold, df.select(*cols).schema, tie=tie, forget_ms=forget_ms, memory=memory), outputStructType=schema, outputMode="Append", timeMode="EventTime"))
 
 
 HITS = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("ts", T.TimestampType()),
@@ -116,8 +140,11 @@ HITS = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("
                      T.StructField("fired", T.BooleanType()), T.StructField("fire_s", T.DoubleType())])
 
 
-def stream_hit_counter(frames: DataFrame, delay: str = "2 seconds") -> DataFrame:
-    """Hit count, state and fire time per camera frame. Columns: camera_id, ts, balls, clubs, dx, dy."""
+def stream_hit_counter(frames: DataFrame, delay: str = "2 seconds", forget_ms: int | None = 86_400_000) -> DataFrame:
+    """Hit count, state and fire time per camera frame. Columns: camera_id, ts, balls, clubs, dx, dy.
+
+    On a stream, a camera without frames for `forget_ms` is forgotten and counts from zero afterwards; None keeps it.
+    """
     flat = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "ts", F.coalesce("dx", F.lit(0.0)).alias("dx"),
                          F.coalesce("dy", F.lit(0.0)).alias("dy"),
                          *[values_of(a, c).alias(f"{a[0]}_{c}") for a in ("balls", "clubs") for c in XY])
@@ -129,28 +156,30 @@ def stream_hit_counter(frames: DataFrame, delay: str = "2 seconds") -> DataFrame
             out.append((str(key[0]), pd.Timestamp(t), now["count"], now["state"], now["fired"], now["fire_t"]))
         return pd.DataFrame(out, columns=HITS.fieldNames()), state
 
-    return _apply(flat, "camera_id", fold, HITS, delay)
+    return _apply(flat, "camera_id", fold, HITS, delay, forget_ms=forget_ms)
 
 
 ADDRESS = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("ts", T.TimestampType()),
                         T.StructField("state", T.StringType()), T.StructField("confirmed", T.BooleanType())])
 
 
-def stream_address_detector(frames: DataFrame, delay: str = "2 seconds") -> DataFrame:
-    """Posture state per frame. Columns: camera_id, ts, shoulder_x/y, hip_x/y (null when unseen), club_low."""
-    flat = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "ts", "shoulder_x", "shoulder_y", "hip_x", "hip_y", "club_low")
+def stream_address_detector(frames: DataFrame, delay: str = "2 seconds", forget_ms: int | None = 3_600_000) -> DataFrame:
+    """Posture state per frame. Columns: camera_id, ts, shoulder_x/y, hip_x/y (null when unseen), club_low.
 
-    def point(x, y):
-        return None if x is None or pd.isna(x) or pd.isna(y) else (x, y)
+    Whether somebody is there and leans are columns; the operator keeps runs of frames (`posture_states`) in typed state. A camera without
+    frames for `forget_ms` starts anew.
+    """
+    seen = F.col("shoulder_x").isNotNull() & F.col("shoulder_y").isNotNull() & F.col("hip_x").isNotNull() & F.col("hip_y").isNotNull()
+    steep = F.greatest(F.abs(F.col("shoulder_y") - F.col("hip_y")), F.lit(1e-4))
+    leaning = seen & (F.abs(F.col("shoulder_x") - F.col("hip_x")) > POSTURE["lean"] * steep)
+    flat = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "ts", seen.alias("person"), F.coalesce(leaning, F.lit(False)).alias("leaning"),
+                         F.coalesce("club_low", F.lit(False)).alias("club_low"), *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in ("hip_x", "hip_y")])
 
     def fold(key, state, rows):
-        out = []
-        for t, sx, sy, hx, hy, low in zip(*(rows[c] for c in ("ts", "shoulder_x", "shoulder_y", "hip_x", "hip_y", "club_low")), strict=True):
-            state, name, new = address_step(state, t / 1e9, point(sx, sy), point(hx, hy), bool(low))
-            out.append((str(key[0]), pd.Timestamp(t), name, bool(new)))
-        return pd.DataFrame(out, columns=ADDRESS.fieldNames()), state
+        out, state = posture_states(state, rows)
+        return out.assign(camera_id=str(key[0]), ts=pd.to_datetime(rows["ts"].to_numpy()))[ADDRESS.fieldNames()], state
 
-    return _apply(flat, "camera_id", fold, ADDRESS, delay)
+    return _apply(flat, "camera_id", fold, ADDRESS, delay, forget_ms=forget_ms, memory=MEMORY)
 
 
 FACES = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("ts", T.TimestampType()),
@@ -220,35 +249,39 @@ def stream_leaderboard(annotations: DataFrame) -> DataFrame:
 
 
 def stream_active_annotators(annotations: DataFrame, window: str = "300 seconds", slide: str = "60 seconds", delay: str = "60 seconds") -> DataFrame:
-    """Distinct users with a live annotation per sliding window (approximate count)."""
-    return (annotations.where(F.col("was_cancelled") == 0).withWatermark("updated_at", delay)
-            .groupBy(F.window("updated_at", window, slide)).agg(F.approx_count_distinct("completed_by_id").alias("active"))
-            .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "active"))
+    """Distinct users with a live annotation per sliding window, exactly.
+
+    State has two levels: one row per window and user, then one count per window; both end with the watermark.
+    """
+    rows = annotations.where(F.col("was_cancelled") == 0)
+    rows = rows.withWatermark("updated_at", delay) if rows.isStreaming else rows
+    users = rows.groupBy(F.window("updated_at", window, slide), "completed_by_id").agg(F.count(F.lit(1)).alias("n"))
+    return users.groupBy("window").agg(F.count("completed_by_id").alias("active")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "active")
 
 
-def emit_changes(df: DataFrame, key="camera_id", value="value", delay: str = "2 seconds") -> DataFrame:
-    """A key's value when it differs from the last one emitted."""
-    return _gate(df, key, value, delay, lambda old, v, t: old is None or old[0] != v)
+def emit_changes(df: DataFrame, key="camera_id", value="value", delay: str = "2 seconds", forget_ms: int | None = 86_400_000) -> DataFrame:
+    """A key's value when it differs from the last one emitted. On a stream a key without rows for `forget_ms` is forgotten, so its next value is emitted; None keeps it."""
+    return _gate(df, key, value, delay, lambda old, v, t: old is None or old["value"] != v, forget_ms)
 
 
 def throttle(df: DataFrame, every_s: float = 0.5, key="camera_id", value="value", delay: str = "2 seconds") -> DataFrame:
-    """At most one row of a key per `every_s` seconds."""
-    return _gate(df, key, value, delay, lambda old, v, t: old is None or t - old[1] >= every_s)
+    """At most one row of a key per `every_s` seconds. A key is forgotten once that time has passed, which changes nothing."""
+    return _gate(df, key, value, delay, lambda old, v, t: old is None or t - old["at"] >= every_s * 1e9, int(every_s * 1000) + 1)
 
 
-def _gate(df, key, value, delay, passes) -> DataFrame:
+def _gate(df, key, value, delay, passes, forget_ms) -> DataFrame:
     flat = df.select(F.col(key).cast("string").alias(key), "ts", F.col(value).cast("string").alias(value))
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField(value, T.StringType())])
 
     def fold(k, state, rows):
         last, out = state, []
         for t, v in zip(rows["ts"], rows[value]):
-            if passes(last, v, t / 1e9):
-                last = [v, t / 1e9]
+            if passes(last, v, t):
+                last = {"value": v, "at": int(t)}
                 out.append((str(k[0]), pd.Timestamp(t), v))
         return pd.DataFrame(out, columns=schema.fieldNames()), last
 
-    return _apply(flat, key, fold, schema, delay, tie=value)
+    return _apply(flat, key, fold, schema, delay, tie=value, forget_ms=forget_ms, memory="value string, at long")
 
 
 def latest_per_interval(frames: DataFrame, interval: str = "1 second", model: str | None = None, key="camera_id", delay: str = "2 seconds") -> DataFrame:

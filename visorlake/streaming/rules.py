@@ -131,33 +131,6 @@ def _settle(s: dict, t: float, found, here, c: dict) -> float | None:
     return k["fire"]
 
 
-# Seconds a posture is held, how far the hip may move, lean of the back, seconds a low club counts, seconds away before the next prompt.
-POSTURE = dict(hold_s=0.4, still=0.04, lean=0.30, club_s=1.0, away_s=0.6)
-
-
-def address_step(s: dict | None, t: float, shoulder, hip, club_low: bool, c: dict = POSTURE) -> tuple[dict, str, bool]:
-    """One frame of the address detector: (what to remember, SEARCHING, HUMAN, POSTURE or PROMPT, whether the prompt is new)."""
-    s = dict(s) if s else dict(name="SEARCHING", club=None, begun=None, left=None, told=False, hips=[])
-    if club_low:
-        s["club"] = t
-    person = shoulder is not None and hip is not None
-    leaning = person and abs(shoulder[0] - hip[0]) > c["lean"] * max(abs(shoulder[1] - hip[1]), 1e-4)
-    if leaning and s["club"] is not None and t - s["club"] <= c["club_s"]:
-        hips = [h for h in [*s["hips"], [t, *hip]] if t - h[0] <= c["hold_s"]]
-        s.update(hips=hips, left=None, begun=t if s["begun"] is None else s["begun"])
-        moved = max(max(h[i] for h in hips) - min(h[i] for h in hips) for i in (1, 2))
-        new = not s["told"] and len(hips) > 2 and moved <= c["still"] and t - s["begun"] >= c["hold_s"]
-        s["told"] = s["told"] or new
-        s["name"] = "PROMPT" if s["told"] else "POSTURE"
-        return s, s["name"], new
-    s.update(hips=[], begun=None, left=t if s["left"] is None else s["left"])
-    away = t - s["left"] >= c["away_s"]
-    s["told"] = s["told"] and not away
-    if away or s["name"] in ("SEARCHING", "HUMAN"):
-        s["name"] = "HUMAN" if person else "SEARCHING"
-    return s, s["name"], False
-
-
 class Gallery:
     """Identities that grow from a stream of face vectors."""
 
