@@ -86,6 +86,19 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
+@lru_cache(10_000)
+def _readings(c: str, n: int, pairs: bool) -> tuple[tuple[str, float, tuple[int, ...]], ...]:
+    """What a run of n equal characters may stand for: letters, the cost of reading it so, and their symbols."""
+    letters = c if c.isalpha() else LOOK_ALIKES.get(c, "")
+    price = 0.0 if c.isalpha() else -0.7 * n
+    options = [("", -0.3 * n if c in SPLITTERS else -4.0 * n)] if not c.isalpha() else []
+    for a in letters:
+        options += [(a * k, price - 0.5 * (n != k)) for k in ({1, 2} if n > 2 - pairs else {n})]
+    if c == " ":
+        options.append((" ", 0.0))
+    return tuple((more, cost, tuple(map(_symbol, more))) for more, cost in options)
+
+
 def restore(token: str, lm: list, pairs: bool = False) -> str:
     """The likeliest plain word behind a lower-case token: Viterbi over the lattice of look-alikes, splitters and repeats.
 
@@ -97,20 +110,12 @@ def restore(token: str, lm: list, pairs: bool = False) -> str:
     """
     states = {(0, 0): (0.0, "")}
     for c, run in groupby(token):
-        n = sum(1 for _ in run)
-        letters = c if c.isalpha() else LOOK_ALIKES.get(c, "")
-        price = 0.0 if c.isalpha() else -0.7 * n
-        options = [("", -0.3 * n if c in SPLITTERS else -4.0 * n)] if not c.isalpha() else []
-        for a in letters:
-            options += [(a * k, price - 0.5 * (n != k)) for k in ({1, 2} if n > 2 - pairs else {n})]
-        if c == " ":
-            options.append((" ", 0.0))
+        options = _readings(c, sum(1 for _ in run), pairs)
         then: dict = {}
         for (a, b), (score, word) in states.items():
-            for more, cost in options:
+            for more, cost, symbols in options:
                 s, x, y = score + cost, a, b
-                for m in more:
-                    z = _symbol(m)
+                for z in symbols:
                     s += lm[x][y][z]
                     x, y = y, z
                 if (x, y) not in then or then[x, y][0] < s:
@@ -131,11 +136,15 @@ def plain_words(token: str, lm: list) -> tuple[str, ...]:
     bare = token.strip(string.punctuation)
     words = [bare] if bare else []
     disguised, at = DISGUISED.match(token), [m.start() for m in PAIR.finditer(bare)]
+    if disguised and bare.isalpha() and not DISGUISED.match(bare) and not LOOK_ALIKES.keys() & set(token.replace(bare, "", 1)):
+        plain = True                                                           # the lattice has one way through, and it gives `bare`
+    else:
+        plain = not disguised
     if not disguised and len(at) <= FEW_PAIRS:
         for k in at[::-1]:
             words += [w[:k] + w[k + 1:] for w in words]                        # from the end, so the places before stay
         return tuple(words[:1] + [w for w in words[1:] if len(w) > 2])
-    for pairs in [False] * bool(disguised) + [True] * bool(at):
+    for pairs in [False] * (not plain) + [True] * bool(at):
         found = restore(token, lm, pairs)
         if len(found) > 2 and found not in words:
             words.append(found)
@@ -168,11 +177,16 @@ class Model:
     beta: np.ndarray
 
     def reader(self):
-        lm = self.lm.tolist()
+        lm, known = self.lm.tolist(), self.weights.get
 
         @lru_cache(CACHED)
         def weight(token: str) -> float:
-            return max((self.weights.get(f, 0.0) for w in plain_words(token, lm) for f in features(w)), default=0.0)
+            most = 0.0
+            for word in plain_words(token, lm):
+                most = max(most, known("=" + word, 0.0))
+                for k in PREFIXES[:max(0, len(word) - PREFIXES[0] + 1)]:
+                    most = max(most, known(word[:k], 0.0))
+            return most
         return weight
 
 
