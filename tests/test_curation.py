@@ -169,6 +169,30 @@ def test_split_by_entity_caps_and_pins(spark):
     assert list(got.values()).count("val") <= 5 and list(got.values()).count("test") <= 4
 
 
+def test_split_by_entity_walks_only_the_heavy_people(spark, monkeypatch):
+    """Equal to one walk over everybody, with and without head counts; people far behind the targets are not walked."""
+    rng = random.Random(8)
+    people = [(f"p{i}", "A" if i % 10 else "B", rng.choice([1, 2, 3, 50])) for i in range(400)]
+    df = spark.createDataFrame(people, "entity string, domains string, weight int")
+    seen = []
+    scan = splits.ordered_scan
+    monkeypatch.setattr(splits, "ordered_scan", lambda walk, *a, **k: (seen.append(walk.count()), scan(walk, *a, **k))[1])
+    for caps in ((0, 0), (10, 6)):
+        got = {r.entity: r.split for r in splits.split_by_entity(df, val_frac=0.2, test_frac=0.1, val_people=caps[0], test_people=caps[1], tie="entity").collect()}
+        for side in "AB":
+            group = sorted((p for p in people if p[1] == side), key=lambda p: (-p[2], p[0]))
+            total, filled, heads = sum(p[2] for p in group), {"val": 0, "test": 0}, {"val": 0, "test": 0}
+            share = {s: (c * len(group) // 400 if c else None) for s, c in zip(("val", "test"), caps)}
+            for name, _, w in group:
+                lack = {"val": total * 0.2 - filled["val"], "test": total * 0.1 - filled["test"]}
+                free = [s for s in ("val", "test") if lack[s] > 0 and (share[s] is None or heads[s] < sum(1 for p in people if p[1] == side and got[p[0]] == s))]
+                want = max(free, key=lack.get) if free else "train"
+                assert got[name] == want
+                if free:
+                    filled[want], heads[want] = filled[want] + w, heads[want] + 1
+    assert len(seen) == 2 and seen[0] < 300 and seen[1] <= 16
+
+
 def greedy(rows, total, cap, novelty):
     lo, hi = min(r[2] for r in rows), max(r[2] for r in rows)
     u = {r[0]: (r[2] - lo) / (hi - lo + 1e-6) + 0.05 for r in rows}
@@ -285,3 +309,45 @@ def test_face_tracks_and_reembedding(spark):
     t = tracks.iou_tracker(df).orderBy("frame_idx").toPandas()
     assert t["track_id"].nunique() == 2                      # bridged 5 frames, lost over 15
     assert t[t["embed_due"]]["frame_idx"].tolist() == [0, 75]
+
+
+def test_best_match_by_cells_is_the_product(spark):
+    """People with several templates each: equal to the full product, ties included, with a small part of the templates compared."""
+    r = np.random.default_rng(4)
+    people = r.standard_normal((60, 24))
+    templates = [(i, (people[i % 60] + 0.15 * r.standard_normal(24)).tolist()) for i in range(900)]
+    templates += [(900 + k, templates[k][1]) for k in range(30)]                          # copies with larger ids
+    queries = [(i, (people[i % 60] + 0.15 * r.standard_normal(24)).tolist()) for i in range(300)] + [(300 + k, templates[k][1]) for k in range(30)]
+    q = spark.createDataFrame(queries, "id int, embedding array<double>").repartition(3)
+    g = spark.createDataFrame(templates, "id int, template array<double>")
+    a, b = (np.array([x[1] for x in rows]) for rows in (queries, templates))
+    sims = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    want = {i: min(np.flatnonzero(row >= row.max() - 1e-12).tolist()) for i, row in enumerate(sims)}
+    for block in (20_000, 250, 7):
+        got = gallery.best_match(q, g, block=block, scored="n").collect()
+        assert {x["id"]: x["match_id"] for x in got} == want and len(got) == len(queries)
+        assert all(abs(x["similarity"] - sims[x["id"]].max()) < 1e-9 for x in got)
+        if block == 20_000:
+            assert sum(x["n"] for x in got) < 0.25 * len(queries) * len(templates)
+    assert gallery.best_match(q, g.limit(0)).count() == 0 and gallery.best_match(q.limit(0), g).count() == 0
+
+
+def test_bounds_of_cells_hold():
+    r = np.random.default_rng(5)
+    unit = gallery._unit(r.standard_normal((400, 6)))
+    block = gallery.Block.of(np.arange(400), unit, gallery.cell_centres(unit))
+    q = gallery._unit(r.standard_normal((50, 6)))
+    most = block.bounds(q)
+    for c in range(len(block.centres)):
+        assert ((q @ block.unit[block.start[c]:block.start[c + 1]].T).max(axis=1) <= most[:, c]).all()
+
+
+@pytest.mark.parametrize("new", [1, 5])
+def test_selection_with_distances_written_down(spark, monkeypatch, new):
+    rng = random.Random(2)
+    rows = [(i, i % 7, rng.random(), [rng.random() for _ in range(6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, video_id int, score double, descriptor array<double>").repartition(4)
+    take = lambda: [r.id for r in selection.select_for_review(df, 25, per_video_cap=5, pool=6).orderBy("pick").collect()]
+    want = take()
+    monkeypatch.setattr(selection, "NEW_PICKS", new)
+    assert take() == want

@@ -4,7 +4,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from visorlake.session import settle
+
 FLOOR = 0.05
+#: Picks that are measured again in each round before the distances to them are written down.
+NEW_PICKS = 64
 
 
 def select_for_review(frames: DataFrame, total: int, per_video_cap: int | None = None, novelty: float = 1.0, id="id",
@@ -12,38 +16,41 @@ def select_for_review(frames: DataFrame, total: int, per_video_cap: int | None =
     """The `total` frames a one-by-one greedy choice would take, with their `pick` number.
 
     The gain of a frame is its scaled score times (distance to the nearest chosen frame)^novelty. Distances
-    only shrink, so an earlier gain bounds a later one. Each round Spark scores all frames against the chosen
-    ones, without a shuffle, and returns the `pool` best frames and the next best gain; choosing among these is
+    only shrink, so an earlier gain bounds a later one. The distance to the nearest chosen frame is a column: each round Spark measures all
+    frames against the last choices only, without a shuffle, and returns the `pool` best frames and the next best gain; choosing among these is
     the same as choosing among all as long as the winner's gain stays above that bound. A frame beyond the
     bound is met in the next round. Only `pool` frames and the choice itself are ever on the driver. Ties
     go to the smaller id.
     """
     lo, hi = frames.agg(F.min(score), F.max(score)).first()
     base = frames.select(id, video, F.col(vec).alias("_v"),
-                         ((F.col(score) - lo) / (hi - lo + 1e-6) + FLOOR).alias("_u"))
-    shape = T.StructType([*base.schema.fields, T.StructField("_d", T.DoubleType()), T.StructField("_g", T.DoubleType())])
+                         ((F.col(score) - lo) / (hi - lo + 1e-6) + FLOOR).alias("_u"), F.lit(float("inf")).alias("_d"))
+    shape = T.StructType([*base.schema.fields, T.StructField("_g", T.DoubleType())])
     picks: list[tuple] = []
     per_video: dict = {}
 
-    def gains(known: np.ndarray, gone: set, full: set):
+    def gains(known: np.ndarray, gone: set, full: set, started: bool):
         def run(parts):
             for pdf in parts:
                 pdf = pdf[~pdf[id].isin(gone) & ~pdf[video].isin(full)]
                 if pdf.empty:
                     continue
-                d, factor = np.full(len(pdf), np.inf), 1.0
-                if len(known):
-                    x = np.stack(pdf["_v"].to_numpy()).astype(float)
-                    for row in known:
-                        d = np.minimum(d, np.sqrt(((x - row) ** 2).sum(axis=1)))
-                    factor = np.power(d, novelty)
-                yield pdf.assign(_d=d, _g=pdf["_u"].to_numpy() * factor)
+                d = pdf["_d"].to_numpy(float).copy()
+                x = np.stack(pdf["_v"].to_numpy()).astype(float) if len(known) else None
+                for row in known:
+                    d = np.minimum(d, np.sqrt(((x - row) ** 2).sum(axis=1)))
+                yield pdf.assign(_d=d, _g=pdf["_u"].to_numpy() * (np.power(d, novelty) if started else 1.0))
         return run
 
+    written = 0                                                                # picks whose distances are in `base`
     while len(picks) < total:
-        known = np.array([p[3] for p in picks], dtype=float)
+        known = np.array([p[3] for p in picks[written:]], dtype=float)
         full = {v for v, n in per_video.items() if per_video_cap is not None and n >= per_video_cap}
-        scored = base.mapInPandas(gains(known, {p[0] for p in picks}, full), shape)
+        scored = base.mapInPandas(gains(known, {p[0] for p in picks[written:]}, full, bool(picks)), shape)
+        if len(known) >= NEW_PICKS:
+            scored = settle(scored)
+            base, written = scored.drop("_g"), len(picks)
+            picks = [(*p[:3], None) for p in picks]                            # their vectors are not needed any more
         top = scored.orderBy(F.desc("_g"), id).limit(pool + 1).collect()
         if not top:
             break

@@ -4,7 +4,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from visorlake.scale import ordered_scan, positions, seeded
+from visorlake.scale import ordered_scan, positions, running_sum, seeded
 
 
 def allocate_largest_remainder(groups: DataFrame, total: int, group="group", size="size") -> DataFrame:
@@ -25,21 +25,26 @@ def split_by_entity(people: DataFrame, val_frac: float = 0.15, test_frac: float
 
     Pinned people first. The rest, per stratum and heaviest first, go to the evaluation split furthest
     below its weight target (val on ties) while it is below it and below its optional head count, else
-    to train. Each stratum is walked in order of rank; `tie` replaces the seeded order of equal weights.
+    to train. `tie` replaces the seeded order of equal weights.
+
+    A split is filled beyond its target by one person at most, and until both are full everybody goes to one of them. So a person before whom
+    more weight stands than both targets and the heaviest person have together goes to train, as does one before whom both head counts
+    are used up: prefix sums decide that. Only the people before are walked in order of rank.
     """
     pins = pins or {}
     pinned = F.create_map(*[F.lit(v) for kv in pins.items() for v in kv]) if pins else None
     fixed = pinned[F.col(entity).cast("string")] if pins else F.lit(None).cast("string")
     marked = people.withColumn("_pin", fixed)
     free = marked.where("_pin IS NULL").drop("_pin").withColumn("_tie", F.col(tie) if tie else seeded(entity, seed=seed))
-    totals = free.groupBy(stratum).agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))
+    totals = free.groupBy(stratum).agg(F.sum(weight).alias("_w"), F.max(weight).alias("_top"), F.count(F.lit(1)).alias("_n"))
     for name, cap in (("val", val_people), ("test", test_people)):
         if cap:
             room = max(0, cap - sum(1 for s in pins.values() if s == name))
             totals = allocate_largest_remainder(totals, room, stratum, "_n").withColumnRenamed("share", f"_cap_{name}")
         else:
             totals = totals.withColumn(f"_cap_{name}", F.lit(None).cast("long"))
-    ranked = positions(free, [stratum], [F.desc(weight), F.col("_tie")], -F.floor(F.log1p(F.col(weight)) * 64), "_pos")
+    order, slices = [F.desc(weight), F.col("_tie")], -F.floor(F.log1p(F.col(weight)) * 64)
+    ranked = running_sum(positions(free, [stratum], order, slices, "_pos"), [stratum], order, slices, F.col(weight), "_before", before=True)
     out = T.StructType([T.StructField(entity, people.schema[entity].dataType), T.StructField("split", T.StringType())])
 
     def fold(key, state, rows: pd.DataFrame):
@@ -56,6 +61,10 @@ def split_by_entity(people: DataFrame, val_frac: float = 0.15, test_frac: float
             sides.append(side)
         return pd.DataFrame({entity: rows[entity].to_numpy(), "split": sides}), got
 
-    walk = ranked.join(totals, stratum).select(entity, F.col(stratum).alias("_stratum"), weight, "_w", "_cap_val", "_cap_test", "_pos")
-    placed = ordered_scan(walk, ["_stratum"], "_pos", ["_pos"], fold, out, forgets=False)
+    known = ranked.join(totals, stratum).select(
+        entity, F.col(stratum).alias("_stratum"), weight, "_w", "_cap_val", "_cap_test", "_pos",
+        ((F.col("_before") >= (val_frac + test_frac) * F.col("_w") * (1 + 1e-9) + F.col("_top")) | F.coalesce(F.col("_pos") > F.col("_cap_val") + F.col("_cap_test"), F.lit(False))).alias("_late"))
+    walk = known.where("NOT _late").drop("_late")
+    placed = (ordered_scan(walk, ["_stratum"], "_pos", ["_pos"], fold, out, forgets=False)
+              .unionByName(known.where("_late").select(entity, F.lit("train").alias("split"))))
     return placed.unionByName(marked.where("_pin IS NOT NULL").select(entity, F.col("_pin").alias("split")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from visorlake.functions.names import display_name
-from visorlake.scale import running_sum
+from visorlake.scale import positions, running_sum
 from visorlake.sources.tables import AnnotationTables
 
 
@@ -97,8 +97,8 @@ def leaderboard_totals(t: AnnotationTables) -> DataFrame:
     prog = project_progress(t)
     pct = (prog.select("project_id", "total", "done")
            .unionByName(prog.agg(F.lit(None).cast("long").alias("project_id"), F.sum("total").alias("total"), F.sum("done").alias("done"))))
-    rank = F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("n"), "user_id"))
-    ranked = rolled.withColumn("rank", rank)
+    keyed = rolled.withColumn("_p", F.coalesce("project_id", F.lit(0)))
+    ranked = positions(keyed, ["all_projects", "_p"], [F.desc("n"), F.col("user_id")], -F.floor(F.log1p("n") * 64), "rank").withColumn("rank", F.col("rank").cast("int")).drop("_p")
     return (ranked.alias("r").join(pct.alias("p"), F.col("r.project_id").eqNullSafe(F.col("p.project_id")), "left")
             .select("r.project_id", "r.user_id", "r.n", "r.all_projects", "r.rank",
                     F.when(F.col("p.total") > 0, F.lit(100.0) * F.col("p.done") / F.col("p.total")).otherwise(0.0).alias("pct_done")))

@@ -312,16 +312,26 @@ def e1(fx):
     return per.join(leaks, "split", "left").withColumn("leaked", F.coalesce("leaked", F.lit(0)))
 
 
-@query("c03_split_by_entity", """
+BY_ENTITY = """
     WITH RECURSIVE o AS MATERIALIZED (SELECT entity, domains, weight, row_number() OVER (PARTITION BY domains ORDER BY weight DESC, entity) AS n, sum(weight) OVER (PARTITION BY domains) AS w FROM $entities q WHERE entity NOT IN (3, 4)),
     s(domains, n, entity, split, v, t) AS (SELECT DISTINCT domains, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM o
       UNION ALL SELECT domains, n, entity, side, v + CASE WHEN side = 'val' THEN weight ELSE 0 END, t + CASE WHEN side = 'test' THEN weight ELSE 0 END FROM (
         SELECT s.domains, o.n, o.entity, o.weight, s.v, s.t, CASE WHEN 0.15 * o.w - s.v <= 0 AND 0.15 * o.w - s.t <= 0 THEN 'train' WHEN 0.15 * o.w - s.v >= 0.15 * o.w - s.t THEN 'val' ELSE 'test' END AS side FROM s JOIN o ON o.domains = s.domains AND o.n = s.n + 1))
-    SELECT entity, split FROM s WHERE n > 0 UNION ALL SELECT entity, CASE entity WHEN 3 THEN 'val' ELSE 'train' END FROM $entities q WHERE entity IN (3, 4)""")
+    SELECT entity, split FROM s WHERE n > 0 UNION ALL SELECT entity, CASE entity WHEN 3 THEN 'val' ELSE 'train' END FROM $entities q WHERE entity IN (3, 4)"""
+
+
+@query("c03_split_by_entity", BY_ENTITY)
 def _(fx):
     return P.split_by_entity(fx.entities, pins={"3": "val", "4": "train"}, tie="entity")
 
 
+@query("c03_one_stratum", BY_ENTITY.replace("$entities q", "(SELECT entity, CASE WHEN entity % 10 = 0 THEN 'few' ELSE 'most' END AS domains, weight FROM $entities e0) q"))
+def _(fx):
+    """Nine tenths of the people are in one stratum."""
+    people = fx.entities.withColumn("domains", F.when(F.col("entity") % 10 == 0, "few").otherwise("most"))
+    return P.split_by_entity(people, pins={"3": "val", "4": "train"}, tie="entity")
+
+
 @query("c04_allocate_largest_remainder", """
     SELECT g, size, b + CASE WHEN row_number() OVER (ORDER BY r DESC, g) <= 1003 - sum(b) OVER () THEN 1 ELSE 0 END AS share FROM (SELECT g, size, CAST(floor(1003.0 * size / sum(size) OVER ()) AS BIGINT) AS b, 1003 * size / CAST(sum(size) OVER () AS DOUBLE) - floor(1003 * size / CAST(sum(size) OVER () AS DOUBLE)) AS r
       FROM (SELECT c_nationkey AS g, count(*) AS size FROM customer GROUP BY 1))""")

@@ -259,11 +259,27 @@ def _(fx):
     return live(fx, L.stream_face_tracker(f))
 
 
-@query("t04_stream_gallery")
-def _(fx):
-    s = stream_of(fx, "embeddings").select((F.col("label") % 4).alias("gallery_id"), F.timestamp_seconds(F.col("vec_id")).alias("ts"), F.col("vec_id").alias("face_id"),
-                                           "embedding", (F.col("vec_id") % 3 == 0).alias("known"))
-    return rounded(drained(fx, L.stream_gallery(s)), "similarity", digits=4)
+UNIT = "list_transform([{x}], lambda q: list_transform(q, lambda a: a / (sqrt(list_inner_product(q, q)) + 1e-9)))[1]"
+
+
+@query("t04_stream_gallery", f"""
+    WITH RECURSIVE f AS MATERIALIZED (SELECT label % 4 AS g, vec_id, CAST(embedding AS DOUBLE[]) AS v, vec_id % 3 = 0 AS known, row_number() OVER (PARTITION BY label % 4 ORDER BY vec_id) AS n FROM embeddings),
+    s(g, n, people, vec_id, pid, sim, what) AS (
+      SELECT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(t DOUBLE[], c BIGINT)[]), CAST(-1 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS DOUBLE), '' FROM f GROUP BY g
+      UNION ALL SELECT g, n, CASE what WHEN 'reinforce' THEN list_transform(people, lambda p, i: CASE WHEN i = best THEN {{'t': {UNIT.format(x="list_transform(range(1, len(v) + 1), lambda j: (p.t[j] * p.c + v[j]) / (p.c + 1))")}, 'c': p.c + 1}} ELSE p END)
+          WHEN 'enrol' THEN list_append(people, {{'t': {UNIT.format(x="v")}, 'c': CAST(1 AS BIGINT)}}) ELSE people END, vec_id, CASE what WHEN 'reinforce' THEN best WHEN 'enrol' THEN len(people) + 1 END, CASE what WHEN 'enrol' THEN 1.0 ELSE top END, what
+        FROM (SELECT *, CASE WHEN top >= 0.30 THEN 'reinforce' WHEN NOT known AND top < 0.25 THEN 'enrol' ELSE 'keep' END AS what FROM (
+          SELECT *, coalesce(list_max(sims), -1.0) AS top, list_position(sims, list_max(sims)) AS best FROM (
+            SELECT s.g, f.n, f.vec_id, f.v, f.known, s.people, list_transform(s.people, lambda p: list_inner_product(p.t, f.v)) AS sims FROM s JOIN f ON f.g = s.g AND f.n = s.n + 1))))
+    SELECT CAST(g AS VARCHAR) AS gallery_id, vec_id AS face_id, CAST(pid AS INT) AS person_id, round(sim, 4) AS similarity, what AS decision FROM s WHERE n > 0""")
+def _(fx):
+    e, folder = fx.table("embeddings"), scratch(fx)
+    last = e.agg(F.max("vec_id")).first()[0] or 0
+    e.limit(1).withColumns({"vec_id": F.lit(last + 86_400).cast("long"), "label": F.lit(END).cast(e.schema["label"].dataType)}).write.mode("overwrite").parquet(f"{folder}/end")
+    rows = stream_of(fx, "embeddings").unionByName(fx.spark.readStream.schema(e.schema).parquet(f"{folder}/end"))
+    s = rows.select((F.col("label") % 4).alias("gallery_id"), F.timestamp_seconds(F.col("vec_id") + 10).alias("ts"), F.col("vec_id").alias("face_id"),
+                    "embedding", (F.col("vec_id") % 3 == 0).alias("known"))
+    return rounded(drained(fx, L.stream_gallery(s, "2 seconds")).where(F.col("gallery_id") != str(END)), "similarity", digits=4)
 
 
 @query("t05_stream_leaderboard", "SELECT completed_by_id AS user_id, count(*) AS n, max(updated_at) AS last_at FROM $annotations a WHERE was_cancelled = 0 GROUP BY 1")

@@ -72,12 +72,15 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, [], timerValues)
 
-    def _state(self):
+    def _load(self):
         if not self.memory.exists():
             return None
         v = self.memory.get()
         return dict(zip(self.kind.fieldNames(), v, strict=True)) if self.typed else json.loads(v[0])
 
+    def _save(self, state) -> None:
+        self.memory.update(tuple(state[n] for n in self.kind.fieldNames()) if self.typed else (json.dumps(state),))
+
     def _advance(self, key, new, timerValues):
         mark = timerValues.getCurrentWatermarkInMs()
         folded, due_at = self.times.get() if self.times.exists() else (None, None)
@@ -90,13 +93,13 @@ class InOrder(StatefulProcessor):
             due = sorted((r for r in held if r[self.ts] // 1_000_000 <= mark and (folded is None or r[self.ts] > folded)), key=lambda r: (r[self.ts], r[tie]))
             rest = [r for r in held if r[self.ts] // 1_000_000 > mark]
             if due:
-                state = self._state()
+                state = self._load()
                 for at in range(0, len(due), CHUNK):
                     out, state = self.fold(key, state, pd.DataFrame(due[at:at + CHUNK], columns=self.names))
                     if len(out):
                         yield out
                 folded = due[-1][self.ts]
-                self.memory.update(tuple(state[n] for n in self.kind.fieldNames()) if self.typed else (json.dumps(state),))
+                self._save(state)
             if rest:
                 self.waiting.put(rest)
             else:
@@ -232,14 +235,49 @@ class GalleryState(StatefulProcessor):
         pass
 
 
-def stream_gallery(faces: DataFrame) -> DataFrame:
+class OrderedGallery(InOrder):
+    """A gallery that sees its faces in time order, however the stream is cut; only the people a piece of the stream changed are written."""
+
+    def __init__(self, columns: T.StructType):
+        super().__init__(self.observe_all, columns, tie="face_id")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.people = handle.getMapState("people", "id int", "label string, template array<double>, count int")
+
+    def observe_all(self, key, gallery: Gallery, rows: pd.DataFrame):
+        out = []
+        for face, vec, known in zip(rows["face_id"], rows["embedding"], rows["known"], strict=True):
+            person, similarity, what = gallery.observe(vec, bool(known))
+            if what != "keep":
+                gallery.changed.add(person)
+            out.append((str(key[0]), int(face), person, similarity, what))
+        return pd.DataFrame(out, columns=IDENTITIES.fieldNames()).astype({"person_id": "Int32"}), gallery
+
+    def _load(self) -> Gallery:
+        gallery = Gallery({k[0]: [v[0], np.array(v[1]), v[2]] for k, v in self.people.iterator()} if self.people.exists() else {})
+        gallery.changed = set()
+        return gallery
+
+    def _save(self, gallery: Gallery) -> None:
+        for person in gallery.changed:
+            label, template, n = gallery.people[person]
+            self.people.updateValue((person,), (label, [float(v) for v in template], n))
+
+
+def stream_gallery(faces: DataFrame, delay: str | None = None) -> DataFrame:
     """Match, reinforce or enrol each face. Columns: gallery_id, ts, face_id, embedding, known (its track has an identity).
 
-    A gallery is one state key, since every face may change it; separate sites get separate galleries.
+    A gallery is one state key, since every face may change it; separate sites get separate galleries. With `delay`, faces wait until the
+    watermark passes them and are taken by time and face id, so identities do not depend on the batches; without, a batch is taken as it comes.
     """
-    return (faces.select(F.col("gallery_id").cast("string").alias("gallery_id"), "ts", F.col("face_id").cast("long").alias("face_id"),
-                         F.col("embedding").cast("array<double>").alias("embedding"), "known")
-            .groupBy("gallery_id").transformWithStateInPandas(GalleryState(), outputStructType=IDENTITIES, outputMode="Append", timeMode="None"))
+    flat = faces.select(F.col("gallery_id").cast("string").alias("gallery_id"), "ts", F.col("face_id").cast("long").alias("face_id"),
+                        F.col("embedding").cast("array<double>").alias("embedding"), "known")
+    if delay is not None:
+        waiting = flat.select("ts", "face_id", "embedding", "known").schema
+        return (flat.withWatermark("ts", delay).groupBy("gallery_id")
+                .transformWithStateInPandas(OrderedGallery(waiting), outputStructType=IDENTITIES, outputMode="Append", timeMode="EventTime"))
+    return (flat.groupBy("gallery_id").transformWithStateInPandas(GalleryState(), outputStructType=IDENTITIES, outputMode="Append", timeMode="None"))
 
 
 def stream_leaderboard(annotations: DataFrame) -> DataFrame:
