@@ -173,6 +173,22 @@ def test_images_and_pixels(spark, tmp_path):
     assert len(got["one"].d) == 268 and np.linalg.norm(got["one"].d) == pytest.approx(1.0, abs=1e-4) and got["one"].t == 64 * 64 * 3
 
 
+def test_image_index_reads_headers(spark, tmp_path):
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10JFIF" + bytes(10) + b"\xff\xff\xe1\x00\x04\xff\xc0" + b"\xff\xc2\x00\x11\x08\x01\x02\x03\x04" + bytes(12)
+    gif, bmp = b"GIF89a\x05\x00\x06\x00" + bytes(5), b"BM" + bytes(16) + (7).to_bytes(4, "little") + (-9).to_bytes(4, "little", signed=True)
+    assert [SF.header_size(x) for x in (jpeg, gif, bmp, b"", b"\xff\xd8\xff", b"BM", jpeg[:24])] == [(772, 258), (5, 6), (7, 9), None, None, None, None]
+    px = np.zeros((3, 4, 3), np.uint8)
+    for root, folder in (("one", "x"), ("one", "y"), ("two", "x")):
+        (tmp_path / root / folder).mkdir(parents=True)
+        (tmp_path / root / folder / "same.png").write_bytes(png(px))
+    (tmp_path / "one" / "cut.png").write_bytes(png(px)[:12])
+    roots = [str(tmp_path / r) for r in ("one", "two")]
+    ids = lambda *a, **k: sorted(r.sample_id for r in SF.image_index(spark, *a, **k).collect())
+    assert ids(roots, nested=True) == ["one__x__same", "one__y__same", "two__x__same"]
+    assert ids(roots[0], nested=True) == ["x__same", "y__same"] and ids(roots[0]) == ["same", "same"]
+    assert {(r.width, r.height) for r in SF.image_index(spark, roots).collect()} == {(4, 3)}
+
+
 def test_phash_is_stable_under_small_changes():
     rng = np.random.default_rng(2)
     base = np.kron(rng.integers(0, 256, (8, 8)), np.ones((8, 8))).astype(np.uint8)

@@ -160,6 +160,28 @@ def test_gallery_enrols_reinforces_and_waits(spark, tmp_path):
     assert got == [("enrol", 1), ("reinforce", 1), ("keep", None), ("enrol", 2), ("keep", None)]
 
 
+def test_identities_do_not_depend_on_the_batches(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    t0, people = pd.Timestamp("2024-01-01"), [[r.gauss(0, 1) for _ in range(5)] for _ in range(6)]
+    rows = [(str(i % 2), (t0 + pd.Timedelta(milliseconds=100 * (i // 2))).to_pydatetime(), i, [x + r.gauss(0, 0.6) for x in people[r.randrange(6)]], r.random() < 0.3) for i in range(120)]
+    end = [("z", (t0 + pd.Timedelta(seconds=60)).to_pydatetime(), -1, [0.0] * 5, True)]
+    schema = T.StructType.fromDDL("gallery_id string, ts timestamp, face_id long, embedding array<float>, known boolean")
+    L.use_state_store(spark)
+    got = []
+    for n in (1, 3, 8):
+        source, out = str(tmp_path / f"in{n}"), str(tmp_path / f"out{n}")
+        for k in range(n):
+            part = rows[k * len(rows) // n:(k + 1) * len(rows) // n]
+            spark.createDataFrame(part[::-1] + (end if k == n - 1 else []), schema).coalesce(1).write.mode("append").parquet(source)
+        q = (L.stream_gallery(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "2 seconds").writeStream.format("parquet")
+             .option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start())
+        q.awaitTermination()
+        got.append(sorted(map(tuple, spark.read.parquet(f"{out}/rows").where("gallery_id <> 'z'").collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows) and {x[4] for x in got[0]} == {"enrol", "reinforce", "keep"}
+
+
 def test_incremental_files_resume(spark, tmp_path):
     schema = T.StructType.fromDDL("video string, n int")
     src = tmp_path / "in"

@@ -456,9 +456,18 @@ def _(fx):
     return rounded(SL.read_annotation_export(fx.spark, out, ["ball", "club_head"], lines=True).select("sample_id", "box_no", "cls", "px"), "px", digits=4)
 
 
-@query("s11_read_media_catalog")
+@query("s11_read_media_catalog", """
+    SELECT concat(domain, '_', person, '_clip_', CAST(c_custkey AS VARCHAR)) AS video_id, domain, person, n AS length FROM (
+      SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'Indoor' ELSE 'Outdoor' END AS domain, concat('p', CAST(c_nationkey AS VARCHAR)) AS person, CAST(500 + c_custkey % 1000 AS BIGINT) AS n, c_nationkey AS k FROM customer) c
+    WHERE n >= 1000 AND k <> 7""")
 def _(fx):
-    return SF.read_media_catalog(fx.spark, fx.folder, min_bytes=1000, exts=("parquet",)).select("video_id", "length")
+    """Clips of the customers under domain and person, those of one nation under a template folder."""
+    domain = F.when(F.col("c_nationkey") % 2 == 0, "Indoor").otherwise("Outdoor")
+    person = F.when(F.col("c_nationkey") == 7, "_template_folder").otherwise(F.concat(F.lit("p"), F.col("c_nationkey").cast("string")))
+    clip = F.concat_ws("/", domain, person, F.concat(F.lit("clip "), F.col("c_custkey").cast("string")))
+    out = f"{scratch(fx)}/clips"
+    K.write_each(fx.table("customer").select(clip.alias("sample_id"), F.repeat(F.lit("x"), (500 + F.col("c_custkey") % 1000).cast("int")).alias("text")), out, ext=".mp4")
+    return SF.read_media_catalog(fx.spark, out, min_bytes=1000).select("video_id", "domain", "person", "length")
 
 
 @query("s12_detection_cache", "SELECT video_id, frame_idx, CASE WHEN cls = 0 THEN 1 ELSE 0 END AS balls, CASE WHEN cls = 1 THEN 1 ELSE 0 END AS clubs, round(CASE WHEN event_id % 13 = 0 THEN NULL ELSE x END, 6) AS tx FROM $frames q")
@@ -544,6 +553,18 @@ def _(fx):
     return i.select("sample_id", "width", "height", F.aggregate(blues, F.lit(0).cast("long"), lambda a, v: a + v).alias("blue"))
 
 
+@query("s10_image_index", """
+    SELECT concat(CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END, '__v', CAST(vec_id // 2 AS VARCHAR)) AS sample_id, CAST(8 AS INT) AS width, CAST(8 AS INT) AS height FROM embeddings WHERE vec_id % 5 <> 0""")
+def _(fx):
+    """Equal names in two folders; a fifth of the files are no images."""
+    v = F.col("vec_id")
+    name = F.concat(F.when(v % 2 == 0, "a").otherwise("b"), F.lit("/v"), F.floor(v / 2).cast("string"))
+    body = F.when(v % 5 == 0, F.lit(b"no image")).otherwise(F.unhex(F.concat(F.lit(BMP), F.repeat(F.lit("0a"), 192))))
+    out = f"{scratch(fx)}/images"
+    K.write_each(fx.table("embeddings").select(name.alias("sample_id"), body.alias("text")), out, ext=".bmp")
+    return SF.image_index(fx.spark, out, "*.bmp", nested=True).select("sample_id", "width", "height")
+
+
 @query("s13_dataset_config", "SELECT CASE WHEN vec_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, label AS cls, count(*) AS boxes FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY 1, 2 UNION ALL SELECT CASE WHEN vec_id % 4 = 0 THEN 'val' ELSE 'train' END, NULL, count(*) FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1")
 def _(fx):
     out = scratch(fx)

@@ -40,11 +40,16 @@ def polygon_lines(polys: DataFrame, key="sample_id", order="poly_no") -> DataFra
 
 
 def write_each(df: DataFrame, root: str, name="sample_id", text="text", ext=".txt") -> None:
-    """One text or binary file per row, from the executors. A retried task rewrites the same files."""
+    """One text or binary file per row, from the executors; names may lead into folders. A retried task rewrites the same files."""
     def put(rows: Iterator) -> None:
         store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
         store.create_dir(base, recursive=True)
+        made = set()
         for row in rows:
+            folder = str(row[name]).rpartition("/")[0]
+            if folder and folder not in made:
+                store.create_dir(f"{base}/{folder}", recursive=True)
+                made.add(folder)
             with store.open_output_stream(f"{base}/{row[name]}{ext}") as f:
                 f.write(row[text].encode() if isinstance(row[text], str) else bytes(row[text]))
 

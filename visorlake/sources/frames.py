@@ -3,9 +3,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visorlake.functions.names import safe_id, stem
+from visorlake.functions.names import flat_name, safe_id, stem
 
 DET_CACHE = ("fps double, frames array<struct<b: array<array<double>>, c: array<array<double>>, "
              "h: array<array<double>>>>")
@@ -53,6 +54,49 @@ def read_images(spark: SparkSession, root, glob: str = "*.{jpg,jpeg,png}") -> Da
                     F.col("image.width").alias("width"), F.col("image.height").alias("height"), "image"))
 
 
+def header_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height that the header of a PNG, GIF, BMP or JPEG file states; None for anything else."""
+    number = lambda at, n, order: int.from_bytes(data[at:at + n], order)
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return number(16, 4, "big"), number(20, 4, "big")
+    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
+        return number(6, 2, "little"), number(8, 2, "little")
+    if data[:2] == b"BM" and len(data) >= 26:
+        tall = int.from_bytes(data[22:26], "little", signed=True)              # negative: rows from the top
+        return number(18, 4, "little"), abs(tall)
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if kind == 0xFF or kind == 0x01 or 0xD0 <= kind <= 0xD8:               # padding and marks without a length
+            at += 1 if kind == 0xFF else 2
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):          # a frame header
+            return number(at + 7, 2, "big"), number(at + 5, 2, "big")
+        else:
+            at += 2 + number(at + 2, 2, "big")
+    return None
+
+
+def image_index(spark: SparkSession, root: str | list[str], glob: str = "*.{jpg,jpeg,png}", nested: bool = False) -> DataFrame:
+    """Columns sample_id, path, width, height of the images below one or more roots. Sizes come from the headers, no pixel is decoded; files
+    without a readable header are dropped.
+
+    An id is the file's stem. With `nested` it is the path below the root, joined by `__`, and with several roots the root's name before it, so equal
+    stems in different folders stay apart.
+    """
+    @F.pandas_udf("width int, height int")
+    def size(content: pd.Series) -> pd.DataFrame:
+        found = [header_size(c) or (None, None) for c in content]
+        return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
+
+    roots = [root] if isinstance(root, str) else list(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(roots)
+    below = [F.nullif(F.regexp_extract("path", re.escape(r.rstrip("/")) + r"/+(.*)$", 1), F.lit("")) for r in roots]
+    names = below if len(roots) == 1 else [F.concat(F.lit(r.rstrip("/").rsplit("/", 1)[-1] + "/"), b) for r, b in zip(roots, below, strict=True)]
+    name = flat_name(F.coalesce(*names)) if nested else stem("path")
+    return (files.select(name.alias("sample_id"), "path", size("content").alias("_s")).where("_s.width IS NOT NULL")
+            .select("sample_id", "path", "_s.width", "_s.height"))
+
+
 def read_media_catalog(spark: SparkSession, root: str, min_bytes: int = 1_000_000,
                        exts: tuple[str, ...] = ("mp4",), skip: tuple[str, ...] = ("_template_folder",)) -> DataFrame:
     """Video files under `root/<domain>/<person>/...`; file contents are never read."""
