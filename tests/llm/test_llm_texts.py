@@ -2,6 +2,7 @@
 import collections
 import random
 import string
+import time
 from unittest import mock
 
 import numpy as np
@@ -263,6 +264,55 @@ def test_labels_of_the_held_out_fold_are_not_used(spark):
 
 
 # ---------------------------------------------------------------- benchmark
+def nested(depth, more):
+    """Pages whose nested levels each have a sibling more or less."""
+    return "<div><p>x</p>" * depth + ("<b>y</b><ul><li>z</li></ul></div>" if more else "</div>") * depth
+
+
+def test_deeply_different_pages_are_aligned_in_time():
+    start = time.process_time()
+    a, b = (html.Page(nested(60, k)).template() for k in (False, True))
+    size = html.match_size(a, b)
+    html.merge(a, b)
+    assert size >= 60 and time.process_time() - start < 5
+    start = time.process_time()
+    html.Page("<b>" * 20_000 + "<span>x</span> " * 20_000)
+    assert time.process_time() - start < 5
+
+
+def slow_match(a, b):
+    """Size of the largest match of two trees with equal roots, trying every way."""
+    def best(left, right):
+        if not left or not right:
+            return 0
+        take = slow_match(left[0], right[0]) + best(left[1:], right[1:]) if left[0].label == right[0].label else 0
+        return max(take, best(left[1:], right), best(left, right[1:]))
+    return 1 + best(a.kids, b.kids)
+
+
+def test_alignment_of_small_random_trees():
+    r = random.Random(4)
+
+    def tree(depth):
+        node = html.Node(r.choice("ab"), "div", frozenset())
+        for label in r.sample("abcde", r.randint(0, 3)) if depth else []:
+            k = tree(depth - 1)
+            k.label = label
+            node.kids.append(k)
+        return node
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        b.label = a.label
+        # Siblings with the same labels in the same order are taken as they stand, so the match may be smaller than the best there is.
+        assert html.match_size(a, b) <= slow_match(a, b)
+        if [k.label for k in a.kids] != [k.label for k in b.kids] and all(not k.kids for k in a.kids + b.kids):
+            assert html.match_size(a, b) == slow_match(a, b)
+        known = {}
+        pairs = html.align(a.kids, b.kids, known)
+        assert pairs == html.align(a.kids, b.kids) == sorted(pairs) and all(a.kids[i].label == b.kids[j].label for i, j in pairs)
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(50):

@@ -157,11 +157,13 @@ class Page:
 
     def _end(self, tag: str) -> None:
         if tag in INLINE:
-            blocks = next((i for i in range(len(self._stack) - 1, -1, -1) if self._stack[i][0] not in INLINE), 0)
-            at = self._find({tag})
-            if at > blocks:
-                self._links -= tag == "a"
-                del self._stack[at]
+            for at in range(len(self._stack) - 1, 0, -1):                      # no further than the innermost block
+                if self._stack[at][0] == tag:
+                    self._links -= tag == "a"
+                    del self._stack[at]
+                    return
+                if self._stack[at][0] not in INLINE:
+                    return
             return
         at = self._find({tag})
         if at:
@@ -219,19 +221,29 @@ def text_hash(text: str) -> int:
 
 
 # ---------------------------------------------------------------- simple tree matching
-def match_size(a: Node, b: Node) -> int:
+def match_size(a: Node, b: Node, known: dict | None = None) -> int:
     """Nodes in the largest order-preserving match of two trees with equal roots."""
-    return 1 + sum(match_size(a.kids[i], b.kids[j]) for i, j in align(a.kids, b.kids))
+    return _matched(a, b, {} if known is None else known)[0]
 
 
-def align(left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
-    """Simple tree matching of two lists of siblings: pairs (i, j) in order that match the most nodes."""
+def _matched(a: Node, b: Node, known: dict) -> tuple[int, list[tuple[int, int]]]:
+    """Size of the match of two nodes and the pairs of their children; each two nodes are compared once."""
+    at = id(a), id(b)
+    if at not in known:
+        pairs = align(a.kids, b.kids, known)
+        known[at] = 1 + sum(_matched(a.kids[i], b.kids[j], known)[0] for i, j in pairs), pairs
+    return known[at]
+
+
+def align(left: list[Node], right: list[Node], known: dict | None = None) -> list[tuple[int, int]]:
+    """Simple tree matching of two lists of siblings: pairs (i, j) in order that match the most nodes. `known` keeps what was compared."""
+    known = {} if known is None else known
     if [k.label for k in left] == [k.label for k in right]:
         return [(i, i) for i in range(len(left))]
     table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i, a in enumerate(left):
         for j, b in enumerate(right):
-            own = match_size(a, b) if a.label == b.label else 0
+            own = _matched(a, b, known)[0] if a.label == b.label else 0
             table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + own)
     i, j, out = len(left), len(right), []
     while i and j:
@@ -245,15 +257,19 @@ def align(left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def merge(into: Node, other: Node) -> None:
-    """Align two templates of a host and join them: aligned nodes keep what is common, the others are put in at their place."""
+def merge(into: Node, other: Node, known: dict | None = None) -> None:
+    """Align two templates of a host and join them: aligned nodes keep what is common, the others are put in at their place.
+
+    Children are joined before a node gets new ones, so what was compared further up still holds for them.
+    """
+    known = {} if known is None else known
     into.n += other.n
     into.pages = frozenset(sorted(into.pages | other.pages)[:LEAST_PAGES])
     into.common &= other.common
     into.told |= other.told
-    pairs = align(into.kids, other.kids)
+    pairs = _matched(into, other, known)[1]
     for i, j in pairs:
-        merge(into.kids[i], other.kids[j])
+        merge(into.kids[i], other.kids[j], known)
     if len(pairs) == len(other.kids):
         return
     place, kids, done = {j: i for i, j in pairs}, [], 0
@@ -339,7 +355,7 @@ def _constants(root: Node, template: Node) -> dict[int, set[int]]:
     An article is never template as a whole: below a landmark texts count only if something else there varies.
     """
     out: dict[int, set[int]] = {}
-    least = template.n * SHARE
+    least, seen = template.n * SHARE, {}
     todo = [(root, template, True)]
     while todo:
         node, known, free = todo.pop()
@@ -347,7 +363,7 @@ def _constants(root: Node, template: Node) -> dict[int, set[int]]:
             free = _varies(known)
         if free and known.common and len(known.pages) >= LEAST_PAGES and known.n >= least:
             out[id(node)] = known.common
-        todo += [(node.kids[i], known.kids[j], free) for i, j in align(node.kids, known.kids)]
+        todo += [(node.kids[i], known.kids[j], free) for i, j in align(node.kids, known.kids, seen)]
     return out
 
 
