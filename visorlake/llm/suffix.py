@@ -1,4 +1,7 @@
-"""Removal of byte strings that occur more than once, by bucket-pointer refinement over sampled suffixes."""
+"""Removal of byte strings that occur more than once, by buckets of sparse suffixes that are refined in rounds.
+
+This is not bucket-pointer refinement: no bucket number of a later offset is sorted on or used again. See the README for the reason.
+"""
 from __future__ import annotations
 
 import hashlib
@@ -200,8 +203,8 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
 
     A sparse suffix array in rounds. The suffixes start at the least 16-gram of each 200-byte window, about one in 90 bytes. Their
     first buckets hold the 108 bytes that all windows on one side of the suffix share; buckets of one member drop out, equal runs are
-    done, mixed buckets are refined by the 189 bytes at the offsets of 12 windows, and what is still mixed by whole windows. Each round's
-    bucket ids come from hashes at later offsets of the same text, and only what the round before left open asks again.
+    done, mixed buckets are refined by the 189 bytes at the offsets of 12 windows, and what is still mixed by whole windows. Buckets are hashes of
+    bytes, not numbers of other buckets; only what the round before left open asks again.
 
     Texts are UTF-8 bytes, null and empty ones have none; matches never cross documents. Rows that repeat an id and a text are one
     document with the same result each; rows that repeat only the id are documents of their own. An empty table gives none. Ids are cast
