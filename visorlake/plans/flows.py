@@ -327,6 +327,32 @@ def _(fx):
     return fx.spark.read.parquet(f"{out}/rows").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("t08_failure_records", """
+    SELECT CAST(0 AS INT) AS attempt, 'done' AS what, count(*) AS n, CAST(sum(o_orderkey * 2) AS BIGINT) AS total FROM orders WHERE o_orderkey % 7 <> 0
+    UNION ALL SELECT 0, 'failed', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderkey % 7 = 0
+    UNION ALL SELECT 1, 'done', count(*), CAST(sum(o_orderkey * 2) AS BIGINT) FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 21 <> 0
+    UNION ALL SELECT 1, 'failed', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_orderkey % 21 = 0""")
+def _(fx):
+    """A seventh of the items fail; run again with a better function, a third of those do."""
+    out, schema, fields = scratch(fx), fx.table("orders").schema, T.StructType.fromDDL("key long, double_key long")
+    item = T.StructType([f for f in schema.fields if f.name == "o_orderkey"])
+
+    def work(bad):
+        def fn(row):
+            if row["o_orderkey"] % bad == 0:
+                raise ValueError(f"cannot read {row['o_orderkey']}")
+            return {"key": row["o_orderkey"], "double_key": 2 * row["o_orderkey"]}
+        return fn
+
+    paths = f"{out}/done", f"{out}/failed"
+    for _ in range(2):          # the second run finds nothing new
+        L.incremental_items(fx.spark, fx.folder, item, work(7), fields, *paths, f"{out}/log", "parquet", glob="orders.parquet").awaitTermination()
+    L.retry_failures(fx.spark, work(21), item, fields, *paths)
+    done = L.read_attempts(fx.spark, paths[0], fields).groupBy("attempt").agg(F.lit("done").alias("what"), F.count(F.lit(1)).alias("n"), F.sum("double_key").alias("total"))
+    failed = L.read_attempts(fx.spark, paths[1], T.StructType([*item.fields, T.StructField("error", T.StringType())])).where("error LIKE 'cannot read%'")
+    return done.unionByName(failed.groupBy("attempt").agg(F.lit("failed").alias("what"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total")))
+
+
 # ---- predictors --------------------------------------------------------------------------------
 
 STUB = T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("score", T.DoubleType())])

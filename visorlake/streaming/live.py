@@ -15,6 +15,7 @@ from visorlake.functions.boxes import values_of
 from visorlake.operators import ball, tracks
 from visorlake.operators.tracks import FaceTracks
 from visorlake.scale import ordered_scan
+from visorlake.session import settle
 from visorlake.streaming import posture, rules
 from visorlake.streaming.posture import MEMORY, POSTURE, posture_states
 from visorlake.streaming.rules import Gallery, hit_step
@@ -331,12 +332,13 @@ def latest_per_interval(frames: DataFrame, interval: str = "1 second", model: st
             .select(key, F.col("window.start").alias("interval_start"), "f.*"))
 
 
-def guarded(fn: Callable[[pd.Series], dict], fields: list[str]) -> Callable:
-    """Wrap a per-item function for `mapInPandas`: a failing item becomes a row with its error text."""
+def guarded(fn: Callable[[dict], dict], fields: list[str]) -> Callable:
+    """Wrap a per-item function for `mapInPandas`: a failing item becomes a row with its error text. An item is a dict of the row's columns."""
     def run(parts):
         for pdf in parts:
             out = []
-            for _, item in pdf.iterrows():
+            for values in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                item = dict(zip(pdf.columns, values, strict=True))
                 try:
                     out.append({**fn(item), "error": None})
                 except Exception as err:
@@ -345,6 +347,48 @@ def guarded(fn: Callable[[pd.Series], dict], fields: list[str]) -> Callable:
     return run
 
 
+def _sorted_out(rows: DataFrame, fn: Callable[[dict], dict], fields: T.StructType, sink: str, failures: str, at: str) -> None:
+    """Run `fn` on every row once; results go to `sink`, rows that failed go to `failures` as they are, with their error. A repeated call writes the same files."""
+    kept = rows.columns
+    both = T.StructType([*fields.fields, *[T.StructField(f"_in_{f.name}", f.dataType) for f in rows.schema.fields], T.StructField("error", T.StringType())])
+
+    def run(parts):
+        for pdf in parts:
+            done = next(guarded(fn, fields.fieldNames())([pdf]))
+            items = pdf.rename(columns={c: f"_in_{c}" for c in kept})
+            yield pd.concat([done[fields.fieldNames()], items.reset_index(drop=True), done[["error"]]], axis=1)[both.fieldNames()]
+
+    out = settle(rows.mapInPandas(run, both))
+    out.where("error IS NULL").select(*fields.fieldNames()).write.mode("overwrite").parquet(f"{sink}/{at}")
+    out.where("error IS NOT NULL").select(*[F.col(f"_in_{c}").alias(c) for c in kept], "error").write.mode("overwrite").parquet(f"{failures}/{at}")
+
+
+def incremental_items(spark: SparkSession, source: str, schema: T.StructType, fn: Callable[[dict], dict], fields: T.StructType, sink: str, failures: str,
+                      checkpoint: str, fmt: str = "json", files_per_batch: int = 1000, glob: str | None = None) -> StreamingQuery:
+    """`fn` on every item of the files not seen before. Results and failure records are two outputs of one checkpoint: an item is in one of them.
+
+    `fn` gives the columns `fields`; a failure record is the item with its error, so `retry_failures` can run it again.
+    """
+    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(source)
+    return (files.writeStream.foreachBatch(lambda rows, batch: _sorted_out(rows, fn, fields, sink, failures, f"attempt=0/batch={batch}"))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def retry_failures(spark: SparkSession, fn: Callable[[dict], dict], schema: T.StructType, fields: T.StructType, sink: str, failures: str) -> int:
+    """Run the failure records of the last attempt again, as a new attempt; returns its number. Earlier records stay as a history."""
+    found = read_attempts(spark, failures, T.StructType([*schema.fields, T.StructField("error", T.StringType())]))
+    last = found.agg(F.max("attempt")).first()[0] or 0
+    _sorted_out(found.where(F.col("attempt") == last).select(*schema.fieldNames()), fn, fields, sink, failures, f"attempt={last + 1}/batch=0")
+    return last + 1
+
+
+def read_attempts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Results or failure records with the columns attempt and batch."""
+    own = T.StructType([*schema.fields, T.StructField("attempt", T.IntegerType()), T.StructField("batch", T.LongType())])
+    return spark.read.schema(own).option("basePath", path).parquet(path)
+
+
 def incremental_files(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str, fmt: str = "json",
                       process: Callable[[DataFrame], DataFrame] | None = None, files_per_batch: int = 1000, glob: str | None = None) -> StreamingQuery:
     """Process only files not seen before and stop. The checkpoint remembers them across restarts."""
