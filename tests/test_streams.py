@@ -198,6 +198,24 @@ def test_incremental_files_resume(spark, tmp_path):
     assert rows["v0"] == (10, None) and rows["v1"] == (5, None) and "zero" in rows["v2"][1]
 
 
+def test_failure_records_are_run_again(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    schema, fields = T.StructType.fromDDL("video string, n int"), T.StructType.fromDDL("video string, part int")
+    paths = str(tmp_path / "done"), str(tmp_path / "failed")
+    for k, n in enumerate((1, 0, 5)):
+        (src / f"{k}.json").write_text(f'{{"video": "v{k}", "n": {n}}}')
+        L.incremental_items(spark, str(src), schema, lambda r: {"video": r["video"], "part": 10 // int(r["n"])}, fields, *paths, str(tmp_path / "log")).awaitTermination()
+    bad = T.StructType([*schema.fields, T.StructField("error", T.StringType())])
+    rows = lambda path, kind: sorted((r[0], r[1], r["attempt"]) for r in L.read_attempts(spark, path, kind).collect())
+    assert rows(paths[0], fields) == [("v0", 10, 0), ("v2", 2, 0)] and rows(paths[1], bad) == [("v1", 0, 0)]
+    assert L.retry_failures(spark, lambda r: {"video": r["video"], "part": -1}, schema, fields, *paths) == 1
+    assert rows(paths[0], fields) == [("v0", 10, 0), ("v1", -1, 1), ("v2", 2, 0)] and rows(paths[1], bad) == [("v1", 0, 0)]
+    before = rows(paths[0], fields), rows(paths[1], bad)
+    assert L.retry_failures(spark, lambda r: {"video": r["video"], "part": -2}, schema, fields, *paths) == 2       # nothing failed in the last attempt
+    assert (rows(paths[0], fields), rows(paths[1], bad)) == before
+
+
 def test_latest_per_interval_batch(spark):
     rows = [("c", pd.Timestamp("2024-01-01 00:00:00.1").to_pydatetime(), "m", 1), ("c", pd.Timestamp("2024-01-01 00:00:00.7").to_pydatetime(), "m", 2),
             ("c", pd.Timestamp("2024-01-01 00:00:00.9").to_pydatetime(), "old", 3)]

@@ -484,7 +484,7 @@ def _(fx):
 
 @query("s11_read_media_catalog", """
     SELECT concat(domain, '_', person, '_clip_', CAST(c_custkey AS VARCHAR)) AS video_id, domain, person, n AS length FROM (
-      SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'Indoor' ELSE 'Outdoor' END AS domain, concat('p', CAST(c_nationkey AS VARCHAR)) AS person, CAST(500 + c_custkey % 1000 AS BIGINT) AS n, c_nationkey AS k FROM customer) c
+      SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'Indoor' ELSE 'Outdoor' END AS domain, concat('p', CAST(c_nationkey AS VARCHAR)) AS person, CAST(500 + c_custkey * 37 % 1000 AS BIGINT) AS n, c_nationkey AS k FROM customer) c
     WHERE n >= 1000 AND k <> 7""")
 def _(fx):
     """Clips of the customers under domain and person, those of one nation under a template folder."""
@@ -492,7 +492,7 @@ def _(fx):
     person = F.when(F.col("c_nationkey") == 7, "_template_folder").otherwise(F.concat(F.lit("p"), F.col("c_nationkey").cast("string")))
     clip = F.concat_ws("/", domain, person, F.concat(F.lit("clip "), F.col("c_custkey").cast("string")))
     out = f"{scratch(fx)}/clips"
-    K.write_each(fx.table("customer").select(clip.alias("sample_id"), F.repeat(F.lit("x"), (500 + F.col("c_custkey") % 1000).cast("int")).alias("text")), out, ext=".mp4")
+    K.write_each(fx.table("customer").select(clip.alias("sample_id"), F.repeat(F.lit("x"), (500 + F.col("c_custkey") * 37 % 1000).cast("int")).alias("text")), out, ext=".mp4")
     return SF.read_media_catalog(fx.spark, out, min_bytes=1000).select("video_id", "domain", "person", "length")
 
 

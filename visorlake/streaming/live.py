@@ -378,7 +378,7 @@ def incremental_items(spark: SparkSession, source: str, schema: T.StructType, fn
 def retry_failures(spark: SparkSession, fn: Callable[[dict], dict], schema: T.StructType, fields: T.StructType, sink: str, failures: str) -> int:
     """Run the failure records of the last attempt again, as a new attempt; returns its number. Earlier records stay as a history."""
     found = read_attempts(spark, failures, T.StructType([*schema.fields, T.StructField("error", T.StringType())]))
-    last = found.agg(F.max("attempt")).first()[0] or 0
+    last = max(df.agg(F.max("attempt")).first()[0] or 0 for df in (found, read_attempts(spark, sink, fields)))
     _sorted_out(found.where(F.col("attempt") == last).select(*schema.fieldNames()), fn, fields, sink, failures, f"attempt={last + 1}/batch=0")
     return last + 1
 
