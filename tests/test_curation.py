@@ -300,6 +300,18 @@ def test_tracks_link_and_break(spark):
         assert sorted(r.n for r in got) == [1, 2, 35]
 
 
+def test_competing_boxes_in_spans(spark):
+    """Boxes that several tracks could take, with ties: cut into spans or not, the same tracks; no two tracks share a name however many boxes a frame has."""
+    r = np.random.default_rng(8)
+    rows = [("v", int(k), 0, 100_000 * n, *(float(v) for v in (x, y, x + 16, y + 16)), 0.9) for k in range(240) for n in range(6)
+            for x, y in [10 * r.integers(0, 12, 2)] if k % 40 < 30]
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, cls int, det_no int, x1 double, y1 double, x2 double, y2 double, conf double")
+    whole = sorted(map(tuple, tracks.build_tracks(df, gate=3.0).collect()))
+    assert whole == sorted(map(tuple, tracks.build_tracks(df, gate=3.0, span=16, group_rows=10).collect())) and len(whole) == len(rows)
+    seen = {(t[1], t[-1]) for t in whole}
+    assert len(seen) == len(rows) and {t[-1] >> 32 for t in whole if t[-1] == (t[1] << 32) + t[3]} <= {k for k in range(240)}
+
+
 def test_face_tracks_and_reembedding(spark):
     rows = []
     for k in range(120):

@@ -15,15 +15,16 @@ XY = ("x1", "y1", "x2", "y2")
 
 
 def track_ids(frame: int, no: int) -> int:
-    """A track is named by the frame and row that started it, so names do not depend on a counter."""
-    return frame * 100_000 + no
+    """A track is named by the frame and row that started it, so names do not depend on a counter. The row number takes 32 bits, so no two names are equal."""
+    return (frame << 32) + no
 
 
 def build_tracks(dets: DataFrame, gate: float = 4.0, max_skip: int = 8, det_no="det_no", span: int = FRAME_SPAN, **scan) -> DataFrame:
     """Nearest-neighbour tracks per video and class; adds `track_id`.
 
-    Older tracks choose first; the reach is `gate` radii per frame since the track was last seen, and a
-    track ends after `max_skip` frames without a match.
+    Older tracks choose first, then those that a smaller row started; of equally near boxes a track takes the smallest `det_no`, a number from 0 to
+    2^32 - 1 that is unique in a frame and class. The reach is `gate` radii per frame since the track was last seen, and a track ends after `max_skip`
+    frames without a match.
     """
     shape = T.StructType([*dets.schema.fields, T.StructField("track_id", T.LongType())])
 
@@ -153,9 +154,12 @@ def motion_rows(frames: DataFrame, rmax, rmin: float = 5.0, dedup_d: float = 1.0
                         F.transform("clubs", lambda b: (b["y1"] + b["y2"]) / 2).alias("ky"))
 
 
-def primary_track(frames: DataFrame, fps: float = 30.0, size: tuple[int, int] = (2048, 1536), span: int = FRAME_SPAN, **scan) -> DataFrame:
-    """The followed ball per frame, null while it is not seen. `frames`: balls, clubs and `cam` per frame."""
+def primary_track(frames: DataFrame, fps: float = 30.0, size: tuple[int, int] = (2048, 1536), near: float = 5.0, far: float = 2.5, span: int = FRAME_SPAN, **scan) -> DataFrame:
+    """The followed ball per frame, null while it is not seen. `frames`: balls, clubs and `cam` per frame.
+
+    The largest ball starts; afterwards the nearest one within `near` diameters, or `far` once it was missed, goes on. Ties go to the earlier box.
+    """
     rows = motion_rows(frames.withColumn("video_id", F.col("video_id").cast("string")), F.lit(58 / 2048.0 * size[0]))
     keep = rows.select("video_id", F.col("frame_idx").cast("int").alias("frame_idx"), "cam", "bx", "by", "br")
-    lives = ball_lives(keep, fps, 5.0, 2.5, span=span, **scan)
+    lives = ball_lives(keep, fps, near, far, span=span, **scan)
     return lives.select("video_id", "frame_idx", *[F.when(F.col("missing") == 0, F.col(c)).alias(c) for c in ("x", "y", "r")])

@@ -32,6 +32,14 @@ VIEWS = {
           event_id, event_type AS cls_name, CAST(event_id % 3 AS INT) AS cls, CAST(event_id * 97 % 640 AS DOUBLE) AS x,
           CAST(event_id * 61 % 480 AS DOUBLE) AS y, CAST(event_id % 12 + 5 AS DOUBLE) AS r,
           CAST(event_id * 37 % 101 AS DOUBLE) / CAST(101 AS DOUBLE) AS conf, value FROM events""",
+    # Six objects a frame that wander over their neighbours' places, on a grid, so that distances and overlaps tie; twelve frames are missing after every ten.
+    "crowd": """
+        SELECT video_id, CAST(j + floor(j / 10) * 12 AS INT) AS frame_idx, CAST(det_no AS INT) AS det_no, event_id, CAST(event_id % 2 AS INT) AS cls,
+          CAST(200 + det_no * 40 + event_id * 97 % 5 * 10 AS DOUBLE) AS x, CAST(200 + event_id * 61 % 3 * 10 AS DOUBLE) AS y,
+          CAST(event_id % 3 + 6 AS DOUBLE) AS r, event_id % 7 <> 0 AND j % 13 <> 5 AS shown FROM (
+          SELECT video_id, event_id, CAST(floor(no / 6) AS BIGINT) AS j, no % 6 AS det_no FROM (
+            SELECT CAST(floor(user_id / 4) AS BIGINT) AS video_id, event_id,
+              row_number() OVER (PARTITION BY CAST(floor(user_id / 4) AS BIGINT) ORDER BY event_id) - 1 AS no FROM events) e1) e2""",
     "annotations": """
         SELECT o_orderkey AS id, o_custkey AS task_id, CAST(o_orderkey % 60 AS BIGINT) AS completed_by_id,
           CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS was_cancelled, o_orderdate AS updated_at FROM orders""",
@@ -98,6 +106,7 @@ class Fixtures:
     projects = cached_property(lambda self: self._view("projects"))
     users = cached_property(lambda self: self._view("users"))
     scenes = cached_property(lambda self: self._view("scenes"))
+    crowd = cached_property(lambda self: self._view("crowd"))
 
     @cached_property
     def hashes(self) -> DataFrame:

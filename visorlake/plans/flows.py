@@ -35,8 +35,8 @@ def scratch(fx) -> str:
 @query("c08_build_tracks", """
     WITH RECURSIVE d AS MATERIALIZED (SELECT video_id, cls, frame_idx, event_id, x, y, greatest(r, 4.0) AS r, row_number() OVER (PARTITION BY video_id, cls ORDER BY frame_idx) AS n FROM $frames q),
     s(video_id, cls, n, frame_idx, event_id, track_id, live) AS (SELECT DISTINCT video_id, cls, CAST(0 AS BIGINT), CAST(0 AS INT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, k INT, x DOUBLE, y DOUBLE, r DOUBLE)[]) FROM d
-      UNION ALL SELECT video_id, cls, n, frame_idx, event_id, coalesce(own.id, CAST(frame_idx AS BIGINT) * 100000),
-        CASE WHEN own IS NULL THEN list_append(kept, {'id': CAST(frame_idx AS BIGINT) * 100000, 'k': frame_idx, 'x': x, 'y': y, 'r': r})
+      UNION ALL SELECT video_id, cls, n, frame_idx, event_id, coalesce(own.id, CAST(frame_idx AS BIGINT) * 4294967296),
+        CASE WHEN own IS NULL THEN list_append(kept, {'id': CAST(frame_idx AS BIGINT) * 4294967296, 'k': frame_idx, 'x': x, 'y': y, 'r': r})
           ELSE list_transform(kept, lambda t: CASE WHEN t.id = own.id THEN {'id': t.id, 'k': frame_idx, 'x': x, 'y': y, 'r': r} ELSE t END) END FROM (
         SELECT *, list_filter(kept, lambda t: sqrt((t.x - x) * (t.x - x) + (t.y - y) * (t.y - y)) < 12.0 * t.r * (frame_idx - t.k))[1] AS own FROM (
           SELECT d.video_id, d.cls, d.n, d.frame_idx, d.event_id, d.x, d.y, d.r, list_filter(s.live, lambda t: d.frame_idx - t.k <= 8) AS kept FROM s JOIN d ON d.video_id = s.video_id AND d.cls = s.cls AND d.n = s.n + 1)))
@@ -45,6 +45,33 @@ def _(fx):
     return tracks.build_tracks(event_boxes(fx), gate=12.0).select("video_id", "cls", "frame_idx", "det_id", "track_id")
 
 
+# One turn of the recursion lets the next track of a frame choose; the last turn of a frame opens tracks for the boxes left and goes on to the next frame.
+CROWDED_TRACKS = """
+    WITH RECURSIVE d AS MATERIALIZED (SELECT video_id, cls, frame_idx, list({'no': det_no, 'e': event_id, 'x': x, 'y': y, 'r': r} ORDER BY det_no) AS boxes,
+        row_number() OVER (PARTITION BY video_id, cls ORDER BY frame_idx) AS n FROM $crowd q WHERE shown GROUP BY video_id, cls, frame_idx),
+    s(video_id, cls, n, k, turn, live, free, got) AS (
+      SELECT video_id, cls, n, frame_idx, CAST(1 AS BIGINT), CAST([] AS STRUCT(id BIGINT, k INT, x DOUBLE, y DOUBLE, r DOUBLE)[]), boxes, CAST([] AS STRUCT(e BIGINT, id BIGINT)[]) FROM d WHERE n = 1
+      UNION ALL
+      SELECT video_id, cls, CASE WHEN choosing THEN n ELSE next_n END, CASE WHEN choosing THEN k ELSE next_k END, CASE WHEN choosing THEN turn + 1 ELSE 1 END,
+        CASE WHEN choosing AND best IS NULL THEN live WHEN choosing THEN list_transform(live, lambda t, i: CASE WHEN i = turn THEN {'id': t.id, 'k': k, 'x': best.b.x, 'y': best.b.y, 'r': best.b.r} ELSE t END)
+          ELSE list_filter(list_concat(live, list_transform(free, lambda b: {'id': CAST(k AS BIGINT) * 4294967296 + b.no, 'k': k, 'x': b.x, 'y': b.y, 'r': b.r})), lambda t: next_k - t.k <= 8) END,
+        CASE WHEN NOT choosing THEN boxes WHEN best IS NULL THEN free ELSE list_filter(free, lambda b: b.no <> best.no) END,
+        CASE WHEN choosing AND best IS NULL THEN [] WHEN choosing THEN [{'e': best.b.e, 'id': live[turn].id}] ELSE list_transform(free, lambda b: {'e': b.e, 'id': CAST(k AS BIGINT) * 4294967296 + b.no}) END
+      FROM (SELECT s.*, d.boxes, d.n AS next_n, d.frame_idx AS next_k, s.turn <= len(s.live) AS choosing,
+          CASE WHEN s.turn <= len(s.live) THEN list_filter(list_sort(list_transform(s.free, lambda b: {'d': sqrt((b.x - s.live[s.turn].x) * (b.x - s.live[s.turn].x) + (b.y - s.live[s.turn].y) * (b.y - s.live[s.turn].y)), 'no': b.no, 'b': b}))[1:1],
+            lambda o: o.d < 3.0 * s.live[s.turn].r * (s.k - s.live[s.turn].k))[1] END AS best
+        FROM s LEFT JOIN d ON d.video_id = s.video_id AND d.cls = s.cls AND d.n = s.n + 1 WHERE s.k IS NOT NULL) z)
+    SELECT video_id, cls, g.e AS det_id, g.id AS track_id FROM (SELECT video_id, cls, unnest(got) AS g FROM s) o"""
+
+
+@query("c08_build_tracks_crowded", CROWDED_TRACKS)
+def _(fx):
+    """Up to six objects of a class compete for the tracks of a frame."""
+    c = fx.crowd.where("shown")
+    d = c.select("video_id", "cls", "frame_idx", "det_no", F.col("event_id").alias("det_id"), *[(F.col(a) + s * F.col("r")).alias(f"{a}{i}") for i, s in ((1, -1), (2, 1)) for a in "xy"])
+    return tracks.build_tracks(d, gate=3.0).select("video_id", "cls", "det_id", "track_id")
+
+
 @query("c09_mine_hard_examples")
 def _(fx):
     d = event_boxes(fx)
@@ -59,7 +86,7 @@ def _(fx):
         CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, miss INT, seen INT, emb INT, due BOOLEAN)[]) FROM f GROUP BY 1
       UNION ALL SELECT video_id, frame_idx, c, own, CASE WHEN c AND NOT matched THEN list_append(rest, own) WHEN c THEN list_transform(rest, lambda t: CASE WHEN t.id = own.id THEN own ELSE t END) ELSE rest END FROM (
         SELECT video_id, frame_idx, c, best IS NOT NULL AS matched, CASE WHEN best IS NOT NULL THEN {'id': best.id, 'x': x, 'y': y, 'miss': 0, 'seen': best.seen + 1, 'emb': CASE WHEN frame_idx - best.emb >= 90 THEN frame_idx ELSE best.emb END, 'due': frame_idx - best.emb >= 90}
-            ELSE {'id': CAST(frame_idx AS BIGINT) * 100000, 'x': x, 'y': y, 'miss': 0, 'seen': 1, 'emb': frame_idx, 'due': TRUE} END AS own,
+            ELSE {'id': CAST(frame_idx AS BIGINT) * 4294967296, 'x': x, 'y': y, 'miss': 0, 'seen': 1, 'emb': frame_idx, 'due': TRUE} END AS own,
           list_filter(list_transform(live, lambda t: CASE WHEN best IS NOT NULL AND t.id = best.id THEN t ELSE {'id': t.id, 'x': t.x, 'y': t.y, 'miss': t.miss + 1, 'seen': t.seen, 'emb': t.emb, 'due': t.due} END), lambda t: t.miss <= 8) AS rest FROM (
           SELECT *, CASE WHEN c THEN list_filter(live, lambda t: greatest(0.3 - abs(t.x - x), 0) * greatest(0.3 - abs(t.y - y), 0) / (0.18 - greatest(0.3 - abs(t.x - x), 0) * greatest(0.3 - abs(t.y - y), 0)) > 0.3
               AND greatest(0.3 - abs(t.x - x), 0) * greatest(0.3 - abs(t.y - y), 0) >= top - 1e-12)[1] END AS best FROM (
@@ -73,6 +100,59 @@ def _(fx):
     return tracks.iou_tracker(f)
 
 
+# One turn takes the best pair left of a track and a face of the frame; when none is left, the frame is closed.
+CROWDED_FACES = """
+    WITH RECURSIVE d AS MATERIALIZED (SELECT video_id, frame_idx, list({'e': det_no, 'x1': x - 20, 'y1': y - 20, 'x2': x + 20 + r, 'y2': y + 14 + r} ORDER BY det_no) FILTER (WHERE shown) AS faces,
+        row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS n FROM $crowd q GROUP BY video_id, frame_idx),
+    f AS MATERIALIZED (SELECT video_id, frame_idx, n, list_transform(coalesce(faces, []), lambda b, i: {'no': CAST(i - 1 AS INT), 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}) AS boxes FROM d),
+    s(video_id, n, k, live, free, got) AS (
+      SELECT video_id, n, frame_idx, CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, miss INT, seen INT, emb INT, own INT)[]), boxes, CAST([] AS STRUCT(k INT, no INT, id BIGINT, seen INT, due BOOLEAN)[]) FROM f WHERE n = 1
+      UNION ALL
+      SELECT video_id, CASE WHEN best IS NULL THEN next_n ELSE n END, CASE WHEN best IS NULL THEN next_k ELSE k END,
+        CASE WHEN best IS NULL THEN list_concat(list_filter(list_transform(live, lambda t: {'id': t.id, 'x1': t.x1, 'y1': t.y1, 'x2': t.x2, 'y2': t.y2, 'miss': CASE WHEN t.own IS NULL THEN t.miss + 1 ELSE 0 END, 'seen': t.seen, 'emb': t.emb, 'own': CAST(NULL AS INT)}), lambda t: t.miss <= 8),
+            list_transform(free, lambda b: {'id': CAST(k AS BIGINT) * 4294967296 + b.no, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'miss': 0, 'seen': 1, 'emb': k, 'own': CAST(NULL AS INT)}))
+          ELSE list_transform(live, lambda t, i: CASE WHEN i = best.t THEN {'id': t.id, 'x1': best.b.x1, 'y1': best.b.y1, 'x2': best.b.x2, 'y2': best.b.y2, 'miss': 0, 'seen': t.seen + 1, 'emb': CASE WHEN k - t.emb >= 90 THEN k ELSE t.emb END, 'own': best.no} ELSE t END) END,
+        CASE WHEN best IS NULL THEN boxes ELSE list_filter(free, lambda b: b.no <> best.no) END,
+        CASE WHEN best IS NULL THEN list_transform(free, lambda b: {'k': k, 'no': b.no, 'id': CAST(k AS BIGINT) * 4294967296 + b.no, 'seen': 1, 'due': TRUE})
+          ELSE [{'k': k, 'no': best.no, 'id': live[best.t].id, 'seen': live[best.t].seen + 1, 'due': k - live[best.t].emb >= 90}] END
+      FROM (SELECT s.*, f.boxes, f.n AS next_n, f.frame_idx AS next_k, list_filter(list_sort(flatten(list_transform(s.live, lambda t, i: list_transform(s.free, lambda b: {
+            'o': CASE WHEN t.own IS NULL AND (t.x2 - t.x1) * (t.y2 - t.y1) <= 2.0 * (b.x2 - b.x1) * (b.y2 - b.y1) AND (b.x2 - b.x1) * (b.y2 - b.y1) <= 2.0 * (t.x2 - t.x1) * (t.y2 - t.y1) THEN
+              -(greatest(least(t.x2, b.x2) - greatest(t.x1, b.x1), 0) * greatest(least(t.y2, b.y2) - greatest(t.y1, b.y1), 0)) / ((t.x2 - t.x1) * (t.y2 - t.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
+                - greatest(least(t.x2, b.x2) - greatest(t.x1, b.x1), 0) * greatest(least(t.y2, b.y2) - greatest(t.y1, b.y1), 0)) ELSE 0.0 END, 't': i, 'no': b.no, 'b': b}))))[1:1], lambda p: p.o < -0.3)[1] AS best
+        FROM s LEFT JOIN f ON f.video_id = s.video_id AND f.n = s.n + 1 WHERE s.k IS NOT NULL) z)
+    SELECT CAST(video_id AS VARCHAR) AS video_id, g.k AS frame_idx, g.no AS det_no, g.id AS track_id, g.seen AS seen, g.due AS embed_due FROM (SELECT video_id, unnest(got) AS g FROM s) o"""
+
+
+@query("c11_iou_tracker_crowded", CROWDED_FACES)
+def _(fx):
+    """Up to six faces a frame whose boxes overlap several tracks; some frames are empty."""
+    x, y, r = F.col("x"), F.col("y"), F.col("r")
+    face = F.struct("det_no", F.struct((x - 20).alias("x1"), (y - 20).alias("y1"), (x + 20 + r).alias("x2"), (y + 14 + r).alias("y2"), F.lit(0.9).alias("conf")).alias("b"))
+    f = fx.crowd.groupBy("video_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("shown"), face))), lambda s: s["b"]).alias("faces"))
+    return tracks.iou_tracker(f)
+
+
+@query("c12_primary_track_crowded", """
+    WITH RECURSIVE d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx, x, y, shown ORDER BY det_no) = 1 AND shown AS fits FROM $crowd q),
+    f AS MATERIALIZED (SELECT video_id, frame_idx, coalesce(list({'no': det_no, 'x': 2 * x, 'y': 2 * y, 'r': r} ORDER BY det_no) FILTER (WHERE fits), []) AS balls, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS n FROM d GROUP BY 1, 2),
+    s(video_id, n, frame_idx, x, y, r, lost) AS (SELECT video_id, CAST(0 AS BIGINT), CAST(-1 AS INT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0 AS INT) FROM f WHERE n = 1
+      UNION ALL SELECT video_id, n, k, CASE WHEN best IS NOT NULL THEN best.b.x WHEN lost < 20 THEN x END, CASE WHEN best IS NOT NULL THEN best.b.y WHEN lost < 20 THEN y END,
+        CASE WHEN best IS NOT NULL THEN best.b.r WHEN lost < 20 THEN r END, CASE WHEN best IS NOT NULL OR x IS NULL OR lost >= 20 THEN 0 ELSE lost + 1 END FROM (
+        SELECT s.video_id, f.n, f.frame_idx AS k, s.x, s.y, s.r, s.lost, list_filter(list_sort(list_transform(f.balls, lambda b: {
+            'd': CASE WHEN s.x IS NULL THEN -b.r ELSE sqrt((b.x - s.x) * (b.x - s.x) + (b.y - s.y) * (b.y - s.y)) END, 'no': b.no, 'b': b}))[1:1],
+            lambda o: s.x IS NULL OR o.d < (CASE WHEN s.lost = 0 THEN 2.0 ELSE 1.5 END) * 2 * s.r)[1] AS best
+        FROM s JOIN f ON f.video_id = s.video_id AND f.n = s.n + 1) z)
+    SELECT CAST(video_id AS VARCHAR) AS video_id, frame_idx, CASE WHEN lost = 0 THEN x END AS x, CASE WHEN lost = 0 THEN y END AS y, CASE WHEN lost = 0 THEN r END AS r FROM s WHERE n > 0""")
+def _(fx):
+    """The followed ball among up to six, still camera, short reach; two at one place are one, and equal distances go to the earlier box."""
+    x, y, r = 2 * F.col("x"), 2 * F.col("y"), F.col("r")
+    ball = F.struct("det_no", F.struct((x - r).alias("x1"), (y - r).alias("y1"), (x + r).alias("x2"), (y + r).alias("y2"), F.lit(0.9).alias("conf")).alias("b"))
+    f = fx.crowd.groupBy("video_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("shown"), ball))), lambda s: s["b"]).alias("balls"))
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double,conf:double>>")
+    f = f.withColumns({"clubs": none, "cam": F.lit(None).cast("array<double>")})
+    return rounded(tracks.primary_track(f, fps=10.0, near=2.0, far=1.5), "x", "y", "r")
+
+
 @query("c12_primary_track", """
     WITH RECURSIVE f AS MATERIALIZED (SELECT video_id, frame_idx, event_id % 7 <> 0 AS c, x, y, greatest(r, 6.0) AS r, CASE WHEN event_id % 13 <> 0 THEN event_id % 5 ELSE 0 END AS tx, CASE WHEN event_id % 13 <> 0 THEN event_id % 3 ELSE 0 END AS ty FROM $frames q),
     s(video_id, frame_idx, has, bx, bv, br, px, py, lost) AS (SELECT video_id, CAST(-1 AS INT), FALSE, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), 0 FROM f GROUP BY 1
