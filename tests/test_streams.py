@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, types as T
 from visorlake.schemas import LIVE
 from visorlake.streaming import live as L
 from visorlake.streaming.posture import posture_states
+from visorlake.streaming.strikes import FOLLOWED, hit_states
 
 
 def live_rows():
@@ -45,12 +46,61 @@ def test_hit_counter_batches_restart_and_batch_form(spark, tmp_path):
     write_parts(spark, rows[half:], str(tmp_path / "two"), 2)
     restarted = run(spark, str(tmp_path / "two"), str(tmp_path / "o2"), L.stream_hit_counter, 1)
     batch = sorted(map(tuple, L.stream_hit_counter(spark.createDataFrame(rows, LIVE)).where("camera_id <> 'z'").collect()), key=repr)
-    assert one == restarted == batch and len(one) == 300
+    write_parts(spark, rows, str(tmp_path / "ten"), 10)
+    ten = run(spark, str(tmp_path / "ten"), str(tmp_path / "o10"), L.stream_hit_counter, 1)
+    assert one == restarted == ten == batch and len(one) == 300
     fired = [r for r in one if r[4]]
     assert [(r[0], r[2]) for r in fired] == [("a", 1)]
     assert max(r[2] for r in one if r[0] == "b") == 0
 
 
+def random_clip(seed, n=400):
+    """A ball that rests, rolls, vanishes and comes back under a camera that turns at times, with dropped frames, a stray ball and a club."""
+    import random
+
+    r = random.Random(seed)
+    t, x, y, v, pan, what, left, rows = 0, 320.0, 320.0, (0, 0), (0, 0), "rest", 30, []
+    for _ in range(n):
+        t += int(5e7 * r.choice([1] * 30 + [1.03, 4, 50]))
+        left -= 1
+        if left <= 0:
+            what, left = r.choice(["rest", "rest", "roll", "gone", "gone"]), r.randint(10, 50)
+            v, pan = (r.uniform(-25, 25), r.uniform(-25, 25)), (r.uniform(-6, 6), r.uniform(-6, 6)) if r.random() < 0.25 else (0, 0)
+            x, y = (r.uniform(60, 580), r.uniform(60, 580)) if what == "rest" and r.random() < 0.5 else (x, y)
+        x, y = x + pan[0] + v[0] * (what == "roll"), y + pan[1] + v[1] * (what == "roll")
+        balls = [(x + r.uniform(-1, 1), y, 8 + r.uniform(-1, 1))] * (what != "gone" and r.random() < 0.96) + [(r.uniform(0, 640), r.uniform(0, 640), 6.0)] * (r.random() < 0.05)
+        clubs = [(x + 15, y + 10)] * (what != "roll" and r.random() < 0.7)
+        rows.append((t, *([b[i] for b in balls] for i in range(3)), *([k[i] for k in clubs] for i in range(2)), *map(float, pan)))
+    return pd.DataFrame(rows, columns=["ts", "bx", "by", "br", "kx", "ky", "dx", "dy"])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_hits_in_any_pieces(seed):
+    clip, got = random_clip(seed), []
+    for size in (400, 61, 1):
+        memory, out = None, []
+        for at in range(0, len(clip), size):
+            part, memory = hit_states(memory, clip[at:at + size].reset_index(drop=True))
+            out += list(part.itertuples(index=False, name=None))
+            assert len(memory["t"]) == 0 or memory["t"][-1] - memory["t"][0] <= 5.5e9          # only the last seconds are kept
+        got.append(out)
+    assert got[0] == got[1] == got[2] and {o[3] for o in got[0]} == {"SEARCH", "TRACK", "ADDRESS", "PEND"}
+    fires = [o[2] for o in got[0] if o[1]]
+    assert [o[0] for o in got[0] if o[1]] == list(range(1, len(fires) + 1)) and all(b - a >= 2.5 for a, b in zip(fires, fires[1:], strict=False))
+    assert set(FOLLOWED) <= set(memory)
+
+
+@pytest.mark.parametrize("x0,dx,dy,hits", [(100.0, 0.0, 0.0, 1), (100.0, -25.0, 0.0, 0), (320.0, -25.0, 0.0, 1), (320.0, 0.0, 25.0, 1), (320.0, 20.0, 0.0, 1), (600.0, 10.0, 10.5, 0)])
+def test_a_ball_that_the_camera_leaves_is_no_hit(x0, dx, dy, hits):
+    """A ball rests for three seconds with a club at it and vanishes, while the camera moves: out over a near side border it does not count."""
+    rows = []
+    for i in range(120):
+        seen, moves = i < 60, 60 <= i < 70
+        rows.append((i * 50_000_000, *([[v] if seen else [] for v in (x0, 500.0, 12.0)]), *([[v] if seen else [] for v in (x0 + 20, 510.0)]), dx * moves, dy * moves))
+    out, _ = hit_states(None, pd.DataFrame(rows, columns=["ts", "bx", "by", "br", "kx", "ky", "dx", "dy"]))
+    assert out["count"].iloc[-1] == hits == out["fired"].sum()
+
+
 def test_late_rows_are_dropped_and_order_restored(spark, tmp_path):
     rows = sorted(live_rows(), key=lambda r: r[1])
     mixed = [r for k in range(0, len(rows), 20) for r in reversed(rows[k:k + 20])]     # under a second out of order

@@ -308,6 +308,33 @@ def _(fx):
     return live(fx, L.stream_hit_counter(_live_events(fx), forget_ms=None))
 
 
+# Eight cameras at a frame every 52 ms. In each period of 120 frames a ball rests for 60 and has a club near it in the last 40 of them; then it is gone (even cameras)
+# or rolls off for 20 frames (odd ones). It counts as at rest from frame 4 on. A ball that is gone is claimed in frame 65 and counted in 85; one that rolls in 69 and 98.
+# Cameras from 4 on tremble; camera 6 turns away from its ball, which must not count.
+@query("t01_stream_hit_counter_strikes", """
+    WITH e AS (SELECT event_id % 8 AS cam, event_id // 8 AS no, event_id // 8 % 120 AS ph FROM events),
+    q AS (SELECT *, CASE WHEN cam % 2 = 1 THEN 69 ELSE 65 END AS claimed, CASE WHEN cam % 2 = 1 THEN 98 WHEN cam = 6 THEN 65 ELSE 85 END AS ends, cam % 2 = 0 AS gone FROM e)
+    SELECT CAST(cam AS VARCHAR) AS camera_id, make_timestamp((no + 1) * 52000) AS ts, CAST(CASE WHEN cam <> 6 AND no >= ends THEN (no - ends) // 120 + 1 ELSE 0 END AS INT) AS "count",
+      CASE WHEN ph < 4 THEN 'TRACK' WHEN ph < claimed OR (gone AND ph = ends) THEN 'ADDRESS' WHEN ph < ends THEN 'PEND' ELSE 'SEARCH' END AS state,
+      cam <> 6 AND ph = ends AS fired, CASE WHEN cam <> 6 AND ph = ends THEN (no - ends + 60) * 52000000 / 1e9 END AS fire_s FROM q""")
+def _(fx):
+    e, last = F.col("event_id"), F.col("camera_id") == END
+    cam, no = e % 8, F.floor(e / 8).cast("long")
+    ph, turns = no % 120, cam == 6
+    away, shake = turns & ph.between(60, 69), F.when(cam >= 4, no % 2 * 2).otherwise(0)
+    x = F.when(turns, 0.15).otherwise(0.5) + shake / 640.0 + F.when((cam % 2 == 1) & (ph >= 60), (ph - 59) * 0.022).otherwise(0.0)
+
+    def rect(x, y, r, when):
+        one = F.array(F.struct((x - r).alias("x1"), (y - r).alias("y1"), (x + r).alias("x2"), (y + r).alias("y2"), F.lit(0.9).alias("conf")))
+        return F.when(when, one).otherwise(F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double,conf:double>>"))
+
+    f = _live_events(fx).select(F.when(last, F.lit(END).cast("long")).otherwise(cam).alias("camera_id"),
+                                (F.timestamp_millis((no + 1) * 52) + F.when(last, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))).alias("ts"),
+                                rect(x, F.lit(0.5), 0.02, (ph < 60) | ((cam % 2 == 1) & (ph < 80))).alias("balls"), rect(x + 0.03, F.lit(0.52), 0.02, ph.between(20, 59)).alias("clubs"),
+                                F.when(away, -40.0).when(cam >= 4, F.when(no % 2 == 1, 2.0).otherwise(-2.0)).otherwise(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    return live(fx, L.stream_hit_counter(f, forget_ms=None))
+
+
 @query("t02_stream_address_detector", """
     WITH e AS (SELECT user_id % 8 AS cam, (event_id + 1) * 25 AS ms, event_id % 9 <> 0 AND event_id // 60 % 4 <> 0 AS person, event_id % 3 = 0 AND event_id // 150 % 3 <> 0 AS low, event_id // 40 % 3 * 0.03 AS hip FROM events),
     p AS (SELECT *, person AND bool_or(low) OVER (PARTITION BY cam ORDER BY ms RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS posture FROM e),

@@ -13,15 +13,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from visorlake.functions.boxes import values_of
 from visorlake.operators import ball, tracks
+from visorlake.operators.filters import filter_candidates
 from visorlake.operators.tracks import FaceTracks
 from visorlake.scale import ordered_scan
 from visorlake.session import settle
-from visorlake.streaming import posture, rules
+from visorlake.streaming import posture, rules, strikes
 from visorlake.streaming.posture import MEMORY, POSTURE, posture_states
-from visorlake.streaming.rules import Gallery, hit_step
+from visorlake.streaming.rules import Gallery
+from visorlake.streaming.strikes import ONLINE, hit_states
 
 # The process in which a stream sets up its state sees no files added to the session, so the state classes travel by value.
-for _module in (sys.modules[__name__], posture, rules, ball, tracks):
+for _module in (sys.modules[__name__], posture, rules, strikes, ball, tracks):
     cloudpickle.register_pickle_by_value(_module)
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -145,22 +147,23 @@ HITS = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("
 
 
 def stream_hit_counter(frames: DataFrame, delay: str = "2 seconds", forget_ms: int | None = 86_400_000) -> DataFrame:
-    """Hit count, state and fire time per camera frame. Columns: camera_id, ts, balls, clubs, dx, dy.
+    """Hit count, state and fire time per camera frame. Columns: camera_id, ts, balls, clubs (fractions of the picture), dx, dy.
 
-    On a stream, a camera without frames for `forget_ms` is forgotten and counts from zero afterwards; None keeps it.
+    Candidates for the ball and the places of the clubs are columns; the operator follows the ball and keeps its last seconds and the open claim in typed
+    state (`hit_states`). On a stream, a camera without frames for `forget_ms` is forgotten and counts from zero afterwards; None keeps it.
     """
-    flat = frames.select(F.col("camera_id").cast("string").alias("camera_id"), "ts", F.coalesce("dx", F.lit(0.0)).alias("dx"),
-                         F.coalesce("dy", F.lit(0.0)).alias("dy"),
-                         *[values_of(a, c).alias(f"{a[0]}_{c}") for a in ("balls", "clubs") for c in XY])
+    w, none = F.lit(ONLINE["width"]), F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double,conf:double>>")
+    boxes = frames.withColumns({a: F.filter(F.coalesce(a, none), lambda b: b.isNotNull()) for a in ("balls", "clubs")})
+    sized = filter_candidates(boxes, "balls", rmin=ONLINE["r_least"] / ONLINE["width"], rmax=ONLINE["r_most"] / ONLINE["width"], floor=0.0, dedup_d=ONLINE["apart_d"])
+    flat = sized.select(F.col("camera_id").cast("string").alias("camera_id"), "ts", *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in ("dx", "dy")],
+                        *[F.transform(values_of("cands", k), lambda v: v * w).alias(f"b{k}") for k in "xyr"],
+                        *[F.zip_with(values_of("clubs", f"{k}1"), values_of("clubs", f"{k}2"), lambda p, q: (p + q) / 2 * w).alias(f"k{k}") for k in "xy"])
 
     def fold(key, state, rows):
-        out, corners = [], [[f"{a}_{c}" for c in XY] for a in "bc"]
-        for t, dx, dy, *xy in zip(rows["ts"], rows["dx"], rows["dy"], *(rows[c] for names in corners for c in names), strict=True):
-            state, now = hit_step(state, t / 1e9, list(zip(*xy[:4], strict=True)), list(zip(*xy[4:], strict=True)), (dx, dy))
-            out.append((str(key[0]), pd.Timestamp(t), now["count"], now["state"], now["fired"], now["fire_t"]))
-        return pd.DataFrame(out, columns=HITS.fieldNames()), state
+        out, state = hit_states(state, rows)
+        return out.assign(camera_id=str(key[0]), ts=pd.to_datetime(rows["ts"].to_numpy()))[HITS.fieldNames()], state
 
-    return _apply(flat, "camera_id", fold, HITS, delay, forget_ms=forget_ms)
+    return _apply(flat, "camera_id", fold, HITS, delay, forget_ms=forget_ms, memory=strikes.MEMORY)
 
 
 ADDRESS = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("ts", T.TimestampType()),
