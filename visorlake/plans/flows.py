@@ -101,10 +101,7 @@ def _(fx):
 
 
 # One turn takes the best pair left of a track and a face of the frame; when none is left, the frame is closed.
-CROWDED_FACES = """
-    WITH RECURSIVE d AS MATERIALIZED (SELECT video_id, frame_idx, list({'e': det_no, 'x1': x - 20, 'y1': y - 20, 'x2': x + 20 + r, 'y2': y + 14 + r} ORDER BY det_no) FILTER (WHERE shown) AS faces,
-        row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS n FROM $crowd q GROUP BY video_id, frame_idx),
-    f AS MATERIALIZED (SELECT video_id, frame_idx, n, list_transform(coalesce(faces, []), lambda b, i: {'no': CAST(i - 1 AS INT), 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}) AS boxes FROM d),
+FACE_TURNS = """
     s(video_id, n, k, live, free, got) AS (
       SELECT video_id, n, frame_idx, CAST([] AS STRUCT(id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, miss INT, seen INT, emb INT, own INT)[]), boxes, CAST([] AS STRUCT(k INT, no INT, id BIGINT, seen INT, due BOOLEAN)[]) FROM f WHERE n = 1
       UNION ALL
@@ -119,7 +116,12 @@ CROWDED_FACES = """
             'o': CASE WHEN t.own IS NULL AND (t.x2 - t.x1) * (t.y2 - t.y1) <= 2.0 * (b.x2 - b.x1) * (b.y2 - b.y1) AND (b.x2 - b.x1) * (b.y2 - b.y1) <= 2.0 * (t.x2 - t.x1) * (t.y2 - t.y1) THEN
               -(greatest(least(t.x2, b.x2) - greatest(t.x1, b.x1), 0) * greatest(least(t.y2, b.y2) - greatest(t.y1, b.y1), 0)) / ((t.x2 - t.x1) * (t.y2 - t.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
                 - greatest(least(t.x2, b.x2) - greatest(t.x1, b.x1), 0) * greatest(least(t.y2, b.y2) - greatest(t.y1, b.y1), 0)) ELSE 0.0 END, 't': i, 'no': b.no, 'b': b}))))[1:1], lambda p: p.o < -0.3)[1] AS best
-        FROM s LEFT JOIN f ON f.video_id = s.video_id AND f.n = s.n + 1 WHERE s.k IS NOT NULL) z)
+        FROM s LEFT JOIN f ON f.video_id = s.video_id AND f.n = s.n + 1 WHERE s.k IS NOT NULL) z)"""
+CROWDED_FACES = """
+    WITH RECURSIVE d AS MATERIALIZED (SELECT video_id, frame_idx, list({'e': det_no, 'x1': x - 20, 'y1': y - 20, 'x2': x + 20 + r, 'y2': y + 14 + r} ORDER BY det_no) FILTER (WHERE shown) AS faces,
+        row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS n FROM $crowd q GROUP BY video_id, frame_idx),
+    f AS MATERIALIZED (SELECT video_id, frame_idx, n, list_transform(coalesce(faces, []), lambda b, i: {'no': CAST(i - 1 AS INT), 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}) AS boxes FROM d),
+""" + FACE_TURNS + """
     SELECT CAST(video_id AS VARCHAR) AS video_id, g.k AS frame_idx, g.no AS det_no, g.id AS track_id, g.seen AS seen, g.due AS embed_due FROM (SELECT video_id, unnest(got) AS g FROM s) o"""
 
 
@@ -360,9 +362,14 @@ def _(fx):
     return live(fx, L.stream_address_detector(f))
 
 
-@query("t03_stream_face_tracker")
+@query("t03_stream_face_tracker", """
+    WITH RECURSIVE f AS MATERIALIZED (SELECT video_id, frame_idx, n, [{'no': CAST(0 AS INT), 'x1': x - 0.02, 'y1': y - 0.02, 'x2': x + 0.02, 'y2': y + 0.02}] AS boxes FROM (
+        SELECT user_id AS video_id, CAST(event_id AS INT) AS frame_idx, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n,
+          CAST(event_id * 97 % 100 AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(0.4 AS DOUBLE) AS x, CAST(event_id * 61 % 100 AS DOUBLE) / CAST(1000 AS DOUBLE) + CAST(0.4 AS DOUBLE) AS y FROM events) e),
+""" + FACE_TURNS + """
+    SELECT CAST(video_id AS VARCHAR) AS camera_id, ev.ts AS ts, g.no AS det_no, g.id AS track_id, g.due AS embed_due FROM (SELECT video_id, unnest(got) AS g FROM s) o JOIN events ev ON ev.event_id = g.k""")
 def _(fx):
-    f = _live_events(fx).select("camera_id", "ts", (F.unix_seconds("ts") / 3600).cast("int").alias("frame_idx"), F.col("balls").alias("faces"))
+    f = _live_events(fx).select("camera_id", "ts", F.col("event_id").cast("int").alias("frame_idx"), F.col("balls").alias("faces"))
     return live(fx, L.stream_face_tracker(f))
 
 
