@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from visorlake.llm.common import keyed, without
 from visorlake.operators.duplicates import connected_components
+from visorlake.scale import look_up
 from visorlake.session import settle
 
 #: The generator polynomial of the (23, 12) Golay code, and the seed of the shingle hash.
@@ -175,8 +176,8 @@ def simhash_groups(docs: DataFrame, most: int = MOST_BITS, n: int = 4, id: str =
     found = connected_components(near_marks(nodes, most)).select(F.col("id").alias("mark"), "cluster")
     joined = settle(nodes.join(found, "mark", "left").withColumn("cluster", F.coalesce("cluster", "mark")))
     heads = joined.groupBy("cluster").agg(F.min("_o").alias("_head"))
-    named = joined.join(heads, "cluster").select("mark", "_head")
-    return marked.join(named, "mark").select(
+    named = settle(look_up(joined, heads, ["cluster"]).select("mark", "_head"))
+    return look_up(marked, named, ["mark"]).select(
         "doc_id", "copy_key", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), F.col("_head.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("_head.doc_id")) & (F.col("copy_key") == F.col("_head.copy_key"))).alias("first"))
 
