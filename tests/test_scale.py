@@ -132,3 +132,14 @@ def test_look_up_with_a_hot_key(spark):
     for share in (1000, 10):
         got = scale.look_up(rows, table, ["k"], share)
         assert got.columns == ["k", "v", "name"] and sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_rows_of_a_unit_reach_the_fold_together(spark):
+    shape = T.StructType([T.StructField("k", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("no", T.IntegerType()), T.StructField("n", T.LongType())])
+    df = spark.createDataFrame([(k, i, no) for k in "ab" for i in range(40) for no in range(5 if i != 20 else 23)], "k string, i int, no int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ordered_scan(df, ["k"], "i", ["i", "no"], lambda key, state, pdf: (pdf.assign(n=pdf.groupby("i")["i"].transform("size")), None), shape).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    assert len(got) == 2 * (39 * 5 + 23) and all(r.n == (5 if r.i != 20 else 23) for r in got)
