@@ -363,3 +363,20 @@ def test_selection_with_distances_written_down(spark, monkeypatch, new):
     want = take()
     monkeypatch.setattr(selection, "NEW_PICKS", new)
     assert take() == want
+
+
+def test_equal_overlaps_go_to_the_older_track():
+    """A face half-way between two tracks: the second overlap is larger in its last digit only."""
+    def owner(tie):
+        t = tracks.FaceTracks(tie=tie)
+        t.step(0, [[0.0, 0.0, 0.3, 0.3], [0.2, 0.0, 0.5, 0.3]])
+        return t.step(1, [[0.1, 0.0, 0.4, 0.3]])[0][1]
+
+    assert owner(1e-9) == tracks.track_ids(0, 0) and owner(0.0) == tracks.track_ids(0, 1)
+
+
+def test_iou_tracker_takes_the_older_of_equal_overlaps(spark):
+    face = lambda x: (x, 0.0, x + 0.3, 0.3, 0.9)
+    frames = spark.createDataFrame([("v", 0, [face(0.0), face(0.2)]), ("v", 1, [(0.1, 0.0, 0.4, 0.3, 0.9)])],
+                                   "video_id string, frame_idx int, faces array<struct<x1:double,y1:double,x2:double,y2:double,conf:double>>")
+    assert tracks.iou_tracker(frames).where("frame_idx = 1").first().track_id == tracks.track_ids(0, 0)
