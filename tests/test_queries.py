@@ -51,3 +51,11 @@ def test_query(spark, con, name):
 
 def test_checks_belong_to_queries():
     assert set(CHECKS) <= set(QUERIES) and len(CHECKS) > 0.75 * len(QUERIES)
+
+
+@pytest.mark.parametrize("name,table_name", [("t04_stream_gallery", "embeddings"), ("t08_incremental_files", "orders"), ("t08_failure_records", "orders")])
+def test_streams_read_tables_in_folders(spark, tmp_path, name, table_name):
+    spark.read.parquet(f"{FOLDER}/{table_name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table_name}.parquet")
+    got, want = (QUERIES[name](spark, folder) for folder in (str(tmp_path), FOLDER))
+    rows = table(got.columns, got.collect())
+    assert rows[1] and rows == table(want.columns, want.collect())
