@@ -271,3 +271,70 @@ def test_latest_per_interval_batch(spark):
             ("c", pd.Timestamp("2024-01-01 00:00:00.9").to_pydatetime(), "old", 3)]
     df = spark.createDataFrame(rows, "camera_id string, ts timestamp, model_id string, n int")
     assert [r.n for r in L.latest_per_interval(df, "1 second", "m").collect()] == [2]
+
+
+def test_many_waiting_rows_lie_on_shelves(spark, tmp_path, monkeypatch):
+    """Cameras with more waiting rows than fit a list, in any order of arrival: same rows as the batch form, in several cuts of the stream."""
+    rows = live_rows()
+    for n, files in ((1, 1), (5, 2), (5, 1)):
+        monkeypatch.setattr(L, "HELD", 20)
+        monkeypatch.setattr(L, "CHUNK", 7)
+        mixed = sorted(rows[:-1], key=lambda r: hash_of(r[1]) if n == 1 else r[1]) + rows[-1:]
+        source = f"{tmp_path}/in{n}{files}"
+        write_parts(spark, mixed, source, n)
+        got = run(spark, source, f"{tmp_path}/out{n}{files}", L.stream_hit_counter, files)
+        want = sorted(map(tuple, L.stream_hit_counter(spark.read.schema(LIVE).parquet(source)).where("camera_id <> 'z'").collect()), key=repr)
+        assert len(got) == 300 and got == want
+
+
+def hash_of(t):
+    return t.microsecond * 7919 % 1009
+
+
+class Store:
+    """State of one key in memory: a value, list or map."""
+
+    def __init__(self):
+        self.v = {}
+
+    get = lambda self: self.v.get(0)
+    update = put = lambda self, x: self.v.update({0: x})
+    clear = lambda self: self.v.clear()
+    appendList = lambda self, x: self.v.update({0: [*self.v.get(0, []), *x]})
+    getValue = lambda self, k: self.v.get(k)
+    updateValue = lambda self, k, x: self.v.update({k: x})
+    removeKey = lambda self, k: self.v.pop(k)
+    keys = lambda self: iter(list(self.v))
+    getValueState = getListState = getMapState = lambda self, *a: Store()
+    registerTimer = deleteTimer = lambda self, t: None
+
+
+class Mark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_task_has_some_shelves_of_a_camera_in_memory(monkeypatch):
+    """No list, piece or shelf grows with the rows that wait; what is not due yet stays."""
+    monkeypatch.setattr(L, "HELD", 100)
+    monkeypatch.setattr(L, "CHUNK", 25)
+    columns = T.StructType.fromDDL("ts timestamp, n long")
+    sizes = []
+
+    def fold(key, state, rows):
+        sizes.append(len(rows))
+        return rows.copy(), (state or 0) + len(rows)
+
+    p = L.InOrder(fold, columns)
+    p.init(Store())
+    times = pd.date_range("2024-01-01", periods=3000, freq="s")
+    order = [(i * 1103) % 3000 for i in range(3000)]
+    pieces = (pd.DataFrame({"ts": [times[i] for i in order[k:k + 50]], "n": order[k:k + 50]}) for k in range(0, 3000, 50))
+    assert list(p.handleInputRows(("c",), pieces, Mark(0))) == [] and not p.waiting.v and p.shelves.v
+    held, pieces_of = [], p._pieces
+    p._pieces = lambda *a: (held.append(len(x)) or x for x in pieces_of(*a))
+    ms = lambda i: times[i].value // 1_000_000
+    first = pd.concat(p.handleExpiredTimer(("c",), Mark(ms(1234)), None))
+    rest = pd.concat(p.handleExpiredTimer(("c",), Mark(ms(2999) + 5000), None))
+    assert first["n"].tolist() == list(range(1235)) and rest["n"].tolist() == list(range(1235, 3000))
+    assert max(sizes) <= 25 and max(held) <= 100 and not p.shelves.v and not p.parts.v and p._load() == 3000

@@ -45,12 +45,15 @@ def _plain(v):
 
 #: Rows handed to a fold at a time.
 CHUNK = 10_000
+#: Rows of a key that wait in one list; when there are more, they wait on shelves by time.
+HELD = 40_000
 
 
 class InOrder(StatefulProcessor):
     """Feeds each key's rows to `fold` in time order.
 
-    Rows wait in a typed list until the watermark passes them; new ones are appended, and the list is read only when some are due. Due rows
+    Rows wait until the watermark passes them: in a typed list, or, once a key has more than `HELD`, on shelves by time, of which
+    a task has at most so many rows in memory, however many wait (rows of one and the same time stay together). They are read only when some are due. Due rows
     are sorted and folded once, in pieces; a row older than what was folded is dropped. `fold(key, state, rows)` returns output rows and
     the new state: fields of `memory`, or a JSON-able value without. It is forgotten when event time has moved `forget_ms` past
     the key's last row.
@@ -65,63 +68,149 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.memory = handle.getValueState("memory", self.kind)
-        self.times = handle.getValueState("times", "folded long, due long")
+        self.times = handle.getValueState("times", "folded long, due long, listed long, width long, wake long")
         self.waiting = handle.getListState("waiting", self.row)
+        self.shelves = handle.getMapState("shelves", "no long", "parts int, n long")
+        self.parts = handle.getMapState("parts", "no long, part int", T.StructType([T.StructField("rows", T.ArrayType(self.row))]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(_plain(v) for v in r) for pdf in rows for r in pdf[self.names].itertuples(index=False, name=None)]
-        yield from self._advance(key, new, timerValues)
+        at = self._times()
+        for pdf in rows:
+            self._wait(at, [tuple(_plain(v) for v in r) for r in pdf[self.names].itertuples(index=False, name=None)])
+        yield from self._advance(key, at, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, [], timerValues)
+        yield from self._advance(key, self._times(), timerValues)
+
+    def _times(self) -> dict:
+        """The last time folded, a time no waiting row is before, rows in the list, nanoseconds of a shelf (None without shelves) and the timer."""
+        return dict(zip(("folded", "due", "listed", "width", "wake"), self.times.get() or (None, None, 0, None, None), strict=True))
 
     def _load(self):
-        if not self.memory.exists():
-            return None
         v = self.memory.get()
+        if v is None:
+            return None
         return dict(zip(self.kind.fieldNames(), v, strict=True)) if self.typed else json.loads(v[0])
 
     def _save(self, state) -> None:
         self.memory.update(tuple(state[n] for n in self.kind.fieldNames()) if self.typed else (json.dumps(state),))
 
-    def _advance(self, key, new, timerValues):
-        mark = timerValues.getCurrentWatermarkInMs()
-        folded, due_at = self.times.get() if self.times.exists() else (None, None)
-        if new:
+    def _wait(self, at: dict, new: list[tuple]) -> None:
+        if not new:
+            return
+        times = [r[self.ts] for r in new]
+        at["due"] = min(times) if at["due"] is None else min(at["due"], *times)
+        if at["width"] is None and at["listed"] + len(new) > HELD:
+            if at["listed"]:
+                new = [*map(tuple, self.waiting.get()), *new]
+                self.waiting.clear()
+                times = [r[self.ts] for r in new]
+            at["listed"], at["width"] = 0, max((max(times) - min(times)) * CHUNK // len(new), 1)
+        if at["width"] is None:
             self.waiting.appendList(new)
-            due_at = min([r[self.ts] for r in new] + ([due_at] if due_at is not None else []))
-        if due_at is not None and due_at // 1_000_000 <= mark:
-            held = list(self.waiting.get())
-            tie = self.names.index(self.tie) if self.tie else self.ts
+            at["listed"] += len(new)
+            return
+        for no, rows in self._dealt(new, 0, at["width"]):
+            parts, n = self.shelves.getValue((no,)) or (0, 0)
+            self.parts.updateValue((no, parts), (rows,))
+            self.shelves.updateValue((no,), (parts + 1, n + len(rows)))
+
+    def _dealt(self, rows: list[tuple], start: int, width: int) -> list[tuple[int, list]]:
+        dealt: dict[int, list] = {}
+        for r in rows:
+            dealt.setdefault((r[self.ts] - start) // width, []).append(r)
+        return sorted(dealt.items())
+
+    def _taken(self, no: int, parts: int) -> Iterator[list[tuple]]:
+        for part in range(parts):
+            rows = [tuple(r) for r in self.parts.getValue((no, part))[0]]
+            self.parts.removeKey((no, part))
+            yield rows
+
+    def _pieces(self, no: int, parts: int, n: int, start: int, width: int) -> Iterator[list[tuple]]:
+        """The rows of a shelf by time, at most `HELD` at once; a fuller one, whose rows came in disorder, is dealt part by part to narrower ones first."""
+        if n <= HELD or width == 1:
+            yield [r for rows in self._taken(no, parts) for r in rows]
+            return
+        step, own = max(width * CHUNK // n, 1), {}
+        for rows in self._taken(no, parts):
+            for sub, some in self._dealt(rows, start, step):
+                if sub not in own:
+                    self.spare -= 1
+                    own[sub] = [self.spare, 0, 0]
+                self.parts.updateValue((own[sub][0], own[sub][1]), (some,))
+                own[sub][1:] = own[sub][1] + 1, own[sub][2] + len(some)
+        for sub in sorted(own):
+            yield from self._pieces(*own[sub], start + sub * step, step)
+
+    def _due(self, at: dict, mark: int) -> Iterator[list[tuple]]:
+        """The rows that the watermark has passed, in order, taken from where they wait; `at` is brought up to the rest."""
+        self.spare = -(1 << 62)                                                # names of narrower shelves, which no time has
+        tie, folded = self.names.index(self.tie) if self.tie else self.ts, at["folded"]
+
+        def split(held):
             due = sorted((r for r in held if r[self.ts] // 1_000_000 <= mark and (folded is None or r[self.ts] > folded)), key=lambda r: (r[self.ts], r[tie]))
-            rest = [r for r in held if r[self.ts] // 1_000_000 > mark]
-            if due:
-                state = self._load()
-                for at in range(0, len(due), CHUNK):
-                    out, state = self.fold(key, state, pd.DataFrame(due[at:at + CHUNK], columns=self.names))
-                    if len(out):
-                        yield out
-                folded = due[-1][self.ts]
-                self._save(state)
+            return due, [r for r in held if r[self.ts] // 1_000_000 > mark]
+
+        at["due"] = None
+        if at["width"] is None:
+            due, rest = split([tuple(r) for r in self.waiting.get()])
             if rest:
                 self.waiting.put(rest)
+                at["due"] = min(r[self.ts] for r in rest)
             else:
                 self.waiting.clear()
-            due_at = min((r[self.ts] for r in rest), default=None)
-        wake = None if due_at is None else due_at // 1_000_000
-        if wake is None and self.forget_ms is not None and folded is not None:
-            wake = folded // 1_000_000 + self.forget_ms
+            at["listed"] = len(rest)
+            yield due
+            return
+        for no in sorted(k[0] for k in self.shelves.keys()):
+            if no * at["width"] // 1_000_000 > mark:
+                at["due"] = no * at["width"] if at["due"] is None else at["due"]
+                return
+            parts, n, kept, left = *self.shelves.getValue((no,)), 0, 0
+            for held in self._pieces(no, parts, n, no * at["width"], at["width"]):
+                due, rest = split(held)
+                if rest:
+                    self.parts.updateValue((no, kept), (rest,))
+                    kept, left = kept + 1, left + len(rest)
+                    at["due"] = min(r[self.ts] for r in rest) if at["due"] is None else at["due"]
+                yield due
+            if kept:
+                self.shelves.updateValue((no,), (kept, left))
+            else:
+                self.shelves.removeKey((no,))
+        if at["due"] is None:
+            at["width"] = None
+
+    def _advance(self, key, at, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs()
+        if at["due"] is not None and at["due"] // 1_000_000 <= mark:
+            state, some = None, False
+            for due in self._due(at, mark):
+                for lo in range(0, len(due), CHUNK):
+                    state, some = state if some else self._load(), True
+                    out, state = self.fold(key, state, pd.DataFrame(due[lo:lo + CHUNK], columns=self.names))
+                    if len(out):
+                        yield out
+                at["folded"] = due[-1][self.ts] if due else at["folded"]
+            if some:
+                self._save(state)
+        wake = None if at["due"] is None else at["due"] // 1_000_000
+        if wake is None and self.forget_ms is not None and at["folded"] is not None:
+            wake = at["folded"] // 1_000_000 + self.forget_ms
             if wake <= mark:
                 self.memory.clear()
-                folded = wake = None
-        if folded is None and due_at is None:
+                at["folded"] = wake = None
+        wake = None if wake is None else max(wake, mark + 1)
+        if at["wake"] is not None and at["wake"] != wake:
+            self.handle.deleteTimer(at["wake"])
+        if wake is not None and at["wake"] != wake:
+            self.handle.registerTimer(wake)
+        at["wake"] = wake
+        if at["folded"] is None and at["due"] is None:
             self.times.clear()
         else:
-            self.times.update((folded, due_at))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if wake is not None:
-            self.handle.registerTimer(max(wake, mark + 1))
+            self.times.update(tuple(at.values()))
 
     def close(self) -> None:
         pass
