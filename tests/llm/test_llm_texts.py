@@ -442,6 +442,39 @@ def test_recall_against_every_stretch_with_thousands_of_items():
     assert not got - want
 
 
+def test_latent_space_is_fitted_on_all_documents(spark):
+    """Its directions equal those of a plain SVD over every document and item, however many documents there are."""
+    r = random.Random(4)
+    topics = [[f"t{k}w{j}" for j in range(12)] for k in range(3)]
+    texts = [" ".join(r.choices(topics[k % 2] if k < 2_900 else topics[2], k=9)) for k in range(3_000)]
+    items = [(k, " ".join(w)) for k, w in enumerate(topics)]
+    words = sorted(w for t in topics for w in t)
+    counted = decontaminate.count_terms(spark.createDataFrame([(t,) for t in texts], "text string"), words)
+    weight, n = decontaminate.idf(counted)
+    used = np.unique([decontaminate.term_of(w) for w in words])
+    row = np.full(decontaminate.TERMS + 1, -1)
+    row[used] = np.arange(len(used))
+    x = np.zeros((len(texts) + len(items), len(used)))
+    for k, t in enumerate(texts + [t for _, t in items]):
+        for w in t.split():
+            x[k, row[decontaminate.term_of(w)]] += 1
+    assert n == len(texts) and np.allclose(weight[used], np.log((1 + n) / (1 + (x[:n] > 0).sum(0))) + 0.1)
+    x *= weight[used]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[n:] *= np.sqrt(n / len(items))
+    values, want = np.linalg.eigh(x.T @ x)
+    basis = decontaminate.fit_basis(counted, items, words, row, weight[used], n)
+    assert np.allclose(np.abs((want[:, ::-1][:, :3] * basis[:, :3]).sum(0)), 1, atol=1e-4)
+
+
+def test_stage_of_the_pipeline_fits_nothing_it_does_not_use(spark):
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "benchmark"))
+    with mock.patch.object(decontaminate, "fit_basis", side_effect=AssertionError("fitted")):
+        kept = {r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()}
+    found = decontaminate.find_leaks(docs, benchmark)
+    assert "cosine" in found.columns and kept == {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in found.collect()}
+
+
 def test_short_items_long_items_and_scripts_without_blanks(spark):
     r = random.Random(3)
     vocab = [f"v{k}" for k in range(500)]

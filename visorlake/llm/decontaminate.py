@@ -4,6 +4,7 @@ from __future__ import annotations
 import re
 import string
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,8 @@ from visorlake.session import settle
 
 #: Words are hashed to so many terms; document frequencies of all of them fit the driver.
 TERMS = 1 << 20
-#: Documents that fit the latent space (with all benchmark items), latent dimensions, extra random directions, power rounds.
-FIT_DOCS, RANK, EXTRA, ROUNDS = 2_000, 128, 16, 2
+#: Latent dimensions, extra random directions, power rounds. All documents and all benchmark items fit the latent space.
+RANK, EXTRA, ROUNDS = 128, 16, 2
 #: Benchmark items searched at a time. More items take more passes.
 ITEM_BLOCK = 5_000
 #: Of the words an item must share with a stretch, this part is looked for among its rarest words before its other words are counted.
@@ -65,27 +66,44 @@ class _Terms(dict):
         return ids[ids >= 0]
 
 
-def idf(docs: DataFrame, words: list[str], text: str = "text") -> np.ndarray:
-    """log((1 + documents) / (1 + documents with the term)) + 0.1 over all whole texts, for the terms of `words`."""
+def count_terms(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
+    """The terms of `words` in each whole text and how often each is there, packed (columns term, n; int32)."""
     sent = docs.sparkSession.sparkContext.broadcast(_Terms(words))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, total, n = sent.value, np.zeros(TERMS, np.int64), 0
+        terms = sent.value
         known, marks = terms.get, string.punctuation
         for b in batches:
+            rows = []
             for t in b.column(0):
-                ids = {x if (x := known(w)) is not None else known(w.strip(marks), OTHER) for w in set(raw_words(t.as_py()))}
-                ids.discard(OTHER)
-                total[np.fromiter(ids, np.int64, len(ids))] += 1
+                seen: dict[int, int] = {}
+                for w, n in Counter(raw_words(t.as_py())).items():
+                    k = x if (x := known(w)) is not None else known(w.strip(marks), OTHER)
+                    seen[k] = seen.get(k, 0) + n
+                seen.pop(OTHER, None)
+                rows.append([np.fromiter(part, np.int32, len(seen)).tobytes() for part in (seen.keys(), seen.values())])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["term", "n"])
+
+    return docs.select(whole(text).alias("text")).mapInArrow(count, "term binary, n binary")
+
+
+def idf(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """log((1 + documents) / (1 + documents with the term)) + 0.1 over all texts of `count_terms`, and the number of texts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(TERMS, np.int64), 0
+        for b in batches:
+            for t in b.column(0):
+                total[np.frombuffer(t.as_py(), np.int32)] += 1
                 n += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
 
-    found = (docs.select(whole(text).alias("text")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))).toArrow()
+    found = counted.select("term").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, times = (found.column(k).to_numpy() for k in range(2))               # at most the terms of the items
     df, n = np.zeros(TERMS), int(times[term < 0].sum())
     df[term[term >= 0]] = times[term >= 0]
-    return np.log((1 + n) / (1 + df)) + 0.1
+    return np.log((1 + n) / (1 + df)) + 0.1, n
 
 
 @dataclass
@@ -132,8 +150,8 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _vectors(list(total), total.values())
 
 
-def latent_basis(passages: DataFrame, words: list[str], row: np.ndarray, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors of the TF-IDF matrix of `passages` by randomised subspace iteration.
+def latent_basis(passages: DataFrame, row: np.ndarray, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors of the TF-IDF matrix of `passages` (columns term, n, w) by randomised subspace iteration.
 
     Each round multiplies the matrix and its transpose with a narrow random block, partition by partition; the sums per
     term, (terms in items) x (rank + EXTRA) numbers, are made orthogonal on the driver.
@@ -143,52 +161,51 @@ def latent_basis(passages: DataFrame, words: list[str], row: np.ndarray, weight:
     q = np.random.default_rng(11).standard_normal((n, width))
     for last in [False] * ROUNDS + [True]:
         q = np.linalg.qr(q)[0] if width else q
-        block = q
+        block = q.astype(np.float32)
 
         def multiply(batches, block=block):
-            terms, total = _Terms(words), np.zeros((n, width))
+            total = np.zeros((n, width))
             for b in batches:
-                for t, w in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                    ids = terms.ids(t.as_py())
-                    ids = ids[row[ids] >= 0]
-                    at, counts = np.unique(row[ids], return_counts=True)
-                    x = counts * weight[at]
-                    size = np.sqrt((x * x).sum())
+                part = np.zeros((n, width), np.float32)                        # of one batch, so that long sums stay in double
+                for t, c, w in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                    at = row[np.frombuffer(t, np.int32)]
+                    x = np.frombuffer(c, np.int32) * weight[at]
+                    size = np.sqrt(x @ x)
                     if size:
-                        x = x * (w / size)
-                        total[at] += np.outer(x, x @ block[at])
+                        x = (x * (w / size)).astype(np.float32)
+                        part[at] += np.outer(x, x @ block[at])                 # a term is once in `at`
+                total += part
             used = np.flatnonzero(np.abs(total).sum(1))
             yield _vectors(used, total[used])
 
-        sums = passages.mapInArrow(multiply, "at int, v binary").repartition("at").mapInArrow(_add_up, "at int, v binary").toArrow()   # terms in items
+        sums = passages.select("term", "n", "w").mapInArrow(multiply, "at int, v binary").repartition("at").mapInArrow(_add_up, "at int, v binary").toArrow()   # terms in items
         out = np.zeros((n, width))
         for at, v in zip(sums.column("at").to_pylist(), sums.column("v").to_pylist(), strict=True):
             out[at] = np.frombuffer(v)
         if last:
-            values, turn = np.linalg.eigh(block.T @ out)
-            return block @ turn[:, np.argsort(-values)[:min(rank, width)]]
+            values, turn = np.linalg.eigh(block.T.astype(float) @ out)
+            return q @ turn[:, np.argsort(-values)[:min(rank, width)]]
         q = out + 1e-12 * np.eye(n, width)
     return q
 
 
-def fit_basis(docs: DataFrame, items: list, words: list[str], row: np.ndarray, weight: np.ndarray, text: str = "text") -> np.ndarray:
-    """Fit the latent space on the items and on at most FIT_DOCS documents, chosen by a hash of their text."""
-    spark = docs.sparkSession
-    chosen = settle(docs.select(F.xxhash64(whole(text)).alias("_h")).distinct().orderBy("_h").limit(FIT_DOCS))
-    texts = (docs.select(whole(text).alias("text")).withColumn("_h", F.xxhash64("text")).join(F.broadcast(chosen), "_h", "left_semi")
-             .select("text", F.lit(1.0).alias("w")))
-    own = spark.createDataFrame([(t, float(np.sqrt(max(1.0, FIT_DOCS / len(items))))) for _, t in items], "text string, w double")
-    return latent_basis(settle(texts.unionByName(own)), words, row, weight)
+def fit_basis(counted: DataFrame, items: list, words: list[str], row: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
+    """Fit the latent space on all documents (`count_terms`, so many) and on the items, which together weigh as much as the documents."""
+    spark = counted.sparkSession
+    own = settle(count_terms(spark.createDataFrame([(t,) for _, t in items], "text string"), words)).withColumn("w", F.lit(float(np.sqrt(max(1.0, docs / len(items))))))
+    few = max(spark.sparkContext.defaultParallelism, counted.rdd.getNumPartitions() // 4)   # the counts are a fraction of the texts; each task sends a row for every term
+    return latent_basis(counted.withColumn("w", F.lit(1.0)).coalesce(few).unionByName(own.coalesce(1)), row, weight)
 
 
-def build_index(docs: DataFrame, items: list, weight: np.ndarray, text: str = "text") -> Index:
+def build_index(counted: DataFrame | None, items: list, weight: np.ndarray, docs: int = 0, latent: bool = True) -> Index:
+    """All that the search needs of some items; without `latent` there is no latent space, and cosines are 0."""
     words = [bare_words(t) for _, t in items]
     term_lists = [np.array([term_of(w) for w in ws], np.int64) for ws in words]
     used = np.unique(np.concatenate(term_lists))
     row = np.full(TERMS + 1, -1)
     row[used] = np.arange(len(used))
     known = sorted({w for ws in words for w in ws})
-    basis = fit_basis(docs, items, known, row, weight[used], text) * weight[used][:, None]
+    basis = fit_basis(counted, items, known, row, weight[used], docs) * weight[used][:, None] if latent else np.zeros((len(used), 0))
     vectors = np.stack([basis[row[ids]].sum(0) for ids in term_lists])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     size = np.array([len(w) for w in words])
@@ -308,14 +325,15 @@ def leaks_of(text: str, index: Index) -> list[tuple]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
-               item_text: str = "text", block: int = ITEM_BLOCK) -> DataFrame:
+               item_text: str = "text", block: int = ITEM_BLOCK, cosine: bool = True) -> DataFrame:
     """Pairs of documents and the benchmark items they hold: doc_id, copy_key, item_id, cosine, share, answer_share, at_word.
 
     A pair is found if some stretch of twice the item's words (and one) has SHARE of the item as a longest common subsequence, which
     tolerates changed, added and missing words, and ANSWER of the item's last third in it. No such stretch is passed over: it must
     hold a certain number of the item's rarest words, and those are looked up for every word of every whole text. How rare a word is
     (its document frequency over all texts) and what stands around an item decide the time, not the result. The cosine is that
-    of the stretch and the item in the latent space of a distributed randomised SVD of TF-IDF passages; it decides nothing.
+    of the stretch and the item in the latent space of a distributed randomised SVD of the TF-IDF of all documents; it decides nothing. Without
+    `cosine` that space is not fitted and the column is left out.
 
     The benchmark goes to the tasks `block` items at a time, so what is sent is bounded; a block takes two passes over the texts, one that
     counts its words and one that searches. An item of fewer than `LEAST_WORDS` words is
@@ -327,6 +345,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, copy_key long, item_id long, cosine double, share double, answer_share double, at_word int"
     names = [f.split()[0] for f in schema.split(", ")]
+    shown = [c for c in names if cosine or c != "cosine"]
     items = settle(benchmark.select(F.col(item).cast("long").alias("item_id"), whole(item_text).alias("item_text"))
                    .groupBy("item_id", "item_text").agg(F.count(F.lit(1)).alias("times")))
     blocks = max(1, -(-items.count() // block))
@@ -338,8 +357,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
         if not part:
             continue
         times = [rows_of[p] for p in part]
-        weight = idf(docs, sorted({w for _, t in part for w in bare_words(t)}), text)
-        sent = docs.sparkSession.sparkContext.broadcast(build_index(docs, part, weight, text))
+        counted = count_terms(docs, sorted({w for _, t in part for w in bare_words(t)}), text)
+        counted = settle(counted) if cosine else counted
+        weight, n = idf(counted)
+        sent = docs.sparkSession.sparkContext.broadcast(build_index(counted, part, weight, n, cosine))
 
         def search(batches, sent=sent, times=times):
             index = sent.value
@@ -352,11 +373,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
                     types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-        pairs = rows.select("doc_id", "copy_key", "text").mapInArrow(search, schema)
+        pairs = rows.select("doc_id", "copy_key", "text").mapInArrow(search, schema).select(*shown)
         out = pairs if out is None else out.unionByName(pairs)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema).select(*shown)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no benchmark item."""
-    return without(docs, settle(find_leaks(docs, benchmark, id, text).select("doc_id", "copy_key")), id, text)
+    """The rows of `docs` that hold no benchmark item. The latent space decides nothing about them, so it is not fitted."""
+    return without(docs, settle(find_leaks(docs, benchmark, id, text, cosine=False).select("doc_id", "copy_key")), id, text)
