@@ -1,4 +1,5 @@
 """Streams give the same rows in any number of batches, after a restart, and as the batch form."""
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -314,6 +315,21 @@ class Mark:
         self.getCurrentWatermarkInMs = lambda: ms
 
 
+def test_rows_that_arrive_together_wait_as_one_value():
+    """The rows of a key cross to the state store once, not one by one, and come back as they were."""
+    columns = T.StructType.fromDDL("ts timestamp, n long, x array<double>, s string, b boolean")
+    seen = []
+    p = L.InOrder(lambda key, state, rows: (seen.append(rows), (rows, 0))[1], columns)
+    p.init(Store())
+    times = pd.date_range("2024-01-01", periods=90, freq="s")
+    rows = pd.DataFrame({"ts": times[::-1], "n": range(90), "x": [np.array([i, i / 3]) for i in range(90)], "s": [None if i % 9 == 0 else str(i) for i in range(90)], "b": [i % 2 == 0 for i in range(90)]})
+    assert list(p.handleInputRows(("c",), iter([rows[:60], rows[60:]]), Mark(0))) == [] and len(p.waiting.get()) == 2
+    list(p.handleExpiredTimer(("c",), Mark(times[-1].value // 1_000_000), None))
+    got, want = seen[0], rows[::-1]
+    assert got["ts"].tolist() == [t.value for t in times] and got["n"].tolist() == want["n"].tolist() and got["s"].tolist() == want["s"].tolist()
+    assert got["x"].tolist() == [list(v) for v in want["x"]] and got["b"].tolist() == want["b"].tolist()
+
+
 def test_a_task_has_some_shelves_of_a_camera_in_memory(monkeypatch):
     """No list, piece or shelf grows with the rows that wait; what is not due yet stays."""
     monkeypatch.setattr(L, "HELD", 100)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 
@@ -43,6 +44,24 @@ def _plain(v):
     return v.value if isinstance(v, pd.Timestamp) else v
 
 
+def _plain_rows(pdf: pd.DataFrame, names: list[str]) -> list[tuple]:
+    """The rows as plain values, column by column; times as nanoseconds."""
+    cols = []
+    for c in (pdf[n] for n in names):
+        kind = c.dtype.kind
+        cols.append(c.to_numpy("datetime64[ns]").astype("int64").tolist() if kind == "M" else [_plain(v) for v in c] if kind == "O" else c.tolist())
+    return list(zip(*cols, strict=True))
+
+
+def _packed(rows: list[tuple]) -> tuple[bytes]:
+    """Rows as one value of the state: a value crosses to the state store in the time of a row."""
+    return (pickle.dumps(rows),)
+
+
+def _unpacked(value: tuple) -> list[tuple]:
+    return pickle.loads(bytes(value[0]))
+
+
 #: Rows handed to a fold at a time.
 CHUNK = 10_000
 #: Rows of a key that wait in one list; when there are more, they wait on shelves by time.
@@ -52,7 +71,7 @@ HELD = 40_000
 class InOrder(StatefulProcessor):
     """Feeds each key's rows to `fold` in time order.
 
-    Rows wait until the watermark passes them: in a typed list, or, once a key has more than `HELD`, on shelves by time, of which
+    Rows wait until the watermark passes them, packed: in a list, or, once a key has more than `HELD`, on shelves by time, of which
     a task has at most so many rows in memory, however many wait (rows of one and the same time stay together). They are read only when some are due. Due rows
     are sorted and folded once, in pieces; a row older than what was folded is dropped. `fold(key, state, rows)` returns output rows and
     the new state: fields of `memory`, or a JSON-able value without. It is forgotten when event time has moved `forget_ms` past
@@ -61,7 +80,6 @@ class InOrder(StatefulProcessor):
 
     def __init__(self, fold: Callable, columns: T.StructType, ts: str = "ts", tie: str | None = None, forget_ms: int | None = None, memory: str | None = None):
         self.fold, self.names, self.ts, self.tie, self.forget_ms = fold, columns.fieldNames(), columns.fieldNames().index(ts), tie, forget_ms
-        self.row = T.StructType([T.StructField(f.name, T.LongType() if f.name == ts else f.dataType) for f in columns.fields])
         self.kind = T.StructType.fromDDL(memory) if memory else T.StructType([T.StructField("s", T.StringType())])
         self.typed = memory is not None
 
@@ -69,14 +87,14 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.memory = handle.getValueState("memory", self.kind)
         self.times = handle.getValueState("times", "folded long, due long, listed long, width long, wake long")
-        self.waiting = handle.getListState("waiting", self.row)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.shelves = handle.getMapState("shelves", "no long", "parts int, n long")
-        self.parts = handle.getMapState("parts", "no long, part int", T.StructType([T.StructField("rows", T.ArrayType(self.row))]))
+        self.parts = handle.getMapState("parts", "no long, part int", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         at = self._times()
         for pdf in rows:
-            self._wait(at, [tuple(_plain(v) for v in r) for r in pdf[self.names].itertuples(index=False, name=None)])
+            self._wait(at, _plain_rows(pdf, self.names))
         yield from self._advance(key, at, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -95,6 +113,9 @@ class InOrder(StatefulProcessor):
     def _save(self, state) -> None:
         self.memory.update(tuple(state[n] for n in self.kind.fieldNames()) if self.typed else (json.dumps(state),))
 
+    def _listed(self) -> list[tuple]:
+        return [r for piece in self.waiting.get() for r in _unpacked(piece)]
+
     def _wait(self, at: dict, new: list[tuple]) -> None:
         if not new:
             return
@@ -102,17 +123,17 @@ class InOrder(StatefulProcessor):
         at["due"] = min(times) if at["due"] is None else min(at["due"], *times)
         if at["width"] is None and at["listed"] + len(new) > HELD:
             if at["listed"]:
-                new = [*map(tuple, self.waiting.get()), *new]
+                new = [*self._listed(), *new]
                 self.waiting.clear()
                 times = [r[self.ts] for r in new]
             at["listed"], at["width"] = 0, max((max(times) - min(times)) * CHUNK // len(new), 1)
         if at["width"] is None:
-            self.waiting.appendList(new)
+            self.waiting.appendList([_packed(new)])
             at["listed"] += len(new)
             return
         for no, rows in self._dealt(new, 0, at["width"]):
             parts, n = self.shelves.getValue((no,)) or (0, 0)
-            self.parts.updateValue((no, parts), (rows,))
+            self.parts.updateValue((no, parts), _packed(rows))
             self.shelves.updateValue((no,), (parts + 1, n + len(rows)))
 
     def _dealt(self, rows: list[tuple], start: int, width: int) -> list[tuple[int, list]]:
@@ -123,7 +144,7 @@ class InOrder(StatefulProcessor):
 
     def _taken(self, no: int, parts: int) -> Iterator[list[tuple]]:
         for part in range(parts):
-            rows = [tuple(r) for r in self.parts.getValue((no, part))[0]]
+            rows = _unpacked(self.parts.getValue((no, part)))
             self.parts.removeKey((no, part))
             yield rows
 
@@ -138,7 +159,7 @@ class InOrder(StatefulProcessor):
                 if sub not in own:
                     self.spare -= 1
                     own[sub] = [self.spare, 0, 0]
-                self.parts.updateValue((own[sub][0], own[sub][1]), (some,))
+                self.parts.updateValue((own[sub][0], own[sub][1]), _packed(some))
                 own[sub][1:] = own[sub][1] + 1, own[sub][2] + len(some)
         for sub in sorted(own):
             yield from self._pieces(*own[sub], start + sub * step, step)
@@ -154,9 +175,9 @@ class InOrder(StatefulProcessor):
 
         at["due"] = None
         if at["width"] is None:
-            due, rest = split([tuple(r) for r in self.waiting.get()])
+            due, rest = split(self._listed())
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put([_packed(rest)])
                 at["due"] = min(r[self.ts] for r in rest)
             else:
                 self.waiting.clear()
@@ -171,7 +192,7 @@ class InOrder(StatefulProcessor):
             for held in self._pieces(no, parts, n, no * at["width"], at["width"]):
                 due, rest = split(held)
                 if rest:
-                    self.parts.updateValue((no, kept), (rest,))
+                    self.parts.updateValue((no, kept), _packed(rest))
                     kept, left = kept + 1, left + len(rest)
                     at["due"] = min(r[self.ts] for r in rest) if at["due"] is None else at["due"]
                 yield due
@@ -230,6 +251,12 @@ def _apply(df: DataFrame, key: str, fold, schema: T.StructType, delay: str, tie=
         InOrder(fold, df.select(*cols).schema, tie=tie, forget_ms=forget_ms, memory=memory), outputStructType=schema, outputMode="Append", timeMode="EventTime"))
 
 
+def _with_times(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    """Output rows whose `ts` is in nanoseconds."""
+    out = pd.DataFrame(rows, columns=schema.fieldNames())
+    return out.assign(ts=pd.to_datetime(out["ts"].to_numpy("int64")))
+
+
 HITS = T.StructType([T.StructField("camera_id", T.StringType()), T.StructField("ts", T.TimestampType()),
                      T.StructField("count", T.IntegerType()), T.StructField("state", T.StringType()),
                      T.StructField("fired", T.BooleanType()), T.StructField("fire_s", T.DoubleType())])
@@ -290,10 +317,9 @@ def stream_face_tracker(frames: DataFrame, delay: str = "2 seconds", forget_ms:
 
     def fold(key, state, rows):
         tracker, out = FaceTracks(state), []
-        for r in rows.itertuples(index=False):
-            found = tracker.step(int(r.frame_idx), [list(b) for b in zip(*(getattr(r, c) for c in XY))])
-            out += [(str(key[0]), pd.Timestamp(r.ts), d, t, due) for d, t, _, due in found]
-        return pd.DataFrame(out, columns=FACES.fieldNames()), tracker.live
+        for ts, frame, *xy in zip(*(rows[c] for c in ("ts", "frame_idx", *XY)), strict=True):
+            out += [(str(key[0]), ts, d, t, due) for d, t, _, due in tracker.step(int(frame), [list(b) for b in zip(*xy)])]
+        return _with_times(out, FACES), tracker.live
 
     return _apply(flat, "camera_id", fold, FACES, delay, forget_ms=forget_ms)
 
@@ -409,8 +435,8 @@ def _gate(df, key, value, delay, passes, forget_ms) -> DataFrame:
         for t, v in zip(rows["ts"], rows[value]):
             if passes(last, v, t):
                 last = {"value": v, "at": int(t)}
-                out.append((str(k[0]), pd.Timestamp(t), v))
-        return pd.DataFrame(out, columns=schema.fieldNames()), last
+                out.append((str(k[0]), t, v))
+        return _with_times(out, schema), last
 
     return _apply(flat, key, fold, schema, delay, tie=value, forget_ms=forget_ms, memory="value string, at long")
 
