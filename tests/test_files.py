@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from visorlake.functions import pixels as X
 from visorlake.sinks import files as K
@@ -211,3 +211,20 @@ def test_media_catalog(spark, tmp_path):
 def test_class_ids_of_any_length(spark):
     df = spark.createDataFrame([("a", "12345 0.1 0.2 0.3 0.4\n1e1 0 0 1 1\n2.0 0 0 1 1\nx 0 0 1 1")], "sample_id string, value string")
     assert [r.cls for r in SL.parse_yolo_text(df).orderBy("box_no").collect()] == [12345, 10, 2, None]
+
+
+def test_image_measures_hold_numbers_not_lists():
+    """A batch of vectors takes the room of its numbers (twice while it is built), and no image is copied."""
+    import tracemalloc
+
+    import pyarrow as pa
+    n, data = 400, bytes(range(256)) * 3
+    img = pa.array([{"height": 16, "width": 16, "nChannels": 3, "data": data}] * n)
+    run = X._over_images(X.thumb_one, T.IntegerType(), many=True).func
+    tracemalloc.start()
+    got = run(img[10:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n - 10 and got[5].as_py() == X.thumb_one(X.to_array(16, 16, 3, data)).tolist()
+    assert peak < 2.2 * 64 * 64 * 3 * 4 * n
+    assert len(run(img[:0])) == 0

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -80,15 +80,25 @@ def sharpness_one(px: np.ndarray) -> float:
     return float(lap.var())
 
 
-def thumb_one(px: np.ndarray) -> list[int]:
-    return resize(px, 64).astype(int).ravel().tolist()
-
-
-def _over_images(fn, kind: T.DataType):
-    @F.pandas_udf(kind)
-    def run(img: pd.DataFrame) -> pd.Series:
-        return pd.Series([fn(to_array(*row)) for row in
-                          zip(img["height"], img["width"], img["nChannels"], img["data"])])
+def thumb_one(px: np.ndarray) -> np.ndarray:
+    return resize(px, 64).astype(np.int32).ravel()
+
+
+def _over_images(fn, kind: T.DataType, many: bool = False):
+    """`fn` on each image of an Arrow batch, whose bytes are not copied; numbers, or with `many` vectors of one length, are written into one array."""
+    @F.arrow_udf(T.ArrayType(kind) if many else kind)
+    def run(img: pa.Array) -> pa.Array:
+        high, wide, deep, data = (img.field(n) for n in ("height", "width", "nChannels", "data"))
+        out = None
+        for i, (h, w, c) in enumerate(zip(high.to_pylist(), wide.to_pylist(), deep.to_pylist(), strict=True)):
+            v = np.asarray(fn(to_array(h, w, c, data[i].as_buffer())))
+            out = np.empty((len(img), *v.shape), v.dtype) if out is None else out
+            out[i] = v
+        own = pa.float64() if isinstance(kind, T.DoubleType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()
+        if out is None:
+            return pa.array([], pa.list_(own) if many else own)
+        values = pa.array(out.ravel()).cast(own)
+        return pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1], values) if many else values
     return run
 
 
@@ -99,7 +109,7 @@ def phash(image="image") -> Column:
 
 def appearance_descriptor(image="image") -> Column:
     """16x16 grey plus a 12-bin hue histogram, unit length."""
-    return _over_images(lambda px: descriptor_one(px).tolist(), T.ArrayType(T.DoubleType()))(image)
+    return _over_images(descriptor_one, T.DoubleType(), many=True)(image)
 
 
 def green_fraction(image="image") -> Column:
@@ -114,4 +124,4 @@ def sharpness(image="image") -> Column:
 
 def thumbnail(image="image") -> Column:
     """64x64 colour thumbnail, for the mean-difference dedup."""
-    return _over_images(thumb_one, T.ArrayType(T.IntegerType()))(image)
+    return _over_images(thumb_one, T.IntegerType(), many=True)(image)
