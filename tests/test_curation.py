@@ -245,6 +245,13 @@ def test_nms_ways_agree_on_ties_and_inverted_boxes(spark):
     assert all(f == found[0] for f in found) and [r[2] for r in found[0]].count(5) == 1
 
 
+def test_nms_rounds_lay_no_grid_over_few_boxes(spark):
+    """A box a billion times as wide as the others would have as many cells."""
+    rows = [(1, 0, i, 0.9 - i / 100, 20.0 * i, 0.0, 20.0 * i + 10, 10.0) for i in range(20)] + [(1, 0, 20, 0.95, 0.0, 0.0, 1e10, 1e10), (1, 0, 21, 0.1, 1.0, 0.0, 10.0, 10.0)]
+    df = spark.createDataFrame(rows, "sample_id long, cls int, box_no int, conf double, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r["box_no"] for r in suppress.nms_rounds(df, 0.4).collect()) == list(range(21))
+
+
 def test_nms_paths_agree(spark):
     rng = random.Random(4)
     rows = []

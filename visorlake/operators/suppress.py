@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from visorlake.functions.boxes import iou, of
+from visorlake.scale import maybe_broadcast
 from visorlake.session import settle
 
 XY = ["x1", "y1", "x2", "y2"]
@@ -83,40 +84,44 @@ def nms_rounds(boxes: DataFrame, iou_thr: float, image: tuple[str, ...] = ("samp
                cell: float | None = None) -> DataFrame:
     """The same result from rounds over overlap pairs.
 
-    Overlapping boxes share a grid cell, so pairs come from an equi-join on (image, class, cell). In each
-    round a box with no undecided stronger overlap is kept and the boxes it overlaps are removed.
+    Overlapping boxes share a grid cell, so pairs come from an equi-join on (image, class, cell). A class of an image with few boxes is one cell. In each
+    round a box with no undecided stronger overlap is kept and the boxes it overlaps are removed. Only pairs of
+    row numbers go from round to round; a box is kept if no round removed it.
     """
-    keys, own, ident, columns = [*image, "cls"], "_row", [*image, "cls", "_row"], boxes.columns
+    keys, own, columns = [*image, "cls"], "_row", boxes.columns
     boxes = settle(boxes.withColumn(own, F.monotonically_increasing_id()))     # two boxes may share `tie`
     size = cell or (boxes.agg(F.percentile_approx(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.lit(0.9)))
                     .first()[0] or 1.0)
+    boxes = boxes.withColumn("_cell", F.lit(float(size)))
+    if cell is None:                                                           # a few boxes need no grid: all of them share one cell
+        many = settle(boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW_BOXES).select(*keys, F.lit(True).alias("_many")))
+        grid = F.when(F.col("_many"), F.col("_cell")).otherwise(F.lit(float("inf")))
+        boxes = (boxes.withColumn("_cell", F.lit(float("inf"))) if many.isEmpty()
+                 else boxes.join(maybe_broadcast(many), keys, "left").withColumn("_cell", grid).drop("_many"))
 
     def cells(df, p):
         def axis(lo, hi):
-            return F.sequence(F.floor(F.col(p + lo) / size), F.floor(F.col(p + hi) / size))
+            return F.sequence(F.floor(F.col(p + lo) / F.col(p + "cell")), F.floor(F.col(p + hi) / F.col(p + "cell")))
         return df.withColumn("_gx", F.explode(axis("x1", "x2"))).withColumn("_gy", F.explode(axis("y1", "y2")))
 
     def side(p):
-        return boxes.select(*keys, F.col(own).alias(p + "id"), F.col(tie).alias(p + "t"), F.col(score).alias(p + "s"), *[F.col(c).alias(p + c) for c in XY])
+        return boxes.select(*keys, F.col(own).alias(p + "id"), F.col(tie).alias(p + "t"), F.col(score).alias(p + "s"), F.col("_cell").alias(p + "cell"), *[F.col(c).alias(p + c) for c in XY])
 
     def rank(p):
         return F.struct((-F.col(p + "s")).alias("s"), F.col(p + "t").alias("t"), *[F.col(p + c).alias(c) for c in XY], F.col(p + "id").alias("i"))
 
     stronger = rank("a_") < rank("b_")
-    edges = settle(cells(side("a_"), "a_").join(cells(side("b_"), "b_"), [*keys, "_gx", "_gy"]).where(stronger)
-                   .where(iou(of("a_"), of("b_")) > iou_thr).select(*keys, "a_id", "b_id").distinct())
-    open_ = settle(boxes.select(*ident))
-    kept = open_.limit(0)
-    while not open_.isEmpty():
-        blocked = edges.select(*keys, F.col("b_id").alias(own)).distinct()
-        winners = settle(open_.join(blocked, ident, "left_anti"))
-        kept = settle(kept.unionByName(winners))
-        losers = settle(edges.join(winners.withColumnRenamed(own, "a_id"), [*keys, "a_id"], "left_semi")
-                        .select(*keys, F.col("b_id").alias(own)).distinct())
-        open_ = settle(open_.join(winners, ident, "left_anti").join(losers, ident, "left_anti"))
-        edges = settle(edges.join(open_.withColumnRenamed(own, "a_id"), [*keys, "a_id"], "left_semi")
-                       .join(open_.withColumnRenamed(own, "b_id"), [*keys, "b_id"], "left_semi").select(*keys, "a_id", "b_id"))
-    return boxes.join(kept, ident, "left_semi").select(*columns)
+    first = [F.col(g) == F.floor(F.greatest(F.col(f"a_{c}"), F.col(f"b_{c}")) / F.least("a_cell", "b_cell")) for g, c in (("_gx", "x1"), ("_gy", "y1"))]   # of the cells that two boxes share
+    edges = settle(cells(side("a_"), "a_").join(cells(side("b_"), "b_"), [*keys, "_gx", "_gy"]).where(first[0] & first[1] & stronger)
+                   .where(iou(of("a_"), of("b_")) > iou_thr).select("a_id", "b_id"))
+    lost = [edges.select(F.col("b_id").alias(own)).limit(0)]
+    while not edges.isEmpty():
+        winners = edges.select("a_id").distinct().join(edges.select(F.col("b_id").alias("a_id")), "a_id", "left_anti")
+        losers = settle(edges.join(winners, "a_id", "left_semi").select(F.col("b_id").alias(own)).distinct())
+        lost.append(losers)
+        edges = settle(edges.join(losers.withColumnRenamed(own, "b_id"), "b_id", "left_anti").join(losers.withColumnRenamed(own, "a_id"), "a_id", "left_anti")
+                       .select("a_id", "b_id"))
+    return boxes.join(reduce(DataFrame.unionByName, lost), own, "left_anti").select(*columns)
 
 
 def ensemble_labels(a: DataFrame, b: DataFrame, iou_thr: float = 0.6, image: tuple[str, ...] = ("sample_id",),
