@@ -143,3 +143,13 @@ def test_rows_of_a_unit_reach_the_fold_together(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
     assert len(got) == 2 * (39 * 5 + 23) and all(r.n == (5 if r.i != 20 else 23) for r in got)
+
+
+def test_spans_are_spread_over_tasks(spark):
+    """Thousands of spans are a few kilobytes; they must not end up in one Python task for that."""
+    rows = [(v, i, (v * 7919 + i * 104729) % 5003) for v in range(40) for i in range(60)]
+    df = spark.createDataFrame(rows, "video_id long, frame_idx int, hash long")
+    cut = sampling.dedup_consecutive(df, threshold=2, span=20, group_rows=50)
+    whole = sampling.dedup_consecutive(df, threshold=2)
+    assert cut.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
