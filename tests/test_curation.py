@@ -330,6 +330,16 @@ def test_face_tracks_and_reembedding(spark):
     assert t[t["embed_due"]]["frame_idx"].tolist() == [0, 75]
 
 
+def test_small_blocks_share_a_pass_over_the_queries(spark):
+    """The queries are passed over as often as the gallery has BLOCK_BYTES, not once for each block."""
+    r = np.random.default_rng(3)
+    g = spark.createDataFrame([(i, r.standard_normal(8).tolist()) for i in range(400)], "_gid long, _t array<double>")
+    lists = list(gallery._blocks(g, 400, 16, 1_000))
+    assert len(lists) == 1 and len(lists[0]) >= 400 // 16 and sorted(i for b in lists[0] for i in b.names) == list(range(400))
+    lists = list(gallery._blocks(g, 400, 16, 100))
+    assert 4 <= len(lists) <= 8 and sorted(i for bs in lists for b in bs for i in b.names) == list(range(400))
+
+
 def test_best_match_by_cells_is_the_product(spark):
     """People with several templates each: equal to the full product, ties included, with a small part of the templates compared."""
     r = np.random.default_rng(4)

@@ -7,13 +7,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from visorlake.scale import python_tasks
 from visorlake.session import settle
 
 #: Rows of a gallery block at most, and its bytes at most.
 SMALL_GALLERY, BLOCK_BYTES = 20_000, 64_000_000
 #: Templates that place the centres of the cells, chosen by a hash of their id; centres at most; rounds.
 CENTRE_ROWS, CENTRES, ROUNDS = 4_096, 128, 4
-#: Blocks that one stage works off before queries are settled with their best so far.
+#: Passes over the queries that one stage works off before they are settled with their best so far. A pass takes the blocks that fit BLOCK_BYTES together.
 BLOCKS_A_STAGE = 4
 #: Queries compared with a cell at a time, and the slack of bounds and of sums in another order.
 QUERY_ROWS, SLACK = 256, 1e-9
@@ -110,7 +111,8 @@ def best_match(queries: DataFrame, gallery: DataFrame, id="id", vec="embedding",
     Templates are put into cells around a few centres. A cell is passed over where the triangle inequality on the sphere says that none of
     it can reach a query's best so far, so the answer is that of the full product; `scored` names a column for the number of
     templates that were compared. The gallery goes to the executors in blocks of up to `block` rows and BLOCK_BYTES, one after the
-    other, neighbouring cells together; queries stay in their partitions and carry their best along. Rows of query x template never exist.
+    other, neighbouring cells together and as many blocks at once as fit BLOCK_BYTES; queries stay in their partitions and carry their best along, so they
+    are passed over as often as the gallery has BLOCK_BYTES. Rows of query x template never exist.
     """
     kind = gallery.schema[gallery_id].dataType
     shape = T.StructType([queries.schema[id], T.StructField(vec, T.ArrayType(T.DoubleType())), T.StructField("match_id", kind),
@@ -120,6 +122,8 @@ def best_match(queries: DataFrame, gallery: DataFrame, id="id", vec="embedding",
     block = max(1, min(block, BLOCK_BYTES // (8 * max(width or 1, 1))))
     found = queries.select(F.col(id), F.col(vec).cast("array<double>").alias(vec), F.lit(None).cast(kind).alias("match_id"),
                            F.lit(None).cast("double").alias("similarity"), F.lit(0).cast("long").alias("_scored"))
+    if rows > block:
+        found = found.repartition(python_tasks(queries))                       # a small file of queries would be one task's work
 
     def against(sent):
         def run(parts):
@@ -127,26 +131,28 @@ def best_match(queries: DataFrame, gallery: DataFrame, id="id", vec="embedding",
                 if not pdf.empty:
                     best, name = pdf["similarity"].fillna(-np.inf).to_numpy(float).copy(), pdf["match_id"].to_numpy(object).copy()
                     count = pdf["_scored"].to_numpy(np.int64).copy()
-                    sent.value.improve(_unit(_stack(pdf[vec])), best, name, count)
+                    unit = _unit(_stack(pdf[vec]))
+                    for part in sent.value:
+                        part.improve(unit, best, name, count)
                     pdf = pdf.assign(match_id=name, similarity=np.where(np.isfinite(best), best, np.nan), _scored=count)
                 yield pdf
         return run
 
-    for no, part in enumerate(_blocks(g, rows, block)):
-        sent = queries.sparkSession.sparkContext.broadcast(part)
+    for no, parts in enumerate(_blocks(g, rows, block, max(1, BLOCK_BYTES // (8 * max(width or 1, 1))))):
+        sent = queries.sparkSession.sparkContext.broadcast(parts)
         found = (settle(found) if no and no % BLOCKS_A_STAGE == 0 else found).mapInPandas(against(sent), shape)
     out = found.where("match_id IS NOT NULL").select(id, "match_id", "similarity", *([F.col("_scored").alias(scored)] if scored else []))
     return out
 
 
-def _blocks(g: DataFrame, rows: int, block: int):
-    """The gallery in blocks. A larger one is dealt by cell: neighbouring cells share a block, a cell beyond a block has several."""
+def _blocks(g: DataFrame, rows: int, block: int, most: int):
+    """The gallery in lists of blocks, `most` rows a list. A larger one is dealt by cell: neighbouring cells share a block, a cell beyond a block has several."""
     if rows <= block:
         whole = g.toPandas()
         if len(whole):
             unit = _unit(_stack(whole["_t"]))
             order = np.argsort(whole["_gid"].to_numpy(), kind="stable")
-            yield Block.of(whole["_gid"].to_numpy()[order], unit[order], cell_centres(unit[order][:: max(1, len(unit) // CENTRE_ROWS)]))
+            yield [Block.of(whole["_gid"].to_numpy()[order], unit[order], cell_centres(unit[order][:: max(1, len(unit) // CENTRE_ROWS)]))]
         return
     chosen = g.orderBy(F.xxhash64("_gid"), "_gid").limit(CENTRE_ROWS).toPandas()
     centres = cell_centres(_unit(_stack(chosen["_t"])))
@@ -163,22 +169,27 @@ def _blocks(g: DataFrame, rows: int, block: int):
     celled = settle(g.mapInPandas(own_cell, schema))
     sizes = {r["_c"]: r["count"] for r in celled.groupBy("_c").count().collect()}           # at most CENTRES
     group, held = [], 0
-    plan: list[tuple[list[int], int, int]] = []                                              # (cells, parts, part)
+    plan: list[tuple[list[int], int, int, int]] = []                                         # (cells, parts, part, rows at most or so)
     for c in sorted(sizes):
         if sizes[c] > block:
             parts = -(-sizes[c] // block)
-            plan += [([c], parts, p) for p in range(parts)]
+            plan += [([c], parts, p, block) for p in range(parts)]
             continue
         if held + sizes[c] > block:
-            plan.append((group, 1, 0))
+            plan.append((group, 1, 0, held))
             group, held = [], 0
         group, held = [*group, c], held + sizes[c]
     if group:
-        plan.append((group, 1, 0))
-    for cells, parts, p in plan:
-        some = celled.where(F.col("_c").isin(cells) & (F.pmod(F.xxhash64("_gid"), F.lit(parts)) == p)).toPandas()
-        if len(some):
-            yield Block.of(some["_gid"].to_numpy(), _unit(_stack(some["_t"])), centres[sorted(cells)])
+        plan.append((group, 1, 0, held))
+    while plan:
+        upto = max(1, int(np.searchsorted(np.cumsum([n for *_, n in plan]), most, "right")))
+        now, plan = plan[:upto], plan[upto:]
+        wanted = g.sparkSession.createDataFrame([(c, parts, p, no) for no, (cells, parts, p, _) in enumerate(now) for c in cells], "_c int, _parts int, _p int, _b int")
+        some = (celled.join(F.broadcast(wanted), "_c").where(F.pmod(F.xxhash64("_gid"), F.col("_parts")) == F.col("_p"))
+                .select("_gid", "_t", "_b").toPandas())                                      # about `most` rows
+        blocks = [Block.of(rows["_gid"].to_numpy(), _unit(_stack(rows["_t"])), centres[sorted(now[no][0])]) for no, rows in some.groupby("_b")]
+        if blocks:
+            yield blocks
 
 
 def identify_faces(queries: DataFrame, gallery: DataFrame, recognise: float = 0.30, enrol: float = 0.25, id="id",
