@@ -208,6 +208,14 @@ def test_media_catalog(spark, tmp_path):
     assert got == [("Joy", "Indoor", "Indoor_Joy_a_b", 30)]
 
 
+def test_media_catalog_of_many_files_takes_few_tasks(spark, tmp_path):
+    """Files that are only listed need no task for every thirty of them."""
+    names = spark.range(600, numPartitions=1).selectExpr("concat('In/p', id % 3, '/c', id) AS sample_id", "repeat('x', 20) AS text")
+    K.write_each(names, str(tmp_path / "root"), ext=".mp4")
+    files = SF.read_media_catalog(spark, str(tmp_path / "root"), min_bytes=10)
+    assert files.rdd.getNumPartitions() <= 8 and files.count() == 600 and files.select("person").distinct().count() == 3
+
+
 def test_class_ids_of_any_length(spark):
     df = spark.createDataFrame([("a", "12345 0.1 0.2 0.3 0.4\n1e1 0 0 1 1\n2.0 0 0 1 1\nx 0 0 1 1")], "sample_id string, value string")
     assert [r.cls for r in SL.parse_yolo_text(df).orderBy("box_no").collect()] == [12345, 10, 2, None]

@@ -7,7 +7,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visorlake.functions.boxes import clip
-from visorlake.scale import maybe_broadcast
+from visorlake.scale import maybe_broadcast, python_tasks
 
 
 def six(c: Column) -> Column:
@@ -40,7 +40,10 @@ def polygon_lines(polys: DataFrame, key="sample_id", order="poly_no") -> DataFra
 
 
 def write_each(df: DataFrame, root: str, name="sample_id", text="text", ext=".txt") -> None:
-    """One text or binary file per row, from the executors; names may lead into folders. A retried task rewrites the same files."""
+    """One text or binary file per row, from the executors; names may lead into folders. A retried task rewrites the same files.
+
+    A file takes far longer than its bytes say, so rows are dealt to a given number of tasks.
+    """
     def put(rows: Iterator) -> None:
         store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
         store.create_dir(base, recursive=True)
@@ -53,7 +56,7 @@ def write_each(df: DataFrame, root: str, name="sample_id", text="text", ext=".tx
             with store.open_output_stream(f"{base}/{row[name]}{ext}") as f:
                 f.write(row[text].encode() if isinstance(row[text], str) else bytes(row[text]))
 
-    df.select(name, text).foreachPartition(put)
+    df.select(name, text).repartition(python_tasks(df)).foreachPartition(put)
 
 
 def write_yolo_labels(boxes: DataFrame, samples: DataFrame, path: str) -> None:

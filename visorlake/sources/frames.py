@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visorlake.functions.names import flat_name, safe_id, stem
+from visorlake.scale import python_tasks
 
 DET_CACHE = ("fps double, frames array<struct<b: array<array<double>>, c: array<array<double>>, "
              "h: array<array<double>>>>")
@@ -99,9 +100,12 @@ def image_index(spark: SparkSession, root: str | list[str], glob: str = "*.{jpg,
 
 def read_media_catalog(spark: SparkSession, root: str, min_bytes: int = 1_000_000,
                        exts: tuple[str, ...] = ("mp4",), skip: tuple[str, ...] = ("_template_folder",)) -> DataFrame:
-    """Video files under `root/<domain>/<person>/...`; file contents are never read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .load(root).select("path", "length"))
+    """Video files under `root/<domain>/<person>/...`; file contents are never read.
+
+    Spark deals files to tasks by what opening one costs, some thirty a task; as none is opened, they are put together again.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    files = files.coalesce(python_tasks(files))
     rel = F.regexp_extract("path", re.escape(root.rstrip("/")) + r"/+(.*)$", 1)
     parts = F.split("rel", "/")
     named = (files.where(F.lower("path").rlike(r"\.(" + "|".join(exts) + r")$") & (F.col("length") >= min_bytes))
