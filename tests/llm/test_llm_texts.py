@@ -396,6 +396,22 @@ def test_leaks_between_rare_words_under_idf_of_a_large_corpus():
     assert not decontaminate.leaks_of(" ".join(rare(400)), index)
 
 
+def test_texts_searched_together_give_what_each_gives_alone():
+    """Words by the rules of Python's split and strip, and no stretch that reaches from one text into the next."""
+    r = random.Random(6)
+    vocab = [f"v{k}" for k in range(60)] + ["straße", "É", "İ", "店", "x'y"]
+    items = [(k, " ".join(r.choices(vocab, k=r.randint(1, 12)))) for k in range(25)]
+    blanks = [" ", "\t", "\x1c", "\x85", "\u3000", "\u200b", " ... ", "\r\n"]
+    texts = ["", " ", "?!", *["".join(r.choice(["", '"', "("]) + w + r.choice(["", ",", "!?"]) + r.choice(blanks) for w in
+                              r.choices(vocab, k=r.randint(0, 40)) + r.choice(items)[1].split()[:r.randint(0, 12)]) for _ in range(400)]]
+    index = index_of(items, np.full(decontaminate.TERMS, 9.0))
+    for text, ids in zip(texts, index.terms.ids(texts), strict=True):
+        assert ids.tolist() == [index.terms.get(w, decontaminate.OTHER) for w in decontaminate.bare_words(text)]
+    alone = [decontaminate.leaks_of(t, index) for t in texts]
+    with mock.patch.object(decontaminate, "WORDS", 700), mock.patch.object(decontaminate, "CHARS", 900):
+        assert list(decontaminate.leaks_of_all(texts, index)) == alone and sum(map(len, alone)) > 50
+
+
 def all_leaks(docs, items):
     """Every pair with a stretch that is a leak, by a longest common subsequence for every start; one way from SHARE and ANSWER on."""
     out = set()

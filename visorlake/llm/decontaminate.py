@@ -4,12 +4,13 @@ from __future__ import annotations
 import re
 import string
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from visorlake.llm.common import keyed, whole, without
@@ -23,8 +24,8 @@ RANK, EXTRA, ROUNDS = 128, 16, 2
 ITEM_BLOCK = 5_000
 #: Of the words an item must share with a stretch, this part is looked for among its rarest words before its other words are counted.
 KEYS = 1 / 5
-#: Places of key words handled at a time.
-PLACES = 1_000_000
+#: Places of key words handled at a time, characters of texts that are split and words of texts that are searched together.
+PLACES, CHARS, WORDS = 1_000_000, 4_000_000, 100_000
 #: A stretch of twice the item's words and one more is a leak if so much of the item, and of its last third (the answer), is a common subsequence.
 SHARE, ANSWER = 0.6, 0.5
 #: Shorter items name nothing in particular; they are leaks only of texts that consist of them.
@@ -39,11 +40,16 @@ def term_of(bare: str) -> int:
     return zlib.crc32(bare.encode()) % TERMS
 
 
-def raw_words(text: str) -> list[str]:
-    """Lower-case words by white space, characters of scripts without blanks one by one."""
+def lowered(text: str) -> str:
+    """Lower-case text with blanks around characters of scripts without blanks."""
     if not text.isascii() and UNSPACED.search(text):
         text = UNSPACED.sub(r" \g<0> ", text)
-    return text.lower().split()
+    return text.lower()
+
+
+def raw_words(text: str) -> list[str]:
+    """Lower-case words by white space, characters of scripts without blanks one by one."""
+    return lowered(text).split()
 
 
 def bare_words(text: str) -> list[str]:
@@ -57,13 +63,31 @@ class _Terms(dict):
     def __init__(self, words):
         super().__init__((w, term_of(w)) for w in words)
 
-    def ids(self, text: str) -> np.ndarray:
-        """The term of each bare word of a text, OTHER for words that are not known."""
-        known, marks = self.get, string.punctuation
-        ids = [t if (t := known(w)) is not None else known(s, OTHER) if (s := w.strip(marks)) else -1
-               for w in raw_words(text)]
-        ids = np.array(ids, np.int64)
-        return ids[ids >= 0]
+    def ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The terms of the bare words of each text, OTHER for words that are not known.
+
+        Texts are split and their words looked up together, CHARS at a time.
+        """
+        held, size = [], 0
+        for t in texts:
+            held.append(lowered(t))
+            size += len(t)
+            if size >= CHARS:
+                yield from self._split(held)
+                held, size = [], 0
+        yield from self._split(held)
+
+    def _split(self, texts: list[str]) -> Iterator[np.ndarray]:
+        words = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))   # the same white space as str.split
+        bare = pc.ascii_trim(words.flatten(), string.punctuation)
+        at = pc.fill_null(pc.index_in(bare, pa.array(self, pa.large_string())), len(self)).to_numpy()
+        ids = np.array([*self.values(), OTHER], np.int64)[at]
+        full = pc.binary_length(bare).to_numpy() > 0
+        ends = words.offsets.to_numpy()
+        upto = np.append(0, np.cumsum(full))[ends].tolist()
+        ids = ids[full]
+        for lo, hi in zip(upto, upto[1:]):
+            yield ids[lo:hi]
 
 
 def count_terms(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
@@ -71,17 +95,10 @@ def count_terms(docs: DataFrame, words: list[str], text: str = "text") -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast(_Terms(words))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = sent.value
-        known, marks = terms.get, string.punctuation
         for b in batches:
             rows = []
-            for t in b.column(0):
-                seen: dict[int, int] = {}
-                for w, n in Counter(raw_words(t.as_py())).items():
-                    k = x if (x := known(w)) is not None else known(w.strip(marks), OTHER)
-                    seen[k] = seen.get(k, 0) + n
-                seen.pop(OTHER, None)
-                rows.append([np.fromiter(part, np.int32, len(seen)).tobytes() for part in (seen.keys(), seen.values())])
+            for ids in sent.value.ids(t.as_py() for t in b.column(0)):
+                rows.append([part.astype(np.int32).tobytes() for part in np.unique(ids[ids != OTHER], return_counts=True)])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["term", "n"])
 
@@ -289,12 +306,48 @@ def _stretches(ids: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
         at = end
 
 
-def leaks_of(text: str, index: Index) -> list[tuple]:
-    """(item number, latent cosine, share of the item, share of its answer, first word of the stretch) of each item found in a text."""
-    ids = index.terms.ids(text)
+def _together(texts: list[np.ndarray], index: Index) -> list[list[tuple[int, int, int]]]:
+    """`_stretches` of each of some texts. They are laid in a row, so far apart that no stretch reaches from one to the next."""
+    sizes = np.array([len(ids) for ids in texts]) + int(index.span.max()) + 2
+    starts = (np.cumsum(sizes) - sizes).tolist()
+    row = np.full(int(sizes.sum()), OTHER, np.int64)
+    for start, ids in zip(starts, texts, strict=True):
+        row[start:start + len(ids)] = ids
+    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for item, low, high in _stretches(row, index):
+        k = bisect_right(starts, high) - 1
+        found[k].append((item, max(low - starts[k], 0), high - starts[k]))
+    return found
+
+
+def leaks_of_all(texts: Sequence[str], index: Index) -> Iterator[list[tuple]]:
+    """`leaks_of` each text; short ones are searched together, WORDS at a time with what lies between them."""
+    held: list[tuple[str, np.ndarray]] = []
+    size, gap = 0, int(index.span.max()) + 2
+
+    def search():
+        for (text, ids), near in zip(held, _together([ids for _, ids in held], index), strict=True):
+            yield leaks_of(text, index, ids, near)
+
+    for text, ids in zip(texts, index.terms.ids(texts), strict=True):
+        held.append((text, ids))
+        size += len(ids) + gap
+        if size >= WORDS:
+            yield from search()
+            held, size = [], 0
+    if held:
+        yield from search()
+
+
+def leaks_of(text: str, index: Index, ids: np.ndarray | None = None, stretches: Iterable[tuple[int, int, int]] | None = None) -> list[tuple]:
+    """(item number, latent cosine, share of the item, share of its answer, first word of the stretch) of each item found in a text.
+
+    `ids`, `stretches`: the text's terms and its stretches that may hold enough of an item, if they are at hand.
+    """
+    ids = next(index.terms.ids([text])) if ids is None else ids
     best: dict[int, tuple] = {}
     words: list[str] | None = None
-    for item, low, high in _stretches(ids, index):
+    for item, low, high in _stretches(ids, index) if stretches is None else stretches:
         if item in best and best[item][2] == 1.0 or len(index.words[item]) < LEAST_WORDS and len(ids) != len(index.words[item]):
             continue
         code, size, span, need = index.codes[item], len(index.words[item]), int(index.span[item]), int(index.need[item])
@@ -365,9 +418,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
         def search(batches, sent=sent, times=times):
             index = sent.value
             for batch in batches:
-                found = [(d, k, index.ids[i], v, s, a, at) for d, k, t in
-                         zip(batch.column("doc_id").to_pylist(), batch.column("copy_key").to_pylist(), batch.column("text"), strict=True)
-                         for i, v, s, a, at in leaks_of(t.as_py(), index) for _ in range(times[i])]
+                found = [(d, k, index.ids[i], v, s, a, at) for d, k, leaks in
+                         zip(batch.column("doc_id").to_pylist(), batch.column("copy_key").to_pylist(), leaks_of_all(batch.column("text").to_pylist(), index), strict=True)
+                         for i, v, s, a, at in leaks for _ in range(times[i])]
                 if found:
                     cols = list(zip(*found, strict=True))
                     types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
