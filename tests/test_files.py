@@ -2,12 +2,15 @@
 import json
 import struct
 import zlib
+from unittest import mock
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from visorlake.functions import pixels as X
+from visorlake.plans import flows
+from visorlake.plans.registry import all_queries
 from visorlake.sinks import files as K
 from visorlake.sources import frames as SF, labels as SL, tables as ST
 
@@ -216,6 +219,15 @@ def test_media_catalog_of_many_files_takes_few_tasks(spark, tmp_path):
     assert files.rdd.getNumPartitions() <= 8 and files.count() == 600 and files.select("person").distinct().count() == 3
 
 
+def test_export_is_written_compressed(spark, tmp_path):
+    """A task document repeats its names for every box; written plainly, the documents are most of what the query moves."""
+    folder = "/root/testdata/sf0.001"
+    with mock.patch.object(flows, "scratch", lambda fx: str(tmp_path)):
+        rows = all_queries()["s08_read_annotation_export"](spark, folder).count()
+    size = sum(f.stat().st_size for f in (tmp_path / "export").iterdir())
+    assert rows > 100 and size < 200 * spark.read.parquet(f"{folder}/orders.parquet").count()
+
+
 def test_class_ids_of_any_length(spark):
     df = spark.createDataFrame([("a", "12345 0.1 0.2 0.3 0.4\n1e1 0 0 1 1\n2.0 0 0 1 1\nx 0 0 1 1")], "sample_id string, value string")
     assert [r.cls for r in SL.parse_yolo_text(df).orderBy("box_no").collect()] == [12345, 10, 2, None]
