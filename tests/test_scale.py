@@ -1,11 +1,12 @@
 """Skew-safe helpers against plain Python on small tables with one hot key."""
 import random
+from unittest import mock
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from visorlake.operators import sampling, signals
+from visorlake.operators import metrics, sampling, signals
 from visorlake import scale
 from visorlake.scale import ordered_scan, positions, running_sum, span_of, with_halo
 
@@ -153,3 +154,16 @@ def test_spans_are_spread_over_tasks(spark):
     whole = sampling.dedup_consecutive(df, threshold=2)
     assert cut.select(F.spark_partition_id()).distinct().count() > 1
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_matching_takes_partitions_by_boxes(spark):
+    """What a task of the matching sorts is bounded by the number of partitions, and the matches do not depend on it."""
+    rng = random.Random(2)
+    rows = [(i // 8, i % 2, i, rng.random(), 10.0 * (i % 4) + rng.randint(0, 3), 5.0, 10.0 * (i % 4) + 12, 20.0) for i in range(800)]
+    truth = spark.createDataFrame(rows, "sample_id int, cls int, gt_id int, conf double, x1 double, y1 double, x2 double, y2 double")
+    preds = truth.withColumnRenamed("gt_id", "det_id").withColumn("x1", F.col("x1") + F.col("det_id") % 3)
+    few = metrics.match_detections(preds, truth, [0.5, 0.75])
+    with mock.patch.object(metrics, "TASK_ROWS", 25):
+        many = metrics.match_detections(preds, truth, [0.5, 0.75])
+    assert many.rdd.getNumPartitions() == 32 > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() > 500

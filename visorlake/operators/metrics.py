@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from visorlake.functions.boxes import iou, of
 from visorlake.functions.vectors import cosine, l2_normalize
-from visorlake.scale import ordered_scan
+from visorlake.scale import ordered_scan, python_tasks
 from visorlake.session import settle
 
 CONF_SLICES = 4096
+#: Boxes that a task of `match_detections` joins and sorts, or so.
+TASK_ROWS = 500_000
 RECALL_STEPS = 100
 
 
@@ -49,18 +51,23 @@ def match_detections(preds: DataFrame, truth: DataFrame, thresholds: list[float]
     """The predictions that count as true, per IoU threshold: `threshold`, `det_id`, `gt_id`, `cls`, `conf`.
 
     A prediction claims the truth it overlaps most; of the claims on one truth the most confident wins.
-    Both steps are map-side combined maxima, so no image is gathered in one place. `preds` has `det_id`
-    and `conf`, `truth` has `gt_id`. Only claims are repeated per threshold, and each only up to its IoU.
+    Both steps are combined maxima by id, so no image is gathered in one place. `preds` has `det_id`
+    and `conf`, `truth` has `gt_id`. A claim is one row for all thresholds; only the winners are repeated. The joins and maxima sort
+    their rows, so they get a partition for every TASK_ROWS boxes: what a task holds does not grow with the boxes.
     """
+    tasks = max(python_tasks(preds), -(-max(preds.count(), truth.count()) // TASK_ROWS))
     ts = truth.select(image, "cls", "gt_id", *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = (preds.select(image, "cls", "det_id", "conf", "x1", "y1", "x2", "y2").join(ts, [image, "cls"])
+    pairs = (preds.select(image, "cls", "det_id", "conf", "x1", "y1", "x2", "y2").repartition(tasks, image, "cls").join(ts.repartition(tasks, image, "cls"), [image, "cls"])
              .withColumn("_iou", iou(of(), of("t_"))).where(F.col("_iou") >= min(thresholds)))
-    levels = F.array(*[F.lit(float(v)) for v in thresholds])
-    claims = (pairs.groupBy("det_id").agg(F.min_by(F.struct("gt_id", "_iou", "conf", "cls"), F.struct(-F.col("_iou"), "gt_id")).alias("c"))
-              .select("det_id", "c.*")
-              .withColumn("threshold", F.explode(F.filter(levels, lambda v: v <= F.col("_iou")))))
-    return (claims.groupBy("threshold", "gt_id").agg(F.min_by(F.struct("det_id", "cls", "conf"), F.struct(-F.col("conf"), "det_id")).alias("w"))
-            .select("threshold", "gt_id", "w.*"))
+    claims = (pairs.select("det_id", "gt_id", "_iou", "conf", "cls").repartition(tasks, "det_id")
+              .groupBy("det_id").agg(F.min_by(F.struct("gt_id", "_iou", "conf", "cls"), F.struct(-F.col("_iou"), "gt_id")).alias("c"))
+              .select("det_id", "c.*"))
+    first = F.struct(-F.col("conf"), "det_id")
+    won = (claims.repartition(tasks, "gt_id").groupBy("gt_id")
+           .agg(*[F.min_by(F.struct("det_id", "cls", "conf"), F.when(F.col("_iou") >= float(v), first)).alias(f"_{k}") for k, v in enumerate(thresholds)]))
+    each = F.array(*[F.struct(F.lit(float(v)).alias("threshold"), F.col(f"_{k}").alias("w")) for k, v in enumerate(thresholds)])
+    return (won.select("gt_id", F.explode(F.filter(each, lambda e: e["w"].isNotNull())).alias("e"))
+            .select("e.threshold", "gt_id", "e.w.*"))
 
 
 def precision_recall(preds: DataFrame, truth: DataFrame, thresholds: list[float], image="sample_id") -> DataFrame:
