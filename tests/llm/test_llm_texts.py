@@ -378,6 +378,20 @@ def index_of(items, weight):
         return decontaminate.build_index(None, items, weight)
 
 
+def test_words_are_counted_in_one_python_stage(spark):
+    """A chained second stage has a worker of its own in each task, and idle workers keep their memory through the stages that follow."""
+    docs = frame(spark, [(i, f"one two two {'three' if i % 3 else 'four'} {i}") for i in range(40)] + [(40, None), (41, "")])
+    words = ["one", "two", "three", "four", "five"]
+    weight, n = decontaminate.idf_of_texts(docs, words)
+    counted, same = decontaminate.idf(decontaminate.count_terms(docs, words))
+    assert n == same == 42 and np.array_equal(weight, counted)
+    plans, of = [], type(docs).toArrow
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
+    with mock.patch.object(type(docs), "toArrow", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or of(df)):
+        decontaminate.without_leaks(docs, benchmark).collect()
+    assert [p.count("MapInArrow") for p in plans] == [1]
+
+
 def test_leaks_between_rare_words_under_idf_of_a_large_corpus():
     """An item of common words among words of one document each, weighted as in six million documents."""
     r = random.Random(5)

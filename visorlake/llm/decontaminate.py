@@ -105,24 +105,45 @@ def count_terms(docs: DataFrame, words: list[str], text: str = "text") -> DataFr
     return docs.select(whole(text).alias("text")).mapInArrow(count, "term binary, n binary")
 
 
-def idf(counted: DataFrame) -> tuple[np.ndarray, int]:
-    """log((1 + documents) / (1 + documents with the term)) + 0.1 over all texts of `count_terms`, and the number of texts."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(TERMS, np.int64), 0
-        for b in batches:
-            for t in b.column(0):
-                total[np.frombuffer(t.as_py(), np.int32)] += 1
-                n += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
-
-    found = counted.select("term").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+def _with_term(texts: Iterable[np.ndarray]) -> pa.RecordBatch:
+    """How many of some texts hold each term, from the distinct terms of each text; their number stands at -1."""
+    total, n = np.zeros(TERMS, np.int64), 0
+    for terms in texts:
+        total[terms] += 1
+        n += 1
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
+
+
+def _idf(parts: DataFrame) -> tuple[np.ndarray, int]:
+    found = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, times = (found.column(k).to_numpy() for k in range(2))               # at most the terms of the items
     df, n = np.zeros(TERMS), int(times[term < 0].sum())
     df[term[term >= 0]] = times[term >= 0]
     return np.log((1 + n) / (1 + df)) + 0.1, n
 
 
+def idf(counted: DataFrame) -> tuple[np.ndarray, int]:
+    """log((1 + documents) / (1 + documents with the term)) + 0.1 over all texts of `count_terms`, and the number of texts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _with_term(np.frombuffer(t.as_py(), np.int32) for b in batches for t in b.column(0))
+
+    return _idf(counted.select("term").mapInArrow(count, "term long, n long"))
+
+
+def idf_of_texts(docs: DataFrame, words: list[str], text: str = "text") -> tuple[np.ndarray, int]:
+    """`idf` where nobody needs the counts of each text: words are counted and summed in one Python worker of a task.
+
+    A Python stage that reads another one has a worker each, and idle workers keep their memory until the executor has been idle for a while.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_Terms(words))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _with_term(np.unique(ids[ids != OTHER]) for b in batches for ids in sent.value.ids(t.as_py() for t in b.column(0)))
+
+    return _idf(docs.select(whole(text).alias("text")).mapInArrow(count, "term long, n long"))
+
+
 @dataclass
 class Index:
     """Benchmark items of one block: their key words by term, and their place in the latent space."""
@@ -410,9 +431,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
         if not part:
             continue
         times = [rows_of[p] for p in part]
-        counted = count_terms(docs, sorted({w for _, t in part for w in bare_words(t)}), text)
-        counted = settle(counted) if cosine else counted
-        weight, n = idf(counted)
+        words = sorted({w for _, t in part for w in bare_words(t)})
+        counted = settle(count_terms(docs, words, text)) if cosine else None
+        weight, n = idf(counted) if cosine else idf_of_texts(docs, words, text)
         sent = docs.sparkSession.sparkContext.broadcast(build_index(counted, part, weight, n, cosine))
 
         def search(batches, sent=sent, times=times):
