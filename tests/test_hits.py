@@ -1,4 +1,6 @@
 """Hit rules on synthetic clips: 30 fps, 2048 x 1536, ball radius 20 px (D = 40 px)."""
+from unittest import mock
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,11 @@ def test_primary_track_carries_through_gaps(frames):
 def test_armed_during_rest(frames):
     armed = hits.armed_frames(hits.hit_events(frames, FPS)).where("video_id = 'rest_vanish'").agg(F.min("frame_idx"), F.max("frame_idx")).first()
     assert armed[0] <= 8 and armed[1] >= 59
+
+
+def test_frames_are_followed_in_one_pass(spark, frames):
+    """The clubs pass through the fold; joining them back would read, size and shuffle all frames once more."""
+    plans, of = [], hits.with_rest
+    with mock.patch.object(hits, "with_rest", lambda lives, *a: plans.append(lives._jdf.queryExecution().optimizedPlan().toString()) or of(lives, *a)):
+        hits.hit_events(frames, FPS, "raw")
+    assert [p.count("Join ") for p in plans] == [1]

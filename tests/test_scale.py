@@ -3,12 +3,13 @@ import random
 from unittest import mock
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from visorlake.operators import metrics, sampling, signals
 from visorlake import scale
-from visorlake.scale import ordered_scan, positions, running_sum, span_of, with_halo
+from visorlake.scale import ordered_scan, ordered_steps, positions, running_sum, span_of, with_halo
 
 
 @pytest.fixture(scope="module")
@@ -167,3 +168,29 @@ def test_matching_takes_partitions_by_boxes(spark):
         many = metrics.match_detections(preds, truth, [0.5, 0.75])
     assert many.rdd.getNumPartitions() == 32 > few.rdd.getNumPartitions()
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() > 500
+
+
+@pytest.mark.parametrize("group_rows", [10_000, 100])
+def test_ordered_steps_equal_one_pass(spark, rows, group_rows):
+    """The rows' other columns pass through; a group over `group_rows` is cut into spans."""
+    def step(state, i, v, many):
+        state = (state or 0) + v + sum(many or []) if v else 0                  # forgets at each zero
+        return (state, [float(state)] * (v % 3) if v else None), state
+
+    more = T.StructType([T.StructField("y", T.LongType()), T.StructField("z", T.ArrayType(T.DoubleType()))])
+    df = spark.createDataFrame([(k, i, v, [v, 1] if v % 2 else None, [k]) for k, i, v in rows], "k string, i int, v int, many array<int>, kept array<string>")
+    got = {(r.k, r.i): (r.y, r.z, r.kept) for r in ordered_steps(df, ["k"], "i", ["i", "v", "many"], step, more, span=120, warmup=30, group_rows=group_rows).collect()}
+    want = {}
+    for k, group in by_key(rows).items():
+        state = None
+        for i, v in group:
+            (y, z), state = step(state, i, v, [v, 1] if v % 2 else None)
+            want[k, i] = y, z, [k]
+    assert got == want
+
+
+def test_python_values():
+    for rows, kind in (([1, 2, None], pa.int32()), ([1, 2], pa.int64()), ([None, None], pa.list_(pa.float64())), ([[1.5], [], None, [2.0, 3.0]], pa.list_(pa.float64())),
+                       ([[1.0], [2.0, 4.0]], pa.list_(pa.float64())), ([[1.0, None], []], pa.list_(pa.float64())), (["a", None], pa.string()), ([], pa.list_(pa.int32()))):
+        column = pa.array(rows, kind)
+        assert scale.python_values(column) == rows and scale.python_values(column[1:]) == rows[1:]
