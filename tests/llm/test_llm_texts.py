@@ -505,6 +505,20 @@ def test_stage_of_the_pipeline_fits_nothing_it_does_not_use(spark):
     assert "cosine" in found.columns and kept == {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in found.collect()}
 
 
+def test_decontamination_of_the_pipeline_does_the_whole_operator(spark, tmp_path):
+    """The latent space is fitted on all documents, and each leak has its cosine, as in op8; the documents that stay are the same."""
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    docs = frame(spark, [(1, f"before it {item} and after it"), (2, "nothing of that kind is said in here at all"), (3, None), (4, item)])
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    settled, fitted, fit, of = [], [], decontaminate.fit_basis, decontaminate.settle
+    with mock.patch.object(decontaminate, "fit_basis", lambda *a: fitted.append(a[-1]) or fit(*a)), \
+            mock.patch.object(decontaminate, "settle", lambda df: settled.append(of(df)) or settled[-1]):
+        kept = {r["doc_id"] for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()}
+    assert kept == {2, 3} and fitted == [4]
+    found = sorted((r["doc_id"], r["item_id"], r["share"]) for r in settled[-1].where("cosine > 0.5").collect())
+    assert found == [(1, 7, 1.0), (4, 7, 1.0)]
+
+
 def test_short_items_long_items_and_scripts_without_blanks(spark):
     r = random.Random(3)
     vocab = [f"v{k}" for k in range(500)]

@@ -452,6 +452,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema).select(*shown)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no benchmark item. The latent space decides nothing about them, so it is not fitted."""
-    return without(docs, settle(find_leaks(docs, benchmark, id, text, cosine=False).select("doc_id", "copy_key")), id, text)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", cosine: bool = False) -> DataFrame:
+    """The rows of `docs` that hold no benchmark item.
+
+    With `cosine` the whole of `find_leaks` is done and settled, the latent cosine of each leak included, before rows are dropped by it. The
+    cosine decides nothing about them; without it the latent space is not fitted.
+    """
+    leaks = find_leaks(docs, benchmark, id, text, cosine=cosine)
+    return without(docs, settle(leaks if cosine else leaks.select("doc_id", "copy_key")), id, text)
