@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from visorlake import session
 from visorlake.operators import duplicates as D, gallery, joins, selection, splits, suppress, tracks
+from visorlake.plans.fixtures import Fixtures
 
 MASK = 2**64 - 1
 
@@ -285,6 +287,42 @@ def test_nms_rounds_lay_no_grid_over_few_boxes(spark):
     assert sorted(r["box_no"] for r in suppress.nms_rounds(df, 0.4).collect()) == list(range(21))
 
 
+def test_nms_rounds_of_many_boxes_hold_some_images_at_a_time(spark, tmp_path, monkeypatch):
+    """Rows of no image or class included, each way once; nothing but the kept boxes stays in the shared folder."""
+    rng = random.Random(12)
+    rows = []
+    for n in range(300):
+        x, y = rng.randint(0, 60), rng.randint(0, 60)
+        rows.append((None if n % 50 == 7 else 0 if n < 60 else n % 40, None if n % 60 == 9 else n % 2, n, rng.randint(0, 20) / 20, float(x), float(y), float(x + rng.randint(10, 40)), float(y + 20)))
+    df = spark.createDataFrame(rows + rows[:5], "sample_id long, cls int, box_no int, conf double, x1 double, y1 double, x2 double, y2 double")
+    monkeypatch.setattr(suppress, "settle_table", lambda d: d.localCheckpoint())
+    monkeypatch.setattr(session, "_tables", lambda spark: str(tmp_path / f"t{len(list(tmp_path.iterdir()))}"))
+    settled, of = [], session.Scratch.settle
+    monkeypatch.setattr(session.Scratch, "settle", lambda self, d: settled.append((t := of(self, d)).count()) or t)
+    whole = sorted(map(tuple, suppress.nms_rounds(df, 0.4).collect()), key=str)
+    assert not settled
+    monkeypatch.setattr(suppress, "ROUND_BOXES", 50)
+    parts = sorted(map(tuple, suppress.nms_rounds(df, 0.4).collect()), key=str)
+    assert parts == whole and len(whole) < len(rows)
+    assert settled and max(settled) < 200 and not [p for p in tmp_path.rglob("*.parquet")]
+    want = {n for s, c in {r[:2] for r in rows} if None not in (s, c) for n in plain_nms([(r[0], r[2], r[3], *r[4:]) for r in rows if r[:2] == (s, c)], 0.4)}
+    assert {r[2] for r in parts} == want | {r[2] for r in rows if None in r[:2]}
+
+
+def test_boxes_are_those_of_the_view(spark, tmp_path):
+    """Nulls and repeated rows included; the numbering shuffles only what is read, and a filter on samples comes before it."""
+    rng = random.Random(2)
+    rows = [tuple(None if rng.random() < 0.1 else v for v in (rng.randint(1, 40), rng.randint(1, 90), rng.randint(1, 9), rng.randint(1, 4), float(rng.randint(1, 50)), rng.random(), None)) for _ in range(300)]
+    df = spark.createDataFrame(rows + rows[:50], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp")
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    fx = Fixtures(spark, str(tmp_path))
+    got, want = fx.boxes, fx._view("boxes")
+    assert got.schema == want.schema and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = fx.boxes.where(F.pmod(F.xxhash64("sample_id"), F.lit(3)) == 1)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Window [", 1)
+    assert "Filter" not in above and "pmod(" in below and "% 101" not in below
+
+
 def test_nms_paths_agree(spark):
     rng = random.Random(4)
     rows = []

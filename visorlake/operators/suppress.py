@@ -1,6 +1,7 @@
 """Greedy non-maximum suppression and two-predictor ensembles."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from visorlake.functions.boxes import iou, of
 from visorlake.scale import maybe_broadcast
-from visorlake.session import settle
+from visorlake.session import Scratch, settle, settle_table
 
 XY = ["x1", "y1", "x2", "y2"]
 FEW_BOXES = 128
 IMAGE_BOXES = 20_000
+#: Boxes whose pairs are on disk at a time.
+ROUND_BOXES = 1 << 24
 
 
 def _area(xy: np.ndarray) -> np.ndarray:
@@ -84,12 +87,31 @@ def nms_rounds(boxes: DataFrame, iou_thr: float, image: tuple[str, ...] = ("samp
                cell: float | None = None) -> DataFrame:
     """The same result from rounds over overlap pairs.
 
+    Images are independent of each other, so more than ROUND_BOXES boxes are taken some images after the other: what is on disk besides the result
+    is bounded by them, or by the largest image. The input is then read once for each part; settle it first if it is costly.
+    """
+    parts = -(-boxes.count() // ROUND_BOXES)
+    if parts <= 1:
+        return _rounds(boxes, iou_thr, image, score, tie, cell, settle)
+    kept = []
+    for k in range(parts):
+        with Scratch(boxes.sparkSession) as scratch:
+            own = boxes.where(F.pmod(F.xxhash64(*image), F.lit(parts)) == k)
+            kept.append(settle_table(_rounds(own, iou_thr, image, score, tie, cell, scratch.settle, scratch.free_shuffles)))
+    return reduce(DataFrame.unionByName, kept)
+
+
+def _rounds(boxes: DataFrame, iou_thr: float, image: tuple[str, ...], score: str, tie: str, cell: float | None,
+            settle: Callable[[DataFrame], DataFrame], free: Callable[[], None] = lambda: None) -> DataFrame:
+    """Suppression of some images.
+
     Overlapping boxes share a grid cell, so pairs come from an equi-join on (image, class, cell). A class of an image with few boxes is one cell. In each
     round a box with no undecided stronger overlap is kept and the boxes it overlaps are removed. Only pairs of
     row numbers go from round to round; a box is kept if no round removed it.
     """
     keys, own, columns = [*image, "cls"], "_row", boxes.columns
     boxes = settle(boxes.withColumn(own, F.monotonically_increasing_id()))     # two boxes may share `tie`
+    free()
     size = cell or (boxes.agg(F.percentile_approx(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.lit(0.9)))
                     .first()[0] or 1.0)
     boxes = boxes.withColumn("_cell", F.lit(float(size)))
@@ -114,6 +136,7 @@ def nms_rounds(boxes: DataFrame, iou_thr: float, image: tuple[str, ...] = ("samp
     first = [F.col(g) == F.floor(F.greatest(F.col(f"a_{c}"), F.col(f"b_{c}")) / F.least("a_cell", "b_cell")) for g, c in (("_gx", "x1"), ("_gy", "y1"))]   # of the cells that two boxes share
     edges = settle(cells(side("a_"), "a_").join(cells(side("b_"), "b_"), [*keys, "_gx", "_gy"]).where(first[0] & first[1] & stronger)
                    .where(iou(of("a_"), of("b_")) > iou_thr).select("a_id", "b_id"))
+    free()
     lost = [edges.select(F.col("b_id").alias(own)).limit(0)]
     while not edges.isEmpty():
         winners = edges.select("a_id").distinct().join(edges.select(F.col("b_id").alias("a_id")), "a_id", "left_anti")
